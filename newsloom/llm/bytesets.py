@@ -86,7 +86,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((total[ends] - total[starts]) * powers("up", len(data))[starts] + (ends - starts).astype(_U))
 
 
-_PLACE = _rng.integers(1, 2**63, 64, dtype=np.uint64) * _U(2) + _U(1)
+PLACE = _rng.integers(1, 2**63, 64, dtype=np.uint64) * _U(2) + _U(1)
 
 
 def sequence_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -95,7 +95,7 @@ def sequence_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
         return np.empty(0, _U)
     total = np.full(len(hashes) - n + 1, n, _U)
     for i in range(n):
-        total += hashes[i : len(hashes) - n + 1 + i] * _PLACE[i]
+        total += hashes[i : len(hashes) - n + 1 + i] * PLACE[i]
     return mix(total)
 
 

@@ -1,19 +1,22 @@
 """Language identification by compression with one raw-content zstandard dictionary per language.
 
-A language's dictionary is lower-cased text of that language. A text is compressed with each dictionary in turn; the
-language that gives the fewest bytes is the answer, the score is the share of its likelihood when each byte
-saved counts, and an answer whose lead is under ``MARGIN`` of the size is marked rejected.
+What is compressed is a text's distinct words (runs of letters, lower-cased, in order of first appearance, a space
+between), so that shouting, list marks and repeated lines do not drown the language. A language's dictionary is such words of
+texts of that language. A text is compressed with each dictionary in turn; the language that gives the fewest bytes is
+the answer, the score is the share of its likelihood when each byte saved counts, and an answer whose lead is under
+``MARGIN`` of the size is marked rejected.
 
 Only the dictionaries are sampled: at most ``DICTIONARY_BYTES`` for each language, from at most ``DICTIONARY_DOCS``
 labelled texts taken in the order of a hash of their id. Every whole text is classified.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; labels that are null or blank teach nothing;
-without labelled rows all is ``und``; ties go to the language first in the alphabet; repeated rows and extra columns are harmless.
+without labelled rows all is ``und``; ties go to the language with most labelled rows, then to the first in the alphabet; repeated rows and extra columns are harmless.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,11 +26,16 @@ from pyspark.sql import functions as F
 
 from newsloom.llm import store
 
-DICTIONARY_BYTES = 96 * 1024
+DICTIONARY_BYTES = 64 * 1024
 DICTIONARY_DOCS = 200
-LEVEL = 3
+LEVEL = 12
 MARGIN = 0.01
 UNKNOWN = "und"
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def letters_of(text: str) -> bytes:
+    return " ".join(dict.fromkeys(_LETTERS.findall(text.lower()))).encode()
 
 
 def fold(id_col: str, n: int) -> Column:
@@ -35,20 +43,21 @@ def fold(id_col: str, n: int) -> Column:
 
 
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> dict[str, bytes]:
-    """The dictionaries: language to lower-cased text, each within the bound."""
+    """The dictionaries, the language with most labelled rows first, each within the bound."""
     usable = labelled.where(F.trim(label_col) != "").where(F.length(text_col) > 0)
     texts = usable.select(F.col(label_col).alias("_l"), F.xxhash64(F.col(id_col).cast("string")).alias("_o"), F.substring(text_col, 1, 4096).alias("_t"))
     first = texts.withColumn("_k", F.row_number().over(Window.partitionBy("_l").orderBy("_o", "_t"))).where(F.col("_k") <= DICTIONARY_DOCS)
-    found: dict[str, dict[str, None]] = {}
+    known = [row._l for row in usable.groupBy(F.col(label_col).alias("_l")).count().orderBy(F.desc("count"), "_l").toLocalIterator()]
+    parts: dict[str, dict[bytes, None]] = {label: {} for label in known}
     for row in first.orderBy("_l", "_k").toLocalIterator():
-        found.setdefault(row._l, {})[row._t.lower()] = None
-    return {label: "\n".join(texts).encode()[:DICTIONARY_BYTES] for label, texts in found.items()}
+        parts[row._l][letters_of(row._t)] = None
+    return {label: b" ".join(parts[label])[:DICTIONARY_BYTES] for label in known}
 
 
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", margin: float = MARGIN) -> DataFrame:
     """docs with lang_pred, score and rejected; the text column is not kept."""
     kept = [c for c in docs.columns if c not in (text_col, "lang_pred", "score", "rejected")]
-    shared = docs.sparkSession.sparkContext.broadcast(sorted(dictionaries.items()))
+    shared = docs.sparkSession.sparkContext.broadcast(list(dictionaries.items()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = []
@@ -59,15 +68,16 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
         for batch in batches:
             labels, scores, rejected = [], [], []
             for text in batch.pop("_text"):
-                if not known or text is None or not any(map(str.isalpha, text)):
+                data = letters_of(text or "")
+                if not known or not data:
                     labels.append(UNKNOWN), scores.append(0.0), rejected.append(True)
                     continue
-                data = text.lower().encode()
-                sizes = [(len(c.compress(data)), label) for label, c in known]
-                best, label = min(sizes)
-                second = min((n for n, other in sizes if other != label), default=2 * best)
+                sizes = [len(c.compress(data)) for _, c in known]
+                best = min(sizes)
+                label = known[at := sizes.index(best)][0]
+                second = min(sizes[:at] + sizes[at + 1 :], default=2 * best)
                 labels.append(label)
-                scores.append(1 / sum(math.exp(max(-60.0, (best - n) / 4)) for n, _ in sizes))
+                scores.append(1 / sum(math.exp(max(-60.0, (best - n) / 4)) for n in sizes))
                 rejected.append(second - best < margin * best)
             yield batch.assign(lang_pred=labels, score=scores, rejected=rejected)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsloom.llm import language_id, quality, sharding, url_filters
+from newsloom.llm import contamination, language_id, quality, sharding, url_filters
 
 
 def queries() -> dict:
@@ -10,9 +10,10 @@ def queries() -> dict:
         "op1_quality": quality.op1_quality,
         "op3_shards": sharding.op3_shards,
         "op4_url_filters": url_filters.op4_url_filters,
+        "op8_contamination": contamination.op8_contamination,
         "op10_language": language_id.op10_language,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filters": url_filters.OP4_SQL}
+    return {"op4_url_filters": url_filters.OP4_SQL, "op8_contamination": contamination.OP8_SQL}
