@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from newsloom.llm import contamination, language_id, quality, sharding, url_filters
+from newsloom.llm import contamination, language_id, ngram_join, quality, sharding, url_filters
 
 
 def queries() -> dict:
     return {
         "op1_quality": quality.op1_quality,
+        "op2_ngram_join": ngram_join.op2_ngram_join,
         "op3_shards": sharding.op3_shards,
         "op4_url_filters": url_filters.op4_url_filters,
         "op8_contamination": contamination.op8_contamination,
