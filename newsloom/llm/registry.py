@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsloom.llm import contamination, language_id, ngram_join, quality, sharding, url_filters
+from newsloom.llm import contamination, embedding_dedup, language_id, ngram_join, quality, sharding, url_filters
 
 
 def queries() -> dict:
@@ -12,9 +12,10 @@ def queries() -> dict:
         "op3_shards": sharding.op3_shards,
         "op4_url_filters": url_filters.op4_url_filters,
         "op8_contamination": contamination.op8_contamination,
+        "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
         "op10_language": language_id.op10_language,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filters": url_filters.OP4_SQL, "op8_contamination": contamination.OP8_SQL}
+    return {"op4_url_filters": url_filters.OP4_SQL, "op8_contamination": contamination.OP8_SQL, "op9_embedding_dedup": embedding_dedup.OP9_SQL}
