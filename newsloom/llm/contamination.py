@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import store
@@ -171,6 +171,15 @@ def scan(docs: DataFrame, searches: list[Patterns], keep: list[str], text_col: s
     return frame.mapInArrow(run, fields + _HITS)
 
 
+def _n_hit() -> Column:
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+
+
+def _contaminated() -> Column:
+    """Hit at all, and in a twentieth of the words at least."""
+    return (_n_hit() > 0) & (20 * _n_hit() >= F.col("n_words"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = BLOCK_WINDOWS) -> DataFrame:
     """One row per document: id, n_words, n_hit, items (ids that occur), spans of words, contaminated."""
     blocks = list(pattern_blocks(benchmark, limit=limit))
@@ -191,9 +200,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         united = united.withColumn("spans", merged)
         rows = docs.select(id_col, F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("_h")).alias("d")
         found = rows.join(united.alias("u"), F.col(f"d.{id_col}").eqNullSafe(F.col(f"u.{id_col}")) & (F.col("d._h") == F.col("u._h"))).select(f"d.{id_col}", "n_words", "spans", "items")
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    found = found.withColumn("n_hit", n_hit)
-    return found.select(id_col, "n_words", "n_hit", "items", "spans", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    return found.select(id_col, "n_words", _n_hit().alias("n_hit"), "items", "spans", _contaminated().alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, blocks: list[list[Patterns]], text_col: str = "text") -> DataFrame:
+    """docs without the contaminated ones; with one block of patterns the texts pass the search and nothing is shuffled."""
+    columns = docs.columns
+    for searches in blocks or [[]]:
+        found = scan(docs, searches, [c for c in columns if c not in ("n_words", "spans", "items")], text_col)
+        docs = found.where(~_contaminated()).select(*columns)
+    return docs
 
 
 def op8_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:

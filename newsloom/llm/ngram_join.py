@@ -284,6 +284,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
+    """docs with one document of each component: the one with the smallest id; of rows with equal id in a component, one.
+
+    Documents without words, and rows with a null id, stay. Only ids move, and the ids that go are the smaller side of the joins."""
+    found = store.durable(jaccard_components(docs, id_col, text_col, similarity), "found").where(F.col(id_col).isNotNull() & F.col("class").isNotNull())
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    twice = found.groupBy(id_col).count().where("count > 1").select(id_col)
+    stays = docs.join(gone, id_col, "left_anti")
+    return stays.join(twice, id_col, "left_anti").unionByName(stays.join(twice, id_col, "left_semi").dropDuplicates([id_col, text_col])).select(*docs.columns)
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return jaccard_components(store.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsloom.llm import contamination, embedding_dedup, language_id, ngram_join, quality, sharding, url_filters
+from newsloom.llm import contamination, embedding_dedup, language_id, mixing, ngram_join, quality, secrets, sharding, url_filters, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,9 @@ def queries() -> dict:
         "op2_ngram_join": ngram_join.op2_ngram_join,
         "op3_shards": sharding.op3_shards,
         "op4_url_filters": url_filters.op4_url_filters,
+        "op5_secrets": secrets.op5_secrets,
+        "op6_mixing": mixing.op6_mixing,
+        "op7_warc": warc.op7_warc,
         "op8_contamination": contamination.op8_contamination,
         "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
         "op10_language": language_id.op10_language,
@@ -18,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filters": url_filters.OP4_SQL, "op8_contamination": contamination.OP8_SQL, "op9_embedding_dedup": embedding_dedup.OP9_SQL}
+    return {"op4_url_filters": url_filters.OP4_SQL, "op7_warc": warc.OP7_SQL, "op8_contamination": contamination.OP8_SQL, "op9_embedding_dedup": embedding_dedup.OP9_SQL}
