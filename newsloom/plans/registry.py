@@ -1,19 +1,21 @@
-"""Collects the registered queries and their DuckDB counterparts."""
+"""All registered queries; importing the plan modules registers them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from newsloom.plans import article_plans, page_plans, source_plans  # noqa: F401
+from newsloom.plans.catalog import ORACLES, QUERIES
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    return pages.groupBy(F.regexp_extract("url", "://([^/?#]*)", 1).alias("host")).agg(F.count("*").alias("n"))
+    """For each outlet domain: distinct articles, open ones and the best headline."""
+    return QUERIES["flagship_outlet_headlines"](spark, sf_dir)
