@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import store
@@ -159,7 +159,7 @@ def _filter_of(members: DataFrame) -> np.ndarray:
 
 
 def class_sets(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(class, features) of the wanted classes, one row each."""
+    """(class, n, bits, features) of the wanted classes, one row each."""
     shared = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,12 +173,31 @@ def class_sets(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
                     fresh[c] = s.view(np.int64)
             seen.update(fresh)
             if fresh:
-                yield pa.RecordBatch.from_arrays([pa.array(list(fresh), pa.int64()), pa.array(list(fresh.values()), pa.list_(pa.int64()))], ["class", "features"])
+                arrays = [pa.array(list(fresh), pa.int64()), pa.array([len(s) for s in fresh.values()], pa.int32()), pa.array([parity_bits(s) for s in fresh.values()], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(list(fresh.values()), pa.list_(pa.int64()))], ["class", "n", "bits", "features"])
 
-    made = docs.select(F.col(text_col).cast("string").alias("_text")).mapInArrow(run, "class long, features array<long>")
+    made = docs.select(F.col(text_col).cast("string").alias("_text")).mapInArrow(run, "class long, n int, bits binary, features array<long>")
     return made.join(wanted, "class", "left_semi").dropDuplicates(["class"])
 
 
+def parity_bits(features: np.ndarray) -> bytes:
+    """A bitmap of 64 bits or more, at least two for each feature; a feature flips the bit at its low bits."""
+    b = 1 << max(6, math.ceil(math.log2(2 * len(features))))
+    return np.packbits(np.bincount((features & np.int64(b - 1)), minlength=b).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def _folded(bits: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of words; the longer ones are folded to the length of the shortest."""
+    words = [np.frombuffer(b, np.uint64) for b in bits]
+    least = min(len(w) for w in words)
+    return np.stack([np.bitwise_xor.reduce(w.reshape(-1, least), axis=0) for w in words])
+
+
+def may_link(na: np.ndarray, nb: np.ndarray, apart: np.ndarray, similarity: int) -> np.ndarray:
+    """Whether sets whose bitmaps differ in ``apart`` bits may link: they differ in as many features at least."""
+    return (100 + similarity) * apart <= (100 - similarity) * (na + nb)
+
+
 def linked(a: int, b: int, both: np.ndarray, similarity: int) -> np.ndarray:
     return 100 * both >= similarity * (a + b - both)
 
@@ -218,57 +237,114 @@ def forest(sets: list[np.ndarray], groups: list[int], similarity: int) -> list[t
     return out
 
 
-def _verify_blocks(similarity: int):
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], list[int], list[int], list]]:
+    """Rows (sig, i, j, class, comp, content) sorted by (sig, i, j), a block at a time."""
+    key, ids, groups, content = None, [], [], []
+    for batch in batches:
+        last = batch.column(5)
+        if pa.types.is_list(last.type):
+            flat = last.flatten().to_numpy()
+            ends = np.cumsum([0, *(len(x) for x in last)]).tolist()
+            values = [flat[s:e] for s, e in zip(ends[:-1], ends[1:], strict=True)]
+        else:
+            values = last.to_pylist()
+        for sig, i, j, c, g, v in zip(*(batch.column(k).to_pylist() for k in range(5)), values, strict=True):
+            if (sig, i, j) != key:
+                if ids:
+                    yield key, ids, groups, content
+                key, ids, groups, content = (sig, i, j), [], [], []
+            ids.append(c)
+            groups.append(g)
+            content.append(v)
+    if ids:
+        yield key, ids, groups, content
+
+
+def _promising(similarity: int):
+    """Of each block of bitmaps the rows that may link to a row of another group."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, groups, sets = None, [], [], []
+        rows: list[tuple] = []
+        for key, ids, groups, content in _blocks(batches):
+            n, group = np.array([c["n"] for c in content], np.int64), np.array(groups)
+            bits, keep = _folded([c["bits"] for c in content]), np.zeros(len(ids), bool)
+            for k in range(len(ids) - 1):
+                apart = np.bitwise_count(bits[k + 1 :] ^ bits[k]).sum(1, dtype=np.int64)
+                good = may_link(n[k + 1 :], n[k], apart, similarity) & (group[k + 1 :] != group[k])
+                keep[k] |= good.any()
+                keep[k + 1 :] |= good
+            rows += [(*key, ids[k], groups[k]) for k in np.flatnonzero(keep)]
+            if len(rows) > 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["sig", "i", "j", "class", "comp"])
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["sig", "i", "j", "class", "comp"])
+
+    return run
 
-        def done() -> pa.RecordBatch:
+
+def _verify_blocks(similarity: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, ids, groups, sets in _blocks(batches):
             pairs = forest(sets, groups, similarity) if len(set(groups)) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in pairs], pa.int64()), pa.array([ids[j] for _, j in pairs], pa.int64())], ["a", "b"])
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in pairs], pa.int64()), pa.array([ids[j] for _, j in pairs], pa.int64())], ["a", "b"])
+
+    return run
+
 
+def _may_link_rows(similarity: int):
+    """Pairs with sizes and bitmaps, to the pairs that may link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("features")
-            flat, ends = lists.flatten().to_numpy(), np.cumsum([len(x) for x in lists]).tolist()
-            begin = 0
-            for sig, i, j, c, g, end in zip(*(batch.column(n).to_pylist() for n in ("sig", "i", "j", "class", "comp")), ends, strict=True):
-                if (sig, i, j) != key:
-                    if ids:
-                        yield done()
-                    key, ids, groups, sets = (sig, i, j), [], [], []
-                ids.append(c)
-                groups.append(g)
-                sets.append(flat[begin:end])
-                begin = end
-        if ids:
-            yield done()
+            na, nb = (batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
+            apart = [int(np.bitwise_count(np.bitwise_xor(*_folded([x, y]))).sum()) for x, y in zip(batch.column("ba").to_pylist(), batch.column("bb").to_pylist(), strict=True)]
+            keep = pa.array(may_link(na, nb, np.array(apart, np.int64), similarity))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
     return run
 
 
 def class_links(docs: DataFrame, text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
-    """(a, b): links between classes whose components are those of all links."""
+    """(a, b): links between classes whose components are those of all links.
+
+    What moves: eight bytes a signature and its class; a bitmap of a few bits a feature for each candidate; whole sets only for pairs and
+    blocks that the bitmaps leave open.
+    """
     rows = class_signatures(docs, text_col, similarity).repartition("sig").sortWithinPartitions("sig", "class")
     buckets = store.durable(rows.mapInArrow(_shared, "sig long, class long, n int, pivot long"), "buckets")
     stars = buckets.where("class <> pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
-    stars = store.durable(stars, "stars")
-    members = buckets.select("class").distinct()
-    sets = store.durable(class_sets(docs, text_col, members), "sets")
-    left = sets.select(F.col("class").alias("a"), F.col("features").alias("fa"))
-    right = sets.select(F.col("class").alias("b"), F.col("features").alias("fb"))
+    sets = store.durable(class_sets(docs, text_col, buckets.select("class").distinct()), "sets")
+
+    def side(name: str, *columns: str) -> DataFrame:
+        return sets.select(F.col("class").alias(name), *(F.col(c).alias(f"{c[0]}{name}") for c in columns))
+
+    open_pairs = stars.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").select("a", "b", "na", "nb", "ba", "bb")
+    open_pairs = store.durable(open_pairs.mapInArrow(_may_link_rows(similarity), "a long, b long"), "pairs")
     both = F.size(F.array_intersect("fa", "fb"))
-    tested = stars.join(left, "a").join(right, "b").where(100 * both >= similarity * (F.size("fa") + F.size("fb") - both))
+    tested = open_pairs.join(side("a", "features"), "a").join(side("b", "features"), "b")
+    tested = tested.where(100 * both >= similarity * (F.size("fa") + F.size("fb") - both))
     star_links = store.durable(tested.select("a", "b"), "links")
     found = components(star_links).select(F.col("node").alias("class"), F.col("component").alias("comp"))
-    placed = buckets.join(found, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    placed = buckets.drop("pivot").join(found, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     sig = placed.groupBy("sig").agg(F.count("*").alias("members"), F.max("n").alias("n_max"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.bit_xor(F.xxhash64("class")).alias("print"))
     blocks = F.ceil(F.greatest(F.col("members") * F.col("n_max") / BLOCK_FEATURES, F.col("members") / 1024))
     open_sigs = sig.where("members > 2 AND low <> high").groupBy("print", "members").agg(F.min("sig").alias("sig"), F.max(blocks).alias("blocks"))
     rows = placed.join(open_sigs.select("sig", "blocks"), "sig").withColumn("r", F.pmod(F.xxhash64("class", "sig"), F.col("blocks")))
     rows = rows.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("sig", F.least("r", "s").alias("i"), F.greatest("r", "s").alias("j"), "class", "comp").join(sets, "class")
-    rows = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "class")
-    more = rows.mapInArrow(_verify_blocks(similarity), "a long, b long")
-    return star_links.unionByName(store.durable(more, "more_links"))
+    rows = rows.select("sig", F.least("r", "s").alias("i"), F.greatest("r", "s").alias("j"), "class", "comp")
+
+    def block_rows(rows: DataFrame, content: Column) -> DataFrame:
+        rows = rows.join(sets.select("class", content.alias("content")), "class").select("sig", "i", "j", "class", "comp", "content")
+        return rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "class")
+
+    left = block_rows(rows, F.struct("n", "bits")).mapInArrow(_promising(similarity), "sig long, i long, j long, class long, comp long")
+    left = store.durable(left, "promising")
+    same = left.groupBy("sig", "i", "j").agg(F.bit_xor(F.xxhash64("class")).alias("print"), F.count("*").alias("members"))
+    once = same.groupBy("print", "members").agg(F.min(F.struct("sig", "i", "j")).alias("at")).select("at.*")
+    more = block_rows(left.join(once, ["sig", "i", "j"], "left_semi"), F.col("features")).mapInArrow(_verify_blocks(similarity), "a long, b long")
+    return star_links.unionByName(store.durable(more.distinct(), "more_links"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
