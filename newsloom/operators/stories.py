@@ -35,3 +35,300 @@ def lead_and_open_alternate(members: DataFrame, lead_least: int = 6, alternate_l
         "story_id", F.col("lead.rank_in_story").alias("lead"), (F.col("lead.quality") >= lead_least).alias("confident"),
         F.when(F.col("best.quality") >= alternate_least, F.col("best.rank_in_story")).alias("alternate"),
     )
+
+
+def pair_features(pairs: DataFrame, a: str = "a", b: str = "b", broad: list[str] = (), low_signal: list[str] = (), anchor_stop: list[str] = (), generic_tags: list[str] = ()) -> DataFrame:
+    """Overlap features of an item (columns ``{a}_tokens``, ``_tags``, ``_entities``, ``_contextual``) with a story (the same under ``b``,
+    where sets are unions over members, ``_contextual`` says that all members are contextual), and ``similarity``."""
+    lit = lambda values: F.array(*map(F.lit, values)) if len(values) else F.expr("CAST(array() AS array<string>)")
+    shared = F.array_intersect(f"{a}_tokens", f"{b}_tokens")
+    f = pairs.withColumn("_shared", shared).withColumn("_specific", F.array_except("_shared", lit(broad)))
+    f = f.withColumn("_tags", F.array_intersect(f"{a}_tags", f"{b}_tags"))
+    return f.select(
+        *pairs.columns,
+        F.size("_shared").alias("overlap"), F.size("_specific").alias("specific"),
+        F.size(F.array_except("_specific", lit(low_signal))).alias("anchored"), F.size(F.array_except("_specific", lit(anchor_stop))).alias("event_anchors"),
+        F.size(F.array_except("_tags", lit(generic_tags))).alias("strong_tags"), F.size(F.array_intersect("_tags", lit(generic_tags))).alias("generic_shared"),
+        F.size(F.array_intersect(f"{a}_entities", f"{b}_entities")).alias("entities"),
+        F.size(F.array_union(f"{a}_tokens", f"{b}_tokens")).alias("union_size"), F.least(F.size(f"{a}_tokens"), F.size(f"{b}_tokens")).alias("smaller"),
+    )
+
+
+JOIN_SIMILARITY, SUPPORT_SIMILARITY, CONTEXT_SIMILARITY, JOIN_SCORE = 0.42, 0.32, 0.5, 12.0
+
+
+def _barred(a: str, b: str):
+    """Pairs that never match: nothing shared, a generic tag without support, or report and context that meet too loosely."""
+    c = F.col
+    nothing = (c("overlap") == 0) & (c("strong_tags") + c("generic_shared") == 0)
+    loose = (c("generic_shared") > 0) & (c("strong_tags") == 0) & (c("entities") == 0) & (c("anchored") < 2)
+    mixed = (c(f"{a}_contextual") != c(f"{b}_contextual")) & (c("event_anchors") < 2) & (c("entities") < 2) & (c("similarity") < CONTEXT_SIMILARITY)
+    unsupported = (c("strong_tags") + c("generic_shared") + c("entities") + c("anchored") == 0) & (c("similarity") < JOIN_SIMILARITY)
+    return nothing | loose | mixed | unsupported | (F.size(f"{a}_tokens") == 0)
+
+
+def match_score(features: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """features with score: 0 for barred pairs, else the weighted sum of what item and story share."""
+    c = F.col
+    ratio = lambda x, n: F.when(c(n) > 0, c(x) / c(n)).otherwise(0.0)
+    bonus = lambda test, points: F.when(test, points).otherwise(0.0)
+    supported = (c("strong_tags") > 0) | (c("anchored") > 0) | (c("entities") > 0)
+    score = (
+        8 * c("strong_tags") + 3 * c("generic_shared") + 2.5 * c("specific") + 3 * c("anchored") + 3.5 * c("event_anchors") + 1.25 * c("overlap")
+        + 4 * ratio("overlap", "union_size") + 5 * ratio("specific", "smaller") + 2 * c("entities") + 12 * c("similarity")
+        + bonus((c("strong_tags") > 0) & (c("specific") > 0), 3.0) + bonus((c("generic_shared") > 0) & (c("anchored") >= 2), 1.5)
+        + bonus((c("similarity") >= JOIN_SIMILARITY) & supported, 3.0) - bonus(c(f"{a}_contextual"), 4.5) - bonus(c(f"{a}_contextual") & ~c(f"{b}_contextual"), 3.5)
+    )
+    return features.withColumn("score", F.when(_barred(a, b), 0.0).otherwise(score))
+
+
+def should_join(scored: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """scored with joins: by score, or by one of the supports when the pair is not barred."""
+    c = F.col
+    bare = c("strong_tags") + c("generic_shared") + c("entities") + c("anchored") == 0
+    support = (
+        ((c("similarity") >= JOIN_SIMILARITY) & ((c("anchored") > 0) | (c("entities") > 0) | (c("strong_tags") > 0)))
+        | ((c("similarity") >= SUPPORT_SIMILARITY) & ((c("anchored") >= 2) | (c("entities") >= 1)))
+        | ((c("strong_tags") > 0) & (c("anchored") >= 1)) | ((c("generic_shared") > 0) & (c("anchored") >= 2))
+        | (c("event_anchors") >= 2) | (c("anchored") >= 4) | ((c("anchored") >= 3) & (c("overlap") >= 4))
+    )
+    return scored.withColumn("joins", (c("score") >= JOIN_SCORE) | (~_barred(a, b) & (bare | support)))
+
+
+def story_label(members: DataFrame, tokens: str, broad: list[str], k: int = 3) -> DataFrame:
+    """(story_id, label): the k most frequent tokens that are not broad, ties by token."""
+    counts = members.select("story_id", F.explode(tokens).alias("token")).where(~F.col("token").isin(list(broad))).groupBy("story_id", "token").count()
+    best = top_per(counts, ["story_id"], [F.desc("count"), F.asc("token")], k)
+    return best.groupBy("story_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "token"))), lambda x: x["token"]), " ").alias("label"))
+
+
+def story_query(members: DataFrame, tokens: str, entities: str, k: int = 6) -> DataFrame:
+    """(story_id, tokens, entities): the k most frequent of each, ties by text; the search for more articles."""
+    out = None
+    for name in (tokens, entities):
+        counts = members.select("story_id", F.explode(name).alias("x")).groupBy("story_id", "x").count()
+        best = top_per(counts, ["story_id"], [F.desc("count"), F.asc("x")], k)
+        listed = best.groupBy("story_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "x"))), lambda v: v["x"]).alias(name))
+        out = listed if out is None else out.join(listed, "story_id", "full_outer")
+    return out
+
+
+def story_lead(members: DataFrame, pair_scores: DataFrame) -> DataFrame:
+    """(story_id, lead_id, lead_score). members: story_id, article_id, quality, signal, context, stub, extraction_quality, minute.
+    pair_scores: story_id, article_id and score of each other member. Stubs lead only where all are stubs."""
+    central = pair_scores.groupBy("story_id", "article_id").agg(F.sum("score").alias("central"))
+    newest = members.groupBy("story_id").agg(F.max("minute").alias("newest"), F.bool_and("stub").alias("all_stubs"))
+    m = members.join(central, ["story_id", "article_id"], "left").join(newest, "story_id").where("all_stubs OR NOT stub")
+    body = F.when(F.col("extraction_quality") == "article_body", 6).when(F.col("extraction_quality") == "metadata_description", 2).otherwise(0)
+    score = 2 * F.col("quality") + F.coalesce("central", F.lit(0.0)) + body + 1.5 * F.greatest("signal", F.lit(0)) - 6 * F.col("context") - F.when(F.col("stub"), 9).otherwise(0) - F.least((F.col("newest") - F.col("minute")) / 60, F.lit(12.0))
+    scored = m.withColumn("lead_score", F.round(score, 6))
+    best = scored.groupBy("story_id").agg(F.max_by(F.struct("article_id", "lead_score"), F.struct("lead_score", "minute", -F.col("article_id"))).alias("x"))
+    return best.select("story_id", F.col("x.article_id").alias("lead_id"), "x.lead_score")
+
+
+def needs_augmentation(members: DataFrame) -> DataFrame:
+    """(story_id, needed, priority): thin stories; members has outlet, is_substantive, is_event, is_open."""
+    c = members.groupBy("story_id").agg(
+        F.countDistinct("outlet").alias("outlets"), F.count_if("is_substantive").alias("substantive"), F.count_if("is_event").alias("events"),
+        F.count_if(F.col("is_open") & F.col("is_substantive")).alias("open_substantive"), F.count_if(~F.col("is_open")).alias("paid"),
+    )
+    paid = (F.col("paid") > 0) & (F.col("open_substantive") == 0)
+    tests = [F.col("outlets") == 1, F.col("substantive") <= 1, F.col("events") <= 1, paid]
+    priority = sum((F.when(t, p).otherwise(0) for t, p in zip(tests, (4, 3, 2, 2), strict=True)), F.lit(0))
+    return c.select("story_id", (tests[0] | tests[1] | tests[2] | tests[3]).alias("needed"), priority.alias("priority"))
+
+
+def story_priority(payloads: DataFrame, high_topics: list[str], points) -> DataFrame:
+    """payloads (outlets, articles, topic, quality, substantive) with priority and eligible; points: a column of pattern points."""
+    by = lambda test, yes, no=0: F.when(test, yes).otherwise(no)
+    c = F.col
+    priority = (
+        12 * c("outlets") + 4 * c("articles") + by(c("topic").isin(high_topics), 10, -10) + F.least(F.greatest("quality", F.lit(-10)), F.lit(12)) + 6 * c("substantive")
+        + F.when(c("outlets") >= 3, 8).when(c("outlets") == 1, -8).otherwise(0) + F.when(c("substantive") == 0, -8).when(c("substantive") == 1, -2).otherwise(0) + points
+    )
+    out = payloads.withColumn("priority", priority)
+    return out.withColumn("eligible", (c("priority") >= 18) & (c("outlets") >= 2) & ((c("substantive") >= 2) | (c("quality") >= 8)))
+
+
+def select_stories(ranked: DataFrame, tie: str, least: int = 6, floor: int = 10, most: int = 14) -> DataFrame:
+    """The first ``most`` of priority ``least`` if there are ``floor`` such, else of all; then single-outlet stories without substance go."""
+    good = ranked.where(F.col("priority") >= least)
+    chosen = good if good.limit(floor).count() >= floor else ranked
+    top = top_rows(chosen, [F.desc("priority"), F.asc(tie)], most)
+    return top.where(~((F.col("outlets") == 1) & ((F.col("substantive") == 0) | (F.col("quality") < 0))))
+
+
+def front_page_rank(stories: DataFrame, as_of_minute: int, mode: str = "front") -> DataFrame:
+    """stories with score and position. Framing and reliability play no part, whatever columns are there.
+
+    stories: story_id, quality, outlets, minute, section_points, origin (live, editorial, seed), eligible."""
+    c, age = F.col, as_of_minute - F.col("minute")
+    fresh = F.when(age <= 30, 12).when(age <= 90, 9).when(age <= 240, 6).when(age <= 720, 3).otherwise(0)
+    score = (
+        c("quality") + 14 * F.least("outlets", F.lit(4)) + fresh + c("section_points") + F.when(c("origin") == "seed", -8).when(c("origin") == "editorial", 10).otherwise(0)
+        + F.when(c("eligible"), 18).otherwise(-18) - F.when((c("origin") == "live") & (c("outlets") == 1), 16).otherwise(0)
+    )
+    order = [F.desc("score"), F.desc("minute"), F.asc("story_id")] if mode == "front" else [F.desc("minute"), F.desc("score"), F.asc("story_id")]
+    return stories.withColumn("score", score).orderBy(*order)
+
+
+def story_payload(members: DataFrame, most: int = 5) -> DataFrame:
+    """(story_id, articles, outlets, newest, picks): counts and up to ``most`` articles, each outlet's best before second ones."""
+    order = [F.asc("context"), F.asc("stub"), F.desc("signal"), F.desc("quality"), F.desc("minute"), F.asc("article_id")]
+    ranked = members.withColumn("_in_outlet", F.row_number().over(Window.partitionBy("story_id", "outlet").orderBy(*order)))
+    ranked = ranked.withColumn("_first", F.least("_in_outlet", F.lit(2)))
+    best = top_per(ranked, ["story_id"], [F.asc("_first"), *order], most)
+    picks = best.groupBy("story_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "article_id"))), lambda x: x["article_id"].cast("string")), ",").alias("picks"))
+    counts = members.groupBy("story_id").agg(F.count("*").alias("articles"), F.countDistinct("outlet").alias("outlets"), F.max("minute").alias("newest"))
+    return counts.join(picks, "story_id")
+
+
+def slug(title, most: int = 60):
+    return F.regexp_replace(F.substring(F.regexp_replace(F.regexp_replace(F.lower(title), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, most), "-+$", "")
+
+
+def recluster_changes(old: DataFrame, new: DataFrame, key: str = "item", story: str = "story") -> DataFrame:
+    """(kind, stories): stored stories that split over several new ones, new ones that merge several, and items that are new or gone."""
+    both = old.select(key, F.col(story).alias("was")).join(new.select(key, F.col(story).alias("now")), key, "full_outer")
+    links = both.where("was IS NOT NULL AND now IS NOT NULL").select("was", "now").distinct()
+    split = links.groupBy("was").count().where("count > 1").agg(F.count("*").alias("stories")).select(F.lit("split").alias("kind"), "stories")
+    merged = links.groupBy("now").count().where("count > 1").agg(F.count("*").alias("stories")).select(F.lit("merged").alias("kind"), "stories")
+    rest = both.agg(F.count_if(F.col("was").isNull()).alias("a"), F.count_if(F.col("now").isNull()).alias("b"))
+    rest = rest.select(F.explode(F.array(F.struct(F.lit("added").alias("kind"), F.col("a").alias("stories")), F.struct(F.lit("gone").alias("kind"), F.col("b").alias("stories")))).alias("x")).select("x.*")
+    return split.unionByName(merged).unionByName(rest)
+
+
+def low_confidence(scores: DataFrame, margin: float, threshold: float = JOIN_SCORE) -> DataFrame:
+    """Memberships whose score lies within the margin of the threshold."""
+    return scores.where(F.abs(F.col("score") - threshold) <= margin)
+
+
+def story_record(members: DataFrame) -> DataFrame:
+    """(story_id, outlets in first-seen order, left_outlets, right_outlets, breadth)."""
+    seen = members.groupBy("story_id", "outlet").agg(F.min("rank_in_story").alias("f"), F.bool_or(F.col("framing_group") == "left").alias("l"), F.bool_or(F.col("framing_group") == "right").alias("r"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("f", "outlet"))), lambda x: x["outlet"].cast("string"))
+    n = F.count("*")
+    return seen.groupBy("story_id").agg(
+        F.array_join(listed, ",").alias("outlets"), F.count_if("l").alias("left_outlets"), F.count_if("r").alias("right_outlets"),
+        F.when(n >= 4, "broad").when(n >= 2, "developing").otherwise("single").alias("breadth"),
+    )
+
+
+def story_summary(members: DataFrame, aligned: float = 0.28, near: float = 3.0) -> DataFrame:
+    """(story_id, article_id, summary, score, n_sources): the best aligned summary; an open one within ``near`` points replaces it."""
+    c = F.col
+    score = F.round(c("quality") + 1.5 * c("signal") + 5 * c("alignment") - 4 * c("context") - F.when(c("stub"), 8).otherwise(0), 6)
+    m = members.withColumn("_score", score)
+    order = F.struct(c("alignment") >= aligned, c("_score"), -c("article_id"))
+    pick = F.struct("article_id", "summary", "_score")
+    best = m.groupBy("story_id").agg(
+        F.max_by(pick, order).alias("best"),
+        F.max_by(F.when(c("access_signal") == "open", pick), F.when(c("access_signal") == "open", order)).alias("open"),
+        F.countDistinct(F.when(c("quality") >= 6, c("outlet"))).alias("n_sources"),
+    )
+    use = F.when(c("open._score") >= c("best._score") - near, c("open")).otherwise(c("best"))
+    return best.withColumn("use", use).select("story_id", "use.article_id", "use.summary", c("use._score").alias("score"), "n_sources")
+
+
+def augment_stories(needy: DataFrame, items: DataFrame, least_hits: int, tokens_per_story: int = 6, per_story: int = 2, overall: int = 8) -> DataFrame:
+    """(story_id, article_id, outlet, hits): articles of other stories and outlets that share frequent tokens with a needy one.
+
+    One per outlet, ``per_story`` for a story and ``overall`` in all; those caps are what the operator is for."""
+    queries = story_query(items.join(needy, "story_id", "left_semi"), "tokens", "entities", tokens_per_story).select("story_id", F.explode("tokens").alias("token"))
+    offered = items.select(F.col("story_id").alias("own"), "article_id", "outlet", "minute", F.explode("tokens").alias("token"))
+    hits = queries.join(offered, "token").where("own <> story_id").groupBy("story_id", "article_id", "outlet", "minute").agg(F.count("*").alias("hits")).where(F.col("hits") >= least_hits)
+    fresh = hits.join(items.select("story_id", "outlet").distinct(), ["story_id", "outlet"], "left_anti")
+    order = [F.desc("hits"), F.desc("minute"), F.asc("article_id")]
+    chosen = top_per(top_per(fresh, ["story_id", "outlet"], order, 1).drop("_k"), ["story_id"], order, per_story).drop("_k")
+    return top_rows(chosen, [*order, F.asc("story_id")], overall)
+
+
+def home_layout(ranked: DataFrame, supports: int = 5, latest: int = 8, per_section: int = 4) -> DataFrame:
+    """(edition, slot, place, story_id): per edition a featured story, supports that spread over sections, the latest, and each section's best.
+
+    The support pick is sequential, over the best 24 of an edition only; all else is ranking."""
+    order = [F.desc("score"), F.desc("minute"), F.asc("story_id")]
+    pool = top_per(ranked.select("edition", "section", "story_id", "score", "minute"), ["edition"], order, 24, "rank")
+
+    def pick(pdf):
+        import pandas as pd
+
+        rows = pdf.sort_values("rank")
+        taken, used = [], {}
+        for limit, most in ((1, 3), (2, supports), (10**9, supports)):
+            for r in rows.iloc[1:].itertuples():
+                if len(taken) >= most:
+                    break
+                if r.story_id not in taken and used.get(r.section, 0) < limit:
+                    taken.append(r.story_id)
+                    used[r.section] = used.get(r.section, 0) + 1
+        out = [("featured", 1, rows.story_id.iloc[0]), *(("support", i + 1, s) for i, s in enumerate(taken))]
+        return pd.DataFrame([(rows.edition.iloc[0], *x) for x in out], columns=["edition", "slot", "place", "story_id"])
+
+    pinned = pool.groupBy("edition").applyInPandas(pick, "edition long, slot string, place int, story_id long")
+    newest = top_per(ranked, ["edition"], [F.desc("minute"), F.asc("story_id")], latest, "place").select("edition", F.lit("latest").alias("slot"), "place", "story_id")
+    rest = ranked.join(pinned.select("edition", "story_id"), ["edition", "story_id"], "left_anti")
+    sections = top_per(rest, ["edition", "section"], order, per_section, "place").select("edition", F.concat(F.lit("section:"), "section").alias("slot"), "place", "story_id")
+    return pinned.unionByName(newest).unionByName(sections)
+
+
+def label_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
+    """(node, component): least node reachable, by label propagation with pointer jumping; each round ends in a checkpoint."""
+    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(b, a)).distinct()
+    both = both.checkpoint()
+    labels = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("c")).checkpoint()
+    for _ in range(rounds):
+        near = both.join(labels.select(F.col("u").alias("v"), "c"), "v").groupBy("u").agg(F.min("c").alias("n"))
+        new = labels.join(near, "u").select("u", F.least("c", "n").alias("c"))
+        jump = new.select(F.col("u").alias("c"), F.col("c").alias("up"))
+        new = new.join(jump, "c", "left").select("u", F.least("c", F.coalesce("up", "c")).alias("c")).checkpoint()
+        if not new.join(labels.withColumnRenamed("c", "old"), "u").where("c <> old").limit(1).count():
+            return new.select(F.col("u").alias("node"), F.col("c").alias("component"))
+        labels = new
+    raise RuntimeError("label_components: labels did not settle")
+
+
+def build_stories(items: DataFrame, broad: list[str], low_signal: list[str], anchor_stop: list[str], generic_tags: list[str], most_common: int = 100, similarities: DataFrame | None = None) -> DataFrame:
+    """(article_id, story_id): every item in one story; a story is named after its newest item.
+
+    Blocks are specific tokens and entities that at most ``most_common`` items share (the conditions for joining make them safe
+    keys; common ones say nothing alone). Pairs from blocks are scored once, admissible ones are edges, components of edges are
+    the only items that can meet, and inside a component the items join greedily, newest first, the best admissible story."""
+    spark = items.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}")
+    keyed = items.select("article_id", F.explode(F.array_union(F.array_except("tokens", F.array(*map(F.lit, [*broad, *low_signal]))), "entities")).alias("key"))
+    rare = keyed.groupBy("key").count().where((F.col("count") > 1) & (F.col("count") <= most_common)).select("key")
+    blocks = keyed.join(rare, "key")
+    pairs = blocks.select("key", F.col("article_id").alias("a")).join(blocks.select("key", F.col("article_id").alias("b")), "key").where("a <> b").select("a", "b").distinct()
+    side = lambda n: items.select(F.col("article_id").alias(n), F.col("minute").alias(f"{n}_minute"), *(F.col(c).alias(f"{n}_{c}") for c in ("tokens", "tags", "entities", "contextual")))
+    full = pairs.join(side("a"), "a").join(side("b"), "b").where("a_minute < b_minute OR (a_minute = b_minute AND a > b)")
+    full = full.join(similarities, ["a", "b"], "left").fillna(0.0, ["similarity"]) if similarities is not None else full.withColumn("similarity", F.lit(0.0))
+    scored = should_join(match_score(pair_features(full, broad=broad, low_signal=low_signal, anchor_stop=anchor_stop, generic_tags=generic_tags)))
+    edges = scored.where("joins AND score > 0").select("a", "b", "score").checkpoint()
+    component = label_components(edges)
+    newest = items.select("article_id", "minute")
+    linked = edges.join(component.toDF("a", "group"), "a").select("group", "a", "b", "score")
+    placed = component.toDF("article_id", "group").join(newest, "article_id").select("group", "article_id", "minute")
+
+    def greedy(left, right):
+        import pandas as pd
+
+        order = left.sort_values(["minute", "article_id"], ascending=[False, True]).article_id.tolist()
+        links = {}
+        for r in right.itertuples():
+            links.setdefault(r.a, {})[r.b] = r.score
+        story = {}
+        for item in order:
+            gain = {}
+            for other, score in links.get(item, {}).items():
+                if other in story:
+                    gain[story[other]] = max(score, gain.get(story[other], 0.0))
+            story[item] = max(gain, key=lambda s: (gain[s], -s)) if gain else item
+        return pd.DataFrame({"article_id": list(story), "story_id": list(story.values())})
+
+    stories = placed.groupBy("group").cogroup(linked.groupBy("group")).applyInPandas(greedy, "article_id long, story_id long")
+    alone = items.select("article_id").join(component.select(F.col("node").alias("article_id")), "article_id", "left_anti").select("article_id", F.col("article_id").alias("story_id"))
+    return stories.unionByName(alone)

@@ -13,7 +13,7 @@ from newsloom.plans.catalog import query
 
 STOP = ["the", "and", "that", "with", "was", "for"]
 BROAD = ["thea", "anth", "erth"]
-RULES = S.RULES | {"context_headline": "(?i)^(the|an|de) ", "context_url": "/2", "commentary": r"(?i)\bwas\b", "explainer": ["of the"], "event": r"(?i)\b(with|from|es)\b", "context_tokens": ["are", "thi", "hav"]}
+RULES = S.RULES | {"context_headline": "(?i)^(the|an|de) ", "context_url": "/2", "commentary": r"(?i)(^|[^A-Za-z0-9_])was($|[^A-Za-z0-9_])", "explainer": ["of the"], "event": r"(?i)(^|[^A-Za-z0-9_])(with|from|es)($|[^A-Za-z0-9_])", "context_tokens": ["are", "thi", "hav"]}
 TAGS = {"alpha": ["th", "with"], "beta": ["ch", "und"], "gamma": ["ción"], "generic": ["an"]}
 DESKS = [("world", [("thea", 3), ("with", 1)]), ("politics", [("from", 2), ("und", 2)]), ("science", [("ción", 3)])]
 
@@ -47,7 +47,7 @@ def _clipped(text: str) -> str:
     c = _SQUEEZE.format(text)
     return (
         f"({c} <> '' AND (regexp_matches({c}, '(\\.\\.\\.|…)$') OR length(regexp_replace({c}, '[^\"]', '', 'g')) % 2 = 1"
-        f" OR NOT regexp_matches({c}, '[.!?][\"'')\\]]?$') OR regexp_matches({c}, '(?i)\\b(a|an|the|[A-Z])\\.$')))"
+        f" OR NOT regexp_matches({c}, '[.!?][\"'')\\]]?$') OR regexp_matches({c}, '(?i)(^|[^A-Za-z0-9_])(a|an|the|[A-Z])\\.$')))"
     )
 
 
@@ -69,10 +69,10 @@ base AS (SELECT a.*, t, 'https://x.example/' || a.article_id AS url, {_STUB} AS
   list_filter([CASE WHEN contains(body_text, 'th') AND contains(body_text, 'with') THEN 'alpha' END, CASE WHEN contains(body_text, 'ch') AND contains(body_text, 'und') THEN 'beta' END, CASE WHEN contains(body_text, 'ción') THEN 'gamma' END, CASE WHEN contains(body_text, 'an') THEN 'generic' END], lambda x: x IS NOT NULL) AS tags
   FROM articles a JOIN tok USING (article_id)),
 ctx AS (SELECT *, regexp_matches(headline, '(?i)^(the|an|de) ') AS ch,
-  (CASE WHEN regexp_matches(headline, '(?i)^(the|an|de) ') THEN 3 ELSE 0 END + CASE WHEN contains(url, '/2') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(headline || ' ' || summary, '(?i)\\bwas\\b') THEN 3 ELSE 0 END
+  (CASE WHEN regexp_matches(headline, '(?i)^(the|an|de) ') THEN 3 ELSE 0 END + CASE WHEN contains(url, '/2') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(headline || ' ' || summary, '(?i)(^|[^A-Za-z0-9_])was($|[^A-Za-z0-9_])') THEN 3 ELSE 0 END
    + CASE WHEN contains(headline, '?') THEN 1 ELSE 0 END + CASE WHEN len(list_intersect(list_distinct(t), ['are', 'thi', 'hav'])) >= 2 THEN 1 ELSE 0 END + CASE WHEN contains(lower(headline || ' ' || summary), 'of the') THEN 1 ELSE 0 END
-   + CASE WHEN stub THEN 2 ELSE 0 END - CASE WHEN regexp_matches(headline, '(?i)\\b(with|from|es)\\b') THEN 1 ELSE 0 END) AS plain FROM base),
-scored AS (SELECT *, greatest(plain - CASE WHEN extraction_quality = 'article_body' AND plain > 0 AND NOT ch THEN 1 ELSE 0 END, 0) AS context FROM ctx)""".replace("\\\\b", "\\b")
+   + CASE WHEN stub THEN 2 ELSE 0 END - CASE WHEN regexp_matches(headline, '(?i)(^|[^A-Za-z0-9_])(with|from|es)($|[^A-Za-z0-9_])') THEN 1 ELSE 0 END) AS plain FROM base),
+scored AS (SELECT *, greatest(plain - CASE WHEN extraction_quality = 'article_body' AND plain > 0 AND NOT ch THEN 1 ELSE 0 END, 0) AS context FROM ctx)"""
 
 
 def articles(spark: SparkSession, d: str) -> DataFrame:
@@ -154,8 +154,8 @@ def d1(spark: SparkSession, d: str) -> DataFrame:
     return articles(spark, d).select("article_id", "context", (F.col("context") >= 2).alias("contextual"))
 
 
-_SIGNAL = """(CASE WHEN regexp_matches(headline, '(?i)\\b(with|from|es)\\b') THEN 3 ELSE 0 END + CASE WHEN extraction_quality = 'article_body' THEN 2 ELSE 0 END + CASE WHEN access_signal = 'open' THEN 1 ELSE 0 END
- + 2 * least(len(tags), 2) + least(len(list_filter(t, lambda x: length(x) >= 7)), 2) + least(len(list_filter(t, lambda x: starts_with(x, 'th'))), 2) - 2 * context)""".replace("\\\\b", "\\b")
+_SIGNAL = """(CASE WHEN regexp_matches(headline, '(?i)(^|[^A-Za-z0-9_])(with|from|es)($|[^A-Za-z0-9_])') THEN 3 ELSE 0 END + CASE WHEN extraction_quality = 'article_body' THEN 2 ELSE 0 END + CASE WHEN access_signal = 'open' THEN 1 ELSE 0 END
+ + 2 * least(len(tags), 2) + least(len(list_filter(t, lambda x: length(x) >= 7)), 2) + least(len(list_filter(t, lambda x: starts_with(x, 'th'))), 2) - 2 * context)"""
 
 
 def signal_column() -> F.Column:
