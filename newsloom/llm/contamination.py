@@ -152,32 +152,33 @@ def pattern_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str
         yield made()
 
 
-_HITS = "n_words long, spans array<struct<start: int, end: int>>, items array<long>"
+_HITS = {"n_words": "long", "spans": "array<struct<start: int, end: int>>", "items": "array<long>"}
 
 
-def scan(docs: DataFrame, searches: list[Patterns], keep: list[str], text_col: str = "text") -> DataFrame:
-    """The kept columns with n_words, spans and items of every document."""
+def scan(docs: DataFrame, searches: list[Patterns], keep: list[str], text_col: str = "text", prefix: str = "") -> DataFrame:
+    """The kept columns with n_words, spans and items of every document, these with a prefix."""
+    text, names = f"{store.RESERVED}text", [prefix + c for c in _HITS]
     shared = docs.sparkSession.sparkContext.broadcast(searches)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(hits(batch.column("_text"), shared.value))
+            rows = list(hits(batch.column(text), shared.value))
             spans = pa.array([[{"start": s, "end": e} for s, e in r[1]] for r in rows], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
             made = [pa.array([r[0] for r in rows], pa.int64()), spans, pa.array([sorted(r[2]) for r in rows], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], [*keep, "n_words", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], [*keep, *names])
 
-    frame = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
+    frame = docs.select(*keep, F.col(text_col).cast("string").alias(text))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in frame.schema.fields[:-1])
-    return frame.mapInArrow(run, fields + _HITS)
+    return frame.mapInArrow(run, fields + ", ".join(f"`{n}` {t}" for n, t in zip(names, _HITS.values(), strict=True)))
 
 
-def _n_hit() -> Column:
-    return F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+def _n_hit(prefix: str = "") -> Column:
+    return F.aggregate(f"{prefix}spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
 
 
-def _contaminated() -> Column:
+def _contaminated(prefix: str = "") -> Column:
     """Hit at all, and in a twentieth of the words at least."""
-    return (_n_hit() > 0) & (20 * _n_hit() >= F.col("n_words"))
+    return (_n_hit(prefix) > 0) & (20 * _n_hit(prefix) >= F.col(f"{prefix}n_words"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = BLOCK_WINDOWS) -> DataFrame:
@@ -207,8 +208,8 @@ def drop_contaminated(docs: DataFrame, blocks: list[list[Patterns]], text_col: s
     """docs without the contaminated ones; with one block of patterns the texts pass the search and nothing is shuffled."""
     columns = docs.columns
     for searches in blocks or [[]]:
-        found = scan(docs, searches, [c for c in columns if c not in ("n_words", "spans", "items")], text_col)
-        docs = found.where(~_contaminated()).select(*columns)
+        found = scan(docs, searches, columns, text_col, store.RESERVED)
+        docs = found.where(~_contaminated(store.RESERVED)).select(*columns)
     return docs
 
 

@@ -18,7 +18,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -83,6 +82,15 @@ def decode(codes: list[ProductCode], unit: np.ndarray) -> list[np.ndarray]:
     return [np.concatenate([(np.int64(k) << 48) + part[row] for k, part in enumerate(each)]) for row in range(len(unit))]
 
 
+def cap_height(p: float, dims: int) -> float:
+    """Inner product that a random unit vector exceeds with probability p: the angle's density is a power of its sine."""
+    if dims < 2:
+        return 0.0
+    angle = np.linspace(0, math.pi / 2, 200_001)[1:]
+    share = np.cumsum(np.sin(angle) ** (dims - 2))
+    return math.cos(angle[np.searchsorted(share, 2 * min(p, 0.5) * share[-1]).clip(0, len(angle) - 1)])
+
+
 def product_codes(n: int, dims: int, cosine: float = COSINE, per_filter: int = PER_FILTER, recall: float = RECALL) -> list[ProductCode]:
     """Codes for n vectors: the cap from per_filter / n, codewords until simulated pairs at the threshold meet often enough."""
     draw = np.random.default_rng(dims)
@@ -92,14 +100,16 @@ def product_codes(n: int, dims: int, cosine: float = COSINE, per_filter: int = P
     v = draw.standard_normal((SIMULATED, dims))
     v -= (u * v).sum(1, keepdims=True) * u
     v = cosine * u + math.sqrt(1 - cosine**2) * v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-    height = NormalDist().inv_cdf(1 - p) / math.sqrt(dims)
     expected = 24.0
     while True:
+        height = cap_height(p, dims)
         codes = _codes(dims, max(2, math.ceil(math.sqrt(expected / ROTATIONS / p))), height, ROTATIONS)
         met = [len(np.intersect1d(a, b, assume_unique=True)) > 0 for a, b in zip(decode(codes, u), decode(codes, v), strict=True)]
-        if np.mean(met) >= recall or expected > 1000:
+        if np.mean(met) >= recall or expected > 2000:
             return codes
         expected *= 1.3
+        if dims < 16:  # blocks of few dimensions have few directions: widen the caps as well
+            p = min(0.5, 1.5 * p)
 
 
 def _units(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:

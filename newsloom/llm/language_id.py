@@ -67,7 +67,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
             known.append((label, zstandard.ZstdCompressor(level=LEVEL, dict_data=trained, write_content_size=False, write_dict_id=False, write_checksum=False)))
         for batch in batches:
             labels, scores, rejected = [], [], []
-            for text in batch.pop("_text"):
+            for text in batch.pop(f"{store.RESERVED}text"):
                 data = letters_of(text or "")
                 if not known or not data:
                     labels.append(UNKNOWN), scores.append(0.0), rejected.append(True)
@@ -81,8 +81,8 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
                 rejected.append(second - best < margin * best)
             yield batch.assign(lang_pred=labels, score=scores, rejected=rejected)
 
-    frame = docs.select(*kept, F.col(text_col).cast("string").alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.drop("_text").schema.fields)
+    frame = docs.select(*kept, F.col(text_col).cast("string").alias(f"{store.RESERVED}text"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:-1])
     return frame.mapInPandas(run, f"{fields}, lang_pred string, score double, rejected boolean")
 
 

@@ -26,6 +26,8 @@ from newsloom.llm import store
 from newsloom.llm.bytesets import SPACE_SEPARATED, text_chunks, word_bounds
 
 MARGINS = ["source", "lang", "topic"]
+CELL = {m: f"{store.RESERVED}{m}" for m in MARGINS}
+P, KEPT = f"{store.RESERVED}p", f"{store.RESERVED}kept"
 #: Default targets: each value's share of tokens to this power, so that large ones give way to small ones.
 TEMPER = 0.7
 #: Default budget: this share of all tokens.
@@ -47,15 +49,16 @@ def topic_of(text: Column, rules: list[tuple[str, str]] = TOPICS) -> Column:
 
 def with_tokens(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns with n_tokens, the number of words between ASCII spaces."""
+    text = f"{store.RESERVED}text"
     kept = [c for c in (keep if keep is not None else docs.columns) if c != "n_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [np.diff(word_bounds(data, offsets, SPACE_SEPARATED)[2]) for _, data, offsets in text_chunks(batch.column("_text"))]
+            counts = [np.diff(word_bounds(data, offsets, SPACE_SEPARATED)[2]) for _, data, offsets in text_chunks(batch.column(text))]
             n = pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), n], [*kept, "n_tokens"])
 
-    frame = docs.select(*kept, F.col(text_col).cast("string").alias("_text"))
+    frame = docs.select(*kept, F.col(text_col).cast("string").alias(text))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in frame.schema.fields[:-1])
     return frame.mapInArrow(run, fields + "n_tokens long")
 
@@ -76,10 +79,10 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
         for margin, target in targets.items():
             now = fitted.groupBy(margin).agg(F.sum("weight").alias("w"))
             factor = now.join(target, margin, "left").select(margin, F.coalesce(F.col("target") * float(total) / F.col("w"), F.lit(1.0)).alias("f"))
-            fitted = fitted.join(factor, margin).withColumn("weight", F.col("weight") * F.col("f")).withColumnRenamed("f", f"_f_{margin}")
+            fitted = fitted.join(factor, margin).withColumn("weight", F.col("weight") * F.col("f")).withColumnRenamed("f", f"f_{margin}")
         fitted = store.durable(fitted, "cells")
-        worst = fitted.agg(*(F.max(F.abs(F.col(f"_f_{m}") - 1)).alias(m) for m in targets)).first()
-        fitted = fitted.drop(*(f"_f_{m}" for m in targets))
+        worst = fitted.agg(*(F.max(F.abs(F.col(f"f_{m}") - 1)).alias(m) for m in targets)).first()
+        fitted = fitted.drop(*(f"f_{m}" for m in targets))
         if max((x for x in worst if x is not None), default=0) < tolerance:
             break
     return fitted
@@ -106,21 +109,21 @@ def draw(key: Column) -> Column:
 
 
 def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(docs with cell columns, p and kept; cells). The cells of docs are the values of ``source``, ``lang`` and topic_of(text)."""
-    cell = docs.select("*", *(F.coalesce(F.col(m).cast("string"), F.lit(_NONE)).alias(f"_{m}") for m in MARGINS[:2]), topic_of(F.col(text_col)).alias("_topic"))
-    keys = [f"_{m}" for m in MARGINS]
+    """(docs with the columns of CELL, P and KEPT; cells). The cells of docs are the values of ``source``, ``lang`` and topic_of(text)."""
+    cell = docs.select("*", *(F.coalesce(F.col(m).cast("string"), F.lit(_NONE)).alias(CELL[m]) for m in MARGINS[:2]), topic_of(F.col(text_col)).alias(CELL["topic"]))
+    keys = list(CELL.values())
     cells = store.durable(with_tokens(cell, text_col, keys).groupBy(*keys).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"), "cells")
-    targets = targets or {m: tempered(cells, f"_{m}") for m in MARGINS}
-    named = {f"_{m}": t.toDF(f"_{m}", "target") for m, t in targets.items()}
+    targets = targets or {m: tempered(cells, CELL[m]) for m in MARGINS}
+    named = {CELL[m]: t.toDF(CELL[m], "target") for m, t in targets.items()}
     fitted = store.durable(probabilities(rake(cells, named), budget), "fitted")
-    placed = cell.join(fitted.select(*keys, "p"), keys, "left").withColumn("p", F.coalesce("p", F.lit(1.0)))
-    return placed.withColumn("kept", draw(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) < F.col("p")), fitted
+    placed = cell.join(fitted.select(*keys, F.col("p").alias(P)), keys, "left").withColumn(P, F.coalesce(P, F.lit(1.0)))
+    return placed.withColumn(KEPT, draw(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) < F.col(P)), fitted
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its cell, its calibrated probability and whether it is in the sample."""
     docs = store.table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     placed, _ = mixed(docs)
-    return with_tokens(placed, keep=["doc_id", "_source", "_lang", "_topic", "p", "kept"]).select(
-        "doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), "n_tokens", "p", "kept"
+    return with_tokens(placed, keep=["doc_id", *CELL.values(), P, KEPT]).select(
+        "doc_id", *(F.col(c).alias(m) for m, c in CELL.items()), "n_tokens", F.col(P).alias("p"), F.col(KEPT).alias("kept")
     )

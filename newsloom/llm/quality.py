@@ -135,21 +135,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return fit_ranking(x, rows._label.to_numpy())
 
 
-def score(docs: DataFrame, ranking: Ranking, text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """docs with score and predicted; the text comes back from the tasks only if asked for."""
-    kept = [c for c in docs.columns if c not in ("score", "predicted") and (keep_text or c != text_col)]
+def score(docs: DataFrame, ranking: Ranking, text_col: str = "text", keep_text: bool = False, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs with score and predicted (or the names given); the text comes back from the tasks only if asked for."""
+    kept = [c for c in docs.columns if c not in names and (keep_text or c != text_col)]
     shared = docs.sparkSession.sparkContext.broadcast(ranking)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = shared.value.scores(features(batch.column(source)))
             rest = [batch.column(i) for i in range(len(kept))]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*kept, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*kept, *names])
 
-    source = text_col if keep_text else "_text"
-    frame = docs.select(*kept) if keep_text else docs.select(*kept, F.col(text_col).cast("string").alias("_text"))
+    source = text_col if keep_text else f"{store.RESERVED}text"
+    frame = docs.select(*kept) if keep_text else docs.select(*kept, F.col(text_col).cast("string").alias(source))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[: len(kept)])
-    return frame.mapInArrow(run, f"{fields + ', ' if fields else ''}score double, predicted int")
+    return frame.mapInArrow(run, f"{fields + ', ' if fields else ''}`{names[0]}` double, `{names[1]}` int")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

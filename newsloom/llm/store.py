@@ -7,6 +7,9 @@ from tempfile import mkdtemp
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Columns that operators add beside those passed through start like this; no input column may.
+RESERVED = "__nl_"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
