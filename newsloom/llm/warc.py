@@ -28,6 +28,8 @@ from newsloom.llm import store
 LEAST_REVISITED = 100
 ROLL_BYTES = 64 << 20
 PIECE = 256 << 10
+#: Most reading tasks; with more archives a task reads several, one after another.
+READERS = 4096
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 4122
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2024-01-01T00:00:00Z"
@@ -165,7 +167,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
 def read_archives(manifest: DataFrame, folder: str, payload: bool = False) -> DataFrame:
     """All records of the archives in the manifest, with the payload (binary) if asked for."""
-    paths = manifest.select("path").repartition("path")
+    paths = manifest.select("path").repartition(max(1, min(READERS, manifest.count())))  # a number of ours: the engine would pack the short rows into one task
     return paths.mapInPandas(_reader(folder, payload), _READ + (", payload binary" if payload else ""))
 
 
