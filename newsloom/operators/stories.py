@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.sources.scratch import durable
+
 
 def top_per(frame: DataFrame, by: list[str], order: list, k: int, rank: str = "_k") -> DataFrame:
     """The first k rows of each group in the given total order; the limit is applied before the shuffle too."""
@@ -273,18 +275,18 @@ def home_layout(ranked: DataFrame, supports: int = 5, latest: int = 8, per_secti
 
 
 def label_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
-    """(node, component): least node reachable, by label propagation with pointer jumping; each round ends in a checkpoint."""
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(b, a)).distinct()
-    both = both.checkpoint()
-    labels = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("c")).checkpoint()
+    """(node, component): least node reachable, by label propagation with pointer jumping; each round ends in a written table."""
+    both = durable(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(b, a)).distinct(), "edges")
+    labels = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("c"))
     for _ in range(rounds):
         near = both.join(labels.select(F.col("u").alias("v"), "c"), "v").groupBy("u").agg(F.min("c").alias("n"))
-        new = labels.join(near, "u").select("u", F.least("c", "n").alias("c"))
-        jump = new.select(F.col("u").alias("c"), F.col("c").alias("up"))
-        new = new.join(jump, "c", "left").select("u", F.least("c", F.coalesce("up", "c")).alias("c")).checkpoint()
-        if not new.join(labels.withColumnRenamed("c", "old"), "u").where("c <> old").limit(1).count():
+        new = labels.join(near, "u").select("u", F.least("c", "n").alias("low"), F.col("c").alias("was"))
+        up = labels.select(F.col("u").alias("low"), F.col("c").alias("up"))
+        new = new.join(up, "low", "left").select("u", F.least("low", F.coalesce("up", "low")).alias("c"), "was")
+        new = durable(new, "labels")
+        if not new.where("c <> was").limit(1).count():
             return new.select(F.col("u").alias("node"), F.col("c").alias("component"))
-        labels = new
+        labels = new.drop("was")
     raise RuntimeError("label_components: labels did not settle")
 
 
@@ -294,11 +296,7 @@ def build_stories(items: DataFrame, broad: list[str], low_signal: list[str], anc
     Blocks are specific tokens and entities that at most ``most_common`` items share (the conditions for joining make them safe
     keys; common ones say nothing alone). Pairs from blocks are scored once, admissible ones are edges, components of edges are
     the only items that can meet, and inside a component the items join greedily, newest first, the best admissible story."""
-    spark = items.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}")
+    items = durable(items, "items")
     keyed = items.select("article_id", F.explode(F.array_union(F.array_except("tokens", F.array(*map(F.lit, [*broad, *low_signal]))), "entities")).alias("key"))
     rare = keyed.groupBy("key").count().where((F.col("count") > 1) & (F.col("count") <= most_common)).select("key")
     blocks = keyed.join(rare, "key")
@@ -307,7 +305,7 @@ def build_stories(items: DataFrame, broad: list[str], low_signal: list[str], anc
     full = pairs.join(side("a"), "a").join(side("b"), "b").where("a_minute < b_minute OR (a_minute = b_minute AND a > b)")
     full = full.join(similarities, ["a", "b"], "left").fillna(0.0, ["similarity"]) if similarities is not None else full.withColumn("similarity", F.lit(0.0))
     scored = should_join(match_score(pair_features(full, broad=broad, low_signal=low_signal, anchor_stop=anchor_stop, generic_tags=generic_tags)))
-    edges = scored.where("joins AND score > 0").select("a", "b", "score").checkpoint()
+    edges = durable(scored.where("joins AND score > 0").select("a", "b", "score"), "links")
     component = label_components(edges)
     newest = items.select("article_id", "minute")
     linked = edges.join(component.toDF("a", "group"), "a").select("group", "a", "b", "score")

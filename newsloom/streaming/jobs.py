@@ -60,9 +60,10 @@ def stream_tracking_state(stream: DataFrame, ttl_ms: int = 90 * 86_400_000) -> D
         state.update((saved, saved_at, saved_id, followed, followed_at, followed_id, viewed_at))
         state.setTimeoutDuration(ttl_ms)
         if saved or followed or viewed_at >= 0:
-            yield pd.DataFrame([(key[0], key[1], saved, followed, viewed_at if viewed_at >= 0 else None)], columns=["user_id", "story_id", "saved", "followed", "viewed_at"]).astype({"viewed_at": "Int64"})
+            yield pd.DataFrame([(key[0], key[1], saved, followed, viewed_at)], columns=["user_id", "story_id", "saved", "followed", "viewed_at"])
 
-    return stream.groupBy("user_id", "story_id").applyInPandasWithState(fold, "user_id long, story_id long, saved boolean, followed boolean, viewed_at long", _STATE, "update", "ProcessingTimeTimeout")
+    folded = stream.groupBy("user_id", "story_id").applyInPandasWithState(fold, "user_id long, story_id long, saved boolean, followed boolean, viewed_at long", _STATE, "update", "ProcessingTimeTimeout")
+    return folded.withColumn("viewed_at", F.when(F.col("viewed_at") >= 0, F.col("viewed_at")))
 
 
 def stream_publish(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
@@ -81,3 +82,14 @@ def stream_publish(stream: DataFrame, path: str, checkpoint: str, keys: list[str
 def publish_batch(history: DataFrame, generated: DataFrame) -> DataFrame:
     """The revision table after a micro-batch of generated revisions; the same batch again changes nothing."""
     return publish_revisions(history, generated)[0]
+
+
+def finished(stream: DataFrame, mode: str, path: str) -> DataFrame:
+    """Run a stream over all that is there, and read what it put out; ``batch`` numbers the micro-batches."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.parquet(f"{path}/out")
