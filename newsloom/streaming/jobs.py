@@ -39,10 +39,11 @@ _STATE = "saved boolean, saved_at long, saved_id long, followed boolean, followe
 _NAMES = ["saved", "saved_at", "saved_id", "followed", "followed_at", "followed_id", "viewed_at"]
 
 
-def stream_tracking_state(stream: DataFrame, ttl_ms: int = 90 * 86_400_000) -> DataFrame:
+def stream_tracking_state(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """(user_id, story_id, saved, followed, viewed_at) after each micro-batch, by the rules of fold_tracking_events.
 
-    An event that is older than what its field was last set by changes nothing, so order of arrival does not matter."""
+    An event that is older than what its field was last set by changes nothing, so order of arrival does not matter.
+    With ttl_ms, state unused that long is dropped; such a query keeps running idle batches, so it does not end under availableNow."""
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -58,11 +59,12 @@ def stream_tracking_state(stream: DataFrame, ttl_ms: int = 90 * 86_400_000) -> D
                 if action == "view":
                     viewed_at = max(viewed_at, int(second))
         state.update((saved, saved_at, saved_id, followed, followed_at, followed_id, viewed_at))
-        state.setTimeoutDuration(ttl_ms)
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
         if saved or followed or viewed_at >= 0:
             yield pd.DataFrame([(key[0], key[1], saved, followed, viewed_at)], columns=["user_id", "story_id", "saved", "followed", "viewed_at"])
 
-    folded = stream.groupBy("user_id", "story_id").applyInPandasWithState(fold, "user_id long, story_id long, saved boolean, followed boolean, viewed_at long", _STATE, "update", "ProcessingTimeTimeout")
+    folded = stream.groupBy("user_id", "story_id").applyInPandasWithState(fold, "user_id long, story_id long, saved boolean, followed boolean, viewed_at long", _STATE, "update", "ProcessingTimeTimeout" if ttl_ms else "NoTimeout")
     return folded.withColumn("viewed_at", F.when(F.col("viewed_at") >= 0, F.col("viewed_at")))
 
 
