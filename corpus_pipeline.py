@@ -27,8 +27,7 @@ def join_ngrams(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    blocks = list(contamination.pattern_blocks(store.table(spark, sf_dir, "benchmark")))
-    return contamination.drop_contaminated(docs, blocks)
+    return contamination.drop_contaminated(docs, contamination.pattern_blocks(store.table(spark, sf_dir, "benchmark")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

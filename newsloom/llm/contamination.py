@@ -6,11 +6,12 @@ missing a window, a bucket keyed by the last block and one keyed by the whole wi
 a comparison of the words themselves confirms. The search runs on arrays of word hashes: a chunk's word positions are cut
 into strips, and all strips jump at once, each by its own shift.
 
-The windows are sent to the tasks in blocks of at most ``BLOCK_WINDOWS``, so what is broadcast is bounded; with one block, the usual
-case, a document is read once, with more the documents are read once for each block and the hits are united.
+The windows are sent to the tasks in blocks of at most ``BLOCK_WINDOWS``, so what is built and broadcast at once is bounded; with one
+block, the usual case, a document is read once, with more the documents are read once for each block and the spans of all blocks are
+united for each text before they are counted.
 
 Defined cases: a null or empty text has no words and is clean; an item without words matches nothing; items with equal
-texts are all reported; a null item id is not reported; repeated document rows each get their row; an empty benchmark leaves
+texts are all reported; items with a null id hit like others and are reported as one null; repeated document rows each get their row; an empty benchmark leaves
 all clean; extra columns are ignored or, in ``scan``, passed through.
 """
 
@@ -18,8 +19,9 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,10 @@ def words_of(text: str | None) -> list[bytes]:
     return _WORD.findall((text or "").encode().translate(_UPPER_TO_LOWER))
 
 
+def _sorted(items: Iterable[int | None]) -> list[int | None]:
+    return sorted(items, key=lambda i: (i is None, i or 0))
+
+
 @dataclass(frozen=True)
 class Patterns:
     """Windows of one length: a shift for each block that occurs in one, and the windows by hash."""
@@ -52,7 +58,7 @@ class Patterns:
     windows: dict[int, list[tuple[tuple[bytes, ...], tuple[int, ...]]]]
 
     @staticmethod
-    def of(windows: dict[tuple[bytes, ...], set[int]], length: int) -> Patterns:
+    def of(windows: dict[tuple[bytes, ...], set[int | None]], length: int) -> Patterns:
         block = min(2, length)
         joined = [b" ".join(w) for w in windows]
         column = pa.array(joined, pa.binary()).cast(pa.string()) if joined else pa.array([], pa.string())
@@ -69,7 +75,7 @@ class Patterns:
         whole = [int(sequence_hashes(w, length)[0]) for w in words]
         by_hash = defaultdict(list)
         for h, (w, items) in zip(whole, windows.items(), strict=True):
-            by_hash[h].append((w, tuple(sorted(items))))
+            by_hash[h].append((w, tuple(_sorted(items))))
         return Patterns(length, block, blocks, np.array([at[h] for h in blocks.tolist()], np.int64), np.array(sorted(by_hash), np.uint64), dict(by_hash))
 
 
@@ -130,26 +136,36 @@ def hits(column: pa.Array, searches: list[Patterns]) -> Iterator[tuple[int, list
             yield n, spans, {i for *_, items in found.get(doc, ()) for i in items}
 
 
-def pattern_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, limit: int = BLOCK_WINDOWS) -> Iterator[list[Patterns]]:
-    """The searches, at most ``limit`` windows in each block; the benchmark is read a partition at a time."""
-    by_length: dict[int, dict[tuple[bytes, ...], set[int]]] = defaultdict(lambda: defaultdict(set))
+class Block(list[Patterns]):
+    """The searches of one block of windows."""
+
+    last = False  # no block follows
+
+
+def pattern_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, limit: int = BLOCK_WINDOWS) -> Iterator[Block]:
+    """The searches, at most ``limit`` windows in each block; the benchmark is read a partition at a time, a block is built when asked for."""
+    by_length: dict[int, dict[tuple[bytes, ...], set[int | None]]] = defaultdict(lambda: defaultdict(set))
     n = 0
 
-    def made() -> list[Patterns]:
-        return [Patterns.of(dict(w), length) for length, w in sorted(by_length.items())]
+    def made() -> Block:
+        block = Block(Patterns.of(dict(w), length) for length, w in sorted(by_length.items()) if w)
+        by_length.clear()
+        return block
 
-    for row in benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("i IS NOT NULL").toLocalIterator():
+    for row in benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).toLocalIterator():
         words = words_of(row.t)
         for k in range(max(1, len(words) - window + 1)) if words else ():
             w = tuple(words[k : k + window])
-            n += w not in by_length[len(w)]
+            if w not in by_length[len(w)]:
+                if n >= limit:
+                    yield made()
+                    n = 0
+                n += 1
             by_length[len(w)][w].add(row.i)
-            if n >= limit:
-                yield made()
-                by_length.clear()
-                n = 0
     if n:
-        yield made()
+        block = made()
+        block.last = True
+        yield block
 
 
 _HITS = {"n_words": "long", "spans": "array<struct<start: int, end: int>>", "items": "array<long>"}
@@ -164,7 +180,7 @@ def scan(docs: DataFrame, searches: list[Patterns], keep: list[str], text_col: s
         for batch in batches:
             rows = list(hits(batch.column(text), shared.value))
             spans = pa.array([[{"start": s, "end": e} for s, e in r[1]] for r in rows], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-            made = [pa.array([r[0] for r in rows], pa.int64()), spans, pa.array([sorted(r[2]) for r in rows], pa.list_(pa.int64()))]
+            made = [pa.array([r[0] for r in rows], pa.int64()), spans, pa.array([_sorted(r[2]) for r in rows], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], [*keep, *names])
 
     frame = docs.select(*keep, F.col(text_col).cast("string").alias(text))
@@ -181,36 +197,67 @@ def _contaminated(prefix: str = "") -> Column:
     return (_n_hit(prefix) > 0) & (20 * _n_hit(prefix) >= F.col(f"{prefix}n_words"))
 
 
+def _print(text_col: str) -> Column:
+    return F.sha2(F.col(text_col).cast("string").cast("binary"), 256)
+
+
+def _text_hits(docs: DataFrame, blocks: Iterable[list[Patterns]], text_col: str, prefix: str = "") -> DataFrame:
+    """(print, n_words, spans, items) of each text that is hit, spans and items united over the blocks; each block is searched and
+    its hits written before the next one is built."""
+    key, names = f"{prefix}print", [f"{prefix}{c}" for c in _HITS]
+    texts = docs.select(_print(text_col).alias(key), F.col(text_col))
+    found = None
+    for searches in blocks:
+        hit = scan(texts, searches, [key], text_col, prefix).where(F.size(names[1]) > 0).dropDuplicates([key])
+        part = store.durable(hit, "hits")
+        found = part if found is None else found.unionByName(part)
+        del searches
+    span = "array<struct<start: int, end: int>>"
+    united = found.groupBy(key).agg(
+        F.max(names[0]).alias(names[0]), F.array_sort(F.flatten(F.collect_list(names[1]))).alias(names[1]), F.array_distinct(F.flatten(F.collect_list(names[2]))).alias(names[2])
+    )
+    last = lambda a: F.try_element_at(a, F.lit(-1))
+    merged = F.aggregate(
+        names[1],
+        F.expr(f"CAST(array() AS {span})"),
+        lambda a, s: F.when((F.size(a) > 0) & (last(a)["end"] >= s["start"]), F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(last(a)["start"].alias("start"), F.greatest(last(a)["end"], s["end"]).alias("end"))))).otherwise(F.concat(a, F.array(s))),
+    )
+    return united.withColumn(names[1], merged)
+
+
+def _first_and_all(blocks: Iterable[list[Patterns]]) -> tuple[list[Patterns] | None, Iterator[list[Patterns]]]:
+    """The searches if one block has them all, else None; and the blocks."""
+    rest = iter(blocks)
+    start = list(islice(rest, 1))
+    if start and not isinstance(start[0], Block):
+        start += islice(rest, 1)
+    if not start:
+        return [], rest
+    return (start[0] if len(start) == 1 and getattr(start[0], "last", True) else None), chain(start, rest)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = BLOCK_WINDOWS) -> DataFrame:
     """One row per document: id, n_words, n_hit, items (ids that occur), spans of words, contaminated."""
-    blocks = list(pattern_blocks(benchmark, limit=limit))
-    if len(blocks) < 2:
-        found = scan(docs, blocks[0] if blocks else [], [id_col], text_col)
+    only, blocks = _first_and_all(pattern_blocks(benchmark, limit=limit))
+    if only is not None:
+        found = scan(docs, only, [id_col], text_col)
     else:
-        key = docs.select(id_col, F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("_h"), F.col(text_col).alias("_t"))
-        parts = [scan(key.dropDuplicates([id_col, "_h"]), b, [id_col, "_h"], "_t") for b in blocks]
-        united = parts[0]
-        for p in parts[1:]:
-            united = united.unionByName(p)
-        united = united.groupBy(id_col, "_h").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("_s"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-        merged = F.aggregate(
-            "_s",
-            F.expr("CAST(array() AS array<struct<start: int, end: int>>)"),
-            lambda a, s: F.when((F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["end"] >= s["start"]), F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(a, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(a, F.lit(-1))["end"], s["end"]).alias("end"))))).otherwise(F.concat(a, F.array(s))),
-        )
-        united = united.withColumn("spans", merged)
-        rows = docs.select(id_col, F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("_h")).alias("d")
-        found = rows.join(united.alias("u"), F.col(f"d.{id_col}").eqNullSafe(F.col(f"u.{id_col}")) & (F.col("d._h") == F.col("u._h"))).select(f"d.{id_col}", "n_words", "spans", "items")
+        counted = scan(docs.select(id_col, text_col, _print(text_col).alias("_p")), [], [id_col, "_p"], text_col).select(id_col, "_p", "n_words")
+        united = _text_hits(docs, blocks, text_col).select(F.col("print").alias("_p"), "spans", "items")
+        found = counted.join(united, "_p", "left").select(id_col, "n_words", *(F.coalesce(c, F.expr(f"CAST(array() AS {_HITS[c]})")).alias(c) for c in ("spans", "items")))
     return found.select(id_col, "n_words", _n_hit().alias("n_hit"), "items", "spans", _contaminated().alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, blocks: list[list[Patterns]], text_col: str = "text") -> DataFrame:
-    """docs without the contaminated ones; with one block of patterns the texts pass the search and nothing is shuffled."""
-    columns = docs.columns
-    for searches in blocks or [[]]:
-        found = scan(docs, searches, columns, text_col, store.RESERVED)
-        docs = found.where(~_contaminated(store.RESERVED)).select(*columns)
-    return docs
+def drop_contaminated(docs: DataFrame, blocks: Iterable[list[Patterns]], text_col: str = "text") -> DataFrame:
+    """docs without the contaminated ones, judged by the hits of all blocks together.
+
+    With one block of patterns the texts pass the search and nothing is shuffled; with more, only hits and digests of texts move."""
+    only, blocks = _first_and_all(blocks)
+    if only is not None:
+        return scan(docs, only, docs.columns, text_col, store.RESERVED).where(~_contaminated(store.RESERVED)).select(*docs.columns)
+    key = f"{store.RESERVED}print"
+    gone = _text_hits(docs, blocks, text_col, store.RESERVED).where(_contaminated(store.RESERVED)).select(key)
+    return docs.withColumn(key, _print(text_col)).join(gone, key, "left_anti").select(*docs.columns)
 
 
 def op8_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:

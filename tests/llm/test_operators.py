@@ -358,6 +358,25 @@ def test_contamination(spark, limit):
     assert all(r.contaminated == (r.n_hit > 0 and 20 * r.n_hit >= r.n_words) for r in got)
 
 
+@pytest.mark.parametrize("limit", [10**6, 7])
+def test_contaminated_documents_go(spark, limit):
+    draw = random.Random(4)
+    fill = lambda n: " ".join(f"f{draw.randint(0, 10**6)}" for _ in range(n))
+    items = [(i, fill(13 + i)) for i in range(12)] + [(None, "only here 1 2 3 4 5 6 7 8 9 10 11")]
+    rows = [(i, f"{fill(draw.randint(100, 200))} {items[i % 13][1]} {fill(draw.randint(100, 900))} {draw.choice(items)[1]}") for i in range(80)]
+    rows += [(i, f"{fill(300)} {items[11][1]} {fill(n)}") for i, n in ((80, 100), (81, 150), (82, 156), (83, 200))]
+    rows += [rows[0], (84, None), (85, ""), (None, items[12][1]), (86, f"{fill(150)} {items[12][1]}"), (87, fill(50))]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    verdicts = [(i, n, hit, len(ids), 0 < n <= 20 * hit) for i, n, hit, ids in ((i, *brute_hits(t, [(-1 if k is None else k, v) for k, v in items])) for i, t in rows)]
+    assert 10 < sum(v[-1] for v in verdicts) < len(rows) - 10
+    docs = documents(spark, rows)
+    left = contamination.drop_contaminated(docs, contamination.pattern_blocks(benchmark, limit=limit))
+    assert left.columns == docs.columns
+    assert Counter(r.doc_id for r in left.collect()) == Counter(v[0] for v in verdicts if not v[-1])
+    found = contamination.contamination(docs, benchmark, limit=limit).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_hit, len(r["items"]), r.contaminated) for r in found) == Counter(verdicts)
+
+
 def test_contamination_empty(spark):
     none = contamination.contamination(documents(spark), spark.createDataFrame([], "item_id long, text string")).collect()
     assert len(none) == len(EDGE) and not any(r.contaminated for r in none)
