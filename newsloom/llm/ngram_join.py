@@ -347,28 +347,41 @@ def class_links(docs: DataFrame, text_col: str = "text", similarity: int = SIMIL
     return star_links.unionByName(store.durable(more.distinct(), "more_links"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
-    """One row per document: id, n_shingles, class (equal sets share one; null without words) and component_id, the
-    smallest id that links reach."""
+def _placed(docs: DataFrame, id_col: str, text_col: str, similarity: int) -> DataFrame:
+    """jaccard_components with comp, which tells components apart even where two have the same smallest id."""
     each = store.durable(classes(docs, id_col, text_col), "classes")
     found = store.durable(components(class_links(docs, text_col, similarity)), "components")
     least = each.where("class IS NOT NULL").groupBy("class").agg(F.min("_id").alias("first"))
     grouped = least.join(found, least["class"] == found["node"], "left").select("class", "first", F.coalesce("component", "class").alias("comp"))
-    named = grouped.join(grouped.groupBy("comp").agg(F.min("first").alias("component_id")), "comp").select("class", "component_id")
+    named = grouped.join(grouped.groupBy("comp").agg(F.min("first").alias("component_id")), "comp").select("class", "comp", "component_id")
     return each.join(named, "class", "left").select(
-        F.col("_id").alias(id_col), "n_shingles", "class", F.coalesce("component_id", "_id").alias("component_id")
+        F.col("_id").alias(id_col), "n_shingles", "class", "comp", F.coalesce("component_id", "_id").alias("component_id")
     )
 
 
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
+    """One row per document: id, n_shingles, class (equal sets share one; null without words) and component_id, the
+    smallest id that links reach."""
+    return _placed(docs, id_col, text_col, similarity).drop("comp")
+
+
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
     """docs with one document of each component: the one with the smallest id; of rows with equal id in a component, one.
 
-    Documents without words, and rows with a null id, stay. Only ids move, and the ids that go are the smaller side of the joins."""
-    found = store.durable(jaccard_components(docs, id_col, text_col, similarity), "found").where(F.col(id_col).isNotNull() & F.col("class").isNotNull())
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    Rows that share an id are judged each by its own text. Documents without words, and rows with a null id, stay. Only ids move, and
+    the ids that go are the smaller side of the joins; rows of repeated ids move whole."""
+    found = store.durable(_placed(docs, id_col, text_col, similarity), "found").where(F.col(id_col).isNotNull())
     twice = found.groupBy(id_col).count().where("count > 1").select(id_col)
-    stays = docs.join(gone, id_col, "left_anti")
-    return stays.join(twice, id_col, "left_anti").unionByName(stays.join(twice, id_col, "left_semi").dropDuplicates([id_col, text_col])).select(*docs.columns)
+    gone = found.where(F.col("class").isNotNull() & (F.col(id_col) != F.col("component_id"))).select(id_col).distinct()
+    once = docs.join(gone, id_col, "left_anti").join(twice, id_col, "left_anti")
+    mark, key = f"{store.RESERVED}class", f"{store.RESERVED}print"
+    shared = store.durable(docs.join(twice, id_col, "left_semi").withColumn(key, F.sha2(F.col(text_col).cast("string").cast("binary"), 256)), "shared_ids")
+    marks = classes(shared, key, text_col).select(F.col("_id").alias(key), F.col("class").alias(mark)).distinct()
+    shared = shared.join(marks, key, "left")
+    first = found.where(F.col("class").isNotNull() & (F.col(id_col) == F.col("component_id"))).join(twice, id_col, "left_semi")
+    first = first.groupBy(id_col, "comp").agg(F.min("class").alias(mark)).select(id_col, mark)
+    kept = shared.join(first, [id_col, mark], "left_semi").dropDuplicates([id_col, mark])
+    return once.select(*docs.columns).unionByName(kept.select(*docs.columns)).unionByName(shared.where(F.col(mark).isNull()).select(*docs.columns))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,6 +98,14 @@ def test_one_of_each_group_stays(spark):
     assert sorted((r.doc_id or 0, r.text is None, (r.text or "")[:4]) for r in left.collect()) == sorted([(0, False, "one "), (1, True, ""), (2, False, ""), (3, False, " \t\n"), (4, False, "one"), (5, False, "É Ü "), (6, False, "word"), (9, False, "x\ue000y ")])
 
 
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    line = lambda s: " ".join(f"{s}{i}" for i in range(40))
+    a, b, c, d = map(line, "abcd")
+    rows = [(1, a), (7, f"{a} more"), (7, b), (7, ""), (8, c), (8, d), (8, f"{c} more"), (9, None), (9, f"{d} more"), (10, f"{b} more"), (None, a)]
+    left = Counter((r.doc_id, (r.text or "")[:1]) for r in ngram_join.without_near_duplicates(documents(spark, rows)).collect())
+    assert left == Counter([(1, "a"), (7, "b"), (7, ""), (8, "c"), (8, "d"), (9, ""), (None, "a")])
+
+
 def test_signatures_meet():
     """Any two linked sets share a signature, at all sizes."""
     draw = np.random.default_rng(3)
