@@ -1,7 +1,10 @@
 """Every query of the library against its DuckDB text, and the physical plans against row-at-a-time Python and cross products."""
 
+import random
+
 import pytest
 
+from newsloom.operators import briefs
 from newsloom.plans import registry
 from tests.oracle import assert_same, connection
 
@@ -25,6 +28,23 @@ def test_every_story_item_once(spark, small):
     assert rows.article_id.is_unique and set(rows.article_id) == set(range(len(rows)))
 
 
+def test_sources_of_large_stories_are_all_compared(spark):
+    draw = random.Random(5)
+    words = [f"word{i}" for i in range(14)]
+    rows = [(s, i, (i * 37) % 50, " ".join(draw.sample(words, draw.choice([0, 1, 7, 8, 9, 10, 11])))) for s, n in ((1, 150), (2, 90), (3, 5)) for i in range(n)]
+    rows += [(4, i, i, f"only{i} text{i} here{i}") for i in range(100)]
+    want = set()
+    for story in (1, 2, 3, 4):
+        sets = []
+        for _, i, _, text in sorted((r for r in rows if r[0] == story), key=lambda r: (r[2], r[1])):
+            t = set(text.split())
+            if not any(t and u and len(t & u) / max(len(t), len(u)) >= 0.72 for u in sets):
+                want.add((story, i))
+                sets.append(t)
+    got = briefs.dedupe_sources(spark.createDataFrame(rows, "story_id long, article_id long, rank long, summary string")).collect()
+    assert sorted((r.story_id, r.article_id) for r in got) == sorted(want)
+
+
 def test_entry():
     import __spark_entry__ as entry
 
