@@ -1,17 +1,26 @@
-"""Paths in the folder that driver and executors share."""
+"""Tables written to the folder that driver and executors share, and their removal.
+
+A written table ends lineage and survives lost executors. Steps that need many of them write through ``Tables``, which deletes
+what the result does not read; the shuffle files of a write go when it is done.
+"""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset, as in tests, one of our own."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one in local mode only; a cluster has to name its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -21,8 +30,47 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def write_once(frame: DataFrame, path: str) -> DataFrame:
+    """Write the frame and read it back; its shuffle files are deleted after the write."""
+    spark = frame.sparkSession
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN_UP) if before is None else spark.conf.set(_CLEAN_UP, before)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
 def durable(frame: DataFrame, name: str) -> DataFrame:
-    """Write the frame to the shared folder and read it back: its lineage ends there."""
-    path = new_path(frame.sparkSession, name)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    """A written table that stays: for what a result reads."""
+    return write_once(frame, new_path(frame.sparkSession, name))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Tables:
+    """Written tables of one computation; ``drop`` deletes one, leaving the block deletes all."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+
+    def write(self, frame: DataFrame, name: str) -> DataFrame:
+        path = new_path(self.spark, name)
+        out = write_once(frame, path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *frames: DataFrame | None) -> None:
+        for frame in frames:
+            if id(frame) in self.paths:
+                remove(self.spark, self.paths.pop(id(frame))[0])
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*(frame for _, frame in list(self.paths.values())))
