@@ -1,35 +1,16 @@
-"""Tables, shared scratch space and small frames used by the corpus operators."""
+"""Input tables, written tables and reserved names of the corpus operators."""
 
 from __future__ import annotations
 
-import uuid
-from tempfile import mkdtemp
-
 from pyspark.sql import DataFrame, SparkSession
 
+from newsloom.sources.scratch import Tables, durable, new_path, shared_folder
+
+__all__ = ["RESERVED", "Tables", "durable", "new_path", "shared_folder", "table"]
+
 #: Columns that operators add beside those passed through start like this; no input column may.
 RESERVED = "__nl_"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset, as in tests, one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{mkdtemp(prefix='spark-', dir='/tmp')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def durable(frame: DataFrame, name: str) -> DataFrame:
-    """Write the frame to the shared folder and read it back: lineage ends there and survives lost executors."""
-    path = new_path(frame.sparkSession, name)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
