@@ -1,47 +1,5 @@
-"""Connected components of a link table by alternating large-star and small-star steps."""
+"""Connected components: the library's own, as the corpus operators use them."""
 
-from __future__ import annotations
+from newsloom.operators.graph import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from newsloom.llm import store
-
-MAX_ROUNDS = 40
-
-
-def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Each node links its larger neighbours to the least of its neighbourhood."""
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _least(both).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Each node links itself and its smaller neighbours to the least of these; edges run from larger to smaller."""
-    least = _least(edges)
-    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-
-
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) for every node with a link: the least node that links reach.
-
-    A round costs two joins on node keys; every few rounds end in a durable table. Work is distributed throughout, and the driver
-    sees one count and one checksum a round. Raises if MAX_ROUNDS do not suffice.
-    """
-    edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    before = None
-    for _ in range(MAX_ROUNDS):
-        edges = store.durable(_small_star(_large_star(edges)), "edges")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
-            break
-        before = state
-    else:
-        raise RuntimeError(f"components: links did not settle in {MAX_ROUNDS} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+__all__ = ["components"]
