@@ -1,18 +1,20 @@
-"""Exact Jaccard join of word-shingle sets by PartEnum signatures.
+"""Exact Jaccard join of word-shingle sets by PartEnum signatures on two levels.
 
-Sets are banded by size so that linked sets lie in one band or in two that meet. In a band the hashed feature domain is
-cut into a power of two of partitions. Sets of similarity s differ in at most k = (1 - s) / (1 + s) * (sum of
-sizes) features, hence in at most k partitions. Each set ranks the subsets of partitions it may share (here: single partitions by the
-number of features they hold of it, ties by hash) and enumerates k + 1 of them as signatures. Of two linked sets, the
-first partition in this rank that both hold alike has at most k before it in either list, so both enumerate it: they share
-a signature, and none is lost.
+Sets are banded by size so that linked sets lie in one band or in two that meet. In a band the hashed feature domain is cut into
+partitions, and each of these into ``SECOND`` = 3 second-level partitions. Sets of similarity s differ in at most
+k = (1 - s) / (1 + s) * (sum of sizes) features; there are more than k / 2 first-level partitions, so one of them holds at most one
+differing feature, and all but one of its second-level partitions agree. Signatures are therefore the subsets of two of the three
+second-level partitions: what a set holds in them. k differing features change at most ``changed`` subsets; each set ranks its subsets by
+size (ties by hash) and enumerates one more than that. Of two linked sets, the first subset in this order that both hold alike has
+at most so many before it in either list, so both enumerate it: they share a signature, and none is lost.
 
-Equal sets are one class from the start. A signature's classes are linked to its least class (a star), not to each other; only
-signatures whose classes then still lie in several groups are verified all against all, in blocks of bounded size, inside tasks that put
-out no more than a spanning forest. So no operator's output grows with the square of a group.
+Equal sets are one class from the start, told apart by two 64-bit hashes and numbered. A class is first compared with one other, the least
+class that shares a signature with it; only signatures whose classes then still lie in several groups are verified all against all, in blocks of
+bounded size, inside tasks that put out no more than a spanning forest. So no operator's output grows with the square of a group.
 
 Defined cases: a null or empty text, or one without words, has an empty set, 0 shingles and no link; a text under five
-words is one shingle; repeated rows and copies fall in one class; an empty table gives no rows; extra columns are ignored.
+words is one shingle; repeated rows and copies fall in one class; a null id is linked like any other but names no component unless
+all ids of it are null; ids may be of any type with an order; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,111 +34,133 @@ from newsloom.llm.components import components
 #: Links when 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 80
 SHINGLE = 5
-#: Bits of the membership filter that spares work on sets without candidates: 4 MB, whatever the input. It only lets rows through.
+#: Second-level partitions of a partition; a signature covers all but one.
+SECOND = 3
+#: Bits of the membership filter that spares work on texts without candidates: 4 MB, whatever the input. It only lets rows through.
 FILTER_BITS = 1 << 25
 #: Features in a block of sets that are verified against one another.
 BLOCK_FEATURES = 1 << 18
+#: Classes a task remembers so as not to repeat their signatures; more are forgotten, and repeats are harmless.
+REMEMBERED = 1 << 18
 _U = np.uint64
 
 
-def level_of(n: int) -> int:
-    """log2 of the number of partitions for sets of n features: a good deal more than k + 1."""
-    return max(1, math.ceil(math.log2(0.27 * n + 1.5 * math.sqrt(n) + 2)))
+def band_of(n: int) -> int:
+    """Band of a size: sizes of 4 ** band to 4 ** (band + 1) - 1."""
+    return (n.bit_length() - 1) // 2
 
 
-def _largest(level: int) -> int:
-    low, high = 1, 1 << (level + 3)
-    while low < high:
-        middle = (low + high + 1) // 2
-        low, high = (middle, high) if level_of(middle) <= level else (low, middle - 1)
-    return low
+def apart(a: int, b: int, similarity: int = SIMILARITY) -> int:
+    """Most features in which linked sets of these sizes differ."""
+    return (100 - similarity) * (a + b) // (100 + similarity)
 
 
-LARGEST = [_largest(level) for level in range(40)]
+def partitions(band: int, similarity: int = SIMILARITY) -> int:
+    """First-level partitions of a band: more than half of what its largest sets may differ in, and some to choose from."""
+    k = apart(4 ** (band + 1) - 1, 4 ** (band + 1) - 1, similarity)
+    return k // 2 + 1 + (math.isqrt(k) + 1) // 2
 
 
-def class_id(features: np.ndarray) -> int:
-    """64-bit id of a set, the same for equal sets."""
-    total = np.add.reduce(mix(features ^ _U(0x5851F42D4C957F2D)))
-    return int(mix(np.array([total + _U(len(features))], _U)).view(np.int64)[0])
+def changed(k: int, m: int) -> int:
+    """Most signatures that k differing features change: two of a partition with one of them, three of one with more."""
+    return 2 * k if k <= m else min(k + m, SECOND * m)
+
+
+def class_hashes(features: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit hashes of a set, the same for equal sets."""
+    n = np.array([len(features)], _U)
+    one = np.add.reduce(mix(features ^ _U(0x5851F42D4C957F2D)))
+    two = np.add.reduce(mix(features * _U(0xDA942042E4DD58B5) + _U(0x2545F4914F6CDD1D)))
+    return int(mix(one + n).view(np.int64)[0]), int(mix((two ^ _U(0x9FB21C651E98DF25)) + n).view(np.int64)[0])
 
 
 def signatures(features: np.ndarray, similarity: int = SIMILARITY) -> np.ndarray:
-    """Signatures of a sorted set of hashes, as int64."""
+    """Signatures of a sorted set of hashes, as int64; the whole set where only equal sets can link."""
     n, out = len(features), []
-    mixed = mix(features)
     far = 100 * n // similarity  # size of the largest set that can link
-    for level in {level_of(n), level_of(far)}:
-        k = (100 - similarity) * (n + min(far, LARGEST[level])) // (100 + similarity)
-        part = features >> _U(64 - level)
-        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        held = np.diff(np.append(first, n))
-        hashed = np.add.reduceat(mixed, first)
-        number = part[first]
-        if len(first) <= k:  # rare: partitions that the set leaves empty are shared, too
-            free = np.setdiff1d(np.arange(min(1 << level, 2 * k + 2), dtype=_U), number)[: k + 1 - len(first)]
-            number, held, hashed = np.concatenate((number, free)), np.concatenate((held, np.zeros(len(free), held.dtype))), np.concatenate((hashed, np.zeros(len(free), _U)))
-        made = mix(hashed + number * _U(0xD1B54A32D192ED03) + _U(level))
-        rank = np.where(held == 0, number, made)
-        out.append(made[np.lexsort((rank, -held))[: k + 1]])
-    return np.concatenate(out).view(np.int64)
-
-
-def _each_set(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, list[np.ndarray]]]:
-    for batch in batches:
-        for row, data, offsets in text_chunks(batch.column("_text")):
-            yield batch, row, shingle_sets(data, offsets, SHINGLE)
+    mixed = mix(features)
+    second = ((features & _U(0xFFFFFFFF)) % _U(SECOND)).astype(np.int64)
+    for band in sorted({band_of(n), band_of(far)}):
+        k, m = apart(n, min(far, 4 ** (band + 1) - 1), similarity), partitions(band, similarity)
+        if not k:
+            continue
+        cell = (((features >> _U(32)) * _U(m)) >> _U(32)).astype(np.int64) * SECOND + second
+        held = np.bincount(cell, minlength=m * SECOND).reshape(m, SECOND)
+        sums = np.zeros(m * SECOND, _U)
+        np.add.at(sums, cell, mixed)
+        sums = sums.reshape(m, SECOND)
+        size = (held.sum(1, keepdims=True) - held).ravel()  # of the subset that leaves one second-level partition out
+        content = (sums.sum(1, keepdims=True, dtype=_U) - sums).ravel()
+        made = mix(content + np.arange(m * SECOND, dtype=_U) * _U(0xD1B54A32D192ED03) + _U(band))
+        wanted = changed(k, m) + 1
+        if wanted < len(made):
+            rank = ((255 - np.minimum(size, 255)).astype(_U) << _U(56)) | (made >> _U(8))
+            made = made[np.argpartition(rank, wanted - 1)[:wanted]]
+        out.append(made)
+    return np.concatenate(out).view(np.int64) if out else np.array([class_hashes(features)[0]], np.int64)
+
+
+def _each_set(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
+    for row, data, offsets in text_chunks(column):
+        yield row, shingle_sets(data, offsets, SHINGLE)
+
+
+def _pick(id_col: str, text_col: str) -> Column:
+    """64 bits of a row's id and text: tells apart the texts of one id."""
+    return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string"))
 
 
 def classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id, n_shingles, class); class is null for empty sets."""
+    """(_id, pick, n_shingles, h1, h2); the hashes of the class are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, row, sets in _each_set(batches):
-            ids = batch.column("_id").slice(row, len(sets))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([class_id(s) if len(s) else None for s in sets], pa.int64())], ["_id", "n_shingles", "class"])
+        for batch in batches:
+            for row, sets in _each_set(batch.column("_text")):
+                found = [class_hashes(s) if len(s) else (None, None) for s in sets]
+                arrays = [pa.array([len(s) for s in sets], pa.int64()), *(pa.array([f[i] for f in found], pa.int64()) for i in (0, 1))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, len(sets)) for c in ("_id", "pick")), *arrays], ["_id", "pick", "n_shingles", "h1", "h2"])
 
-    frame = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return frame.mapInArrow(run, f"_id {frame.schema['_id'].dataType.simpleString()}, n_shingles long, class long")
+    frame = docs.select(F.col(id_col).alias("_id"), _pick(id_col, text_col).alias("pick"), F.col(text_col).cast("string").alias("_text"))
+    return frame.mapInArrow(run, f"_id {frame.schema['_id'].dataType.simpleString()}, pick long, n_shingles long, h1 long, h2 long")
 
 
 def class_signatures(docs: DataFrame, text_col: str, similarity: int) -> DataFrame:
-    """(sig, class, n): every signature of every class, at least once."""
+    """(sig, h1): every signature of every class, at least once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for _, _, sets in _each_set(batches):
-            out, ids, sizes = [], [], []
-            for s in sets:
-                if len(s) and (c := class_id(s)) not in seen:
-                    seen.add(c)
-                    out.append(signatures(s, similarity))
-                    ids.append(c)
-                    sizes.append(len(s))
-            if out:
-                counts = [len(x) for x in out]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.repeat(np.array(ids, np.int64), counts)), pa.array(np.repeat(np.array(sizes, np.int32), counts))], ["sig", "class", "n"])
-
-    return docs.select(F.col(text_col).cast("string").alias("_text")).mapInArrow(run, "sig long, class long, n int")
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            for _, sets in _each_set(batch.column("_text")):
+                out, ids = [], []
+                for s in sets:
+                    if len(s) and (c := class_hashes(s)) not in seen:
+                        if len(seen) >= REMEMBERED:
+                            seen.clear()
+                        seen.add(c)
+                        out.append(signatures(s, similarity))
+                        ids.append(c[0])
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.repeat(np.array(ids, np.int64), [len(x) for x in out]))], ["sig", "h1"])
+
+    return docs.select(F.col(text_col).cast("string").alias("_text")).mapInArrow(run, "sig long, h1 long")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (sig, class): those of signatures with two classes or more, with the least class. Streams."""
-    last_sig, last_class, pivot, pivot_n, written = None, None, None, None, False
+    """Of rows sorted by (sig, h1): those of signatures with two classes or more, with the least of these. Streams."""
+    last_sig, last_class, pivot, written = None, None, None, False
     for batch in batches:
-        sig, cls, n = (batch.column(i).to_numpy() for i in range(3))
+        sig, cls = (batch.column(i).to_numpy() for i in range(2))
         if not len(sig):
             continue
         fresh = np.ones(len(sig), bool)
         fresh[1:] = (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])
         fresh[0] = last_sig is None or (sig[0], cls[0]) != (last_sig, last_class)
-        sig, cls, n = sig[fresh], cls[fresh], n[fresh]
+        sig, cls = sig[fresh], cls[fresh]
         if not len(sig):
             continue
-        extra = 0
-        if last_sig is not None and sig[0] == last_sig:  # the run goes on: put its pivot in front
-            sig, cls, n = np.insert(sig, 0, last_sig), np.insert(cls, 0, pivot), np.insert(n, 0, pivot_n)
-            extra = 1
+        extra = last_sig is not None and sig[0] == last_sig
+        if extra:  # the run goes on: put its pivot in front
+            sig, cls = np.insert(sig, 0, last_sig), np.insert(cls, 0, pivot)
         starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
         counts = np.diff(np.append(starts, len(sig)))
         lead = np.repeat(cls[starts], counts)
@@ -144,40 +168,38 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if extra and written:
             keep[0] = False
         written = bool(counts[-1] > 1 or (extra and len(starts) == 1 and written))
-        last_sig, last_class, pivot, pivot_n = sig[-1], cls[-1], cls[starts[-1]], n[starts[-1]]
-        yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(cls[keep]), pa.array(n[keep]), pa.array(lead[keep])], ["sig", "class", "n", "pivot"])
+        last_sig, last_class, pivot = sig[-1], cls[-1], cls[starts[-1]]
+        yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(cls[keep]), pa.array(lead[keep])], ["sig", "h1", "pivot"])
 
 
-def _filter_of(members: DataFrame) -> np.ndarray:
-    """The fixed-size membership filter of the classes, as bytes of bits."""
-    spot = F.col("class").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1
-    parts = members.select(spot.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+def _filter_of(picks: DataFrame) -> np.ndarray:
+    """The fixed-size membership filter of the picks, as bytes of bits."""
+    spot = F.col("pick").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1
+    parts = picks.select(spot.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for row in parts.toLocalIterator():  # at most 1,024 rows of 4 KB
         bits[(row.k - 1) * 4096 : row.k * 4096] = np.frombuffer(row.bits, np.uint8)
     return bits
 
 
-def class_sets(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(class, n, bits, features) of the wanted classes, one row each."""
+def class_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
+    """(class, n, bits, features) of the wanted classes (class, h1, h2, pick), one row each: the text of the row that a class picks is read
+    again, others only where the filter cannot tell them apart."""
     shared = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = shared.value, set()
-        for _, _, sets in _each_set(batches):
-            fresh = {}
-            for s in sets:
-                c = class_id(s) if len(s) else 0
-                spot = c & (FILTER_BITS - 1)
-                if len(s) and bits[spot >> 3] >> (spot & 7) & 1 and c not in seen:
-                    fresh[c] = s.view(np.int64)
-            seen.update(fresh)
-            if fresh:
-                arrays = [pa.array(list(fresh), pa.int64()), pa.array([len(s) for s in fresh.values()], pa.int32()), pa.array([parity_bits(s) for s in fresh.values()], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(list(fresh.values()), pa.list_(pa.int64()))], ["class", "n", "bits", "features"])
-
-    made = docs.select(F.col(text_col).cast("string").alias("_text")).mapInArrow(run, "class long, n int, bits binary, features array<long>")
-    return made.join(wanted, "class", "left_semi").dropDuplicates(["class"])
+        bits = shared.value
+        for batch in batches:
+            spot = batch.column("pick").to_numpy() & (FILTER_BITS - 1)
+            for _, sets in _each_set(batch.column("_text").filter(pa.array((bits[spot >> 3] >> (spot & 7) & 1).astype(bool)))):
+                fresh = {class_hashes(s): s.view(np.int64) for s in sets if len(s)}
+                if fresh:
+                    arrays = [*(pa.array([c[i] for c in fresh], pa.int64()) for i in (0, 1)), pa.array([len(s) for s in fresh.values()], pa.int32()), pa.array([parity_bits(s) for s in fresh.values()], pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*arrays, pa.array(list(fresh.values()), pa.list_(pa.int64()))], ["h1", "h2", "n", "bits", "features"])
+
+    frame = docs.select(_pick(id_col, text_col).alias("pick"), F.col(text_col).cast("string").alias("_text"))
+    made = frame.mapInArrow(run, "h1 long, h2 long, n int, bits binary, features array<long>").dropDuplicates(["h1", "h2"])
+    return made.join(wanted.select("class", "h1", "h2"), ["h1", "h2"]).select("class", "n", "bits", "features")
 
 
 def parity_bits(features: np.ndarray) -> bytes:
@@ -193,9 +215,9 @@ def _folded(bits: list[bytes]) -> np.ndarray:
     return np.stack([np.bitwise_xor.reduce(w.reshape(-1, least), axis=0) for w in words])
 
 
-def may_link(na: np.ndarray, nb: np.ndarray, apart: np.ndarray, similarity: int) -> np.ndarray:
-    """Whether sets whose bitmaps differ in ``apart`` bits may link: they differ in as many features at least."""
-    return (100 + similarity) * apart <= (100 - similarity) * (na + nb)
+def may_link(na: np.ndarray, nb: np.ndarray, differ: np.ndarray, similarity: int) -> np.ndarray:
+    """Whether sets whose bitmaps differ in so many bits may link: they differ in as many features at least."""
+    return (100 + similarity) * differ <= (100 - similarity) * (na + nb)
 
 
 def linked(a: int, b: int, both: np.ndarray, similarity: int) -> np.ndarray:
@@ -269,8 +291,8 @@ def _promising(similarity: int):
             n, group = np.array([c["n"] for c in content], np.int64), np.array(groups)
             bits, keep = _folded([c["bits"] for c in content]), np.zeros(len(ids), bool)
             for k in range(len(ids) - 1):
-                apart = np.bitwise_count(bits[k + 1 :] ^ bits[k]).sum(1, dtype=np.int64)
-                good = may_link(n[k + 1 :], n[k], apart, similarity) & (group[k + 1 :] != group[k])
+                differ = np.bitwise_count(bits[k + 1 :] ^ bits[k]).sum(1, dtype=np.int64)
+                good = may_link(n[k + 1 :], n[k], differ, similarity) & (group[k + 1 :] != group[k])
                 keep[k] |= good.any()
                 keep[k + 1 :] |= good
             rows += [(*key, ids[k], groups[k]) for k in np.flatnonzero(keep)]
@@ -299,89 +321,96 @@ def _may_link_rows(similarity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb = (batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
-            apart = [int(np.bitwise_count(np.bitwise_xor(*_folded([x, y]))).sum()) for x, y in zip(batch.column("ba").to_pylist(), batch.column("bb").to_pylist(), strict=True)]
-            keep = pa.array(may_link(na, nb, np.array(apart, np.int64), similarity))
+            differ = [int(np.bitwise_count(np.bitwise_xor(*_folded([x, y]))).sum()) for x, y in zip(batch.column("ba").to_pylist(), batch.column("bb").to_pylist(), strict=True)]
+            keep = pa.array(may_link(na, nb, np.array(differ, np.int64), similarity))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
     return run
 
 
-def class_links(docs: DataFrame, text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
-    """(a, b): links between classes whose components are those of all links.
+def class_links(docs: DataFrame, known: DataFrame, tables: store.Tables, id_col: str, text_col: str, similarity: int = SIMILARITY) -> DataFrame:
+    """(a, b): links between the known classes (class, h1, h2, n, pick) whose components are those of all links.
 
-    What moves: eight bytes a signature and its class; a bitmap of a few bits a feature for each candidate; whole sets only for pairs and
-    blocks that the bitmaps leave open.
+    What moves: a signature and eight bytes of its class; then only classes that share one: a bitmap of a few bits a feature for each,
+    whole sets for pairs and blocks that the bitmaps leave open.
     """
-    rows = class_signatures(docs, text_col, similarity).repartition("sig").sortWithinPartitions("sig", "class")
-    buckets = store.durable(rows.mapInArrow(_shared, "sig long, class long, n int, pivot long"), "buckets")
-    stars = buckets.where("class <> pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
-    sets = store.durable(class_sets(docs, text_col, buckets.select("class").distinct()), "sets")
+    rows = class_signatures(docs, text_col, similarity).repartition("sig").sortWithinPartitions("sig", "h1")
+    buckets = tables.write(rows.mapInArrow(_shared, "sig long, h1 long, pivot long"), "buckets")
+    lead = buckets.where("h1 <> pivot").groupBy("h1").agg(F.min("pivot").alias("pivot"))
+    pairs = lead.join(known.select("h1", F.col("class").alias("b")), "h1").select("b", F.col("pivot").alias("h1")).join(known.select("h1", F.col("class").alias("a")), "h1").select("a", "b")
+    wanted = known.join(buckets.select("h1").distinct(), "h1", "left_semi")
+    members = tables.write(buckets.drop("pivot").join(known.select("h1", "class", "n"), "h1").select("sig", "class", "n"), "members")
+    pairs = tables.write(pairs, "pairs")
+    sets = tables.write(class_sets(docs, id_col, text_col, wanted), "sets")
+    tables.drop(buckets)
 
     def side(name: str, *columns: str) -> DataFrame:
         return sets.select(F.col("class").alias(name), *(F.col(c).alias(f"{c[0]}{name}") for c in columns))
 
-    open_pairs = stars.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").select("a", "b", "na", "nb", "ba", "bb")
-    open_pairs = store.durable(open_pairs.mapInArrow(_may_link_rows(similarity), "a long, b long"), "pairs")
+    open_pairs = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").select("a", "b", "na", "nb", "ba", "bb")
+    open_pairs = tables.write(open_pairs.mapInArrow(_may_link_rows(similarity), "a long, b long"), "open_pairs")
     both = F.size(F.array_intersect("fa", "fb"))
     tested = open_pairs.join(side("a", "features"), "a").join(side("b", "features"), "b")
     tested = tested.where(100 * both >= similarity * (F.size("fa") + F.size("fb") - both))
-    star_links = store.durable(tested.select("a", "b"), "links")
-    found = components(star_links).select(F.col("node").alias("class"), F.col("component").alias("comp"))
-    placed = buckets.drop("pivot").join(found, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-    sig = placed.groupBy("sig").agg(F.count("*").alias("members"), F.max("n").alias("n_max"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.bit_xor(F.xxhash64("class")).alias("print"))
+    lead_links = tables.write(tested.select("a", "b"), "links")
+    found = components(lead_links, tables).select(F.col("node").alias("class"), F.col("component").alias("comp"))
+    placed = members.join(found, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    prints = [F.bit_xor(F.xxhash64("class")).alias("p1"), F.bit_xor(F.xxhash64(F.lit("second"), F.col("class"))).alias("p2")]
+    sig = placed.groupBy("sig").agg(F.count("*").alias("members"), F.max("n").alias("n_max"), F.min("comp").alias("low"), F.max("comp").alias("high"), *prints)
     blocks = F.ceil(F.greatest(F.col("members") * F.col("n_max") / BLOCK_FEATURES, F.col("members") / 1024))
-    open_sigs = sig.where("members > 2 AND low <> high").groupBy("print", "members").agg(F.min("sig").alias("sig"), F.max(blocks).alias("blocks"))
+    open_sigs = sig.where("low <> high").groupBy("p1", "p2", "members").agg(F.min("sig").alias("sig"), F.max(blocks).alias("blocks"))  # equal groups once
     rows = placed.join(open_sigs.select("sig", "blocks"), "sig").withColumn("r", F.pmod(F.xxhash64("class", "sig"), F.col("blocks")))
     rows = rows.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("sig", F.least("r", "s").alias("i"), F.greatest("r", "s").alias("j"), "class", "comp")
+    rows = tables.write(rows.select("sig", F.least("r", "s").alias("i"), F.greatest("r", "s").alias("j"), "class", "comp"), "rows")
 
     def block_rows(rows: DataFrame, content: Column) -> DataFrame:
         rows = rows.join(sets.select("class", content.alias("content")), "class").select("sig", "i", "j", "class", "comp", "content")
         return rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "class")
 
-    left = block_rows(rows, F.struct("n", "bits")).mapInArrow(_promising(similarity), "sig long, i long, j long, class long, comp long")
-    left = store.durable(left, "promising")
-    same = left.groupBy("sig", "i", "j").agg(F.bit_xor(F.xxhash64("class")).alias("print"), F.count("*").alias("members"))
-    once = same.groupBy("print", "members").agg(F.min(F.struct("sig", "i", "j")).alias("at")).select("at.*")
+    left = tables.write(block_rows(rows, F.struct("n", "bits")).mapInArrow(_promising(similarity), "sig long, i long, j long, class long, comp long"), "promising")
+    same = left.groupBy("sig", "i", "j").agg(*prints, F.count("*").alias("members"))
+    once = same.groupBy("p1", "p2", "members").agg(F.min(F.struct("sig", "i", "j")).alias("at")).select("at.*")
     more = block_rows(left.join(once, ["sig", "i", "j"], "left_semi"), F.col("features")).mapInArrow(_verify_blocks(similarity), "a long, b long")
-    return star_links.unionByName(store.durable(more.distinct(), "more_links"))
+    more = tables.write(more.distinct(), "more_links")
+    tables.drop(sets, members, rows, left)
+    return lead_links.unionByName(more)
 
 
 def _placed(docs: DataFrame, id_col: str, text_col: str, similarity: int) -> DataFrame:
-    """jaccard_components with comp, which tells components apart even where two have the same smallest id."""
+    """(_id, pick, n_shingles, class, comp, component_id): class and comp are numbers, null for empty sets; comp tells components apart even
+    where two have the same smallest id. What it reads is written and stays."""
     each = store.durable(classes(docs, id_col, text_col), "classes")
-    found = store.durable(components(class_links(docs, text_col, similarity)), "components")
-    least = each.where("class IS NOT NULL").groupBy("class").agg(F.min("_id").alias("first"))
-    grouped = least.join(found, least["class"] == found["node"], "left").select("class", "first", F.coalesce("component", "class").alias("comp"))
-    named = grouped.join(grouped.groupBy("comp").agg(F.min("first").alias("component_id")), "comp").select("class", "comp", "component_id")
-    return each.join(named, "class", "left").select(
-        F.col("_id").alias(id_col), "n_shingles", "class", "comp", F.coalesce("component_id", "_id").alias("component_id")
-    )
+    with store.Tables(docs.sparkSession) as tables:
+        known = each.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.max("n_shingles").cast("int").alias("n"), F.min("pick").alias("pick"), F.min("_id").alias("first"))
+        known = tables.write(known.withColumn("class", F.monotonically_increasing_id()), "known")  # written, so the numbers hold
+        found = components(class_links(docs, known, tables, id_col, text_col, similarity), tables)
+        grouped = known.select("h1", "h2", "class", "first").join(found, F.col("class") == F.col("node"), "left").select("h1", "h2", "class", "first", F.coalesce("component", "class").alias("comp"))
+        named = store.durable(grouped.join(grouped.groupBy("comp").agg(F.min("first").alias("component_id")), "comp"), "named")
+    return each.join(named.drop("first"), ["h1", "h2"], "left").select("_id", "pick", "n_shingles", "class", "comp", F.coalesce("component_id", "_id").alias("component_id"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
     """One row per document: id, n_shingles, class (equal sets share one; null without words) and component_id, the
     smallest id that links reach."""
-    return _placed(docs, id_col, text_col, similarity).drop("comp")
+    return _placed(docs, id_col, text_col, similarity).select(F.col("_id").alias(id_col), "n_shingles", "class", "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
     """docs with one document of each component: the one with the smallest id; of rows with equal id in a component, one.
 
-    Rows that share an id are judged each by its own text. Documents without words, and rows with a null id, stay. Only ids move, and
-    the ids that go are the smaller side of the joins; rows of repeated ids move whole."""
-    found = store.durable(_placed(docs, id_col, text_col, similarity), "found").where(F.col(id_col).isNotNull())
-    twice = found.groupBy(id_col).count().where("count > 1").select(id_col)
-    gone = found.where(F.col("class").isNotNull() & (F.col(id_col) != F.col("component_id"))).select(id_col).distinct()
-    once = docs.join(gone, id_col, "left_anti").join(twice, id_col, "left_anti")
-    mark, key = f"{store.RESERVED}class", f"{store.RESERVED}print"
-    shared = store.durable(docs.join(twice, id_col, "left_semi").withColumn(key, F.sha2(F.col(text_col).cast("string").cast("binary"), 256)), "shared_ids")
-    marks = classes(shared, key, text_col).select(F.col("_id").alias(key), F.col("class").alias(mark)).distinct()
-    shared = shared.join(marks, key, "left")
-    first = found.where(F.col("class").isNotNull() & (F.col(id_col) == F.col("component_id"))).join(twice, id_col, "left_semi")
-    first = first.groupBy(id_col, "comp").agg(F.min("class").alias(mark)).select(id_col, mark)
-    kept = shared.join(first, [id_col, mark], "left_semi").dropDuplicates([id_col, mark])
-    return once.select(*docs.columns).unionByName(kept.select(*docs.columns)).unionByName(shared.where(F.col(mark).isNull()).select(*docs.columns))
+    Rows that share an id are judged each by its own text. Documents without words, and rows with a null id, stay. Only keys of rows
+    that go and of equal rows of which one stays are joined with the documents."""
+    key = [f"{store.RESERVED}id", f"{store.RESERVED}pick"]
+    found = store.durable(_placed(docs, id_col, text_col, similarity), "found").where("_id IS NOT NULL AND class IS NOT NULL")
+    rows = found.groupBy("comp", "_id", "class", "pick").agg(F.count("*").alias("copies"))
+    first = rows.groupBy("comp").agg(F.min(F.struct("_id", "class", "pick")).alias("first"))
+    judged = rows.join(first, "comp").withColumn("stays", F.struct("_id", "class", "pick") == F.col("first"))
+    judged = store.durable(judged.select(F.col("_id").alias(key[0]), F.col("pick").alias(key[1]), "stays", "copies"), "judged")
+    keyed = docs.withColumns({key[0]: F.col(id_col), key[1]: _pick(id_col, text_col)})
+    rest = keyed.join(judged.where("NOT stays").select(*key), key, "left_anti")
+    again = judged.where("stays AND copies > 1").select(*key)
+    once = rest.join(again, key, "left_semi").dropDuplicates(key)
+    return rest.join(again, key, "left_anti").unionByName(once).select(*docs.columns)
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
