@@ -11,7 +11,8 @@ block, the usual case, a document is read once, with more the documents are read
 united for each text before they are counted.
 
 Defined cases: a null or empty text has no words and is clean; an item without words matches nothing; items with equal
-texts are all reported; items with a null id hit like others and are reported as one null; repeated document rows each get their row; an empty benchmark leaves
+texts are all reported; ids may be of any type that text can be cast to; items with a null id hit like others and are reported as one
+null; repeated document rows each get their row; an empty benchmark leaves
 all clean; extra columns are ignored or, in ``scan``, passed through.
 """
 
@@ -32,7 +33,8 @@ from newsloom.llm import store
 from newsloom.llm.bytesets import ALPHANUMERIC, PLACE, mix, sequence_hashes, text_chunks, word_bounds, word_hashes
 
 WINDOW = 13
-BLOCK_WINDOWS = 500_000
+#: Windows searched in one scan: some 40 MB in the driver and in each task.
+BLOCK_WINDOWS = 200_000
 STRIP = 128
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _UPPER_TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -42,41 +44,58 @@ def words_of(text: str | None) -> list[bytes]:
     return _WORD.findall((text or "").encode().translate(_UPPER_TO_LOWER))
 
 
-def _sorted(items: Iterable[int | None]) -> list[int | None]:
-    return sorted(items, key=lambda i: (i is None, i or 0))
+def _sorted(items: Iterable[str | None]) -> list[str | None]:
+    return sorted(items, key=lambda i: (i is None, i or ""))
+
+
+def _runs(words: np.ndarray) -> np.ndarray:
+    """The sequence hash of each row of word hashes."""
+    total = np.full(len(words), words.shape[1], np.uint64)
+    for i in range(words.shape[1]):
+        total += words[:, i] * PLACE[i]
+    return mix(total)
 
 
 @dataclass(frozen=True)
 class Patterns:
-    """Windows of one length: a shift for each block that occurs in one, and the windows by hash."""
+    """Windows of one length: a shift for each block that occurs in one, and the windows in the order of their hashes."""
 
     length: int
     block: int
     blocks: np.ndarray  # sorted hashes of blocks
     shifts: np.ndarray
     tails: np.ndarray  # sorted hashes of windows
-    windows: dict[int, list[tuple[tuple[bytes, ...], tuple[int, ...]]]]
+    data: bytes  # the windows one after another, words with a space between
+    ends: np.ndarray
+    owners: np.ndarray  # for each window the index of its set of items
+    items: list[tuple[str | None, ...]]
 
     @staticmethod
-    def of(windows: dict[tuple[bytes, ...], set[int | None]], length: int) -> Patterns:
-        block = min(2, length)
-        joined = [b" ".join(w) for w in windows]
-        column = pa.array(joined, pa.binary()).cast(pa.string()) if joined else pa.array([], pa.string())
+    def of(windows: dict[bytes, set[str | None]], length: int) -> Patterns:
+        block, joined = min(2, length), list(windows)
         hashes = []
-        for _, data, offsets in text_chunks(column, 1 << 26):
+        for _, data, offsets in text_chunks(pa.array(joined, pa.binary()).cast(pa.string()), 1 << 26):
             starts, ends, _ = word_bounds(data, offsets, ALPHANUMERIC)
             hashes.append(word_hashes(data, starts, ends))
         words = np.concatenate(hashes).reshape(len(joined), length)
-        at: dict[int, int] = {}
-        for i in range(length - block + 1):  # the last block of a window shifts by 0, the one before by 1 ...
-            for h in np.unique(np.array([sequence_hashes(w, block)[0] for w in words[:, i : i + block]], np.uint64)).tolist():
-                at[h] = min(at.get(h, length), length - block - i)
-        blocks = np.array(sorted(at), np.uint64)
-        whole = [int(sequence_hashes(w, length)[0]) for w in words]
-        by_hash = defaultdict(list)
-        for h, (w, items) in zip(whole, windows.items(), strict=True):
-            by_hash[h].append((w, tuple(_sorted(items))))
-        return Patterns(length, block, blocks, np.array([at[h] for h in blocks.tolist()], np.int64), np.array(sorted(by_hash), np.uint64), dict(by_hash))
+        at = [np.unique(_runs(words[:, i : i + block])) for i in range(length - block + 1)]
+        shift = np.repeat(np.arange(length - block, -1, -1), [len(x) for x in at])  # the last block of a window shifts by 0, the one before by 1 ...
+        every = np.concatenate(at)
+        order = np.lexsort((shift, every))
+        blocks, first = np.unique(every[order], return_index=True)
+        tails = _runs(words)
+        by_hash = np.argsort(tails, kind="stable")
+        sets: dict[tuple[str | None, ...], int] = {}
+        owners = np.array([sets.setdefault(tuple(_sorted(windows[joined[k]])), len(sets)) for k in by_hash], np.int32)
+        ends = np.cumsum([len(joined[k]) for k in by_hash])
+        return Patterns(length, block, blocks, shift[order][first], tails[by_hash], b"".join(joined[k] for k in by_hash), ends, owners, list(sets))
+
+    def matching(self, key: int, text: bytes) -> Iterator[tuple[str | None, ...]]:
+        """The items of the windows of this hash that are this text."""
+        low, high = np.searchsorted(self.tails, np.uint64(key), "left"), np.searchsorted(self.tails, np.uint64(key), "right")
+        for k in range(low, high):
+            if self.data[self.ends[k - 1] if k else 0 : self.ends[k]] == text:
+                yield self.items[self.owners[k]]
 
 
 def _lookup(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,26 +128,24 @@ def search(words: np.ndarray, patterns: Patterns) -> np.ndarray:
     return np.sort(starts[_lookup(patterns.tails, mix(total))[1]])
 
 
-def hits(column: pa.Array, searches: list[Patterns]) -> Iterator[tuple[int, list[tuple[int, int]], set[int]]]:
+def hits(column: pa.Array, searches: list[Patterns]) -> Iterator[tuple[int, list[tuple[int, int]], set[str | None]]]:
     """For each text: number of words, the spans of words hit (start, end), ids of the items that occur."""
     for _, data, offsets in text_chunks(column):
         starts, ends, first = word_bounds(data, offsets, ALPHANUMERIC)
         words = word_hashes(data, starts, ends)
-        found: dict[int, list[tuple[int, int, tuple[int, ...]]]] = defaultdict(list)
+        found: dict[int, list[tuple[int, int, tuple[str | None, ...]]]] = defaultdict(list)
         raw = data.tobytes().translate(_UPPER_TO_LOWER)
         for p in searches:
             for s in search(words, p).tolist():
                 doc = int(np.searchsorted(first, s, "right")) - 1
                 if s + p.length > first[doc + 1]:
                     continue  # reaches into the next text
-                text = tuple(raw[starts[i] : ends[i]] for i in range(s, s + p.length))
-                key = int(sequence_hashes(words[s : s + p.length], p.length)[0])
-                for window, items in p.windows[key]:
-                    if window == text:
-                        found[doc].append((s - int(first[doc]), s - int(first[doc]) + p.length, items))
+                text = b" ".join(raw[starts[i] : ends[i]] for i in range(s, s + p.length))
+                for items in p.matching(int(sequence_hashes(words[s : s + p.length], p.length)[0]), text):
+                    found[doc].append((s - int(first[doc]), s - int(first[doc]) + p.length, items))
         for doc, n in enumerate(np.diff(first).tolist()):
             spans: list[tuple[int, int]] = []
-            for s, e, _ in sorted(found.get(doc, ())):
+            for s, e, _ in sorted(found.get(doc, ()), key=lambda x: x[:2]):
                 if spans and s <= spans[-1][1]:
                     spans[-1] = (spans[-1][0], max(e, spans[-1][1]))
                 else:
@@ -144,7 +161,7 @@ class Block(list[Patterns]):
 
 def pattern_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, limit: int = BLOCK_WINDOWS) -> Iterator[Block]:
     """The searches, at most ``limit`` windows in each block; the benchmark is read a partition at a time, a block is built when asked for."""
-    by_length: dict[int, dict[tuple[bytes, ...], set[int | None]]] = defaultdict(lambda: defaultdict(set))
+    by_length: dict[int, dict[bytes, set[str | None]]] = defaultdict(lambda: defaultdict(set))
     n = 0
 
     def made() -> Block:
@@ -152,23 +169,23 @@ def pattern_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str
         by_length.clear()
         return block
 
-    for row in benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).toLocalIterator():
+    for row in benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).toLocalIterator():
         words = words_of(row.t)
         for k in range(max(1, len(words) - window + 1)) if words else ():
-            w = tuple(words[k : k + window])
-            if w not in by_length[len(w)]:
+            w, length = b" ".join(words[k : k + window]), min(window, len(words))
+            if w not in by_length[length]:
                 if n >= limit:
                     yield made()
                     n = 0
                 n += 1
-            by_length[len(w)][w].add(row.i)
+            by_length[length][w].add(row.i)
     if n:
         block = made()
         block.last = True
         yield block
 
 
-_HITS = {"n_words": "long", "spans": "array<struct<start: int, end: int>>", "items": "array<long>"}
+_HITS = {"n_words": "long", "spans": "array<struct<start: int, end: int>>", "items": "array<string>"}
 
 
 def scan(docs: DataFrame, searches: list[Patterns], keep: list[str], text_col: str = "text", prefix: str = "") -> DataFrame:
@@ -180,7 +197,7 @@ def scan(docs: DataFrame, searches: list[Patterns], keep: list[str], text_col: s
         for batch in batches:
             rows = list(hits(batch.column(text), shared.value))
             spans = pa.array([[{"start": s, "end": e} for s, e in r[1]] for r in rows], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-            made = [pa.array([r[0] for r in rows], pa.int64()), spans, pa.array([_sorted(r[2]) for r in rows], pa.list_(pa.int64()))]
+            made = [pa.array([r[0] for r in rows], pa.int64()), spans, pa.array([_sorted(r[2]) for r in rows], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], [*keep, *names])
 
     frame = docs.select(*keep, F.col(text_col).cast("string").alias(text))
@@ -236,16 +253,17 @@ def _first_and_all(blocks: Iterable[list[Patterns]]) -> tuple[list[Patterns] | N
     return (start[0] if len(start) == 1 and getattr(start[0], "last", True) else None), chain(start, rest)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = BLOCK_WINDOWS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", limit: int = BLOCK_WINDOWS) -> DataFrame:
     """One row per document: id, n_words, n_hit, items (ids that occur), spans of words, contaminated."""
-    only, blocks = _first_and_all(pattern_blocks(benchmark, limit=limit))
+    only, blocks = _first_and_all(pattern_blocks(benchmark, item_col, limit=limit))
     if only is not None:
         found = scan(docs, only, [id_col], text_col)
     else:
         counted = scan(docs.select(id_col, text_col, _print(text_col).alias("_p")), [], [id_col, "_p"], text_col).select(id_col, "_p", "n_words")
         united = _text_hits(docs, blocks, text_col).select(F.col("print").alias("_p"), "spans", "items")
         found = counted.join(united, "_p", "left").select(id_col, "n_words", *(F.coalesce(c, F.expr(f"CAST(array() AS {_HITS[c]})")).alias(c) for c in ("spans", "items")))
-    return found.select(id_col, "n_words", _n_hit().alias("n_hit"), "items", "spans", _contaminated().alias("contaminated"))
+    items = F.array_sort(F.col("items").cast(f"array<{benchmark.schema[item_col].dataType.simpleString()}>")).alias("items")
+    return found.select(id_col, "n_words", _n_hit().alias("n_hit"), items, "spans", _contaminated().alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, blocks: Iterable[list[Patterns]], text_col: str = "text") -> DataFrame:
