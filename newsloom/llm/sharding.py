@@ -1,11 +1,11 @@
 """Contiguous shards of near-equal bytes from global prefix sums of record sizes.
 
-Only (id, size, crc32) moves. Equal records are folded to one row with a count before the shuffle, so that
-copies never meet in one task; the ids are cut into ranges at quantiles, ranges get totals, the totals'
+Only (id, size, crc32) moves. Equal records are folded to one row with a count before the shuffle, and counts over ``FOLD`` are
+cut into pieces, so that copies never meet in one task. The rows are dealt into ranges of (id, size, crc32), ranges get totals, the totals'
 prefix sums give each range its first byte, and a running sum inside the range gives each record its own.
 Everything is built-in DataFrame work.
 
-Defined cases: a null text has the size of its overhead alone and a null crc32; a null id sorts first;
+Defined cases: ids may be of any type with an order; a null text has the size of its overhead alone and a null crc32; a null id sorts first;
 ties of id go by size and crc32, and equal records are interchangeable; an empty table gives no rows; extra
 columns are ignored.
 """
@@ -19,9 +19,8 @@ from newsloom.llm import store
 
 SHARDS = 40
 OVERHEAD = 16
-#: Ranges of ids whose totals are summed up; fixed, so the table of totals is at most this long.
-RANGES = 1024
-_STEP = 32
+#: Most equal records that one folded row stands for.
+FOLD = 100_000
 
 
 def record_size(text: Column, overhead: int = OVERHEAD) -> Column:
@@ -29,27 +28,17 @@ def record_size(text: Column, overhead: int = OVERHEAD) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(overhead)).cast("long")
 
 
-def _range_of(key: Column, cuts: list) -> Column:
-    """Number of cuts below the key: first among every 32nd cut, then among the 32 that follow."""
-    if not cuts:
-        return F.lit(0)
-    every = F.lit(cuts[_STEP - 1 :: _STEP]) if len(cuts) >= _STEP else None
-    coarse = F.size(F.filter(every, lambda c: c < key)) if every is not None else F.lit(0)
-    fine = F.size(F.filter(F.slice(F.lit(cuts), coarse * _STEP + 1, _STEP), lambda c: c < key))
-    return F.when(key.isNull(), -1).otherwise(coarse * _STEP + fine)
-
-
-def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, ranges: int = RANGES) -> DataFrame:
+def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
     """One row per record: id, size, text_crc32, shard (0 to shards - 1) and slot (gapless from 0 in a shard).
 
     A record goes where its middle byte lies among equal cuts of all bytes, so shards differ by one record at most
     on either side of a cut. With a table of fewer bytes than cuts some shards stay empty.
     """
-    text = F.col(text_col).cast("string")
+    text, order = F.col(text_col).cast("string"), ["_id", "_size", "_crc", "_piece"]
     sized = docs.select(F.col(id_col).alias("_id"), record_size(text).alias("_size"), F.crc32(F.encode(text, "UTF-8")).alias("_crc"))
-    folded = sized.groupBy("_id", "_size", "_crc").agg(F.count("*").alias("_n"))
-    cuts = docs.agg(F.percentile_approx(id_col, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
-    ranged = folded.withColumn("_range", _range_of(F.col("_id"), cuts))
+    folded = sized.groupBy("_id", "_size", "_crc").agg(F.count("*").alias("_all")).withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_all") - 1, F.lit(FOLD).cast("long"))))
+    folded = folded.withColumn("_n", F.least(F.lit(FOLD).cast("long"), F.col("_all") - F.col("_piece"))).drop("_all")
+    ranged = store.durable(folded.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranged")  # written, so the ranges hold
     by_range = ranged.groupBy("_range").agg(F.sum(F.col("_size") * F.col("_n")).alias("_bytes"), F.sum("_n").alias("_rows"))
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     before = by_range.select(
@@ -58,7 +47,7 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows_before"),
         F.sum("_bytes").over(Window.partitionBy()).alias("_all"),
     )
-    inside = Window.partitionBy("_range").orderBy("_id", "_size", "_crc").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = ranged.select(
         "*",
         F.coalesce(F.sum(F.col("_size") * F.col("_n")).over(inside), F.lit(0)).alias("_bytes_in"),
