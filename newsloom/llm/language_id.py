@@ -7,10 +7,13 @@ the answer, the score is the share of its likelihood when each byte saved counts
 ``MARGIN`` of the size is marked rejected.
 
 Only the dictionaries are sampled: at most ``DICTIONARY_BYTES`` for each language, from at most ``DICTIONARY_DOCS``
-labelled texts taken in the order of a hash of their id. Every whole text is classified.
+labelled texts taken in the order of a hash of their id and read whole; of a text's distinct words at most ``DICTIONARY_BYTES`` leave its
+task, spread over the text. Every whole text is classified.
 
-Defined cases: a null text or one without a letter is ``und`` with score 0; labels that are null or blank teach nothing;
-without labelled rows all is ``und``; ties go to the language with most labelled rows, then to the first in the alphabet; repeated rows and extra columns are harmless.
+Defined cases: letters are the characters of the Unicode categories L*, so digits, superscripts and fractions are none; a null text or one
+without a letter is ``und`` with score 0; labels that are null or blank teach nothing;
+without labelled rows all is ``und``; ties go to the language with most labelled rows, then to the first in the alphabet; repeated rows each
+get their row and teach once; ids may be of any type; an empty table gives no rows; extra columns are harmless.
 """
 
 from __future__ import annotations
@@ -31,11 +34,25 @@ DICTIONARY_DOCS = 200
 LEVEL = 12
 MARGIN = 0.01
 UNKNOWN = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+_WORDS = re.compile(r"[^\W\d_]+")  # letters, and some numerals that are sorted out below
+
+
+def words_of(text: str) -> list[str]:
+    """Distinct runs of letters in order of first appearance."""
+    found = dict.fromkeys(_WORDS.findall(text.lower()))
+    if all(map(str.isalpha, found)):  # true of the categories L* alone
+        return list(found)
+    return list(dict.fromkeys(part for w in found for part in "".join(c if c.isalpha() else " " for c in w).split()))
 
 
 def letters_of(text: str) -> bytes:
-    return " ".join(dict.fromkeys(_LETTERS.findall(text.lower()))).encode()
+    return " ".join(words_of(text)).encode()
+
+
+def _spread(words: list[str], most: int) -> list[str]:
+    """Words of at most so many bytes with their spaces, evenly from the whole list."""
+    size = sum(len(w.encode()) + 1 for w in words)
+    return words if size <= most else words[:: -(-size // most)]
 
 
 def fold(id_col: str, n: int) -> Column:
@@ -45,12 +62,20 @@ def fold(id_col: str, n: int) -> Column:
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> dict[str, bytes]:
     """The dictionaries, the language with most labelled rows first, each within the bound."""
     usable = labelled.where(F.trim(label_col) != "").where(F.length(text_col) > 0)
-    texts = usable.select(F.col(label_col).alias("_l"), F.xxhash64(F.col(id_col).cast("string")).alias("_o"), F.substring(text_col, 1, 4096).alias("_t"))
-    first = texts.withColumn("_k", F.row_number().over(Window.partitionBy("_l").orderBy("_o", "_t"))).where(F.col("_k") <= DICTIONARY_DOCS)
+    rows = usable.select(F.col(label_col).alias("_l"), F.col(id_col).cast("string").alias("_i"), F.col(text_col).cast("string").alias("_t"))
+    order = rows.select("_l", "_i", F.xxhash64("_i").alias("_o"), F.xxhash64("_t").alias("_h")).distinct()
+    first = order.withColumn("_k", F.row_number().over(Window.partitionBy("_l").orderBy("_o", "_i", "_h"))).where(F.col("_k") <= DICTIONARY_DOCS)
+    chosen = rows.withColumn("_h", F.xxhash64("_t")).join(first, ["_l", "_i", "_h"]).select("_l", "_k", "_t")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(_t=[" ".join(_spread(words_of(t), DICTIONARY_BYTES)) for t in batch._t])
+
     known = [row._l for row in usable.groupBy(F.col(label_col).alias("_l")).count().orderBy(F.desc("count"), "_l").toLocalIterator()]
     parts: dict[str, dict[bytes, None]] = {label: {} for label in known}
-    for row in first.orderBy("_l", "_k").toLocalIterator():
-        parts[row._l][letters_of(row._t)] = None
+    for row in chosen.dropDuplicates(["_l", "_k"]).mapInPandas(run, "_l string, _k int, _t string").orderBy("_l", "_k").toLocalIterator():
+        if sum(map(len, parts[row._l])) < DICTIONARY_BYTES:
+            parts[row._l][row._t.encode()] = None
     return {label: b" ".join(parts[label])[:DICTIONARY_BYTES] for label in known}
 
 
