@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.llm import bytesets, components, contamination, embedding_dedup, language_id, mixing, ngram_join, quality, registry, secrets, sharding, url_filters, warc
+from newsloom.llm import bytesets, components, contamination, embedding_dedup, language_id, mixing, ngram_join, quality, registry, secrets, sharding, store, url_filters, warc
 from tests.oracle import assert_same, connection
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -144,9 +144,10 @@ def test_words_match_the_regular_expression():
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 150)]
-    got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
-    assert {r.node: r.component for r in got} == {**dict.fromkeys(range(61), 0), 100: 100, 150: 100, 200: 100}
-    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    with store.Tables(spark) as tables:
+        got = components.components(spark.createDataFrame(edges, "a long, b long"), tables).collect()
+        assert {r.node: r.component for r in got} == {**dict.fromkeys(range(61), 0), 100: 100, 150: 100, 200: 100}
+        assert components.components(spark.createDataFrame([], "a long, b long"), tables).count() == 0
 
 
 # --- quality and language ---------------------------------------------------------------------------
@@ -280,24 +281,93 @@ def test_randomness_tests(spark):
 # --- mixing, archives, contamination, vectors ----------------------------------------------------------------
 
 
-def test_raking_meets_targets(spark):
-    draw = random.Random(1)
-    cells = spark.createDataFrame([(f"s{i}", f"l{j}", f"t{k}", draw.randint(10, 1000)) for i in range(6) for j in range(3) for k in range(4)], "_source string, _lang string, _topic string, tokens long")
-    targets = {"_source": spark.createDataFrame([(f"s{i}", 1 / 6) for i in range(6)], "_source string, target double"), "_lang": spark.createDataFrame([("l0", 0.5), ("l1", 0.25), ("l2", 0.25)], "_lang string, target double")}
-    fitted = mixing.rake(cells, targets, rounds=20, tolerance=1e-6).toPandas()
-    total = fitted.tokens.sum()
-    assert np.allclose(fitted.groupby("_source").weight.sum() / total, 1 / 6, atol=1e-3) and np.allclose(fitted.groupby("_lang").weight.sum() / total, [0.5, 0.25, 0.25], atol=1e-3)
-    p = mixing.probabilities(spark.createDataFrame(fitted), 0.5).toPandas()
-    assert p.p.between(0, 1).all() and abs((p.p * p.tokens).sum() / total - 0.5) < 1e-3
+def plain_ipf(tokens, targets, rounds):
+    """Proportional fitting of an array of cells to target shares of each axis, by loops."""
+    w, total = tokens.astype(float), tokens.sum()
+    for _ in range(rounds):
+        for axis, target in targets.items():
+            others = tuple(a for a in range(w.ndim) if a != axis)
+            shape = [1] * w.ndim
+            shape[axis] = -1
+            w = w * (np.asarray(target) * total / w.sum(axis=others)).reshape(shape)
+    return w
+
+
+def test_raking_equals_plain_fitting(spark):
+    draw = np.random.default_rng(1)
+    tokens = draw.integers(10, 1000, (6, 3, 4))
+    source, lang, topic = [1 / 6] * 6, [0.5, 0.3, 0.2], [0.4, 0.3, 0.2, 0.1]
+    cells = spark.createDataFrame([(f"s{i}", f"l{j}", f"t{k}", int(tokens[i, j, k])) for i in range(6) for j in range(3) for k in range(4)], "source string, lang string, topic string, tokens long")
+    side = lambda m, c, shares: spark.createDataFrame([(f"{c}{i}", x) for i, x in enumerate(shares)] + [("unknown", 0.5)], f"{m} string, target double")
+    targets = {"source": side("source", "s", source), "lang": side("lang", "l", lang), "topic": side("topic", "t", topic)}
+    with store.Tables(spark) as tables:
+        fitted, errors = mixing.rake(cells, targets, tables, tolerance=1e-9)
+        got = {(r.source, r.lang, r.topic): r.weight for r in fitted.collect()}
+        want = plain_ipf(tokens, {0: source, 1: lang, 2: topic}, 60)
+        assert max(errors.values()) < 1e-9 and all(abs(got[f"s{i}", f"l{j}", f"t{k}"] / want[i, j, k] - 1) < 1e-6 for i in range(6) for j in range(3) for k in range(4))
+        scaled, short = mixing.probabilities(fitted, 0.5)
+        p = scaled.toPandas()
+        assert p.p.between(0, 1).all() and abs((p.p * p.tokens).sum() / tokens.sum() - 0.5) < 1e-6 and abs(short) < 1e-6
+        # margins that contradict each other leave a residual
+        odd = spark.createDataFrame([("s0", "l0", "t", 10), ("s1", "l1", "t", 10)], "source string, lang string, topic string, tokens long")
+        _, errors = mixing.rake(odd, {"source": side("source", "s", [0.9, 0.1]), "lang": side("lang", "l", [0.5, 0.5])}, tables, rounds=4)
+        assert max(errors.values()) > 0.1
+
+
+def test_mixing_whole_table(spark, small):
+    mix = mixing.mixed(spark.read.parquet(f"{small}/documents.parquet"))
+    rows, cells = mix.rows.toPandas(), mix.cells.toPandas()
+    docs = spark.read.parquet(f"{small}/documents.parquet").toPandas().set_index("doc_id")
+    assert len(rows) == len(docs) and [len(SPACED.findall(docs.text[i])) for i in rows.id] == rows.n_tokens.tolist()
+    assert rows.groupby("topic").size().max() < 0.6 * len(rows) and rows.topic.nunique() > 3
+    sums = rows.groupby(mixing.MARGINS).n_tokens.sum()
+    assert sums[sums > 0].to_dict() == cells.set_index(mixing.MARGINS).tokens.to_dict()
+    p = cells.set_index(mixing.MARGINS).p
+    assert all(abs(r.p - p.get((r.source, r.lang, r.topic), 1.0)) < 1e-12 for r in rows.itertuples())
+    total = cells.tokens.sum()
+    for margin, error in ((m, mix.residuals[m]) for m in mixing.MARGINS):
+        shares = cells.groupby(margin).tokens.sum() ** mixing.TEMPER
+        off = (cells.groupby(margin).weight.sum() / total / (shares / shares.sum()) - 1).abs().max()
+        assert off < max(2 * max(mix.residuals.values()), mixing.TOLERANCE) + 1e-9, (margin, error, off)
+    assert abs((p * cells.set_index(mixing.MARGINS).tokens).sum() / total - mixing.BUDGET) < 1e-3
+    # the sample's own weights lie near their expectation
+    assert abs(rows[rows.kept].n_tokens.sum() / total - mixing.BUDGET) < 0.15
+    kept = mixing.sampled(spark.read.parquet(f"{small}/documents.parquet"))
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == set(rows[rows.kept].id)
+
+
+def test_topics_follow_the_words(spark):
+    draw = random.Random(3)
+    words = {k: [f"{k}{i}" for i in range(60)] for k in "abc"}
+    rows = [(i, " ".join(draw.choice(words["abc"[i % 3]]) for _ in range(60)), "xy"[i // 3 % 2]) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("source", F.lit("s"))
+    with store.Tables(spark) as tables:
+        got = mixing.placed_in_topics(docs, tables, topics=3).select("id", "topic").collect()
+    by = defaultdict(Counter)
+    for r in got:
+        by[r.id % 3][r.topic] += 1
+    assert len({c.most_common(1)[0][0] for c in by.values()}) == 3 and all(c.most_common(1)[0][1] >= 36 for c in by.values())
 
 
 def test_mixing_edges(spark):
-    placed, _ = mixing.mixed(documents(spark))
-    rows = placed.collect()
-    assert len(rows) == len(EDGE) and all(0 <= r[mixing.P] <= 1 for r in rows)
-    assert mixing.mixed(documents(spark, []))[0].count() == 0
-    again, _ = mixing.mixed(documents(spark))
-    assert sorted((r.doc_id or 0, r[mixing.KEPT]) for r in again.collect()) == sorted((r.doc_id or 0, r[mixing.KEPT]) for r in rows)
+    rows = mixing.mixed(documents(spark)).rows.collect()
+    assert len(rows) == len(EDGE) and all(0 <= r.p <= 1 for r in rows)
+    assert {r.topic for r in rows if r.id in (1, 2, 3)} == {"(none)"} and {r.source for r in rows if r.id == 4} == {"(none)"}
+    assert all(r.p == 1 and r.kept for r in rows if r.id in (1, 2, 3))  # their cell has no tokens
+    same = [r for r in rows if r.id == 7 and r.n_tokens == 1]
+    assert len(same) == 2 and len({(r.kept, r.p) for r in same}) == 1
+    assert mixing.mixed(documents(spark, [])).rows.count() == 0 and mixing.sampled(documents(spark, [])).count() == 0
+    again = mixing.mixed(documents(spark)).rows.collect()
+    assert sorted((r.id or 0, r.kept) for r in again) == sorted((r.id or 0, r.kept) for r in rows)
+    kept = mixing.sampled(documents(spark))
+    assert kept.columns == documents(spark).columns and sorted(r.doc_id or 0 for r in kept.collect()) == sorted(r.id or 0 for r in rows if r.kept)
+    # a value without a target keeps its share, one without documents is ignored
+    target = {"source": spark.createDataFrame([("s", 0.5), ("nowhere", 0.5)], "source string, target double")}
+    cells = mixing.mixed(documents(spark), target).cells.toPandas()
+    share = cells[cells.source == "s"].weight.sum() / cells.tokens.sum()
+    assert abs(share - 0.5) < 1e-3 and abs(cells[cells.source == "(none)"].weight.sum() - cells[cells.source == "(none)"].tokens.sum()) < 1e-6
+    words = spark.createDataFrame([("a", "x y"), ("b", None)], "doc_id string, text string").withColumns({"source": F.lit("s"), "lang": F.lit(None).cast("string")})
+    assert mixing.mixed(words).rows.count() == 2
 
 
 def test_warc(spark, tmp_path):
@@ -418,9 +488,15 @@ def test_filters_recall():
     v = draw.normal(size=u.shape)
     v -= (u * v).sum(1, keepdims=True) * u
     v = 0.9 * u + np.sqrt(1 - 0.81) * v / np.linalg.norm(v, axis=1, keepdims=True)
-    codes = embedding_dedup.product_codes(100_000, 64)
-    met = [bool(set(a.tolist()) & set(b.tolist())) for a, b in zip(embedding_dedup.decode(codes, u), embedding_dedup.decode(codes, v), strict=True)]
-    assert np.mean(met) >= 0.98
+    codes = embedding_dedup.product_codes(100_000, 64).codes()
+    (ru, fu), (rv, fv) = embedding_dedup.decode(codes, u), embedding_dedup.decode(codes, v)
+    met = {a for a, _ in set(zip(ru.tolist(), fu.tolist())) & set(zip(rv.tolist(), fv.tolist()))}
+    assert len(met) / len(u) >= 0.98
+    goal = codes[0].height * np.sqrt(2)
+    turned = u[:50] @ codes[0].rotation
+    sums = (turned[:, :32] @ codes[0].codes[0].T)[:, :, None] + (turned[:, 32:] @ codes[0].codes[1].T)[:, None, :]
+    row, number = codes[0].decode(u[:50])
+    assert set(zip(row.tolist(), number.tolist())) == {(r, i * sums.shape[2] + j) for r, i, j in zip(*(x.tolist() for x in np.nonzero(sums >= goal)), strict=True)}
 
 
 # --- pipeline ------------------------------------------------------------------------------------------
