@@ -3,6 +3,11 @@
 quality: documents that the quality ranking rejects go. ngram_join: one document of each near-duplicate group stays.
 decontaminate: documents that hold benchmark passages go. mix: documents are sampled so that source, language and topic
 meet their target weights. shards: what is left is put into 40 shards of near-equal bytes.
+
+Defined cases: null and empty texts score like any other, are never near-duplicates or contaminated, and go or stay by their quality and cell;
+rows that share an id are judged each by its own text; rows with a null id stay unless their quality, contamination or cell drops them;
+repeated equal rows with an id become one in the n-gram join, if they have words; an empty table gives no rows; extra columns, whatever their
+names, pass through all stages but the last, which has columns of its own. Names that start with ``__nl_`` are reserved.
 """
 
 from __future__ import annotations
@@ -31,8 +36,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    placed, _ = mixing.mixed(docs)
-    return placed.where(mixing.KEPT).select(*docs.columns)
+    return mixing.sampled(docs)
 
 
 def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
