@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import overlap_tokens
+from newsloom.functions.text import overlap_tokens, settled
 
 MINIMUMS = {"paragraph": 0.16, "why": 0.11, "agree": 0.14, "differ": 0.13, "watch": 0.10}
 
@@ -39,11 +39,13 @@ def grounding_report(sections: DataFrame) -> DataFrame:
 
 
 def support_concentration(refs: DataFrame) -> DataFrame:
-    """(brief_id, refs, articles, outlets, dominant_outlet, dominant_share). refs: brief_id, article_id, outlet; ties go to the smaller outlet."""
+    """(brief_id, refs, articles, bodies, outlets, dominant_outlet, dominant_share); bodies are the articles read whole.
+
+    refs: brief_id, article_id, outlet, has_body; ties go to the smaller outlet."""
     by = refs.groupBy("brief_id", "outlet").agg(F.count("*").alias("n"))
     top = by.groupBy("brief_id").agg(F.sum("n").alias("refs"), F.count("*").alias("outlets"), F.max_by("outlet", F.struct("n", -F.col("outlet"))).alias("dominant_outlet"), F.max("n").alias("_m"))
-    articles = refs.groupBy("brief_id").agg(F.countDistinct("article_id").alias("articles"))
-    return top.join(articles, "brief_id").select("brief_id", "refs", "articles", "outlets", "dominant_outlet", F.round(F.col("_m") / F.col("refs"), 6).alias("dominant_share"))
+    articles = refs.groupBy("brief_id").agg(F.countDistinct("article_id").alias("articles"), F.countDistinct(F.when(F.col("has_body"), F.col("article_id"))).alias("bodies"))
+    return top.join(articles, "brief_id").select("brief_id", "refs", "articles", "bodies", "outlets", "dominant_outlet", F.round(F.col("_m") / F.col("refs"), 6).alias("dominant_share"))
 
 
 def duplicate_paragraphs(paragraphs: DataFrame, least: float = 0.82) -> DataFrame:
@@ -58,12 +60,48 @@ def quotes_balanced(text):
     return (F.regexp_count(text, F.lit("“")) == F.regexp_count(text, F.lit("”"))) & (F.regexp_count(text, F.lit('"')) % 2 == 0)
 
 
-def quality_flags(briefs: DataFrame, rules: list[tuple[str, str, object]]) -> DataFrame:
-    """briefs with flags, risk (30 a critical, 12 a warning, 100 at most), priority. rules: code, severity, condition."""
+def brief_rules() -> list[tuple[str, str, Column]]:
+    """The rules (code, severity, condition) on a story and its stored brief. Where a graver rule of a kind holds, the milder one does not.
+
+    Columns: has_brief, status, ready_now, stored_ready, alternate_expected, alternate_stored, agree_mode; of the sources now: comparison, stub_shells, contextual; of the snapshot: snapshot_stubs; of the sections:
+    ratio, unsupported, weak; of the support: refs, outlets, articles, bodies, dominant_share; of the texts: duplicates, unbalanced, one_source, early_split, follow_on."""
+    c = F.col
+    stored, full = F.coalesce(c("has_brief"), F.lit(False)), c("status") == "full"
+    agrees = F.coalesce(c("agree_mode"), F.lit("")) != "scaffold"
+    groups: list[list[tuple[str, str, Column]]] = [
+        [("full_without_breadth", "critical", full & ~c("ready_now")), ("ready_but_early", "warning", ~full & c("ready_now"))],
+        [("readiness_stale", "warning", c("stored_ready") != c("ready_now"))],
+        [("open_alternate_missing", "warning", c("alternate_expected") & ~c("alternate_stored"))],
+        [("stub_drives_brief", "critical", agrees & (c("comparison") == 0) & ((c("stub_shells") > 0) | (c("snapshot_stubs") > 0))), ("context_drives_brief", "warning", agrees & (c("comparison") == 0) & (c("contextual") > 0))],
+        [("no_section_support", "critical", c("refs") == 0), ("grounding_failures", "critical", (c("ratio") < 0.5) | (c("unsupported") >= 2)), ("grounding_warnings", "warning", (c("unsupported") > 0) | (c("weak") >= 2))],
+        [("full_on_one_outlet", "critical", full & (c("outlets") < 2)), ("full_with_dominant_outlet", "warning", full & (c("dominant_share") >= 0.8))],
+        [("full_on_one_article", "warning", full & (c("articles") < 2))],
+        [("full_on_few_bodies", "warning", full & (c("bodies") < 2))],
+        [("duplicate_paragraphs", "warning", c("duplicates") > 0)],
+        [("unbalanced_quotes", "warning", c("unbalanced") > 0)],
+        [("full_says_one_source", "critical", full & c("one_source"))],
+        [("full_with_early_split", "warning", full & c("early_split"))],
+        [("full_with_follow_on", "warning", full & c("follow_on"))],
+    ]
+    out = [("no_brief", "critical", ~stored)]
+    for group in groups:
+        before = F.lit(False)
+        for code, severity, test in group:
+            test = F.coalesce(test, F.lit(False))
+            out.append((code, severity, stored & test & ~before))
+            before = before | test
+    return sorted(out, key=lambda rule: (rule[1] != "critical", rule[0]))
+
+
+def quality_flags(briefs: DataFrame, rules: list[tuple[str, str, Column]] | None = None) -> DataFrame:
+    """briefs with flags (critical ones first), risk (30 a critical, 12 a warning, 100 at most), priority. rules: code, severity, condition; brief_rules by default."""
+    rules = brief_rules() if rules is None else rules
     listed = F.filter(F.array(*(F.when(test, code) for code, _, test in rules)), lambda x: x.isNotNull())
-    number = lambda kind: sum((F.when(test, 1).otherwise(0) for _, severity, test in rules if severity == kind), F.lit(0))
-    critical, warning = number("critical"), number("warning")
-    return briefs.withColumn("flags", listed).withColumn("risk", F.least(F.lit(100), 30 * critical + 12 * warning)).withColumn("priority", F.when(critical > 0, "critical").when(warning > 0, "warning").otherwise("pass"))
+    grave = [code for code, severity, _ in rules if severity == "critical"]
+    critical = F.size(F.filter("flags", lambda x: x.isin(grave)))
+    out = settled(briefs.withColumn("flags", listed))
+    warning = F.size("flags") - critical
+    return out.withColumn("risk", F.least(F.lit(100), 30 * critical + 12 * warning)).withColumn("priority", F.when(critical > 0, "critical").when(warning > 0, "warning").otherwise("pass"))
 
 
 def review_sample(evaluations: DataFrame, limit: int = 12, controls: int = 2) -> DataFrame:
@@ -86,17 +124,18 @@ def quality_report(evaluations: DataFrame) -> DataFrame:
     )
 
 
-def source_health(sources: DataFrame, discoveries: DataFrame, articles: DataFrame, as_of: int, hours: int = 48, top: int = 20) -> DataFrame:
-    """Per source over the last hours: discoveries by status, articles and their quality; each fact is summed before it is joined.
+def source_health(sources: DataFrame, discoveries: DataFrame, articles: DataFrame, feeds: DataFrame, as_of: int, hours: int = 48, top: int = 20) -> DataFrame:
+    """Per source over the last hours: discoveries by status, articles and their quality, active feeds; each fact is summed before it is joined.
 
-    discoveries: source_id, status, second; articles: source_id, story_id, second, is_substantive, is_open, is_paywalled."""
+    discoveries: source_id, status, second, blocked; articles: source_id, story_id, second, is_substantive, is_open, is_paywalled, rendered; feeds: source_id, is_active."""
     since = as_of - 3600 * hours
-    d = discoveries.where(F.col("second") >= since).groupBy("source_id").agg(F.count("*").alias("discoveries"), *(F.count_if(F.col("status") == s).alias(s) for s in ("fetched", "failed", "pending", "normalized")))
+    d = discoveries.where(F.col("second") >= since).groupBy("source_id").agg(F.count("*").alias("discoveries"), *(F.count_if(F.col("status") == s).alias(s) for s in ("fetched", "failed", "pending", "normalized")), F.count_if("blocked").alias("blocked"))
+    f = feeds.groupBy("source_id").agg(F.count_if("is_active").alias("active_feeds"))
     a = articles.where(F.col("second") >= since).groupBy("source_id").agg(
         F.count("*").alias("articles"), F.count_if("is_substantive").alias("substantive"), F.count_if("is_open").alias("open_articles"), F.count_if("is_paywalled").alias("paywalled"),
-        F.count_if(F.col("is_paywalled") & ~F.col("is_substantive")).alias("thin_paywalled"), F.countDistinct("story_id").alias("stories"),
+        F.count_if(F.col("is_paywalled") & ~F.col("is_substantive")).alias("thin_paywalled"), F.count_if("rendered").alias("rendered"), F.countDistinct("story_id").alias("stories"),
     )
-    rows = sources.join(d, "source_id", "left").join(a, "source_id", "left")
+    rows = sources.join(d, "source_id", "left").join(a, "source_id", "left").join(f, "source_id", "left")
     rows = rows.fillna(0, [c for c in rows.columns if c not in sources.columns])
     rows = rows.withColumn("substantive_rate", F.round(F.try_divide("substantive", "articles"), 6))
     return rows.orderBy(F.desc("stories"), F.desc("substantive"), F.desc("discoveries"), "source_id").limit(top)
@@ -129,10 +168,13 @@ def consecutive_failures(polls: DataFrame) -> DataFrame:
     return p.withColumn("run", F.sum(F.when(F.col("ok"), 0).otherwise(1)).over(Window.partitionBy("feed_id", "_g").orderBy("second", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_g")
 
 
-def ops_metrics(articles: DataFrame, known_outlets: DataFrame) -> DataFrame:
-    """One row: median minutes from ingestion to story, share of articles whose outlet is known, mean days since refresh."""
+def ops_metrics(articles: DataFrame, known_outlets: DataFrame, corrections: DataFrame) -> DataFrame:
+    """One row: median minutes from ingestion to story, share of articles whose outlet is known, mean days since refresh, median hours from a report to its correction.
+
+    corrections: article_id, hours since the report (negative ones, which precede it, do not count)."""
     j = articles.join(known_outlets.select("outlet", "refreshed_days"), "outlet", "left")
-    return j.agg(F.median(F.col("story_minute") - F.col("minute")).alias("median_latency"), F.round(F.avg(F.col("refreshed_days").isNotNull().cast("double")), 6).alias("outlet_hit_rate"), F.round(F.avg("refreshed_days"), 6).alias("mean_refresh_days"))
+    late = corrections.where("hours >= 0").agg(F.median("hours").alias("correction_hours"), F.count("*").alias("corrections")).withColumn("_one", F.lit(1))
+    return j.agg(F.median(F.col("story_minute") - F.col("minute")).alias("median_latency"), F.round(F.avg(F.col("refreshed_days").isNotNull().cast("double")), 6).alias("outlet_hit_rate"), F.round(F.avg("refreshed_days"), 6).alias("mean_refresh_days")).withColumn("_one", F.lit(1)).join(late, "_one").drop("_one")
 
 
 def reader_sessions(events: DataFrame, gap: int = 1800) -> DataFrame:

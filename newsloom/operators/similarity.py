@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import overlap_tokens, squeeze, token_overlap
+from newsloom.operators.graph import components
+from newsloom.sources.scratch import Tables, durable
 
 DIMENSIONS = 384
 BIGRAM_WEIGHT = 1.75
@@ -25,24 +29,49 @@ def canonical_articles(articles: DataFrame, key: str, text: Column) -> DataFrame
     return rows.join(groups, "print").select(key, "canonical", "copies")
 
 
-def min_hash_bands(tokens: Column, bands: int) -> Column:
-    """One value a band: the least md5 of band number and token."""
-    def band(b: int) -> Column:
-        return F.concat(F.lit(f"{b}:"), F.array_min(F.transform(tokens, lambda t: F.md5(F.concat(F.lit(f"{b}:"), t).cast("binary")))))
+def similar_sets(sets: DataFrame, similar: float, by: list[str] = ()) -> DataFrame:
+    """(by, a, b, similarity): the prints of two token sets, a the earlier in ``at``, whose overlap is ``similar`` of the larger or more. All such pairs, and no others.
+
+    sets: by, print, at, tokens (distinct sets, no blank ones). Such sets share a token among the rarest n - ceil(similar * n) + 1 of each, so only these meet;
+    rarity is counted over the table, or within the columns of ``by``."""
+    by = list(by)
+    tokens = sets.select(*by, "print", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    counts = tokens.groupBy(*by, "token").agg(F.count("*").alias("held"))
+    ordered = tokens.join(counts.where("held > 1"), [*by, "token"]).groupBy(*by, "print", "n").agg(F.array_sort(F.collect_list(F.struct("held", "token"))).alias("common"))
+    # tokens that one set alone holds come first and match nothing: they use up the prefix
+    left = F.col("n") - F.ceil(F.lit(similar) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("common"))
+    keys = ordered.select(*by, "print", "n", F.explode(F.slice("common", 1, F.greatest(left, F.lit(0)).cast("int"))["token"]).alias("token"))
+    x, y = (keys.select(*by, "token", F.col("print").alias(k), F.col("n").alias(f"n{k}")) for k in "xy")
+    close = F.least("nx", "ny") >= similar * F.greatest("nx", "ny") - 1e-9
+    pairs = x.join(y, [*by, "token"]).where((F.col("x") < F.col("y")) & close).select(*by, "x", "y").distinct()
+    side = lambda k: sets.select(*by, F.col("print").alias(k), F.col("at").alias(f"at_{k}"), F.col("tokens").alias(f"t_{k}"))
+    both = pairs.join(side("x"), [*by, "x"]).join(side("y"), [*by, "y"]).withColumn("similarity", token_overlap(F.col("t_x"), F.col("t_y"))).where(F.col("similarity") >= similar)
+    first = F.col("at_x") < F.col("at_y")
+    return both.select(*by, F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b"), "similarity")
+
+
+def near_pairs(articles: DataFrame, key: str, text: Column, threshold: float) -> DataFrame:
+    """(a, b, similarity): articles whose token sets overlap enough. Equal sets are represented by their smallest key, so copies do not multiply pairs."""
+    rows = articles.select(F.col(key).alias("k"), F.array_sort(overlap_tokens(text)).alias("tokens")).where(F.size("tokens") > 0)
+    sets = rows.groupBy("tokens").agg(F.min("k").alias("print")).select("print", F.col("print").alias("at"), "tokens")
+    return similar_sets(durable(sets, "sets"), threshold)
 
-    return F.array(*map(band, range(bands)))
 
+def dedupe_articles(articles: DataFrame, key: str, url: str, headline: Column, body: Column, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """((key, canonical), relations (article, other, kind)): articles are one if they share a canonical url, their normalised body, or nearly their headline.
 
-def near_pairs(articles: DataFrame, key: str, text: Column, threshold: float, bands: int = 8) -> DataFrame:
-    """(a, b, similarity): articles whose token sets share a band and overlap enough. Equal token sets meet once, by their
-    smallest key, so copies do not multiply pairs."""
-    rows = articles.select(F.col(key).alias("k"), F.array_sort(overlap_tokens(text)).alias("tokens")).where(F.size("tokens") > 0)
-    once = rows.groupBy("tokens").agg(F.min("k").alias("k"))
-    banded = once.select("k", "tokens", F.explode(min_hash_bands(F.col("tokens"), bands)).alias("band"))
-    left, right = banded.select("band", F.col("k").alias("a"), F.col("tokens").alias("ta")), banded.select("band", F.col("k").alias("b"), F.col("tokens").alias("tb"))
-    similar = token_overlap(F.col("ta"), F.col("tb"), "similarity")
-    pairs = left.join(right, "band").where("a < b").withColumn("similarity", similar).where(F.col("similarity") >= threshold)
-    return pairs.select("a", "b", "similarity").distinct()
+    Relations of url and body run to the smallest key of the group; headlines relate equal sets to their smallest key, and these to each other. The canonical
+    article is the smallest key that relations reach."""
+    prints = {"url": F.when(F.coalesce(F.col(url), F.lit("")) != "", F.col(url)), "body": F.when(squeeze(body) != "", F.sha2(F.lower(squeeze(body)).cast("binary"), 256)), "headline": F.nullif(F.array_join(F.array_sort(overlap_tokens(headline)), " "), F.lit(""))}
+    rows = articles.select(F.col(key).alias("article"), F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), p.cast("string").alias("print")) for k, p in prints.items()))).alias("x")).select("article", "x.*").where("print IS NOT NULL")
+    least = rows.groupBy("kind", "print").agg(F.min("article").alias("other"), F.count("*").alias("n")).where("n > 1").drop("n")
+    same = rows.join(least, ["kind", "print"]).where("article <> other").select("article", "other", "kind")
+    near = near_pairs(articles, key, headline, threshold).select(F.col("b").alias("article"), F.col("a").alias("other"), F.lit("headline").alias("kind"))
+    relations = durable(same.unionByName(near), "relations")
+    with Tables(articles.sparkSession) as tables:
+        found = durable(components(relations, tables, "article", "other"), "canonical")
+    out = articles.select(F.col(key).alias("node")).join(found, "node", "left").select(F.col("node").alias(key), F.coalesce("component", "node").alias("canonical"))
+    return out, relations
 
 
 def syndication_variants(pairs: DataFrame, articles: DataFrame, key: str, outlet: str) -> DataFrame:
@@ -54,7 +83,7 @@ def syndication_variants(pairs: DataFrame, articles: DataFrame, key: str, outlet
 def embedding_text(title: Column, summary: Column, body: Column, entities: Column, tags: Column) -> Column:
     """The text that is embedded: distinct title, summary and first three useful sentences, entities, sorted tags; [a-z0-9 -] only."""
     sentences = F.filter(F.regexp_extract_all(squeeze(body), F.lit(r"([^.!?]+[.!?])"), 1), lambda s: F.length(F.trim(s)) >= 50)
-    parts = F.array_distinct(F.concat(F.array(squeeze(title), squeeze(summary)), F.transform(F.slice(sentences, 1, 3), F.trim)))
+    parts = F.array_distinct(F.concat(F.array(squeeze(title), squeeze(summary)), F.transform(F.slice(sentences, 1, 3), lambda x: F.trim(x))))  # bare F.trim would take the element's index for the characters to strip
     text = F.concat_ws(" ", F.array_join(F.filter(parts, lambda p: p != ""), " "), F.array_join(F.slice(entities, 1, 6), " "), F.array_join(F.array_sort(tags), " "))
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9 -]+", " "), " +", " "))
 
@@ -106,23 +135,117 @@ def cosine_pairs(pairs: DataFrame, vectors: DataFrame, key: str, vector: str) ->
     return joined.select("a", "b", F.when(fine, dot(F.col("va"), F.col("vb")) / (norm("va") * norm("vb"))).otherwise(0.0).alias("similarity"))
 
 
-def top_k_neighbors(vectors: DataFrame, key: str, vector: str, block: str, k: int = 6, least: float = 0.10) -> DataFrame:
-    """(item, neighbor, similarity, rank): the k most similar other items of the same block, ``least`` or more similar.
-
-    The block column bounds the pairs (a day, a language, an LSH band); the join on it is an equi-join, which the engine splits
-    where a block is large."""
-    v = vectors.select(F.col(key).alias("item"), F.col(block).alias("_block"), F.col(vector).alias("v"))
-    v = v.withColumn("n", F.sqrt(dot(F.col("v"), F.col("v")))).where("n > 0")
-    other = v.select(F.col("item").alias("neighbor"), "_block", F.col("v").alias("w"), F.col("n").alias("m"))
-    pairs = v.join(other, "_block").where("item <> neighbor").withColumn("similarity", dot(F.col("v"), F.col("w")) / (F.col("n") * F.col("m")))
-    ranked = pairs.where(F.col("similarity") >= least).withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("similarity"), "neighbor")))
-    return ranked.where(F.col("rank") <= k).select("item", "neighbor", "similarity", "rank")
-
-
-def neighbor_recall(neighbors: DataFrame, membership: DataFrame, key: str, story: str, k: int = 6) -> DataFrame:
-    """One row: items with mates, share of these with a hit among their neighbours, mean recall at k."""
+def _packed(vectors: DataFrame, key: str, vector: str, rows: int) -> DataFrame:
+    """(ids, v): blocks of up to ``rows`` unit vectors as bytes of doubles; zero vectors are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
+                x = np.array(batch.column("v").to_pylist(), np.float64).reshape(batch.num_rows, -1)
+                n = np.linalg.norm(x, axis=1)
+                good = n > 0
+                ids = batch.column("k").to_numpy()[good]
+                yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([(x[good] / n[good, None]).tobytes()], pa.binary())], ["ids", "v"])
+
+    frame = vectors.select(F.col(key).cast("long").alias("k"), F.col(vector).alias("v")).where("v IS NOT NULL AND size(v) > 0")
+    return frame.mapInArrow(run, "ids array<long>, v binary")
+
+
+def _best(k: int, least: float):
+    """Of pairs of blocks (qids, qv, ids, v) the best ``k`` of each query in each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for qids, qv, ids, v in zip(*(batch.column(c).to_pylist() for c in ("qids", "qv", "ids", "v")), strict=True):
+                if not qids or not ids:
+                    continue
+                q, x, ids = np.frombuffer(qv).reshape(len(qids), -1), np.frombuffer(v).reshape(len(ids), -1), np.array(ids)
+                near = np.round(q @ x.T, 9)
+                near[np.array(qids)[:, None] == ids[None, :]] = -2
+                order = np.lexsort((np.broadcast_to(ids, near.shape), -near), axis=1)[:, :k]
+                best = np.take_along_axis(near, order, 1)
+                row, col = np.nonzero(best >= least)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(qids)[row]), pa.array(ids[order[row, col]]), pa.array(best[row, col])], ["item", "neighbor", "similarity"])
+
+    return run
+
+
+_FOUND = "item long, neighbor long, similarity double"
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("item").orderBy(F.desc("similarity"), "neighbor")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("item", "neighbor", "similarity", "rank")
+
+
+def top_k_neighbors(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int = 6, least: float = 0.10, block: int = 512) -> DataFrame:
+    """(item, neighbor, similarity, rank): of each query vector the k most similar other items of all vectors, ``least`` or more similar. Exact.
+
+    Vectors travel in blocks; every block of queries meets every block of vectors once, in a cell of the vectors' block, as one matrix product that
+    gives out k rows a query. The work is queries times vectors: keep the queries few, or use lsh_neighbors."""
+    cells = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = _packed(queries, key, vector, block).select(F.col("ids").alias("qids"), F.col("v").alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
+    held = _packed(vectors, key, vector, block).withColumn("cell", F.pmod(F.xxhash64("ids"), F.lit(cells)).cast("int"))
+    return _ranked(held.join(asked, "cell").mapInArrow(_best(k, least), _FOUND), k)
+
+
+def hyperplanes(n: int, dims: int, similarity: float, recall: float, bucket: int) -> tuple[np.ndarray, int]:
+    """Normals for enough tables of sign bits that vectors of this similarity share a bucket of one with probability ``recall``."""
+    bits = max(0, math.ceil(math.log2(max(n, 1) / bucket)))
+    meet = (1 - math.acos(similarity) / math.pi) ** bits
+    tables = 1 if meet >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - meet))
+    return np.random.default_rng(17).standard_normal((tables, bits, dims)), tables
+
+
+def lsh_neighbors(vectors: DataFrame, key: str, vector: str, k: int = 6, least: float = 0.10, similarity: float = 0.42, recall: float = 0.95, bucket: int = 1024, window: str | None = None) -> DataFrame:
+    """The same for all items at once, approximately: an item meets those that share a bucket of sign bits in one of several tables.
+
+    Pairs of ``similarity`` meet with probability ``recall``, more similar ones more surely. ``window`` (a day, say) bounds what may meet at all. A bucket with more
+    than ``bucket`` vectors is cut into blocks that meet pairwise."""
+    rows = durable(vectors.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"), (F.lit(0) if window is None else F.col(window)).alias("w")).where("v IS NOT NULL AND size(v) > 0"), "vectors")
+    size = rows.groupBy("w").count().agg(F.max("count").alias("n")).first().n or 0
+    shape = rows.select(F.size("v").alias("d")).first()
+    normals, tables = hyperplanes(size, shape.d if shape else 1, similarity, recall, bucket)
+
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = (1 << np.arange(normals.shape[1])).astype(np.int64)
+        for batch in batches:
+            x = np.array(batch.column("v").to_pylist()).reshape(batch.num_rows, -1)
+            codes = np.stack([((x @ t.T > 0) @ weights if len(weights) else np.zeros(len(x), np.int64)) for t in normals], axis=1)
+            where = np.repeat(np.arange(batch.num_rows), tables)
+            yield pa.RecordBatch.from_arrays([batch.column("k").take(pa.array(where)), batch.column("w").take(pa.array(where)), pa.array(np.tile(np.arange(tables), batch.num_rows)), pa.array(codes.ravel())], ["k", "w", "t", "code"])
+
+    placed = durable(rows.mapInArrow(buckets, f"k long, w {rows.schema['w'].dataType.simpleString()}, t long, code long"), "buckets")
+    held = placed.groupBy("w", "t", "code").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / bucket))
+    dealt = placed.join(held, ["w", "t", "code"]).withColumn("r", F.pmod(F.xxhash64("k", "t"), F.col("blocks")))
+    dealt = dealt.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("w", "t", "code", F.least("r", "s").alias("i"), F.greatest("r", "s").alias("j"), "r", "k").join(rows.select("k", "v"), "k")
+
+    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf.r == pdf.i.iloc[0]], pdf[pdf.r == pdf.j.iloc[0]]
+        out = []
+        for q, x in ((left, right),) if pdf.i.iloc[0] == pdf.j.iloc[0] else ((left, right), (right, left)):
+            if len(q) and len(x):
+                a, b = (np.stack(side.v.to_numpy()) for side in (q, x))
+                a, b = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (a, b))
+                near, ids = np.round(a @ b.T, 9), x.k.to_numpy()
+                near[q.k.to_numpy()[:, None] == ids[None, :]] = -2
+                order = np.lexsort((np.broadcast_to(ids, near.shape), -near), axis=1)[:, :k]
+                best = np.take_along_axis(near, order, 1)
+                row, col = np.nonzero(best >= least)
+                out.append(pd.DataFrame({"item": q.k.to_numpy()[row], "neighbor": ids[order[row, col]], "similarity": best[row, col]}))
+        return pd.concat(out) if out else pd.DataFrame({"item": [], "neighbor": [], "similarity": []})
+
+    found = dealt.groupBy("w", "t", "code", "i", "j").applyInPandas(pairs, _FOUND).distinct()
+    return _ranked(found, k)
+
+
+def neighbor_recall(neighbors: DataFrame, membership: DataFrame, key: str, story: str, k: int = 6, items: DataFrame | None = None) -> DataFrame:
+    """One row: items with mates (of those asked about), share of these with a hit among their neighbours, mean recall at k."""
     m = membership.select(F.col(key).alias("item"), F.col(story).alias("s"))
     mates = m.join(m.groupBy("s").agg((F.count("*") - 1).alias("mates")), "s").where("mates > 0")
+    mates = mates if items is None else mates.join(items.select(F.col(key).alias("item")), "item", "left_semi")
     hits = neighbors.join(m, "item").join(m.toDF("neighbor", "t"), "neighbor").where("s = t").groupBy("item").agg(F.count("*").alias("hits"))
     each = mates.join(hits, "item", "left").select(F.coalesce("hits", F.lit(0)).alias("hits"), "mates")
     return each.agg(F.count("*").alias("items"), F.avg((F.col("hits") > 0).cast("double")).alias("hit_rate"), F.avg(F.col("hits") / F.least("mates", F.lit(k))).alias("recall"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.sources.scratch import durable
+from newsloom.functions.scoring import is_title_only_stub, summary_quality
+from newsloom.functions.text import clean_snippet, is_non_narrative, overlap_tokens, settled, squeeze, token_overlap
+from newsloom.operators.graph import components
+from newsloom.sources.scratch import Tables, durable
 
 
 def top_per(frame: DataFrame, by: list[str], order: list, k: int, rank: str = "_k") -> DataFrame:
@@ -19,13 +22,15 @@ def top_rows(frame: DataFrame, order: list, k: int | None = None) -> DataFrame:
 
 
 def select_candidates(scored: DataFrame, score: str, source: str, tie: str, least: int = 4, cap: int = 4, floor: int = 18) -> DataFrame:
-    """Items of ``least`` points, at most ``cap`` for a source; if fewer than ``floor`` stay, the best half of all items instead."""
-    order = [F.desc(score), F.asc(tie)]
-    capped = top_per(scored.where(F.col(score) >= least), [source], order, cap).drop("_k")
-    sizes = scored.agg(F.count("*").alias("n")).first().n  # two counts decide the branch, no rows reach the driver
-    if capped.limit(floor).count() >= floor:
-        return capped
-    return top_rows(scored, order, max(floor, sizes // 2))
+    """Items of ``least`` points, at most ``cap`` for a source; if fewer than ``floor`` stay, the best half of all items instead.
+
+    The scores are written once; one aggregate over sources decides the branch."""
+    scored, order = durable(scored, "scored"), [F.desc(score), F.asc(tie)]
+    by_source = scored.groupBy(source).agg(F.count("*").alias("n"), F.count_if(F.col(score) >= least).alias("good"))
+    sizes = by_source.agg(F.sum("n").alias("n"), F.sum(F.least("good", F.lit(cap))).alias("capped")).first()
+    if (sizes.capped or 0) >= floor:
+        return top_per(scored.where(F.col(score) >= least), [source], order, cap).drop("_k")
+    return top_rows(scored, order, max(floor, (sizes.n or 0) // 2))
 
 
 def lead_and_open_alternate(members: DataFrame, lead_least: int = 6, alternate_least: int = 7) -> DataFrame:
@@ -56,21 +61,26 @@ def pair_features(pairs: DataFrame, a: str = "a", b: str = "b", broad: list[str]
     )
 
 
-JOIN_SIMILARITY, SUPPORT_SIMILARITY, CONTEXT_SIMILARITY, JOIN_SCORE = 0.42, 0.32, 0.5, 12.0
+# The similarities that join, that support, and that contextual items need; the score that joins.
+JOIN_SIMILARITY, SUPPORT_SIMILARITY, CONTEXT_SIMILARITY, JOIN_SCORE = 0.42, 0.32, 0.66, 12.0
 
 
-def _barred(a: str, b: str):
-    """Pairs that never match: nothing shared, a generic tag without support, or report and context that meet too loosely."""
+def _gates(a: str, b: str) -> Column:
+    """Pairs that never match: a generic tag without support, or report and context that meet too loosely."""
     c = F.col
-    nothing = (c("overlap") == 0) & (c("strong_tags") + c("generic_shared") == 0)
     loose = (c("generic_shared") > 0) & (c("strong_tags") == 0) & (c("entities") == 0) & (c("anchored") < 2)
     mixed = (c(f"{a}_contextual") != c(f"{b}_contextual")) & (c("event_anchors") < 2) & (c("entities") < 2) & (c("similarity") < CONTEXT_SIMILARITY)
-    unsupported = (c("strong_tags") + c("generic_shared") + c("entities") + c("anchored") == 0) & (c("similarity") < JOIN_SIMILARITY)
-    return nothing | loose | mixed | unsupported | (F.size(f"{a}_tokens") == 0)
+    return loose | mixed
+
+
+def _bare() -> Column:
+    """No tag, entity or anchored token is shared."""
+    return F.col("strong_tags") + F.col("generic_shared") + F.col("entities") + F.col("anchored") == 0
 
 
 def match_score(features: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """features with score: 0 for barred pairs, else the weighted sum of what item and story share."""
+    """features with score: the weighted sum of what item and story share; 0 for gated pairs, for items without tokens, and where neither a token nor a
+    tag is shared, or nothing but a low similarity."""
     c = F.col
     ratio = lambda x, n: F.when(c(n) > 0, c(x) / c(n)).otherwise(0.0)
     bonus = lambda test, points: F.when(test, points).otherwise(0.0)
@@ -81,46 +91,66 @@ def match_score(features: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         + bonus((c("strong_tags") > 0) & (c("specific") > 0), 3.0) + bonus((c("generic_shared") > 0) & (c("anchored") >= 2), 1.5)
         + bonus((c("similarity") >= JOIN_SIMILARITY) & supported, 3.0) - bonus(c(f"{a}_contextual"), 4.5) - bonus(c(f"{a}_contextual") & ~c(f"{b}_contextual"), 3.5)
     )
-    return features.withColumn("score", F.when(_barred(a, b), 0.0).otherwise(score))
+    nothing = (c("overlap") == 0) & (c("strong_tags") + c("generic_shared") == 0)
+    zero = _gates(a, b) | nothing | (_bare() & (c("similarity") < JOIN_SIMILARITY)) | (F.size(f"{a}_tokens") == 0)
+    return features.withColumn("score", F.when(zero, 0.0).otherwise(score))
 
 
 def should_join(scored: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """scored with joins: by score, or by one of the supports when the pair is not barred."""
+    """scored with joins: by score, or, past the gates, by similarity alone if nothing else is shared, else by one of the supports."""
     c = F.col
-    bare = c("strong_tags") + c("generic_shared") + c("entities") + c("anchored") == 0
     support = (
         ((c("similarity") >= JOIN_SIMILARITY) & ((c("anchored") > 0) | (c("entities") > 0) | (c("strong_tags") > 0)))
         | ((c("similarity") >= SUPPORT_SIMILARITY) & ((c("anchored") >= 2) | (c("entities") >= 1)))
         | ((c("strong_tags") > 0) & (c("anchored") >= 1)) | ((c("generic_shared") > 0) & (c("anchored") >= 2))
         | (c("event_anchors") >= 2) | (c("anchored") >= 4) | ((c("anchored") >= 3) & (c("overlap") >= 4))
     )
-    return scored.withColumn("joins", (c("score") >= JOIN_SCORE) | (~_barred(a, b) & (bare | support)))
+    return scored.withColumn("joins", (c("score") >= JOIN_SCORE) | (~_gates(a, b) & F.when(_bare(), c("similarity") >= JOIN_SIMILARITY).otherwise(support)))
 
 
-def story_label(members: DataFrame, tokens: str, broad: list[str], k: int = 3) -> DataFrame:
-    """(story_id, label): the k most frequent tokens that are not broad, ties by token."""
-    counts = members.select("story_id", F.explode(tokens).alias("token")).where(~F.col("token").isin(list(broad))).groupBy("story_id", "token").count()
-    best = top_per(counts, ["story_id"], [F.desc("count"), F.asc("token")], k)
-    return best.groupBy("story_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "token"))), lambda x: x["token"]), " ").alias("label"))
+def preferred_members(members: DataFrame) -> DataFrame:
+    """Of each story the event-driven items that are no stubs; if there are none the reporting ones, then any that are no stubs, then all.
 
+    members: story_id, signal, context, stub."""
+    tier = F.when(~F.col("stub") & (F.col("signal") >= 3), 0).when(~F.col("stub") & (F.col("context") < 2), 1).when(~F.col("stub"), 2).otherwise(3)
+    m = members.withColumn("_tier", tier)
+    return m.join(m.groupBy("story_id").agg(F.min("_tier").alias("_tier")), ["story_id", "_tier"], "left_semi").drop("_tier")
 
-def story_query(members: DataFrame, tokens: str, entities: str, k: int = 6) -> DataFrame:
-    """(story_id, tokens, entities): the k most frequent of each, ties by text; the search for more articles."""
-    out = None
-    for name in (tokens, entities):
-        counts = members.select("story_id", F.explode(name).alias("x")).groupBy("story_id", "x").count()
-        best = top_per(counts, ["story_id"], [F.desc("count"), F.asc("x")], k)
-        listed = best.groupBy("story_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "x"))), lambda v: v["x"]).alias(name))
-        out = listed if out is None else out.join(listed, "story_id", "full_outer")
-    return out
+
+def _most_frequent(rows: DataFrame, k: int) -> DataFrame:
+    """(story_id, xs): the k most frequent x of each story, ties by text. rows: story_id, x."""
+    best = top_per(rows.groupBy("story_id", "x").count(), ["story_id"], [F.desc("count"), F.asc("x")], k)
+    return best.groupBy("story_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "x"))), lambda v: v["x"]).alias("xs"))
+
+
+def story_label(members: DataFrame, tokens: str, broad: list[str], k: int = 3, empty: str = "story") -> DataFrame:
+    """(story_id, label): the k most frequent tokens of preferred items that are not broad, ties by token."""
+    rows = preferred_members(members).select("story_id", F.explode(tokens).alias("x")).where(~F.col("x").isin(list(broad)))
+    labels = _most_frequent(rows, k).select("story_id", F.array_join("xs", " ").alias("label"))
+    return members.select("story_id").distinct().join(labels, "story_id", "left").fillna(empty, ["label"])
+
+
+def story_query(members: DataFrame, tokens: str, entities: str, broad: list[str] = (), low_signal: list[str] = (), vague: list[str] = (), k: int = 6) -> DataFrame:
+    """(story_id, tokens, entities): the k most frequent informative tokens and actionable entities of a story's anchors, ties by text; the search for more
+    articles. Anchors are the substantive items that report and are no stubs; failing these any that are no stubs, any that are substantive, all.
+
+    members: story_id, is_substantive, context, stub, and the two arrays. Entities of under four characters or in ``vague`` lead nowhere."""
+    good = F.col("is_substantive")
+    tier = F.when(good & (F.col("context") < 2) & ~F.col("stub"), 0).when(good & ~F.col("stub"), 1).when(good, 2).otherwise(3)
+    m = members.withColumn("_tier", tier)
+    m = durable(m.join(m.groupBy("story_id").agg(F.min("_tier").alias("_tier")), ["story_id", "_tier"], "left_semi").select("story_id", F.col(tokens).alias("tokens"), F.col(entities).alias("entities")), "anchors")
+    words = m.select("story_id", F.explode("tokens").alias("x")).where(~F.col("x").isin([*broad, *low_signal]))
+    names = m.select("story_id", F.explode("entities").alias("x")).where((F.length("x") >= 4) & ~F.col("x").isin(list(vague)))
+    found = m.select("story_id").distinct().join(_most_frequent(words, k).withColumnRenamed("xs", tokens), "story_id", "left")
+    return found.join(_most_frequent(names, k).withColumnRenamed("xs", entities), "story_id", "left")
 
 
 def story_lead(members: DataFrame, pair_scores: DataFrame) -> DataFrame:
     """(story_id, lead_id, lead_score). members: story_id, article_id, quality, signal, context, stub, extraction_quality, minute.
-    pair_scores: story_id, article_id and score of each other member. Stubs lead only where all are stubs."""
+    pair_scores: story_id, article_id and score of each other member. Only preferred members lead."""
     central = pair_scores.groupBy("story_id", "article_id").agg(F.sum("score").alias("central"))
-    newest = members.groupBy("story_id").agg(F.max("minute").alias("newest"), F.bool_and("stub").alias("all_stubs"))
-    m = members.join(central, ["story_id", "article_id"], "left").join(newest, "story_id").where("all_stubs OR NOT stub")
+    newest = members.groupBy("story_id").agg(F.max("minute").alias("newest"))
+    m = preferred_members(members).join(central, ["story_id", "article_id"], "left").join(newest, "story_id")
     body = F.when(F.col("extraction_quality") == "article_body", 6).when(F.col("extraction_quality") == "metadata_description", 2).otherwise(0)
     score = 2 * F.col("quality") + F.coalesce("central", F.lit(0.0)) + body + 1.5 * F.greatest("signal", F.lit(0)) - 6 * F.col("context") - F.when(F.col("stub"), 9).otherwise(0) - F.least((F.col("newest") - F.col("minute")) / 60, F.lit(12.0))
     scored = m.withColumn("lead_score", F.round(score, 6))
@@ -174,15 +204,21 @@ def front_page_rank(stories: DataFrame, as_of_minute: int, mode: str = "front")
     return stories.withColumn("score", score).orderBy(*order)
 
 
-def story_payload(members: DataFrame, most: int = 5) -> DataFrame:
-    """(story_id, articles, outlets, newest, picks): counts and up to ``most`` articles, each outlet's best before second ones."""
+def story_payload(members: DataFrame, most: int = 5, details: list[DataFrame] = ()) -> DataFrame:
+    """(story_id, articles, outlets, newest, picks, sources): counts, up to ``most`` articles, each outlet's best before second ones, and the picks' outlets.
+
+    details are joined by story_id: labels, leads with title, summaries."""
     order = [F.asc("context"), F.asc("stub"), F.desc("signal"), F.desc("quality"), F.desc("minute"), F.asc("article_id")]
     ranked = members.withColumn("_in_outlet", F.row_number().over(Window.partitionBy("story_id", "outlet").orderBy(*order)))
     ranked = ranked.withColumn("_first", F.least("_in_outlet", F.lit(2)))
     best = top_per(ranked, ["story_id"], [F.asc("_first"), *order], most)
-    picks = best.groupBy("story_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "article_id"))), lambda x: x["article_id"].cast("string")), ",").alias("picks"))
+    listed = F.array_sort(F.collect_list(F.struct("_k", "article_id", "outlet")))
+    picks = best.groupBy("story_id").agg(F.array_join(F.transform(listed, lambda x: x["article_id"].cast("string")), ",").alias("picks"), F.array_join(F.array_distinct(F.transform(listed, lambda x: x["outlet"].cast("string"))), ",").alias("sources"))
     counts = members.groupBy("story_id").agg(F.count("*").alias("articles"), F.countDistinct("outlet").alias("outlets"), F.max("minute").alias("newest"))
-    return counts.join(picks, "story_id")
+    out = counts.join(picks, "story_id")
+    for detail in details:
+        out = out.join(detail, "story_id", "left")
+    return out
 
 
 def slug(title, most: int = 60):
@@ -205,44 +241,110 @@ def low_confidence(scores: DataFrame, margin: float, threshold: float = JOIN_SCO
     return scores.where(F.abs(F.col("score") - threshold) <= margin)
 
 
-def story_record(members: DataFrame) -> DataFrame:
-    """(story_id, outlets in first-seen order, left_outlets, right_outlets, breadth)."""
-    seen = members.groupBy("story_id", "outlet").agg(F.min("rank_in_story").alias("f"), F.bool_or(F.col("framing_group") == "left").alias("l"), F.bool_or(F.col("framing_group") == "right").alias("r"))
+def story_record(members: DataFrame, options: DataFrame, product: str) -> DataFrame:
+    """A story's stored row: outlets in first-seen order, distinct outlets by framing, breadth, key facts, timeline, evidence and the reading options.
+
+    members: story_id, outlet, article_id, rank_in_story, framing_group, is_substantive, minute; options: as lead_and_open_alternate gives them."""
+    by = lambda group: F.bool_or(F.col("framing_group") == group).alias(group)
+    seen = members.groupBy("story_id", "outlet").agg(F.min("rank_in_story").alias("f"), by("left"), by("center"), by("right"), F.bool_or("is_substantive").alias("substantive"), F.count("*").alias("n"), F.max(F.struct("minute", "article_id")).alias("last"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("f", "outlet"))), lambda x: x["outlet"].cast("string"))
     n = F.count("*")
-    return seen.groupBy("story_id").agg(
-        F.array_join(listed, ",").alias("outlets"), F.count_if("l").alias("left_outlets"), F.count_if("r").alias("right_outlets"),
-        F.when(n >= 4, "broad").when(n >= 2, "developing").otherwise("single").alias("breadth"),
-    )
+    stories = seen.groupBy("story_id").agg(
+        listed.alias("_outlets"), n.alias("n_outlets"), F.sum("n").alias("n_articles"), *(F.count_if(g).alias(f"{g}_outlets") for g in ("left", "center", "right")), F.count_if("substantive").alias("substantive"),
+        F.max_by("outlet", F.struct("last.minute", "last.article_id")).cast("string").alias("latest_outlet"), F.max("last.minute").alias("latest_minute"),
+    )
+    c, text = F.col, lambda *parts: F.concat(*(p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts))
+    several, outlets = c("n_outlets") >= 2, F.array_join("_outlets", ", ")
+    row = stories.join(options, "story_id", "left")
+    facts = F.array(
+        F.when(several, text(f"{product} links ", c("n_articles"), " reports of ", c("n_outlets"), " outlets.")).otherwise(f"{product} links one outlet so far."), text("The latest came from ", c("latest_outlet"), "."),
+        F.when(several, text("Framings can be compared across ", outlets, ".")).otherwise("There is nothing to compare with yet."),
+        F.when(c("alternate").isNotNull(), "An open alternative is at hand.").when(F.coalesce("confident", F.lit(False)), "The lead reads well by itself.").otherwise("No report stands out yet."),
+    )
+    timeline = F.array(F.struct(c("latest_minute").alias("minute"), F.lit("summary").alias("kind"), text("Put together from ", c("n_outlets"), " outlets").alias("label")), F.struct(c("latest_minute").alias("minute"), F.lit("coverage").alias("kind"), text(c("latest_outlet"), " added the latest turn").alias("label")))
+    evidence = F.array(F.struct(F.lit("report").alias("type"), outlets.alias("source")), F.struct(F.lit("dataset").alias("type"), c("latest_minute").cast("string").alias("source")), F.struct(F.lit("report").alias("type"), text(c("n_articles"), " articles of ", c("n_outlets"), " outlets").alias("source")))
+    return row.select(
+        "story_id", F.array_join("_outlets", ",").alias("outlets"), "left_outlets", "center_outlets", "right_outlets", F.when((c("substantive") >= 2) | (c("n_outlets") >= 3), "mixed").otherwise("early").alias("breadth"),
+        facts.alias("key_facts"), timeline.alias("timeline"), evidence.alias("evidence"), "lead", "confident", "alternate",
+    )
+
+
+def story_summary(members: DataFrame, titles: DataFrame, product: str, aligned: float = 0.28) -> DataFrame:
+    """(story_id, article_id, summary, score, n_sources, role): the summary of a story, and the role that gave it.
 
+    A member's candidate is its first two body sentences if they are narrative and fit headline and summary (.18), else its summary, as a clean snippet. It is rated by D4 and selected by
+    D4 + 1.5 x signal + 5 x alignment with the title - 4 x context - 8 for a stub. The first that holds: the best aligned one that is good and not far behind the best; the one of
+    the title's own article; an open best; the best, or an open one near it if it is paywalled; a fair open one; a sentence of our own.
 
-def story_summary(members: DataFrame, aligned: float = 0.28, near: float = 3.0) -> DataFrame:
-    """(story_id, article_id, summary, score, n_sources): the best aligned summary; an open one within ``near`` points replaces it."""
+    members: story_id, article_id, outlet, headline, summary, body_text, sentences, extraction_quality, access_signal, signal, context; titles: story_id, title."""
     c = F.col
-    score = F.round(c("quality") + 1.5 * c("signal") + 5 * c("alignment") - 4 * c("context") - F.when(c("stub"), 8).otherwise(0), 6)
-    m = members.withColumn("_score", score)
-    order = F.struct(c("alignment") >= aligned, c("_score"), -c("article_id"))
-    pick = F.struct("article_id", "summary", "_score")
-    best = m.groupBy("story_id").agg(
-        F.max_by(pick, order).alias("best"),
-        F.max_by(F.when(c("access_signal") == "open", pick), F.when(c("access_signal") == "open", order)).alias("open"),
-        F.countDistinct(F.when(c("quality") >= 6, c("outlet"))).alias("n_sources"),
-    )
-    use = F.when(c("open._score") >= c("best._score") - near, c("open")).otherwise(c("best"))
-    return best.withColumn("use", use).select("story_id", "use.article_id", "use.summary", c("use._score").alias("score"), "n_sources")
+    m = members.join(titles, "story_id")
+    excerpt = F.array_join(F.slice("sentences", 1, 2), " ")
+    fits = token_overlap(overlap_tokens(F.concat_ws(" ", "headline", "summary")), overlap_tokens(excerpt), "alignment", few=0.0) >= 0.18
+    use_body = (c("extraction_quality") == "article_body") & (excerpt != "") & ~is_non_narrative(excerpt) & fits
+    m = settled(m.withColumn("_text", F.when(use_body, excerpt).otherwise(c("summary"))))
+    m = settled(m.withColumn("_text", clean_snippet(c("_text"), 320)))
+    rated = m.withColumns({
+        "_score": summary_quality(c("headline"), c("_text"), c("extraction_quality"), c("body_text")), "_stub": is_title_only_stub(c("headline"), c("_text"), c("extraction_quality"), c("body_text")),
+        "_al": F.round(token_overlap(overlap_tokens(c("title")), overlap_tokens(c("_text")), "alignment", few=0.0), 6),
+    })
+    rated = rated.select("story_id", "article_id", "outlet", "access_signal", "_text", "_score", "_al", (F.lower(squeeze(c("headline"))) == F.lower(squeeze(c("title")))).alias("_own"),
+        F.round(c("_score") + 1.5 * F.greatest("signal", F.lit(0)) + 5 * c("_al") - 4 * c("context") - F.when(c("_stub"), 8).otherwise(0), 6).alias("_sel"))
+    rated = settled(rated)
+    pick, some = F.struct("article_id", c("_text").alias("text"), c("_score").alias("score"), c("_al").alias("al"), c("access_signal").alias("access")), c("_text") != ""
+    role = lambda test, *order: F.max_by(F.when(test, pick), F.when(test, F.struct(*order, -F.col("article_id"))))
+    best = rated.groupBy("story_id").agg(
+        role(some, "_sel").alias("best"), role(some & (c("_al") >= aligned), "_al", "_sel").alias("fit"), role(some & (c("access_signal") == "open"), "_sel").alias("open"), role(some & c("_own"), "_sel").alias("own"),
+        F.countDistinct(F.when(c("_score") >= 6, c("outlet"))).alias("n_sources"), F.array_join(F.slice(F.array_sort(F.collect_set(c("outlet").cast("string"))), 1, 3), ", ").alias("_names"),
+    )
+    none = c("best").isNull()
+    use_fit = (c("fit.score") >= 6) & (none | (c("best.al") < c("fit.al") - 0.12) | (c("fit.score") >= c("best.score") - 3))
+    use_own = (c("own.score") >= 6) & (c("own.al") >= aligned) & (none | (c("best.al") < c("own.al")) | (c("own.score") >= c("best.score") - 2))
+    near_open = (c("best.access") == "likely_paywalled") & (c("open.score") >= F.greatest(F.lit(6), c("best.score") - 3))
+    name = F.when(use_fit, "fit").when(use_own, "own").when(c("best.score") >= 6, F.when(near_open, "open").otherwise("best")).when(c("open.score") >= 4, "open").otherwise("none")
+    out = best.withColumn("role", name).join(titles, "story_id")
+    chosen = F.when(c("role") == "fit", c("fit")).when(c("role") == "own", c("own")).when(c("role") == "open", c("open")).when(c("role") == "best", c("best"))
+    own_words = F.concat(F.regexp_replace(squeeze(c("title")), "[?!.]+$", ""), F.lit(": first coverage from "), "_names", F.lit(f"; {product} waits for fuller reports."))
+    return out.withColumn("_use", chosen).select("story_id", "_use.article_id", F.coalesce("_use.text", own_words).alias("summary"), F.coalesce("_use.score", F.greatest(c("best.score"), F.lit(0)), F.lit(0)).alias("score"), "n_sources", "role")
+
+
+def story_unions(members: DataFrame) -> DataFrame:
+    """(story_id, tokens, tags, entities, contextual): what a story holds; contextual if all of it is."""
+    union = lambda name: F.array_sort(F.array_distinct(F.flatten(F.collect_list(name)))).alias(name)
+    return members.groupBy("story_id").agg(union("tokens"), union("tags"), union("entities"), F.bool_and("contextual").alias("contextual"))
 
 
-def augment_stories(needy: DataFrame, items: DataFrame, least_hits: int, tokens_per_story: int = 6, per_story: int = 2, overall: int = 8) -> DataFrame:
-    """(story_id, article_id, outlet, hits): articles of other stories and outlets that share frequent tokens with a needy one.
+def augment_stories(needy: DataFrame, items: DataFrame, lexicons: dict[str, list[str]], stories: int = 4, per_story: int = 2, overall: int = 8) -> DataFrame:
+    """(story_id, article_id, outlet, score): articles of other stories and outlets for the neediest stories.
 
-    One per outlet, ``per_story`` for a story and ``overall`` in all; those caps are what the operator is for."""
-    queries = story_query(items.join(needy, "story_id", "left_semi"), "tokens", "entities", tokens_per_story).select("story_id", F.explode("tokens").alias("token"))
-    offered = items.select(F.col("story_id").alias("own"), "article_id", "outlet", "minute", F.explode("tokens").alias("token"))
-    hits = queries.join(offered, "token").where("own <> story_id").groupBy("story_id", "article_id", "outlet", "minute").agg(F.count("*").alias("hits")).where(F.col("hits") >= least_hits)
-    fresh = hits.join(items.select("story_id", "outlet").distinct(), ["story_id", "outlet"], "left_anti")
-    order = [F.desc("hits"), F.desc("minute"), F.asc("article_id")]
-    chosen = top_per(top_per(fresh, ["story_id", "outlet"], order, 1).drop("_k"), ["story_id"], order, per_story).drop("_k")
-    return top_rows(chosen, [*order, F.asc("story_id")], overall)
+    A candidate shares an entity or two tokens with the story's query; a contextual item or stub needs two of either where the story has event items. Its score is F1 against the story + 3 a query
+    token + 2 a query entity + 2 if it may join (F2) - 4 x context - 8 for a stub + D4 + 3 if open + 4 with a body + 5 if event-driven. One an outlet, ``per_story`` a story, each article once, for the
+    neediest story it is good for, ``overall`` in all; those caps are what the operator is for.
+
+    needy: story_id, needed, priority; items: story_id, article_id, outlet, tokens, tags, entities, context, stub, signal, quality, is_substantive, is_open, has_body."""
+    c = F.col
+    items = durable(items.withColumn("contextual", c("context") >= 2), "items")
+    chosen = durable(top_rows(needy.where("needed"), [F.desc("priority"), F.asc("story_id")], stories).withColumn("_need", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("priority"), F.asc("story_id")))), "needy")  # a handful of rows
+    own = items.join(chosen, "story_id", "left_semi")
+    queries = durable(story_query(own, "tokens", "entities", lexicons.get("broad", []), lexicons.get("low_signal", [])), "queries")
+    keys = lambda kind: F.transform(F.coalesce(kind, F.expr("CAST(array() AS array<string>)")), lambda x: F.concat(F.lit(f"{kind}:"), x))
+    asked = queries.select("story_id", F.explode(F.concat(keys("tokens"), keys("entities"))).alias("key"))
+    offered = items.select(F.col("story_id").alias("_own"), "article_id", "outlet", F.explode(F.concat(keys("tokens"), keys("entities"))).alias("key"))
+    hits = offered.join(asked, "key").where("_own <> story_id").groupBy("story_id", "article_id", "outlet").agg(F.count_if(F.startswith("key", F.lit("tokens:"))).alias("q_tokens"), F.count_if(F.startswith("key", F.lit("entities:"))).alias("q_entities"))
+    hits = hits.where("q_entities > 0 OR q_tokens >= 2").join(own.select("story_id", "outlet").distinct(), ["story_id", "outlet"], "left_anti")
+    prefers = own.groupBy("story_id").agg(F.bool_or((c("signal") >= 3) & ~c("stub")).alias("_event"))
+    side = lambda frame, name, key: frame.select(F.col(key).alias(name), *(F.col(x).alias(f"{name}_{x}") for x in ("tokens", "tags", "entities", "contextual")))
+    pairs = hits.withColumnsRenamed({"article_id": "a", "story_id": "b"}).join(side(items, "a", "article_id"), "a").join(side(story_unions(own), "b", "story_id"), "b").withColumn("similarity", F.lit(0.0))
+    scored = should_join(match_score(pair_features(pairs, **lexicons))).select(c("b").alias("story_id"), c("a").alias("article_id"), "outlet", "q_tokens", "q_entities", c("score").alias("_f1"), "joins")
+    scored = scored.join(items.select("article_id", "context", "stub", "signal", "quality", "is_open", "has_body"), "article_id").join(prefers, "story_id")
+    scored = scored.where(~(c("_event") & ((c("context") >= 2) | c("stub")) & (c("q_tokens") < 2) & (c("q_entities") < 2)))
+    when = lambda test, points: F.when(test, points).otherwise(0)
+    score = c("_f1") + 3 * c("q_tokens") + 2 * c("q_entities") + when(c("joins"), 2) - 4 * c("context") - when(c("stub"), 8) + c("quality") + when(c("is_open"), 3) + when(c("has_body"), 4) + when((c("signal") >= 3) & ~c("stub"), 5)
+    rows = scored.withColumn("score", F.round(score, 6)).join(chosen.select("story_id", "_need"), "story_id")
+    once = rows.withColumn("_o", F.row_number().over(Window.partitionBy("article_id").orderBy("_need"))).where("_o = 1")
+    order = [F.desc("score"), F.asc("article_id")]
+    picked = top_per(top_per(once, ["story_id", "outlet"], order, 1).drop("_k"), ["story_id"], order, per_story)
+    return top_rows(picked, [F.asc("_need"), F.asc("_k")], overall).select("story_id", "article_id", "outlet", "score")
 
 
 def home_layout(ranked: DataFrame, supports: int = 5, latest: int = 8, per_section: int = 4) -> DataFrame:
@@ -274,59 +376,101 @@ def home_layout(ranked: DataFrame, supports: int = 5, latest: int = 8, per_secti
     return pinned.unionByName(newest).unionByName(sections)
 
 
-def label_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
-    """(node, component): least node reachable, by label propagation with pointer jumping; each round ends in a written table."""
-    both = durable(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(b, a)).distinct(), "edges")
-    labels = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("c"))
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("u").alias("v"), "c"), "v").groupBy("u").agg(F.min("c").alias("n"))
-        new = labels.join(near, "u").select("u", F.least("c", "n").alias("low"), F.col("c").alias("was"))
-        up = labels.select(F.col("u").alias("low"), F.col("c").alias("up"))
-        new = new.join(up, "low", "left").select("u", F.least("low", F.coalesce("up", "low")).alias("c"), "was")
-        new = durable(new, "labels")
-        if not new.where("c <> was").limit(1).count():
-            return new.select(F.col("u").alias("node"), F.col("c").alias("component"))
-        labels = new.drop("was")
-    raise RuntimeError("label_components: labels did not settle")
-
-
-def build_stories(items: DataFrame, broad: list[str], low_signal: list[str], anchor_stop: list[str], generic_tags: list[str], most_common: int = 100, similarities: DataFrame | None = None) -> DataFrame:
+def _best_story(item, stories: dict, near: dict, rules: dict[str, frozenset]):
+    """The best scoring admissible story for an item, by the rules of match_score and should_join, or none; near has the item's similarity to stories."""
+    best, best_score = None, 0.0
+    for key in near:
+        held = stories[key]
+        shared = item.tokens & held["tokens"]
+        tags, names = item.tags & held["tags"], len(item.entities & held["entities"])
+        strong, generic = len(tags - rules["generic_tags"]), len(tags & rules["generic_tags"])
+        specific = shared - rules["broad"]
+        anchored, events, like = len(specific - rules["low_signal"]), len(specific - rules["low_signal"] - rules["anchor_stop"]), near[key]
+        if not item.tokens or not (shared or tags) or (generic and not strong and not names and anchored < 2):
+            continue
+        if item.contextual != held["contextual"] and events < 2 and names < 2 and like < CONTEXT_SIMILARITY:
+            continue
+        bare = not (tags or names or anchored)
+        if bare and like < JOIN_SIMILARITY:
+            continue
+        smaller = min(len(item.tokens), len(held["tokens"]))
+        score = (
+            8 * strong + 3 * generic + 2.5 * len(specific) + 3 * anchored + 3.5 * events + 1.25 * len(shared) + 4 * len(shared) / max(1, len(item.tokens | held["tokens"])) + (5 * len(specific) / smaller if smaller else 0) + 2 * names + 12 * like
+            + 3 * (strong > 0 and len(specific) > 0) + 1.5 * (generic > 0 and anchored >= 2) + 3 * (like >= JOIN_SIMILARITY and not bare and (strong > 0 or anchored > 0 or names > 0)) - 4.5 * item.contextual - 3.5 * (item.contextual and not held["contextual"])
+        )
+        joins = score >= JOIN_SCORE or bare or (
+            (like >= JOIN_SIMILARITY and (anchored or names or strong)) or (like >= SUPPORT_SIMILARITY and (anchored >= 2 or names)) or (strong and anchored) or (generic and anchored >= 2) or events >= 2 or anchored >= 4 or (anchored >= 3 and len(shared) >= 4)
+        )
+        if joins and score > 0 and (best is None or score > best_score or (score == best_score and key < best)):
+            best, best_score = key, score
+    return best
+
+
+def build_stories(items: DataFrame, neighbors: DataFrame, broad: list[str], low_signal: list[str], anchor_stop: list[str], generic_tags: list[str], max_component: int = 2000, rounds: int = 3) -> DataFrame:
     """(article_id, story_id): every item in one story; a story is named after its newest item.
 
-    Blocks are specific tokens and entities that at most ``most_common`` items share (the conditions for joining make them safe
-    keys; common ones say nothing alone). Pairs from blocks are scored once, admissible ones are edges, components of edges are
-    the only items that can meet, and inside a component the items join greedily, newest first, the best admissible story."""
+    An item may join the stories that hold one of its neighbours (item, neighbor, similarity; a few an item), so only components of the graph of neighbours can meet. Inside a component the items join
+    one after another, newest first, the best admissible story, judged by the union of its members. A component of more than ``max_component`` items is cut into slices of time that are grouped
+    apart; then, in rounds, each story joins the best newer story of another slice that its union is admissible for. No item or pair of neighbours is left out.
+
+    items: article_id, minute, tokens, tags, entities, contextual."""
+    import pandas as pd
+
+    rules = {"broad": frozenset(broad), "low_signal": frozenset(low_signal), "anchor_stop": frozenset(anchor_stop), "generic_tags": frozenset(generic_tags)}
     items = durable(items, "items")
-    keyed = items.select("article_id", F.explode(F.array_union(F.array_except("tokens", F.array(*map(F.lit, [*broad, *low_signal]))), "entities")).alias("key"))
-    rare = keyed.groupBy("key").count().where((F.col("count") > 1) & (F.col("count") <= most_common)).select("key")
-    blocks = keyed.join(rare, "key")
-    pairs = blocks.select("key", F.col("article_id").alias("a")).join(blocks.select("key", F.col("article_id").alias("b")), "key").where("a <> b").select("a", "b").distinct()
-    side = lambda n: items.select(F.col("article_id").alias(n), F.col("minute").alias(f"{n}_minute"), *(F.col(c).alias(f"{n}_{c}") for c in ("tokens", "tags", "entities", "contextual")))
-    full = pairs.join(side("a"), "a").join(side("b"), "b").where("a_minute < b_minute OR (a_minute = b_minute AND a > b)")
-    full = full.join(similarities, ["a", "b"], "left").fillna(0.0, ["similarity"]) if similarities is not None else full.withColumn("similarity", F.lit(0.0))
-    scored = should_join(match_score(pair_features(full, broad=broad, low_signal=low_signal, anchor_stop=anchor_stop, generic_tags=generic_tags)))
-    edges = durable(scored.where("joins AND score > 0").select("a", "b", "score"), "links")
-    component = label_components(edges)
-    newest = items.select("article_id", "minute")
-    linked = edges.join(component.toDF("a", "group"), "a").select("group", "a", "b", "score")
-    placed = component.toDF("article_id", "group").join(newest, "article_id").select("group", "article_id", "minute")
+    links = durable(neighbors.select(F.col("item").alias("a"), F.col("neighbor").alias("b"), "similarity"), "neighbors")
+    with Tables(items.sparkSession) as tables:
+        component = durable(components(links, tables), "components").toDF("article_id", "group")
+    placed = items.join(component, "article_id").withColumn("_size", F.count("*").over(Window.partitionBy("group")))
+    small = placed.where(F.col("_size") <= max_component).withColumn("slice", F.lit(0))
+    order = Window.partitionBy("group").orderBy(F.desc("minute"), F.asc("article_id"))
+    large = placed.where(F.col("_size") > max_component).withColumn("slice", F.floor((F.row_number().over(order) - 1) / max_component).cast("int"))
+    placed = durable(small.unionByName(large).drop("_size"), "placed")
+    where = placed.select("article_id", "group", "slice")
+    inside = links.join(where.toDF("a", "group", "slice"), "a").join(where.toDF("b", "group", "slice"), ["b", "group", "slice"])
 
     def greedy(left, right):
-        import pandas as pd
-
-        order = left.sort_values(["minute", "article_id"], ascending=[False, True]).article_id.tolist()
-        links = {}
-        for r in right.itertuples():
-            links.setdefault(r.a, {})[r.b] = r.score
-        story = {}
-        for item in order:
-            gain = {}
-            for other, score in links.get(item, {}).items():
+        near: dict = {}
+        for a, b, likeness in zip(right.a, right.b, right.similarity, strict=True):
+            near.setdefault(a, {})[b] = likeness
+        story, stories = {}, {}
+        for item in left.sort_values(["minute", "article_id"], ascending=[False, True]).assign(**{c: left[c].map(frozenset) for c in ("tokens", "tags", "entities")}).itertuples():
+            close: dict = {}
+            for other, likeness in near.get(item.article_id, {}).items():
                 if other in story:
-                    gain[story[other]] = max(score, gain.get(story[other], 0.0))
-            story[item] = max(gain, key=lambda s: (gain[s], -s)) if gain else item
+                    close[story[other]] = max(likeness, close.get(story[other], 0.0))
+            best = _best_story(item, stories, close, rules)
+            if best is None:
+                best = item.article_id
+                stories[best] = {"tokens": set(), "tags": set(), "entities": set(), "contextual": True}
+            held = stories[best]
+            for c in ("tokens", "tags", "entities"):
+                held[c] |= getattr(item, c)
+            held["contextual"] &= bool(item.contextual)
+            story[item.article_id] = best
         return pd.DataFrame({"article_id": list(story), "story_id": list(story.values())})
 
-    stories = placed.groupBy("group").cogroup(linked.groupBy("group")).applyInPandas(greedy, "article_id long, story_id long")
-    alone = items.select("article_id").join(component.select(F.col("node").alias("article_id")), "article_id", "left_anti").select("article_id", F.col("article_id").alias("story_id"))
-    return stories.unionByName(alone)
+    grouped = placed.groupBy("group", "slice").cogroup(inside.groupBy("group", "slice")).applyInPandas(greedy, "article_id long, story_id long")
+    alone = items.join(where, "article_id", "left_anti").select("article_id", F.col("article_id").alias("story_id"))
+    stories = durable(grouped.unionByName(alone), "stories")
+    if large.limit(1).isEmpty():
+        return stories
+    lexicons = {"broad": broad, "low_signal": low_signal, "anchor_stop": anchor_stop, "generic_tags": generic_tags}
+    for _ in range(rounds):
+        members = stories.join(items, "article_id")
+        union = durable(story_unions(members).join(members.groupBy("story_id").agg(F.max("minute").alias("minute")), "story_id"), "unions")
+        named = stories.select(F.col("article_id"), "story_id")
+        near = links.join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b").where("x <> y").groupBy("x", "y").agg(F.max("similarity").alias("similarity"))
+        side = lambda n: union.select(F.col("story_id").alias(n), F.col("minute").alias(f"{n}_minute"), *(F.col(c).alias(f"{n}_{c}") for c in ("tokens", "tags", "entities", "contextual")))
+        pairs = near.toDF("a", "b", "similarity").unionByName(near.toDF("b", "a", "similarity")).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+        pairs = pairs.join(side("a"), "a").join(side("b"), "b").where("a_minute < b_minute OR (a_minute = b_minute AND a > b)")
+        scored = should_join(match_score(pair_features(pairs, **lexicons))).where("joins AND score > 0")
+        joins = durable(scored.groupBy("a").agg(F.max_by("b", F.struct("score", -F.col("b"))).alias("b")), "merges")
+        if joins.isEmpty():
+            break
+        with Tables(items.sparkSession) as tables:
+            merged = components(joins, tables)
+            newest = merged.toDF("story_id", "group").join(union.select("story_id", "minute"), "story_id").groupBy("group").agg(F.max_by("story_id", F.struct("minute", -F.col("story_id"))).alias("into"))
+            moved = durable(merged.toDF("story_id", "group").join(newest, "group").select("story_id", "into"), "moved")
+        stories = durable(stories.join(moved, "story_id", "left").select("article_id", F.coalesce("into", "story_id").alias("story_id")), "stories")
+    return stories

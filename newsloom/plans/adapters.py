@@ -6,9 +6,11 @@ events for fetch and reader logs, conversations for briefs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.functions.text import settled
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,18 +21,18 @@ def discoveries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.split(F.trim("text"), r"\s+")
-    return table(spark, sf_dir, "documents").select(
+    words = F.split(F.trim("text"), r"\s+", 41)  # the rest of the text stays whole
+    return settled(table(spark, sf_dir, "documents").withColumn("words", words).select(
         F.col("doc_id").alias("article_id"),
-        F.array_join(F.slice(words, 1, 12), " ").alias("headline"),
-        F.array_join(F.slice(words, 1, 40), " ").alias("summary"),
+        F.array_join(F.slice("words", 1, 12), " ").alias("headline"),
+        F.array_join(F.slice("words", 1, 40), " ").alias("summary"),
         F.col("text").alias("body_text"),
         F.col("source").alias("outlet"),
         F.col("lang"),
         F.col("doc_id").alias("minute"),
         F.when(F.col("n_chars") >= 1000, "article_body").when(F.col("n_chars") >= 200, "metadata_description").otherwise("rss_only").alias("extraction_quality"),
         F.element_at(F.array(F.lit("open"), F.lit("likely_paywalled"), F.lit("unknown")), (F.col("doc_id") % 3 + 1).cast("int")).alias("access_signal"),
-    )
+    ))
 
 
 ARTICLES_SQL = r"""articles AS (
@@ -81,8 +83,16 @@ REVISIONS_SQL = """revisions AS (
   FROM orders)"""
 
 
+def fetch_status() -> Column:
+    return F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "click", "fetched").when(F.col("event_type") == "view", "pending").otherwise("normalized")
+
+
+def reader_action() -> Column:
+    return F.create_map(*(F.lit(x) for x in ("view", "view", "purchase", "save", "signup", "follow", "click", "evidence", "error", "unsave")))[F.col("event_type")]
+
+
 def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "click", "fetched").when(F.col("event_type") == "view", "pending").otherwise("normalized")
+    status = fetch_status()
     return table(spark, sf_dir, "events").select(
         "event_id", F.col("ts").cast("timestamp").alias("at"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("second"), F.col("user_id").alias("source_id"), status.alias("status"), (F.col("value") * 10).alias("body_length")
     )
@@ -95,7 +105,7 @@ FETCH_SQL = """fetches AS (
 
 
 def reader_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    action = F.create_map(*(F.lit(x) for x in ("view", "view", "purchase", "save", "signup", "follow", "click", "evidence", "error", "unsave")))[F.col("event_type")]
+    action = reader_action()
     return table(spark, sf_dir, "events").select(
         "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("second"), F.col("ts").cast("timestamp").alias("at"), "user_id", F.get_json_object("props", "$.k").cast("long").alias("story_id"), action.alias("action")
     )

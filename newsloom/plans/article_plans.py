@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import scoring as S
 from newsloom.functions import text as X
+from newsloom.functions.text import settled
 from newsloom.operators import stories as ST
 from newsloom.plans import adapters as A
 from newsloom.plans.catalog import query
@@ -45,9 +46,10 @@ def _title_like(title: str, text: str) -> str:
 
 def _clipped(text: str) -> str:
     c = _SQUEEZE.format(text)
+    count = lambda x: f"(length({c}) - length(replace({c}, '{x}', '')))"
     return (
-        f"({c} <> '' AND (regexp_matches({c}, '(\\.\\.\\.|…)$') OR length(regexp_replace({c}, '[^\"]', '', 'g')) % 2 = 1"
-        f" OR NOT regexp_matches({c}, '[.!?][\"'')\\]]?$') OR regexp_matches({c}, '(?i)(^|[^A-Za-z0-9_])(a|an|the|[A-Z])\\.$')))"
+        f"(regexp_matches({c}, '(^|[^A-Za-z0-9_])[A-Z][a-z]+ [A-Z]\\.$') OR (length({c}) >= 80 AND (regexp_matches({c}, '(\\.\\.\\.|…)$') OR {count('“')} > {count('”')} OR {count(chr(34))} % 2 = 1"
+        f" OR NOT regexp_matches({c}, '[.!?]$') OR regexp_matches({c}, '(?i)(^|[^a-z''])(a|an|the|to|of|in|on|for|with|from|at)[^a-z'']+[a-z'']{{1,2}}[^a-z'']*$'))))"
     )
 
 
@@ -80,16 +82,22 @@ def articles(spark: SparkSession, d: str) -> DataFrame:
     a = A.articles(spark, d).withColumn("url", F.concat(F.lit("https://x.example/"), "article_id"))
     args = [F.col(c) for c in ("headline", "summary", "extraction_quality", "body_text")]
     both = F.concat_ws(" ", "headline", "summary")
-    return a.select(
+    return settled(a.select(
         "*", X.match_tokens(both, STOP).alias("tokens"), X.event_tags(F.col("body_text"), TAGS).alias("tags"),
         S.summary_quality(*args).alias("quality"), S.is_title_only_stub(*args).alias("stub"),
         S.context_score(F.col("headline"), F.col("summary"), F.col("url"), F.col("extraction_quality"), F.col("body_text"), RULES).alias("context"),
-    )
+    ))
+
+
+def _any(column: str, patterns: list[str]) -> str:
+    return " OR ".join("regexp_matches({}, '{}')".format(column, p.replace("'", "''")) for p in patterns)
+
+
+def non_narrative_sql(s: str) -> str:
+    return f"(length({s}) < 60 OR {_any(s, X.NON_NARRATIVE)} OR ({_any(s, [X.CAPTION_OPENING])} AND ({_any(s, [X.DAY_OR_MONTH])} OR ({_any(s, [X.CAPTION_SCENE])} AND NOT {_any(s, [X.REPORTING])}))))"
 
 
-@query("c7_non_narrative", rf"""
-WITH {A.ARTICLES_SQL} SELECT article_id, length({_SQUEEZE.format('summary')}) < 60 OR regexp_matches({_SQUEEZE.format('summary')}, '(?i)function\s*\(') OR regexp_matches({_SQUEEZE.format('summary')}, '(?i)^\s*(editor''s note|correction|photo|image):')
- OR regexp_matches({_SQUEEZE.format('summary')}, '(?i)all rights reserved') OR regexp_matches({_SQUEEZE.format('summary')}, '(?i)subscribe|sign up|newsletter') OR regexp_matches({_SQUEEZE.format('summary')}, '(?i)\bis a (staff )?(reporter|writer)\b') AS non_narrative FROM articles""")
+@query("c7_non_narrative", f"WITH {A.ARTICLES_SQL}, c AS (SELECT article_id, {_SQUEEZE.format('summary')} AS s FROM articles) SELECT article_id, {non_narrative_sql('s')} AS non_narrative FROM c")
 def c7(spark: SparkSession, d: str) -> DataFrame:
     return A.articles(spark, d).select("article_id", X.is_non_narrative(F.col("summary")).alias("non_narrative"))
 
@@ -100,9 +108,9 @@ def c8(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("c8_clean_snippet", rf"""
-WITH {A.ARTICLES_SQL}, c AS (SELECT article_id, {_SQUEEZE.format('body_text')} AS c FROM articles)
-SELECT article_id, CASE WHEN length(c) <= 320 THEN c WHEN length(regexp_extract(substr(c, 1, 320), '^(.*[.!?])(?:[^.!?]*)$', 1)) >= 176 THEN regexp_extract(substr(c, 1, 320), '^(.*[.!?])(?:[^.!?]*)$', 1)
- ELSE regexp_replace(substr(c, 1, 317), '\s+\S*$', '') || '...' END AS snippet FROM c""")
+WITH {A.ARTICLES_SQL}, c AS (SELECT article_id, {_SQUEEZE.format('body_text')} AS c FROM articles), h AS (SELECT article_id, c, substr(c, 1, 320) AS h, regexp_extract(substr(c, 1, 320), '^(.*[.!?])\s', 1) AS st FROM c),
+k AS (SELECT article_id, c, CASE WHEN length(c) <= 320 THEN c WHEN length(st) + 1 >= 176 THEN st ELSE trim(regexp_replace(h, '\s+\S*$', '')) || '...' END AS k, regexp_extract(c, '^(.+?[.!?])(?:\s|$)', 1) AS f FROM h)
+SELECT article_id, CASE WHEN NOT {_clipped('k')} THEN k WHEN length(f) >= 60 THEN f ELSE '' END AS snippet FROM k""")
 def c8_snippet(spark: SparkSession, d: str) -> DataFrame:
     return A.articles(spark, d).select("article_id", X.clean_snippet(F.col("body_text"), 320).alias("snippet"))
 
@@ -203,12 +211,12 @@ SELECT article_id, outlet, score FROM c, n WHERE n >= 18 UNION ALL SELECT articl
 
 @query("d6_select_candidates", _d6_sql(4))
 def d6(spark: SparkSession, d: str) -> DataFrame:
-    return ST.select_candidates(items(spark, d), "score", "outlet", "article_id").select("article_id", "outlet", "score")
+    return ST.select_candidates(items(spark, d).select("article_id", "outlet", "score"), "score", "outlet", "article_id")
 
 
 @query("d6_select_candidates_fallback", _d6_sql(40))
 def d6_fallback(spark: SparkSession, d: str) -> DataFrame:
-    return ST.select_candidates(items(spark, d), "score", "outlet", "article_id", least=40).select("article_id", "outlet", "score")
+    return ST.select_candidates(items(spark, d).select("article_id", "outlet", "score"), "score", "outlet", "article_id", least=40)
 
 
 @query("d7_substantive", f"""

@@ -344,22 +344,33 @@ def m2(spark: SparkSession, d: str) -> DataFrame:
     return M.grounding_report(grounding(spark, d))
 
 
-@query("m3_support_concentration", f"""
-WITH {A.MEMBERS_SQL}, b AS (SELECT story_id, outlet, count(*) AS n FROM members GROUP BY 1, 2), t AS (SELECT story_id, sum(n)::BIGINT AS refs, count(*) AS outlets, arg_max(outlet, (n, -outlet)) AS dominant_outlet, max(n) AS m FROM b GROUP BY 1), a AS (SELECT story_id, count(DISTINCT article_id) AS articles FROM members GROUP BY 1)
-SELECT story_id AS brief_id, refs, articles, outlets, dominant_outlet, round(m / refs, 6) AS dominant_share FROM t JOIN a USING (story_id)""")
+_SUPPORT = f"""u1 AS (SELECT story_id, outlet, count(*) AS n FROM members GROUP BY 1, 2), u2 AS (SELECT story_id, sum(n)::BIGINT AS refs, count(*) AS outlets, arg_max(outlet, (n, -outlet)) AS dominant_outlet, max(n) AS m FROM u1 GROUP BY 1),
+u3 AS (SELECT story_id, count(DISTINCT article_id) AS articles, count(DISTINCT article_id) FILTER (body_length >= 30000) AS bodies FROM members GROUP BY 1), su AS (SELECT story_id AS brief_id, refs, articles, bodies, outlets, dominant_outlet, round(m / refs, 6) AS dominant_share FROM u2 JOIN u3 USING (story_id))"""
+
+
+def support(spark: SparkSession, d: str) -> DataFrame:
+    return M.support_concentration(A.members(spark, d).withColumnRenamed("story_id", "brief_id").withColumn("has_body", F.col("body_length") >= 30000))
+
+
+@query("m3_support_concentration", f"WITH {A.MEMBERS_SQL}, {_SUPPORT} SELECT * FROM su")
 def m3(spark: SparkSession, d: str) -> DataFrame:
-    return M.support_concentration(A.members(spark, d).withColumnRenamed("story_id", "brief_id"))
+    return support(spark, d)
 
 
 _U = "list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{4,}'))"
 
 
-@query("m4_duplicate_paragraphs", f"""
-WITH p AS (SELECT conv_id % 40 AS brief_id, conv_id * 100 + turn AS position, {_U} AS t FROM conversations WHERE len({_U}) > 0)
-SELECT x.brief_id, x.position AS i, y.position AS j, round(len(list_intersect(x.t, y.t))::DOUBLE / least(len(x.t), len(y.t)), 6) AS overlap FROM p x JOIN p y ON x.brief_id = y.brief_id AND x.position < y.position WHERE round(len(list_intersect(x.t, y.t))::DOUBLE / least(len(x.t), len(y.t)), 6) >= 0.5""")
+_DUPLICATES = f"""dp AS (SELECT conv_id AS brief_id, turn AS position, {_U} AS t FROM conversations WHERE len({_U}) > 0),
+du AS (SELECT x.brief_id, x.position AS i, y.position AS j, round(len(list_intersect(x.t, y.t))::DOUBLE / least(len(x.t), len(y.t)), 6) AS overlap FROM dp x JOIN dp y ON x.brief_id = y.brief_id AND x.position < y.position WHERE round(len(list_intersect(x.t, y.t))::DOUBLE / least(len(x.t), len(y.t)), 6) >= 0.3)"""
+
+
+def duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return M.duplicate_paragraphs(A.table(spark, d, "conversations").select(F.col("conv_id").alias("brief_id"), F.col("turn").alias("position"), "text"), 0.3)
+
+
+@query("m4_duplicate_paragraphs", f"WITH {_DUPLICATES} SELECT * FROM du")
 def m4(spark: SparkSession, d: str) -> DataFrame:
-    p = A.table(spark, d, "conversations").select((F.col("conv_id") % 40).alias("brief_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("position"), "text")
-    return M.duplicate_paragraphs(p, 0.5)
+    return duplicates(spark, d)
 
 
 @query("m4_quote_balance", """SELECT doc_id, length(regexp_replace(text, '[^"]', '', 'g')) % 2 = 0 AND length(regexp_replace(text, '[^“]', '', 'g')) = length(regexp_replace(text, '[^”]', '', 'g')) AS balanced FROM documents""")
@@ -367,18 +378,54 @@ def m4_quotes(spark: SparkSession, d: str) -> DataFrame:
     return A.table(spark, d, "documents").select("doc_id", M.quotes_balanced(F.col("text")).alias("balanced"))
 
 
-_EVAL = f"""{_SECT}, br AS (SELECT brief_id, count(*) AS sections, count(*) FILTER (status = 'ungrounded') AS ungrounded, count(*) FILTER (status = 'weak') AS weak, count(*) FILTER (status = 'missing') AS missing, count(*) FILTER (status = 'scaffold') AS scaffold, avg(overlap) AS mean_overlap FROM sg GROUP BY brief_id),
-ev AS (SELECT brief_id, sections, concat_ws(',', CASE WHEN ungrounded > 1 THEN 'ungrounded' END, CASE WHEN missing > 0 THEN 'missing' END, CASE WHEN weak > 0 THEN 'weak' END, CASE WHEN scaffold > 0 THEN 'scaffold' END, CASE WHEN sections < 2 THEN 'short' END) AS flags,
- least(100, 30 * (CASE WHEN ungrounded > 1 THEN 1 ELSE 0 END + CASE WHEN missing > 0 THEN 1 ELSE 0 END) + 12 * (CASE WHEN weak > 0 THEN 1 ELSE 0 END + CASE WHEN scaffold > 0 THEN 1 ELSE 0 END + CASE WHEN sections < 2 THEN 1 ELSE 0 END)) AS risk,
- CASE WHEN ungrounded > 1 OR missing > 0 THEN 'critical' WHEN weak > 0 OR scaffold > 0 OR sections < 2 THEN 'warning' ELSE 'pass' END AS priority FROM br)"""
+def _flags_sql(rules: list[list[tuple[str, str, str]]]) -> tuple[str, str]:
+    """CASE expressions of the flags, critical ones first, and of their number that is critical; of a group only the first that holds counts."""
+    every = [("no_brief", "critical", "NOT has_brief")]
+    for group in rules:
+        for k, (code, severity, test) in enumerate(group):
+            every.append((code, severity, " AND ".join(["has_brief", f"coalesce({test}, FALSE)", *(f"NOT coalesce({t}, FALSE)" for _, _, t in group[:k])])))
+    every.sort(key=lambda r: (r[1] != "critical", r[0]))
+    return ", ".join(f"CASE WHEN {t} THEN '{c}' END" for c, _, t in every), " + ".join(f"CASE WHEN {t} THEN 1 ELSE 0 END" for _, s, t in every if s == "critical")
+
+
+_AGREES = "coalesce(agree_mode, '') <> 'scaffold' AND comparison = 0"
+_LISTED, _GRAVE = _flags_sql([
+    [("full_without_breadth", "critical", "status = 'full' AND NOT ready_now"), ("ready_but_early", "warning", "status <> 'full' AND ready_now")], [("readiness_stale", "warning", "stored_ready <> ready_now")],
+    [("open_alternate_missing", "warning", "alternate_expected AND NOT alternate_stored")], [("stub_drives_brief", "critical", f"{_AGREES} AND (stub_shells > 0 OR snapshot_stubs > 0)"), ("context_drives_brief", "warning", f"{_AGREES} AND contextual > 0")],
+    [("no_section_support", "critical", "refs = 0"), ("grounding_failures", "critical", "ratio < 0.5 OR unsupported >= 2"), ("grounding_warnings", "warning", "unsupported > 0 OR weak >= 2")],
+    [("full_on_one_outlet", "critical", "status = 'full' AND outlets < 2"), ("full_with_dominant_outlet", "warning", "status = 'full' AND dominant_share >= 0.8")], [("full_on_one_article", "warning", "status = 'full' AND articles < 2")],
+    [("full_on_few_bodies", "warning", "status = 'full' AND bodies < 2")], [("duplicate_paragraphs", "warning", "duplicates > 0")], [("unbalanced_quotes", "warning", "unbalanced > 0")], [("full_says_one_source", "critical", "status = 'full' AND one_source")],
+    [("full_with_early_split", "warning", "status = 'full' AND early_split")], [("full_with_follow_on", "warning", "status = 'full' AND follow_on")],
+])
+_BALANCED = """length(regexp_replace(text, '[^"]', '', 'g')) % 2 = 0 AND length(regexp_replace(text, '[^“]', '', 'g')) = length(regexp_replace(text, '[^”]', '', 'g'))"""
+_EVAL = f"""{_SECT}, {A.MEMBERS_SQL}, {_SUPPORT}, {_DUPLICATES}, gr AS (SELECT brief_id, round(count(*) FILTER (status = 'grounded') / nullif(count(*) FILTER (status IN ('grounded', 'weak', 'ungrounded')), 0), 6) AS ratio, count(*) FILTER (status IN ('ungrounded', 'missing')) AS unsupported, count(*) FILTER (status = 'weak') AS weak FROM sg GROUP BY 1),
+dn AS (SELECT brief_id, count(*) AS duplicates FROM du GROUP BY 1), tx AS (SELECT conv_id AS brief_id, count(*) FILTER (NOT ({_BALANCED})) AS unbalanced, bool_or(contains(lower(text), 'one source')) AS one_source, bool_or(starts_with(trim(text), 'The')) AS early_split, bool_or(starts_with(trim(text), 'Wh')) AS follow_on FROM conversations GROUP BY 1),
+mt AS (SELECT brief_id, brief_id % 11 <> 0 AS has_brief, CASE WHEN brief_id % 3 = 0 THEN 'early' ELSE 'full' END AS status, brief_id % 4 <> 1 AS ready_now, CASE WHEN brief_id % 5 <> 0 THEN brief_id % 4 <> 2 END AS stored_ready, brief_id % 6 = 0 AS alternate_expected, brief_id % 12 = 0 AS alternate_stored, CASE WHEN brief_id % 9 = 0 THEN 'scaffold' ELSE 'required' END AS agree_mode,
+  brief_id % 7 AS comparison, brief_id % 2 AS stub_shells, 0 AS snapshot_stubs, 1 AS contextual, ratio, coalesce(unsupported, 0) AS unsupported, coalesce(weak, 0) AS weak, coalesce(refs, 0) AS refs, coalesce(outlets, 0) AS outlets, coalesce(articles, 0) AS articles, coalesce(bodies, 0) AS bodies, dominant_share, coalesce(duplicates, 0) AS duplicates, unbalanced, one_source, early_split, follow_on
+  FROM tx LEFT JOIN gr USING (brief_id) LEFT JOIN su USING (brief_id) LEFT JOIN dn USING (brief_id)),
+e0 AS (SELECT *, list_filter([{_LISTED}], lambda x: x IS NOT NULL) AS fl, {_GRAVE} AS grave FROM mt),
+ev AS (SELECT *, array_to_string(fl, ',') AS flags, least(100, 30 * grave + 12 * (len(fl) - grave)) AS risk, CASE WHEN grave > 0 THEN 'critical' WHEN len(fl) > 0 THEN 'warning' ELSE 'pass' END AS priority FROM e0)"""
 
 
 def evaluations(spark: SparkSession, d: str) -> DataFrame:
-    n = lambda s: F.count_if(F.col("status") == s).alias(s)
-    briefs = grounding(spark, d).groupBy("brief_id").agg(F.count("*").alias("sections"), *(n(s) for s in ("ungrounded", "weak", "missing", "scaffold")))
-    c = F.col
-    rules = [("ungrounded", "critical", c("ungrounded") > 1), ("missing", "critical", c("missing") > 0), ("weak", "warning", c("weak") > 0), ("scaffold", "warning", c("scaffold") > 0), ("short", "warning", c("sections") < 2)]
-    return M.quality_flags(briefs, rules)
+    """Metrics of each brief for the rules: its sections, support, duplicates and texts; what the tables do not hold comes from the brief's number."""
+    c, b, text = F.col, F.col("brief_id"), F.col("text")
+    report = M.grounding_report(grounding(spark, d)).select("brief_id", "ratio")
+    counts = grounding(spark, d).groupBy("brief_id").agg(F.count_if(c("status").isin("ungrounded", "missing")).alias("unsupported"), F.count_if(c("status") == "weak").alias("weak"))
+    texts = A.table(spark, d, "conversations").groupBy(c("conv_id").alias("brief_id")).agg(
+        F.count_if(~M.quotes_balanced(text)).alias("unbalanced"), F.bool_or(F.contains(F.lower(text), F.lit("one source"))).alias("one_source"),
+        F.bool_or(F.startswith(F.trim(text), F.lit("The"))).alias("early_split"), F.bool_or(F.startswith(F.trim(text), F.lit("Wh"))).alias("follow_on"),
+    )
+    twice = duplicates(spark, d).groupBy("brief_id").agg(F.count("*").alias("duplicates"))
+    rows = texts
+    for part in (report, counts, support(spark, d).drop("dominant_outlet"), twice):
+        rows = rows.join(part, "brief_id", "left")
+    rows = rows.fillna(0, ["unsupported", "weak", "refs", "outlets", "articles", "bodies", "duplicates"])
+    rows = rows.withColumns({
+        "has_brief": b % 11 != 0, "status": F.when(b % 3 == 0, "early").otherwise("full"), "ready_now": b % 4 != 1, "stored_ready": F.when(b % 5 != 0, b % 4 != 2), "alternate_expected": b % 6 == 0, "alternate_stored": b % 12 == 0,
+        "agree_mode": F.when(b % 9 == 0, "scaffold").otherwise("required"), "comparison": b % 7, "stub_shells": b % 2, "snapshot_stubs": F.lit(0), "contextual": F.lit(1),
+    })
+    return M.quality_flags(rows)
 
 
 @query("m5_quality_flags", f"WITH {_EVAL} SELECT brief_id, flags, risk, priority FROM ev")
@@ -403,14 +450,17 @@ _SINCE = AS_OF - 3600 * 48 * 5
 
 
 @query("m8_source_health", f"""
-WITH {A.FETCH_SQL}, s AS (SELECT DISTINCT source_id FROM fetches), d AS (SELECT source_id, count(*) AS discoveries, count(*) FILTER (status = 'fetched') AS fetched, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'normalized') AS normalized FROM fetches WHERE second >= {_SINCE} GROUP BY 1),
-a AS (SELECT source_id, count(*) AS articles, count(*) FILTER (body_length >= 400) AS substantive, count(*) FILTER (event_id % 3 = 0) AS open_articles, count(*) FILTER (event_id % 3 = 1) AS paywalled, count(*) FILTER (event_id % 3 = 1 AND NOT body_length >= 400) AS thin_paywalled, count(DISTINCT event_id % 17) AS stories FROM fetches WHERE second >= {_SINCE} AND status = 'fetched' GROUP BY 1)
-SELECT source_id, coalesce(discoveries, 0) AS discoveries, coalesce(fetched, 0) AS fetched, coalesce(failed, 0) AS failed, coalesce(pending, 0) AS pending, coalesce(normalized, 0) AS normalized, coalesce(articles, 0) AS articles, coalesce(substantive, 0) AS substantive, coalesce(open_articles, 0) AS open_articles, coalesce(paywalled, 0) AS paywalled, coalesce(thin_paywalled, 0) AS thin_paywalled, coalesce(stories, 0) AS stories, round(substantive / articles, 6) AS substantive_rate
-FROM s LEFT JOIN d USING (source_id) LEFT JOIN a USING (source_id) ORDER BY coalesce(stories, 0) DESC, coalesce(substantive, 0) DESC, coalesce(discoveries, 0) DESC, source_id LIMIT 20""")
+WITH {A.FETCH_SQL}, s AS (SELECT DISTINCT source_id FROM fetches), d AS (SELECT source_id, count(*) AS discoveries, count(*) FILTER (status = 'fetched') AS fetched, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'normalized') AS normalized, count(*) FILTER (status = 'failed' AND event_id % 2 = 0) AS blocked FROM fetches WHERE second >= {_SINCE} GROUP BY 1),
+a AS (SELECT source_id, count(*) AS articles, count(*) FILTER (body_length >= 400) AS substantive, count(*) FILTER (event_id % 3 = 0) AS open_articles, count(*) FILTER (event_id % 3 = 1) AS paywalled, count(*) FILTER (event_id % 3 = 1 AND NOT body_length >= 400) AS thin_paywalled, count(*) FILTER (event_id % 5 = 0) AS rendered, count(DISTINCT event_id % 17) AS stories FROM fetches WHERE second >= {_SINCE} AND status = 'fetched' GROUP BY 1),
+f AS (SELECT c_custkey % 150 AS source_id, count(*) FILTER (c_mktsegment <> 'BUILDING') AS active_feeds FROM customer GROUP BY 1)
+SELECT source_id, coalesce(discoveries, 0) AS discoveries, coalesce(fetched, 0) AS fetched, coalesce(failed, 0) AS failed, coalesce(pending, 0) AS pending, coalesce(normalized, 0) AS normalized, coalesce(blocked, 0) AS blocked, coalesce(articles, 0) AS articles, coalesce(substantive, 0) AS substantive, coalesce(open_articles, 0) AS open_articles, coalesce(paywalled, 0) AS paywalled, coalesce(thin_paywalled, 0) AS thin_paywalled, coalesce(rendered, 0) AS rendered, coalesce(stories, 0) AS stories, coalesce(active_feeds, 0) AS active_feeds, round(substantive / articles, 6) AS substantive_rate
+FROM s LEFT JOIN d USING (source_id) LEFT JOIN a USING (source_id) LEFT JOIN f USING (source_id) ORDER BY coalesce(stories, 0) DESC, coalesce(substantive, 0) DESC, coalesce(discoveries, 0) DESC, source_id LIMIT 20""")
 def m8(spark: SparkSession, d: str) -> DataFrame:
-    f = A.fetch_log(spark, d)
-    articles = f.where("status = 'fetched'").select("source_id", (F.col("event_id") % 17).alias("story_id"), "second", (F.col("body_length") >= 400).alias("is_substantive"), (F.col("event_id") % 3 == 0).alias("is_open"), (F.col("event_id") % 3 == 1).alias("is_paywalled"))
-    return M.source_health(f.select("source_id").distinct(), f, articles, AS_OF, 48 * 5)
+    f = A.fetch_log(spark, d).withColumn("blocked", (F.col("status") == "failed") & (F.col("event_id") % 2 == 0))
+    n = F.col("event_id")
+    articles = f.where("status = 'fetched'").select("source_id", (n % 17).alias("story_id"), "second", (F.col("body_length") >= 400).alias("is_substantive"), (n % 3 == 0).alias("is_open"), (n % 3 == 1).alias("is_paywalled"), (n % 5 == 0).alias("rendered"))
+    feeds = A.table(spark, d, "customer").select((F.col("c_custkey") % 150).alias("source_id"), (F.col("c_mktsegment") != "BUILDING").alias("is_active"))
+    return M.source_health(f.select("source_id").distinct(), f, articles, feeds, AS_OF, 48 * 5)
 
 
 @query("m9_health_snapshot", f"""
@@ -439,12 +489,14 @@ def m10_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("m11_ops_metrics", f"""
-WITH {A.ARTICLES_SQL}, o AS (SELECT DISTINCT outlet, length(outlet) * 7 AS refreshed_days FROM articles WHERE outlet NOT LIKE '%1')
-SELECT median(15 + article_id % 40) AS median_latency, round(avg(CASE WHEN refreshed_days IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS outlet_hit_rate, round(avg(refreshed_days), 6) AS mean_refresh_days FROM articles LEFT JOIN o USING (outlet)""")
+WITH {A.ARTICLES_SQL}, o AS (SELECT DISTINCT outlet, length(outlet) * 7 AS refreshed_days FROM articles WHERE outlet NOT LIKE '%1'), m AS (SELECT median(15 + article_id % 40) AS median_latency, round(avg(CASE WHEN refreshed_days IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS outlet_hit_rate, round(avg(refreshed_days), 6) AS mean_refresh_days FROM articles LEFT JOIN o USING (outlet)),
+c AS (SELECT (date_diff('day', o_orderdate::DATE, l_shipdate::DATE) - 20) * 24 AS h FROM lineitem JOIN orders ON o_orderkey = l_orderkey), k AS (SELECT median(h) AS correction_hours, count(*) AS corrections FROM c WHERE h >= 0) SELECT * FROM m, k""")
 def m11(spark: SparkSession, d: str) -> DataFrame:
     a = A.articles(spark, d).withColumn("story_minute", F.col("minute") + 15 + F.col("article_id") % 40)
     known = a.select("outlet").distinct().where("outlet NOT LIKE '%1'").withColumn("refreshed_days", F.length("outlet") * 7)
-    return M.ops_metrics(a, known)
+    shipped = A.table(spark, d, "lineitem").join(A.table(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    corrections = shipped.select(F.col("l_partkey").alias("article_id"), ((F.datediff(F.col("l_shipdate").cast("date"), F.col("o_orderdate").cast("date")) - 20) * 24).alias("hours"))
+    return M.ops_metrics(a, known, corrections)
 
 
 _SESS = f"""{A.READER_SQL}, n AS (SELECT *, CASE WHEN second - lag(second) OVER (PARTITION BY user_id ORDER BY second, event_id) <= 1800 THEN 0 ELSE 1 END AS n FROM reader), s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY second, event_id ROWS UNBOUNDED PRECEDING) AS s FROM n),

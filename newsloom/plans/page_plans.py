@@ -87,6 +87,11 @@ def b8(spark: SparkSession, d: str) -> DataFrame:
     return O.sitemap_rules(rows, rules, "page_id", "zone", F.col("url"), F.col("title")).select("page_id")
 
 
+_WORDS_OF_URL = r"array_to_string(list_filter(string_split_regex(regexp_replace(regexp_extract(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '\.[A-Za-z0-9]+$', ''), '^.*://[^/]*', ''), '([^/]*)$', 1), '[-_]+', ' ', 'g'), ' +'), lambda x: NOT regexp_matches(x, '^[0-9]*$')), ' ')"
+#: title_from_url of a column named url.
+TITLE_FROM_URL_SQL = f"CASE WHEN length({_WORDS_OF_URL}) >= 8 THEN upper(substr({_WORDS_OF_URL}, 1, 1)) || substr({_WORDS_OF_URL}, 2) END"
+
+
 @query("b9_title_from_url", r"""
 WITH s AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '\.[A-Za-z0-9]+$', ''), '^.*://[^/]*', '') || '/the-' || regexp_extract(html, '<title>([A-Za-z]*) ', 1) || '-12_report' AS u FROM pages),
 w AS (SELECT page_id, array_to_string(list_filter(string_split_regex(regexp_replace(regexp_extract(u, '([^/]*)$', 1), '[-_]+', ' ', 'g'), ' +'), lambda x: NOT regexp_matches(x, '^[0-9]*$')), ' ') AS t FROM s)

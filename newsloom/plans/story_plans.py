@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 
 from newsloom.functions import text as X
+from newsloom.functions.text import settled
 from newsloom.operators import similarity as E
 from newsloom.operators import stories as ST
 from newsloom.plans import adapters as A
@@ -25,8 +26,7 @@ def e1(spark: SparkSession, d: str) -> DataFrame:
 
 _TOKENS = "list_sort(list_distinct(regexp_extract_all(lower(headline), '[a-z0-9]{4,}')))"
 NEAR_SQL = f"""{A.ARTICLES_SQL}, tk AS (SELECT min(article_id) AS k, t FROM (SELECT article_id, {_TOKENS} AS t FROM articles) WHERE len(t) > 0 GROUP BY t),
-bands AS (SELECT k, t, unnest([b || ':' || list_min(list_transform(t, lambda x: md5(b || ':' || x))) FOR b IN range(8)]) AS band FROM tk),
-near AS (SELECT DISTINCT l.k AS a, r.k AS b, len(list_intersect(l.t, r.t))::DOUBLE / greatest(len(l.t), len(r.t)) AS similarity FROM bands l JOIN bands r ON l.band = r.band AND l.k < r.k
+near AS (SELECT l.k AS a, r.k AS b, len(list_intersect(l.t, r.t))::DOUBLE / greatest(len(l.t), len(r.t)) AS similarity FROM tk l JOIN tk r ON l.k < r.k AND least(len(l.t), len(r.t)) >= 0.6 * greatest(len(l.t), len(r.t))
   WHERE len(list_intersect(l.t, r.t))::DOUBLE / greatest(len(l.t), len(r.t)) >= 0.6)"""
 
 
@@ -35,6 +35,29 @@ def e1_near(spark: SparkSession, d: str) -> DataFrame:
     return E.near_pairs(A.articles(spark, d), "article_id", F.col("headline"), 0.6)
 
 
+_DEDUPE = f"""{NEAR_SQL}, pr AS (SELECT article_id, 'url' AS kind, 'https://x.example/' || (article_id // 3 * 3 + article_id % 3 // 2) AS p FROM articles WHERE article_id % 10 < 4
+  UNION ALL SELECT article_id, 'body', sha256(lower({_CLEAN.format('body_text')})) FROM articles WHERE {_CLEAN.format('body_text')} <> '' UNION ALL SELECT article_id, 'headline', array_to_string({_TOKENS}, ' ') FROM articles WHERE len({_TOKENS}) > 0),
+ls AS (SELECT kind, p, min(article_id) AS o FROM pr GROUP BY 1, 2), rel AS (SELECT article_id AS article, o AS other, kind FROM pr JOIN ls USING (kind, p) WHERE article_id <> o UNION ALL SELECT b, a, 'headline' FROM near)"""
+
+
+def _deduped(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    c = F.col("article_id")
+    url = F.when(c % 10 < 4, F.concat(F.lit("https://x.example/"), F.expr("article_id div 3 * 3 + article_id % 3 div 2")))
+    return E.dedupe_articles(A.articles(spark, d).withColumn("url", url), "article_id", "url", F.col("headline"), F.col("body_text"), 0.6)
+
+
+@query("e1_dedupe_articles", f"""
+WITH RECURSIVE {_DEDUPE}, li AS (SELECT article AS a, other AS b FROM rel UNION SELECT other, article FROM rel), t(a, b) AS (SELECT article_id, article_id FROM articles UNION SELECT t.a, li.b FROM t JOIN li ON li.a = t.b)
+SELECT a AS article_id, min(b) AS canonical FROM t GROUP BY a""")
+def e1_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    return _deduped(spark, d)[0]
+
+
+@query("e1_relations", f"WITH {_DEDUPE} SELECT article, other, kind FROM rel")
+def e1_relations(spark: SparkSession, d: str) -> DataFrame:
+    return _deduped(spark, d)[1]
+
+
 @query("e2_syndication_variants", f"WITH {NEAR_SQL} SELECT a, b, x.outlet AS outlet_a, y.outlet AS outlet_b FROM near JOIN articles x ON x.article_id = a JOIN articles y ON y.article_id = b WHERE x.outlet <> y.outlet")
 def e2(spark: SparkSession, d: str) -> DataFrame:
     rows = A.articles(spark, d)
@@ -52,9 +75,14 @@ def e3(spark: SparkSession, d: str) -> DataFrame:
     return A.articles(spark, d).select("article_id", text.alias("embedding_text"))
 
 
+def embedded() -> F.Column:
+    """E3's text of an article."""
+    return E.embedding_text(F.col("headline"), F.col("summary"), F.col("body_text"), F.expr("CAST(array() AS array<string>)"), F.expr("CAST(array() AS array<string>)"))
+
+
 @query("e4_hash_embedding")
 def e4(spark: SparkSession, d: str) -> DataFrame:
-    return A.articles(spark, d).select("article_id", E.hash_embedding(F.col("summary")).alias("vector"))
+    return A.articles(spark, d).select("article_id", E.hash_embedding(embedded()).alias("vector"))
 
 
 @query("e4_hash_embedding_md5", f"""
@@ -79,25 +107,33 @@ def e5(spark: SparkSession, d: str) -> DataFrame:
     return E.cosine_pairs(pairs, v, "vec_id", "embedding").select("a", "b", F.round("similarity", 9).alias("similarity"))
 
 
-NEIGHBORS_SQL = f"""near AS (SELECT x.vec_id AS item, y.vec_id AS neighbor, {_COS} AS similarity FROM embeddings x JOIN embeddings y ON x.label % 2 = y.label % 2 AND x.vec_id <> y.vec_id),
+NEIGHBORS_SQL = f"""near AS (SELECT x.vec_id AS item, y.vec_id AS neighbor, round({_COS}, 9) AS similarity FROM embeddings x JOIN embeddings y ON x.vec_id % 50 = 0 AND x.vec_id <> y.vec_id),
 top AS (SELECT item, neighbor, similarity, row_number() OVER (PARTITION BY item ORDER BY similarity DESC, neighbor) AS rank FROM near WHERE similarity >= 0.1)"""
 
 
 def neighbors(spark: SparkSession, d: str) -> DataFrame:
-    return E.top_k_neighbors(A.table(spark, d, "embeddings").withColumn("block", F.col("label") % 2), "vec_id", "embedding", "block")
+    """Of every vector whose id is divisible by 50 the neighbours among all vectors."""
+    v = A.table(spark, d, "embeddings")
+    return E.top_k_neighbors(v, "vec_id", "embedding", v.where("vec_id % 50 = 0"))
 
 
-@query("e6_top_k_neighbors", f"WITH {NEIGHBORS_SQL} SELECT item, neighbor, round(similarity, 9) AS similarity, rank FROM top WHERE rank <= 6")
+@query("e6_top_k_neighbors", f"WITH {NEIGHBORS_SQL} SELECT item, neighbor, similarity, rank FROM top WHERE rank <= 6")
 def e6(spark: SparkSession, d: str) -> DataFrame:
-    return neighbors(spark, d).withColumn("similarity", F.round("similarity", 9))
+    return neighbors(spark, d)
+
+
+@query("e6_lsh_neighbors")
+def e6_lsh(spark: SparkSession, d: str) -> DataFrame:
+    return E.lsh_neighbors(A.table(spark, d, "embeddings"), "vec_id", "embedding")
 
 
 @query("e7_neighbor_recall", f"""
 WITH {NEIGHBORS_SQL}, m AS (SELECT vec_id, label, count(*) OVER (PARTITION BY label) - 1 AS mates FROM embeddings),
 h AS (SELECT item, count(*) AS hits FROM top JOIN embeddings x ON x.vec_id = item JOIN embeddings y ON y.vec_id = neighbor AND x.label = y.label WHERE rank <= 6 GROUP BY item)
-SELECT count(*) AS items, avg(CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate, avg(coalesce(hits, 0)::DOUBLE / least(mates, 6)) AS recall FROM m LEFT JOIN h ON item = vec_id WHERE mates > 0""")
+SELECT count(*) AS items, avg(CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate, avg(coalesce(hits, 0)::DOUBLE / least(mates, 6)) AS recall FROM m LEFT JOIN h ON item = vec_id WHERE mates > 0 AND vec_id % 50 = 0""")
 def e7(spark: SparkSession, d: str) -> DataFrame:
-    return E.neighbor_recall(neighbors(spark, d), A.table(spark, d, "embeddings"), "vec_id", "label")
+    v = A.table(spark, d, "embeddings")
+    return E.neighbor_recall(neighbors(spark, d), v, "vec_id", "label", items=v.where("vec_id % 50 = 0"))
 
 
 @query("e8_cluster_audit", """
@@ -110,25 +146,35 @@ def e8(spark: SparkSession, d: str) -> DataFrame:
 
 LOW, ANCHOR_STOP = ["thon", "andh"], ["ing", "ion"]
 _SIG = P._SIGNAL
-ITEM_SQL = f"""{P.SCORED_SQL}, item AS (SELECT *, article_id // 5 AS story_id, {_SIG} AS signal, list_filter(t, lambda x: starts_with(x, 'th')) AS entities FROM scored)"""
+ITEM_SQL = f"""{P.SCORED_SQL}, item AS (SELECT *, article_id // 5 AS story_id, {_SIG} AS signal, list_filter(t, lambda x: starts_with(x, 'th')) AS entities, length({_CLEAN.format('body_text')}) >= 180 OR quality >= 6 AS is_substantive, access_signal = 'open' AS is_open FROM scored)"""
+#: Items that preferred_members keeps, and the anchors of story_query.
+PREFERRED_SQL = "pm AS (SELECT * FROM (SELECT *, CASE WHEN NOT stub AND signal >= 3 THEN 0 WHEN NOT stub AND context < 2 THEN 1 WHEN NOT stub THEN 2 ELSE 3 END AS tier FROM item) QUALIFY tier = min(tier) OVER (PARTITION BY story_id))"
+ANCHORS_SQL = "an AS (SELECT * FROM (SELECT *, CASE WHEN is_substantive AND context < 2 AND NOT stub THEN 0 WHEN is_substantive AND NOT stub THEN 1 WHEN is_substantive THEN 2 ELSE 3 END AS tier FROM item) QUALIFY tier = min(tier) OVER (PARTITION BY story_id))"
 
 
 def story_items(spark: SparkSession, d: str) -> DataFrame:
     rows = P.articles(spark, d).withColumn("story_id", F.expr("article_id div 5"))
-    return rows.withColumn("signal", P.signal_column()).withColumn("entities", F.filter("tokens", lambda x: F.startswith(x, F.lit("th"))))
+    rows = settled(rows.withColumn("signal", P.signal_column()).withColumn("entities", F.filter("tokens", lambda x: F.startswith(x, F.lit("th")))))
+    return rows.withColumns({"is_substantive": (F.length(X.squeeze(F.col("body_text"))) >= 180) | (F.col("quality") >= 6), "is_open": F.col("access_signal") == "open", "has_body": F.col("extraction_quality") == "article_body"})
 
 
 _IN = "list_filter({0}, lambda x: x NOT IN ({1}))"
 _Q = lambda words: ", ".join(f"'{w}'" for w in words)
+def _scores_sql(pairs: str, out: str) -> str:
+    """CTEs from pairs (a_t, b_t, a_g, b_g, a_e, b_e, ac, bc, similarity) to ``out`` with the features, gated, bare and score."""
+    return f"""{out}_0 AS (SELECT *, list_intersect(a_t, b_t) AS sh, {_IN.format('list_intersect(a_t, b_t)', _Q(P.BROAD))} AS sp, list_intersect(a_g, b_g) AS tg, len(list_intersect(a_e, b_e)) AS entities FROM {pairs}),
+{out}_1 AS (SELECT *, len(sh) AS overlap, len(sp) AS specific, len({_IN.format('sp', _Q(LOW))}) AS anchored, len({_IN.format('sp', _Q([*LOW, *ANCHOR_STOP]))}) AS event_anchors, len(list_filter(tg, lambda x: x <> 'generic')) AS strong, len(list_filter(tg, lambda x: x = 'generic')) AS gen,
+  len(a_t) + len(b_t) - len(sh) AS un, least(len(a_t), len(b_t)) AS sm FROM {out}_0),
+{out}_2 AS (SELECT *, (gen > 0 AND strong = 0 AND entities = 0 AND anchored < 2) OR (((ac AND NOT bc) OR (NOT ac AND bc)) AND event_anchors < 2 AND entities < 2 AND similarity < 0.66) AS gated, strong + gen + entities + anchored = 0 AS bare FROM {out}_1),
+{out} AS (SELECT *, CASE WHEN gated OR len(a_t) = 0 OR (overlap = 0 AND strong + gen = 0) OR (bare AND similarity < 0.42) THEN 0.0 ELSE 8 * strong + 3 * gen + 2.5 * specific + 3 * anchored + 3.5 * event_anchors + 1.25 * overlap + 4 * CASE WHEN un > 0 THEN overlap::DOUBLE / un ELSE 0 END + 5 * CASE WHEN sm > 0 THEN specific::DOUBLE / sm ELSE 0 END + 2 * entities + 12 * similarity
+  + CASE WHEN strong > 0 AND specific > 0 THEN 3 ELSE 0 END + CASE WHEN gen > 0 AND anchored >= 2 THEN 1.5 ELSE 0 END + CASE WHEN similarity >= 0.42 AND (strong > 0 OR anchored > 0 OR entities > 0) THEN 3 ELSE 0 END - CASE WHEN ac THEN 4.5 ELSE 0 END - CASE WHEN ac AND NOT bc THEN 3.5 ELSE 0 END END AS score FROM {out}_2)"""
+
+
+_JOINS = """(score >= 12 OR (NOT gated AND CASE WHEN bare THEN similarity >= 0.42 ELSE (similarity >= 0.42 AND (anchored > 0 OR entities > 0 OR strong > 0)) OR (similarity >= 0.32 AND (anchored >= 2 OR entities >= 1))
+ OR (strong > 0 AND anchored >= 1) OR (gen > 0 AND anchored >= 2) OR event_anchors >= 2 OR anchored >= 4 OR (anchored >= 3 AND overlap >= 4) END))"""
 PAIR_SQL = f"""{ITEM_SQL}, pr AS (
-  SELECT x.story_id, x.article_id AS a, y.article_id AS b, x.t AS a_t, y.t AS b_t, x.context >= 2 AS ac, y.context >= 2 AS bc, ((x.article_id + y.article_id) % 10) / 20.0 AS similarity,
-         list_intersect(x.t, y.t) AS sh, {_IN.format('list_intersect(x.t, y.t)', _Q(P.BROAD))} AS sp, list_intersect(x.tags, y.tags) AS tg, len(list_intersect(x.entities, y.entities)) AS entities
-  FROM item x JOIN item y ON x.story_id = y.story_id AND x.article_id <> y.article_id),
-ft AS (SELECT *, len(sh) AS overlap, len(sp) AS specific, len({_IN.format('sp', _Q(LOW))}) AS anchored, len({_IN.format('sp', _Q(ANCHOR_STOP))}) AS event_anchors, len(list_filter(tg, lambda x: x <> 'generic')) AS strong, len(list_filter(tg, lambda x: x = 'generic')) AS gen,
-  len(a_t) + len(b_t) - len(sh) AS un, least(len(a_t), len(b_t)) AS sm FROM pr),
-br AS (SELECT *, (overlap = 0 AND strong + gen = 0) OR (gen > 0 AND strong = 0 AND entities = 0 AND anchored < 2) OR (ac <> bc AND event_anchors < 2 AND entities < 2 AND similarity < 0.5) OR (strong + gen + entities + anchored = 0 AND similarity < 0.42) OR len(a_t) = 0 AS barred FROM ft),
-sc AS (SELECT *, CASE WHEN barred THEN 0.0 ELSE 8 * strong + 3 * gen + 2.5 * specific + 3 * anchored + 3.5 * event_anchors + 1.25 * overlap + 4 * CASE WHEN un > 0 THEN overlap::DOUBLE / un ELSE 0 END + 5 * CASE WHEN sm > 0 THEN specific::DOUBLE / sm ELSE 0 END + 2 * entities + 12 * similarity
-  + CASE WHEN strong > 0 AND specific > 0 THEN 3 ELSE 0 END + CASE WHEN gen > 0 AND anchored >= 2 THEN 1.5 ELSE 0 END + CASE WHEN similarity >= 0.42 AND (strong > 0 OR anchored > 0 OR entities > 0) THEN 3 ELSE 0 END - CASE WHEN ac THEN 4.5 ELSE 0 END - CASE WHEN ac AND NOT bc THEN 3.5 ELSE 0 END END AS score FROM br)"""
+  SELECT x.story_id, x.article_id AS a, y.article_id AS b, x.t AS a_t, y.t AS b_t, x.tags AS a_g, y.tags AS b_g, x.entities AS a_e, y.entities AS b_e, x.context >= 2 AS ac, y.context >= 2 AS bc, ((x.article_id + y.article_id) % 10) / 20.0 AS similarity
+  FROM item x JOIN item y ON x.story_id = y.story_id AND x.article_id <> y.article_id), {_scores_sql('pr', 'sc')}"""
 
 
 def scored_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -143,8 +189,7 @@ def f1(spark: SparkSession, d: str) -> DataFrame:
     return scored_pairs(spark, d).select("a", "b", "overlap", "anchored", F.round("score", 6).alias("score"))
 
 
-@query("f2_should_join", f"""WITH {PAIR_SQL} SELECT a, b, score >= 12 OR (NOT barred AND (strong + gen + entities + anchored = 0 OR (similarity >= 0.42 AND (anchored > 0 OR entities > 0 OR strong > 0)) OR (similarity >= 0.32 AND (anchored >= 2 OR entities >= 1))
- OR (strong > 0 AND anchored >= 1) OR (gen > 0 AND anchored >= 2) OR event_anchors >= 2 OR anchored >= 4 OR (anchored >= 3 AND overlap >= 4))) AS joins FROM sc""")
+@query("f2_should_join", f"WITH {PAIR_SQL} SELECT a, b, {_JOINS} AS joins FROM sc")
 def f2(spark: SparkSession, d: str) -> DataFrame:
     return ST.should_join(scored_pairs(spark, d)).select("a", "b", "joins")
 
@@ -167,20 +212,23 @@ def f5(spark: SparkSession, d: str) -> DataFrame:
     return ST.low_confidence(scored_pairs(spark, d), 2.0).select("a", "b", F.round("score", 6).alias("score"))
 
 
-@query("f6_story_label", f"""
-WITH {ITEM_SQL}, c AS (SELECT story_id, tk, count(*) AS n FROM (SELECT story_id, unnest(t) AS tk FROM item) WHERE tk NOT IN ({_Q(P.BROAD)}) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY n DESC, tk) AS k FROM c)
-SELECT story_id, string_agg(tk, ' ' ORDER BY k) AS label FROM r WHERE k <= 3 GROUP BY story_id""")
+_LABEL = f"""{PREFERRED_SQL}, lc AS (SELECT story_id, tk, count(*) AS n FROM (SELECT story_id, unnest(t) AS tk FROM pm) WHERE tk NOT IN ({_Q(P.BROAD)}) GROUP BY 1, 2), lr AS (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY n DESC, tk) AS k FROM lc),
+la AS (SELECT story_id, coalesce(string_agg(tk, ' ' ORDER BY k) FILTER (k <= 3), 'story') AS label FROM (SELECT DISTINCT story_id FROM item) LEFT JOIN lr USING (story_id) GROUP BY story_id)"""
+
+
+@query("f6_story_label", f"WITH {ITEM_SQL}, {_LABEL} SELECT story_id, label FROM la")
 def f6(spark: SparkSession, d: str) -> DataFrame:
     return ST.story_label(story_items(spark, d), "tokens", P.BROAD)
 
 
-_LEAD = """m AS (SELECT item.*, max(minute) OVER (PARTITION BY story_id) AS newest, bool_and(stub) OVER (PARTITION BY story_id) AS all_stubs FROM item),
+_LEAD = f"""{PREFERRED_SQL}, nw AS (SELECT story_id, max(minute) AS newest FROM item GROUP BY 1), m AS (SELECT pm.*, newest FROM pm JOIN nw USING (story_id)),
 ce AS (SELECT story_id, a AS article_id, sum(score) AS central FROM sc GROUP BY 1, 2),
 ls AS (SELECT m.*, round(2 * quality + coalesce(central, 0) + CASE extraction_quality WHEN 'article_body' THEN 6 WHEN 'metadata_description' THEN 2 ELSE 0 END + 1.5 * greatest(signal, 0) - 6 * context - CASE WHEN stub THEN 9 ELSE 0 END - least((newest - minute) / 60, 12), 6) AS lead_score
-  FROM m LEFT JOIN ce USING (story_id, article_id) WHERE all_stubs OR NOT stub)"""
+  FROM m LEFT JOIN ce USING (story_id, article_id)),
+le AS (SELECT story_id, article_id AS lead_id, lead_score FROM (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY lead_score DESC, minute DESC, article_id) AS k FROM ls) WHERE k = 1)"""
 
 
-@query("f7_story_lead", f"WITH {PAIR_SQL}, {_LEAD} SELECT story_id, article_id AS lead_id, lead_score FROM (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY lead_score DESC, minute DESC, article_id) AS k FROM ls) WHERE k = 1")
+@query("f7_story_lead", f"WITH {PAIR_SQL}, {_LEAD} SELECT * FROM le")
 def f7(spark: SparkSession, d: str) -> DataFrame:
     scores = scored_pairs(spark, d).select("story_id", F.col("a").alias("article_id"), "score")
     return ST.story_lead(story_items(spark, d), scores)
@@ -190,11 +238,15 @@ _SLUG = "regexp_replace(substr(regexp_replace(regexp_replace(lower({0}), '[^a-z0
 
 
 @query("f9_story_payload", f"""
-WITH {ITEM_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY story_id, outlet ORDER BY context, stub, signal DESC, quality DESC, minute DESC, article_id) AS o FROM item),
-p AS (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY least(o, 2), context, stub, signal DESC, quality DESC, minute DESC, article_id) AS k FROM r)
-SELECT story_id, count(*) AS articles, count(DISTINCT outlet) AS outlets, max(minute) AS newest, string_agg(article_id::VARCHAR, ',' ORDER BY k) FILTER (k <= 3) AS picks FROM p GROUP BY story_id""")
+WITH {PAIR_SQL}, {_LEAD}, {_LABEL.replace(PREFERRED_SQL + ", ", "")}, r AS (SELECT *, row_number() OVER (PARTITION BY story_id, outlet ORDER BY context, stub, signal DESC, quality DESC, minute DESC, article_id) AS o FROM item),
+p AS (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY least(o, 2), context, stub, signal DESC, quality DESC, minute DESC, article_id) AS k FROM r),
+q AS (SELECT story_id, count(*) AS articles, count(DISTINCT outlet) AS outlets, max(minute) AS newest, string_agg(article_id::VARCHAR, ',' ORDER BY k) FILTER (k <= 3) AS picks FROM p GROUP BY story_id),
+so AS (SELECT story_id, string_agg(outlet, ',' ORDER BY f) AS sources FROM (SELECT story_id, outlet, min(k) AS f FROM p WHERE k <= 3 GROUP BY 1, 2) GROUP BY 1)
+SELECT q.*, sources, label, headline AS title, {_SLUG.format('headline')} AS slug FROM q JOIN so USING (story_id) JOIN la USING (story_id) JOIN le USING (story_id) JOIN item i ON i.article_id = lead_id""")
 def f9(spark: SparkSession, d: str) -> DataFrame:
-    return ST.story_payload(story_items(spark, d), 3)
+    items = story_items(spark, d)
+    leads = f7(spark, d).select("story_id", F.col("lead_id").alias("article_id")).join(items.select("article_id", F.col("headline").alias("title")), "article_id").select("story_id", "title", ST.slug(F.col("title")).alias("slug"))
+    return ST.story_payload(items, 3, [ST.story_label(items, "tokens", P.BROAD), leads])
 
 
 @query("f9_story_slug", f"WITH {A.ARTICLES_SQL} SELECT article_id, {_SLUG.format('headline')} AS slug FROM articles")
@@ -202,12 +254,15 @@ def f9_slug(spark: SparkSession, d: str) -> DataFrame:
     return A.articles(spark, d).select("article_id", ST.slug(F.col("headline")).alias("slug"))
 
 
-@query("f10_story_query", f"""
-WITH {ITEM_SQL}, u AS (SELECT story_id, 1 AS w, unnest(t) AS x FROM item UNION ALL SELECT story_id, 2, unnest(entities) FROM item), c AS (SELECT story_id, w, x, count(*) AS n FROM u GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY story_id, w ORDER BY n DESC, x) AS k FROM c)
-SELECT story_id, string_agg(x, ' ' ORDER BY k) FILTER (w = 1 AND k <= 6) AS tokens, string_agg(x, ' ' ORDER BY k) FILTER (w = 2 AND k <= 6) AS entities FROM r GROUP BY story_id""")
+_QUERY = f"""{ANCHORS_SQL}, qu AS (SELECT story_id, 1 AS w, x FROM (SELECT story_id, unnest(t) AS x FROM an) WHERE x NOT IN ({_Q([*P.BROAD, *LOW])}) UNION ALL SELECT story_id, 2, x FROM (SELECT story_id, unnest(entities) AS x FROM an) WHERE length(x) >= 4),
+qc AS (SELECT story_id, w, x, count(*) AS n FROM qu GROUP BY ALL), qr AS (SELECT *, row_number() OVER (PARTITION BY story_id, w ORDER BY n DESC, x) AS k FROM qc),
+qq AS (SELECT story_id, list(x ORDER BY k) FILTER (w = 1 AND k <= 6) AS qt, list(x ORDER BY k) FILTER (w = 2 AND k <= 6) AS qe FROM (SELECT DISTINCT story_id FROM item) LEFT JOIN qr USING (story_id) GROUP BY story_id)"""
+
+
+@query("f10_story_query", f"WITH {ITEM_SQL}, {_QUERY} SELECT story_id, array_to_string(qt, ' ') AS tokens, array_to_string(qe, ' ') AS entities FROM qq")
 def f10(spark: SparkSession, d: str) -> DataFrame:
-    return ST.story_query(story_items(spark, d), "tokens", "entities").select("story_id", F.array_join("tokens", " ").alias("tokens"), F.array_join("entities", " ").alias("entities"))
+    found = ST.story_query(story_items(spark, d), "tokens", "entities", P.BROAD, LOW)
+    return found.select("story_id", F.array_join("tokens", " ").alias("tokens"), F.array_join("entities", " ").alias("entities"))
 
 
 _THIN = """th AS (SELECT story_id, count(DISTINCT outlet) = 1 AS t1, count(*) FILTER (quality >= 25) <= 1 AS t2, count(*) FILTER (body_length >= 30000) <= 1 AS t3, count(*) FILTER (NOT is_open) > 0 AND count(*) FILTER (is_open AND quality >= 25) = 0 AS t4 FROM members GROUP BY story_id)"""
@@ -241,11 +296,19 @@ def f14(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("f15_story_record", f"""
-WITH {A.MEMBERS_SQL}, o AS (SELECT story_id, outlet, min(rank_in_story) AS f FROM members GROUP BY 1, 2), l AS (SELECT story_id, string_agg(outlet::VARCHAR, ',' ORDER BY f, outlet) AS outlets, count(*) AS n FROM o GROUP BY story_id),
-g AS (SELECT story_id, count(DISTINCT CASE WHEN framing_group = 'left' THEN outlet END) AS lft, count(DISTINCT CASE WHEN framing_group = 'right' THEN outlet END) AS rgt FROM members GROUP BY story_id)
-SELECT story_id, outlets, lft AS left_outlets, rgt AS right_outlets, CASE WHEN n >= 4 THEN 'broad' WHEN n >= 2 THEN 'developing' ELSE 'single' END AS breadth FROM l JOIN g USING (story_id)""")
+WITH {A.MEMBERS_SQL}, m AS (SELECT *, quality >= 25 AS sub, body_length % 1000 AS minute FROM members), o AS (SELECT story_id, outlet, min(rank_in_story) AS f, count(*) AS n, bool_or(sub) AS s, max((minute, article_id)) AS last FROM m GROUP BY 1, 2),
+l AS (SELECT story_id, string_agg(outlet::VARCHAR, ',' ORDER BY f, outlet) AS outlets, string_agg(outlet::VARCHAR, ', ' ORDER BY f, outlet) AS named, count(*) AS n, sum(n)::BIGINT AS a, count(*) FILTER (s) AS s, arg_max(outlet, last) AS lo, max(last) AS lm FROM o GROUP BY story_id),
+g AS (SELECT story_id, count(DISTINCT CASE WHEN framing_group = 'left' THEN outlet END) AS lft, count(DISTINCT CASE WHEN framing_group = 'center' THEN outlet END) AS cen, count(DISTINCT CASE WHEN framing_group = 'right' THEN outlet END) AS rgt FROM members GROUP BY story_id),
+d1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY quality DESC, rank_in_story, outlet) AS k FROM members) WHERE k = 1),
+d2 AS (SELECT x.*, row_number() OVER (PARTITION BY x.story_id ORDER BY x.quality DESC, x.rank_in_story, x.outlet) AS j FROM members x JOIN d1 USING (story_id) WHERE x.is_open AND x.outlet <> d1.outlet),
+op AS (SELECT d1.story_id, d1.rank_in_story AS lead, d1.quality >= 6 AS confident, CASE WHEN d2.quality >= 7 THEN d2.rank_in_story END AS alternate FROM d1 LEFT JOIN d2 ON d2.story_id = d1.story_id AND d2.j = 1)
+SELECT story_id, outlets, lft AS left_outlets, cen AS center_outlets, rgt AS right_outlets, CASE WHEN s >= 2 OR n >= 3 THEN 'mixed' ELSE 'early' END AS breadth, lead, confident, alternate,
+ CASE WHEN n >= 2 THEN 'The desk links ' || a || ' reports of ' || n || ' outlets.' ELSE 'The desk links one outlet so far.' END || ' The latest came from ' || lo || '. ' || CASE WHEN n >= 2 THEN 'Framings can be compared across ' || named || '.' ELSE 'There is nothing to compare with yet.' END
+ || CASE WHEN alternate IS NOT NULL THEN ' An open alternative is at hand.' WHEN confident THEN ' The lead reads well by itself.' ELSE ' No report stands out yet.' END AS key_facts, 'Put together from ' || n || ' outlets|' || lo || ' added the latest turn' AS timeline, named || '|' || lm[1] || '|' || a || ' articles of ' || n || ' outlets' AS evidence FROM l JOIN g USING (story_id) JOIN op USING (story_id)""".replace("lm[1]", "struct_extract(lm, 1)"))
 def f15(spark: SparkSession, d: str) -> DataFrame:
-    return ST.story_record(A.members(spark, d))
+    m = A.members(spark, d).withColumn("is_substantive", F.col("quality") >= 25).withColumn("minute", F.col("body_length") % 1000)
+    record = ST.story_record(m, ST.lead_and_open_alternate(A.members(spark, d)), "The desk")
+    return record.withColumns({"key_facts": F.array_join("key_facts", " "), "timeline": F.array_join("timeline.label", "|"), "evidence": F.array_join("evidence.source", "|")})
 
 
 RANK_SQL = f"""{PRIORITY_SQL}, st AS (SELECT story_id, quality, outlets, 10000 - (story_id * 7) % 10000 AS minute, CASE WHEN topic = 'world' THEN 10 ELSE -14 END AS section_points, ['live', 'editorial', 'seed'][story_id % 3 + 1] AS origin, priority >= 18 AS eligible FROM pri),
@@ -275,34 +338,59 @@ def f17(spark: SparkSession, d: str) -> DataFrame:
     return ST.home_layout(rows)
 
 
+def _neighbor_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Six neighbours of every article by the hashed embedding of its text."""
+    vectors = A.articles(spark, d).select("article_id", E.hash_embedding(embedded()).alias("vector"))
+    return E.lsh_neighbors(vectors, "article_id", "vector")
+
+
 @query("f3_build_stories")
 def f3(spark: SparkSession, d: str) -> DataFrame:
     rows = P.articles(spark, d).select("article_id", "minute", "tokens", "tags", F.filter("tokens", lambda x: F.startswith(x, F.lit("thea"))).alias("entities"), (F.col("context") >= 2).alias("contextual"))
-    return ST.build_stories(rows, broad=P.BROAD, low_signal=LOW, anchor_stop=ANCHOR_STOP, generic_tags=["generic"], most_common=40)
+    return ST.build_stories(rows, _neighbor_graph(spark, d), broad=P.BROAD, low_signal=LOW, anchor_stop=ANCHOR_STOP, generic_tags=["generic"])
+
+
+_NEEDY = """nd0 AS (SELECT story_id, count(DISTINCT outlet) = 1 AS t1, count(*) FILTER (is_substantive) <= 1 AS t2, count(*) FILTER (signal >= 3 AND NOT stub) <= 1 AS t3, count(*) FILTER (NOT is_open) > 0 AND count(*) FILTER (is_open AND is_substantive) = 0 AS t4 FROM item GROUP BY story_id),
+nd AS (SELECT story_id, row_number() OVER (ORDER BY CASE WHEN t1 THEN 4 ELSE 0 END + CASE WHEN t2 THEN 3 ELSE 0 END + CASE WHEN t3 THEN 2 ELSE 0 END + CASE WHEN t4 THEN 2 ELSE 0 END DESC, story_id) AS need FROM nd0 WHERE t1 OR t2 OR t3 OR t4 QUALIFY need <= 4)"""
 
 
 @query("f12_augment_stories", f"""
-WITH {ITEM_SQL}, q AS (SELECT story_id, tk, count(*) AS n FROM (SELECT story_id, unnest(t) AS tk FROM item) GROUP BY 1, 2), k AS (SELECT story_id, tk FROM (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY n DESC, tk) AS r FROM q) WHERE r <= 6),
-x AS (SELECT article_id, story_id AS own, outlet, minute, unnest(t) AS tk FROM item), h AS (SELECT k.story_id, x.article_id, x.outlet, x.minute, count(*) AS hits FROM k JOIN x ON k.tk = x.tk AND x.own <> k.story_id WHERE k.story_id % 10 = 0 GROUP BY ALL HAVING count(*) >= 4),
-f AS (SELECT h.* FROM h WHERE NOT EXISTS (SELECT 1 FROM item i WHERE i.story_id = h.story_id AND i.outlet = h.outlet)), o AS (SELECT *, row_number() OVER (PARTITION BY story_id, outlet ORDER BY hits DESC, minute DESC, article_id) AS ro FROM f),
-s AS (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY hits DESC, minute DESC, article_id) AS rs FROM o WHERE ro = 1)
-SELECT story_id, article_id, hits FROM s WHERE rs <= 2 ORDER BY hits DESC, minute DESC, article_id, story_id LIMIT 8""")
+WITH {ITEM_SQL}, {_QUERY}, {_NEEDY}, ow AS (SELECT item.* FROM item JOIN nd USING (story_id)),
+un AS (SELECT story_id, list_distinct(flatten(list(t))) AS b_t, list_distinct(flatten(list(tags))) AS b_g, list_distinct(flatten(list(entities))) AS b_e, bool_and(context >= 2) AS bc, bool_or(signal >= 3 AND NOT stub) AS ev FROM ow GROUP BY story_id),
+hi AS (SELECT nd.story_id, need, x.article_id, x.outlet, x.t AS a_t, x.tags AS a_g, x.entities AS a_e, x.context >= 2 AS ac, b_t, b_g, b_e, bc, ev, 0.0 AS similarity, x.context AS cx, x.stub AS sb, x.signal AS sg, x.quality AS ql, x.is_open AS op, x.extraction_quality = 'article_body' AS hb, len(list_intersect(x.t, coalesce(qt, []))) AS n_t, len(list_intersect(x.entities, coalesce(qe, []))) AS n_e
+  FROM nd JOIN qq USING (story_id) JOIN un USING (story_id) JOIN item x ON x.story_id <> nd.story_id WHERE NOT EXISTS (SELECT 1 FROM ow WHERE ow.story_id = nd.story_id AND ow.outlet = x.outlet)),
+hm AS (SELECT * FROM hi WHERE (n_e > 0 OR n_t >= 2) AND NOT (ev AND (cx >= 2 OR sb) AND n_t < 2 AND n_e < 2)), {_scores_sql('hm', 'hs')},
+fi AS (SELECT story_id, need, article_id, outlet, round(score + 3 * n_t + 2 * n_e + CASE WHEN {_JOINS} THEN 2 ELSE 0 END - 4 * cx - CASE WHEN sb THEN 8 ELSE 0 END + ql + CASE WHEN op THEN 3 ELSE 0 END + CASE WHEN hb THEN 4 ELSE 0 END + CASE WHEN sg >= 3 AND NOT sb THEN 5 ELSE 0 END, 6) AS points FROM hs),
+f1 AS (SELECT * FROM fi QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY need) = 1), f2 AS (SELECT * FROM f1 QUALIFY row_number() OVER (PARTITION BY story_id, outlet ORDER BY points DESC, article_id) = 1),
+f3 AS (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY points DESC, article_id) AS k FROM f2 QUALIFY k <= 2)
+SELECT story_id, article_id, outlet, points AS score FROM f3 ORDER BY need, k LIMIT 8""")
 def f12(spark: SparkSession, d: str) -> DataFrame:
-    rows = story_items(spark, d).select("story_id", "article_id", "outlet", "minute", "tokens", "entities")
-    needy = rows.where("story_id % 10 = 0").select("story_id").distinct()
-    return ST.augment_stories(needy, rows, 4).select("story_id", "article_id", "hits")
-
-
-@query("f8_story_summary", f"""
-WITH {ITEM_SQL}, c AS (SELECT story_id, article_id, outlet, summary, access_signal, quality, signal, context, stub, minute, {P._overlap_tokens('headline')} AS ht, {P._overlap_tokens('summary')} AS st FROM item),
-a AS (SELECT *, CASE WHEN least(len(ht), len(st)) < 4 THEN 1.0 ELSE len(list_intersect(ht, st))::DOUBLE / least(len(ht), len(st)) END AS al FROM c),
-s AS (SELECT *, round(quality + 1.5 * signal + 5 * al - 4 * context - CASE WHEN stub THEN 8 ELSE 0 END, 6) AS sc FROM a),
-b AS (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY (al >= 0.28) DESC, sc DESC, article_id) AS k, row_number() OVER (PARTITION BY story_id ORDER BY (access_signal = 'open') DESC, (al >= 0.28) DESC, sc DESC, article_id) AS ko FROM s),
-p AS (SELECT story_id, max(sc) FILTER (k = 1) AS bs, max(article_id) FILTER (k = 1) AS bi, max(sc) FILTER (ko = 1 AND access_signal = 'open') AS os, max(article_id) FILTER (ko = 1 AND access_signal = 'open') AS oi, count(DISTINCT outlet) FILTER (quality >= 6) AS n_sources FROM b GROUP BY story_id)
-SELECT story_id, CASE WHEN os >= bs - 3 THEN oi ELSE bi END AS article_id, CASE WHEN os >= bs - 3 THEN os ELSE bs END AS score, n_sources FROM p""")
-def f8(spark: SparkSession, d: str) -> DataFrame:
     rows = story_items(spark, d)
-    aligned = X.token_overlap(X.overlap_tokens(F.col("headline")), X.overlap_tokens(F.col("summary")), "alignment")
-    return ST.story_summary(rows.withColumn("alignment", aligned)).select("story_id", "article_id", "score", "n_sources")
-
-
+    needy = ST.needs_augmentation(rows.withColumn("is_event", (F.col("signal") >= 3) & ~F.col("stub")))
+    return ST.augment_stories(needy, rows, {"broad": P.BROAD, "low_signal": LOW, "anchor_stop": ANCHOR_STOP, "generic_tags": ["generic"]})
+
+
+def _fit(a: str, b: str) -> str:
+    return f"CASE WHEN least(len({a}), len({b})) < 4 THEN 0.0 ELSE len(list_intersect({a}, {b}))::DOUBLE / least(len({a}), len({b})) END"
+
+
+@query("f8_story_summary", rf"""
+WITH {ITEM_SQL}, ti AS (SELECT story_id, arg_min(headline, article_id) AS title FROM item GROUP BY 1), s0 AS (SELECT item.*, title, list_filter(list_transform(regexp_extract_all({_CLEAN.format('body_text')}, '[^.!?]+[.!?]'), lambda x: trim(x)), lambda x: length(x) >= 40) AS sents FROM item JOIN ti USING (story_id)),
+s1 AS (SELECT *, array_to_string(sents[1:2], ' ') AS ex, {P._overlap_tokens("headline || ' ' || summary")} AS rt FROM s0), s2 AS (SELECT *, {P._overlap_tokens('ex')} AS et FROM s1),
+s3 AS (SELECT *, CASE WHEN extraction_quality = 'article_body' AND ex <> '' AND NOT {P.non_narrative_sql('ex')} AND {_fit('rt', 'et')} >= 0.18 THEN ex ELSE summary END AS raw FROM s2),
+s4 AS (SELECT *, {_CLEAN.format('raw')} AS c FROM s3), s5 AS (SELECT *, substr(c, 1, 320) AS h, regexp_extract(substr(c, 1, 320), '^(.*[.!?])\s', 1) AS sp, regexp_extract(c, '^(.+?[.!?])(?:\s|$)', 1) AS fs FROM s4),
+s6 AS (SELECT *, CASE WHEN length(c) <= 320 THEN c WHEN length(sp) + 1 >= 176 THEN sp ELSE trim(regexp_replace(h, '\s+\S*$', '')) || '...' END AS kk FROM s5),
+s7 AS (SELECT *, CASE WHEN NOT {P._clipped('kk')} THEN kk WHEN length(fs) >= 60 THEN fs ELSE '' END AS tx FROM s6),
+s8 AS (SELECT *, {P._quality('headline', 'tx', 'extraction_quality', 'body_text')}::INTEGER AS sco, ({P._title_like('headline', 'tx')} AND NOT (extraction_quality = 'article_body' AND {P._TWO})) AS sst, {P._overlap_tokens('title')} AS tt, {P._overlap_tokens('tx')} AS xt FROM s7),
+s9 AS (SELECT *, round({_fit('tt', 'xt')}, 6) AS al, lower({_CLEAN.format('headline')}) = lower({_CLEAN.format('title')}) AS own FROM s8),
+sx AS (SELECT *, round(sco + 1.5 * greatest(signal, 0) + 5 * al - 4 * context - CASE WHEN sst THEN 8 ELSE 0 END, 6) AS sel, {{'id': article_id, 'text': tx, 'score': sco, 'al': al, 'access': access_signal}} AS pk FROM s9),
+ag AS (SELECT story_id, any_value(title) AS title, arg_max(pk, (sel, -article_id)) FILTER (tx <> '') AS best, arg_max(pk, (al, sel, -article_id)) FILTER (tx <> '' AND al >= 0.28) AS fit, arg_max(pk, (sel, -article_id)) FILTER (tx <> '' AND is_open) AS opn, arg_max(pk, (sel, -article_id)) FILTER (tx <> '' AND own) AS ow,
+  count(DISTINCT outlet) FILTER (sco >= 6) AS n_sources, array_to_string((list_sort(list_distinct(list(outlet))))[1:3], ', ') AS names FROM sx GROUP BY story_id),
+rl AS (SELECT *, CASE WHEN fit.score >= 6 AND (best IS NULL OR best.al < fit.al - 0.12 OR fit.score >= best.score - 3) THEN 'fit' WHEN ow.score >= 6 AND ow.al >= 0.28 AND (best IS NULL OR best.al < ow.al OR ow.score >= best.score - 2) THEN 'own'
+  WHEN best.score >= 6 THEN CASE WHEN best.access = 'likely_paywalled' AND opn.score >= greatest(6, best.score - 3) THEN 'open' ELSE 'best' END WHEN opn.score >= 4 THEN 'open' ELSE 'none' END AS role FROM ag),
+us AS (SELECT *, CASE role WHEN 'fit' THEN fit WHEN 'own' THEN ow WHEN 'open' THEN opn WHEN 'best' THEN best END AS us FROM rl)
+SELECT story_id, us.id AS article_id, coalesce(us.text, regexp_replace({_CLEAN.format('title')}, '[?!.]+$', '') || ': first coverage from ' || names || '; The desk waits for fuller reports.') AS summary, coalesce(us.score, greatest(best.score, 0), 0) AS score, n_sources, role FROM us""")
+def f8(spark: SparkSession, d: str) -> DataFrame:
+    found = F.transform(F.regexp_extract_all(X.squeeze(F.col("body_text")), F.lit("([^.!?]+[.!?])"), 1), lambda x: F.trim(x))
+    rows = story_items(spark, d).withColumn("sentences", F.filter(found, lambda x: F.length(x) >= 40))
+    return ST.story_summary(rows, rows.groupBy("story_id").agg(F.min_by("headline", "article_id").alias("title")), "The desk")

@@ -12,25 +12,35 @@ _ITEM = "title string, link string, description string, `content:encoded` string
 _URL = "loc string, lastmod string, `news:news` struct<`news:title`: string, `news:publication_date`: string, `news:keywords`: string, `news:publication`: struct<`news:language`: string>>, `image:image` struct<`image:loc`: string>"
 
 
+def _located(raw: DataFrame) -> DataFrame:
+    """Rows with their feed (the file) and their place in it: the start of the split and the number of the row inside it."""
+    return raw.select("*", F.col("_metadata.file_path").alias("feed"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_n"))
+
+
 def _first(items: DataFrame, limit: int) -> DataFrame:
-    """The first items of each dump in file order; the reader keeps the order of rows within a file."""
-    numbered = items.withColumn("_n", F.monotonically_increasing_id())
-    return numbered.withColumn("position", F.row_number().over(Window.partitionBy("feed").orderBy("_n"))).where(F.col("position") <= limit).drop("_n")
+    """The first items of each dump in file order, however its splits are scheduled."""
+    order = Window.partitionBy("feed").orderBy("_split", "_n")
+    return items.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit).drop("_n", "_split")
 
 
 def read_rss_items(spark: SparkSession, path: str, limit: int = 10) -> DataFrame:
     """(feed, position, title, url, summary, image, published_at): the first items of each feed dump that have a title and a link."""
-    raw = spark.read.format("xml").option("rowTag", "item").schema(_ITEM).load(path).withColumn("feed", F.input_file_name())
-    items = _first(raw, limit).select(
+    raw = spark.read.format("xml").option("rowTag", "item").schema(_ITEM).load(path)
+    items = _first(_located(raw), limit).select(
         "feed", "position", F.trim("title").alias("title"), canonical_url(F.col("link")).alias("url"), F.coalesce("description", "`content:encoded`").alias("summary"),
         F.coalesce("`media:content`._url", "enclosure._url").alias("image"), parse_published_at(F.col("pubDate")).alias("published_at"),
     )
     return items.where("title <> '' AND url <> ''")
 
 
-def read_sitemap_items(spark: SparkSession, path: str, limit: int = 20, languages: tuple[str, ...] = ("en", "eng")) -> DataFrame:
-    """(feed, position, title, url, summary, image, published_at): the first urls of each sitemap dump, titles from the url where absent."""
-    raw = spark.read.format("xml").option("rowTag", "url").schema(_URL).load(path).withColumn("feed", F.input_file_name())
+def read_sitemap_items(spark: SparkSession, path: str, limit: int = 20, languages: tuple[str, ...] = ("en", "eng"), children: DataFrame | None = None) -> DataFrame:
+    """(feed, position, title, url, summary, image, published_at): the first urls of each sitemap dump, titles from the url where absent.
+
+    With the children that child_sitemaps chose (feed, loc), only dumps whose file name is the last part of a chosen address are read."""
+    raw = _located(spark.read.format("xml").option("rowTag", "url").schema(_URL).load(path))
+    if children is not None:
+        last = lambda c: F.substring_index(F.col(c), "/", -1)
+        raw = raw.join(children.select(last("loc").alias("_name")).distinct(), last("feed") == F.col("_name"), "left_semi")
     news = F.col("`news:news`")
     language = F.lower(news["news:publication"]["news:language"])
     items = _first(raw.where(language.isNull() | language.isin(*languages)), limit)
@@ -45,7 +55,7 @@ def read_sitemap_items(spark: SparkSession, path: str, limit: int = 20, language
 
 def child_sitemaps(spark: SparkSession, path: str, most: int = 6) -> DataFrame:
     """(feed, loc): of each index file the sitemaps to read, those named news or latest first."""
-    raw = spark.read.format("xml").option("rowTag", "sitemap").schema("loc string").load(path).withColumn("feed", F.input_file_name())
+    raw = spark.read.format("xml").option("rowTag", "sitemap").schema("loc string").load(path).withColumn("feed", F.col("_metadata.file_path"))
     order = Window.partitionBy("feed").orderBy(F.desc(F.rlike("loc", F.lit("(?i)news|latest"))), "loc")
     return raw.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).select("feed", "loc")
 

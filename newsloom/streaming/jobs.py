@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -43,7 +43,8 @@ def stream_tracking_state(stream: DataFrame, ttl_ms: int | None = None) -> DataF
     """(user_id, story_id, saved, followed, viewed_at) after each micro-batch, by the rules of fold_tracking_events.
 
     An event that is older than what its field was last set by changes nothing, so order of arrival does not matter.
-    With ttl_ms, state unused that long is dropped; such a query keeps running idle batches, so it does not end under availableNow."""
+    With ttl_ms, state unused that long is dropped; such a query keeps running idle batches, so it does not end under availableNow. Without it, state
+    grows with the pairs of reader and story, as the stored table does."""
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -68,22 +69,57 @@ def stream_tracking_state(stream: DataFrame, ttl_ms: int | None = None) -> DataF
     return folded.withColumn("viewed_at", F.when(F.col("viewed_at") >= 0, F.col("viewed_at")))
 
 
-def stream_publish(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
-    """Upsert each micro-batch into versions under ``path``: version n holds the table after batch n, so a repeated batch writes the same version."""
+#: Parts of a published table; a micro-batch rewrites those that it touches.
+BUCKETS = 64
+
+
+def latest_rows(batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The last row of each key."""
+    return batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), F.struct(*order)).alias("_row")).select("_row.*")
+
+
+def upsert(keys: list[str], order: list[str]) -> Callable[[DataFrame | None, DataFrame], DataFrame]:
+    """A merge for stream_publish: the batch's last row of a key replaces the stored one."""
+    return lambda stored, batch: latest_rows(batch, keys, order) if stored is None else upsert_by_key(stored, latest_rows(batch, keys, order), keys)
+
+
+def revise(order: list[str]) -> Callable[[DataFrame | None, DataFrame], DataFrame]:
+    """A merge for stream_publish: each story's last generated revision (story_id, tag, signature) is published into its history."""
+
+    def merge(stored: DataFrame | None, batch: DataFrame) -> DataFrame:
+        new = latest_rows(batch, ["story_id"], order).select("story_id", "tag", "signature")
+        history = batch.sparkSession.createDataFrame([], new.withColumn("is_current", F.lit(True)).schema) if stored is None else stored
+        return publish_revisions(history, new)[0]
+
+    return merge
+
+
+def stream_publish(stream: DataFrame, path: str, checkpoint: str, keys: list[str], merge: Callable[[DataFrame | None, DataFrame], DataFrame], buckets: int = BUCKETS) -> StreamingQuery:
+    """Merge each micro-batch into a table under ``path``, in buckets of the keys.
+
+    Batch n writes the buckets it touches under v{n}, and a manifest of the version in which each bucket was last written; all else stays as it is. A repeated batch starts from the
+    manifest before it and writes the same. The manifest has a row a bucket."""
+    at = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
     def publish(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        merged = batch.dropDuplicates(keys)
-        if number:
-            merged = upsert_by_key(spark.read.parquet(f"{path}/v{number - 1}"), merged, keys)
-        merged.write.mode("overwrite").parquet(f"{path}/v{number}")
+        batch = batch.persist()
+        known = {r.bucket: r.version for r in spark.read.parquet(f"{path}/manifest/v{number - 1}").collect()} if number else {}
+        touched = sorted(r.bucket for r in batch.select(at.alias("bucket")).distinct().collect())
+        held = [f"{path}/v{known[b]}/bucket={b}" for b in touched if b in known]
+        merged = merge(spark.read.parquet(*held) if held else None, batch)
+        merged.withColumn("bucket", at).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v{number}")
+        now = {**known, **dict.fromkeys(touched, number)}
+        spark.createDataFrame(list(now.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/v{number}")
+        batch.unpersist()
 
     return stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def publish_batch(history: DataFrame, generated: DataFrame) -> DataFrame:
-    """The revision table after a micro-batch of generated revisions; the same batch again changes nothing."""
-    return publish_revisions(history, generated)[0]
+def published(spark: SparkSession, path: str, number: int) -> DataFrame:
+    """The table after batch ``number``."""
+    parts = spark.read.parquet(f"{path}/manifest/v{number}").collect()
+    return spark.read.parquet(*(f"{path}/v{r.version}/bucket={r.bucket}" for r in parts))
 
 
 def finished(stream: DataFrame, mode: str, path: str) -> DataFrame:

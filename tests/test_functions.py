@@ -56,28 +56,88 @@ def test_dates(spark):
     assert one(spark, X.parse_published_at(F.lit("soon"))) is None
 
 
+FIRST = "A long enough paragraph that tells what happened in the town on that day, in full."
+SECOND = "Another paragraph that goes on & on about the very same events in the town."
+
+
 def test_page_text():
-    body = "A long enough paragraph that tells what happened in the town on that day, in full."
-    page = f"<html><article><p>{body}</p><p>{body}</p><p>Short.<p>Another paragraph that goes on &amp; on about the very same events in the town.</article><p>{body} outside</p>"
-    found = PG.article_paragraphs(page)
-    assert found == [body, "Another paragraph that goes on & on about the very same events in the town."]
-    lede, preview, _, quality = PG.enrich(page, "fallback", False)
-    assert lede == body and quality == "metadata_description" or quality in ("rss_only", "article_body") and preview
-    assert PG.enrich(page, "<b>fall</b> back", True) == ("fall back", "", [], "rss_only")
-    assert PG.enrich(None, None, False)[0] == ""
+    page = f"<html><article><p>{FIRST}</p><p>{FIRST}</p><p>Short.<p>{SECOND.replace('&', '&amp;')}</article><p>{FIRST} outside</p>"
+    assert PG.article_paragraphs(page) == [FIRST, SECOND]
+    found = PG.enrich(page, "https://open.example/a", "fallback")
+    assert (found.lede, found.body_preview, found.extraction_quality, found.access_signal, found.block_reason) == (FIRST, f"{FIRST} {SECOND}", "article_body", "open", None)
+    blocked = PG.enrich(page, None, "<b>fall</b> back", 403)
+    assert (blocked.lede, blocked.body_preview, blocked.extraction_quality, blocked.block_reason, blocked.block_vendor) == ("<b>fall</b> back", "", "rss_only", "http_access_denied", "generic")
+    assert PG.enrich("<title>Access to this page has been denied</title>").block_vendor == "denied"
+    assert PG.enrich(None).lede == "" and PG.enrich("").extraction_quality == "rss_only"
+
+
+def test_page_metadata_image_and_access():
+    text = "The council of the town described in two sentences what it means to build. It named the price as well."
+    page = f"<meta content='{text}' property='og:description'><meta property=\"og:image\" content=\"https://i.example/1.jpg\"><p>No.</p>"
+    found = PG.enrich(page, "https://www.paid.example/story", "fallback")
+    assert (found.lede, found.extraction_quality, found.access_signal, found.image) == (text, "metadata_description", "likely_paywalled", "https://i.example/1.jpg")
+    assert PG.enrich(page + '<div class="paywall">', "https://open.example").access_signal == "likely_paywalled"
+    assert "Mayor Jane Doe" in PG.enrich(f"<p>{FIRST} Mayor Jane Doe of ROME said so on Monday.</p>").entities
+
+
+def test_paragraphs_skip_what_is_no_narrative():
+    bad = [
+        "window.state && t[0].headers && e(t[0].headers, o) and so on for a while longer", "READ MORE: the prosecutor leaves the case after a long dispute with the attorney", "Notice: transcripts are machine and human generated and lightly edited for accuracy.",
+        "Smoke rises near the harbor after the strike in the early hours, as seen from far", "People walk past a shop window in the old quarter of the town on Friday morning", "A view of the bridge by Jane Doe/Getty in the early light of a long summer day over there", "Copyright of the publisher, all rights reserved, see the terms for what that means.",
+    ]
+    page = "<article>" + "".join(f"<p>{x}</p>" for x in [bad[0], FIRST, *bad[1:], SECOND.replace("&", "and")]) + "</article>"
+    assert PG.article_paragraphs(page) == [FIRST, SECOND.replace("&", "and")]
+    assert not PG.non_narrative("People near the border said that officials had warned them of the flood for a week.")
+
+
+def test_source_windows_and_site_texts():
+    body = "".join(f"<p>{x}</p>" for x in (FIRST, SECOND))
+    page = f"<article><p>{FIRST}</p></article><div class=\"x body-text\">{body}</div>"
+    assert PG.enrich(page, "https://news.example.org/a").paragraphs == (FIRST, SECOND) and PG.enrich(page, "https://other.example/a").paragraphs == (FIRST,)
+    rules = PG.PageRules(site_texts={"example.net": ("(?i)hub for polls",)})
+    page = f"<meta property='og:description' content='The ultimate hub for polls and results of every race in the land.'><p>The ultimate hub for polls and results of every race in the land, updated daily.</p><p>{SECOND}</p>"
+    assert PG.enrich(page, "https://www.example.net/a", rules=rules).lede == SECOND.replace("&", "&") and PG.enrich(page, "https://x.example", rules=rules).lede.startswith("The ultimate hub")
+
+
+def test_live_updates_that_fit_the_headline():
+    update = lambda head, body: {"@type": "BlogPosting", "headline": head, "articleBody": body}
+    fits = "The harbor island raid hit the oil terminal before dawn, the ministry told reporters, and fires burned through the morning."
+    also = "Officials said the raid on the harbor island was ordered after oil tankers came under attack in the strait last week."
+    other = "A school reform bill passed the lower chamber by a narrow vote, and teachers welcomed the result with relief and hope."
+    import json
+
+    blog = {"@type": "LiveBlogPosting", "headline": "Live: raid strikes harbor island oil terminal", "liveBlogUpdate": [update("Raid hits terminal", fits), update("School bill", other), update("Why the raid was ordered", also)]}
+    page = f'<script type="application/ld+json">{json.dumps(blog)}</script><article><p>window.state && t[0].headers && e(t[0].headers, o) and more of that sort</p></article>'
+    assert PG.live_updates(page) == [fits, also]
+    found = PG.enrich(page, "https://live.example.com/x", "fallback")
+    assert found.extraction_quality == "article_body" and found.lede.startswith("The harbor island raid") and "school" not in found.body_preview.lower()
 
 
 def test_sentences():
     assert PG.split_sentences('Dr. Smith spoke. "It is done. We go," he said. U.S. aid came.') == ["Dr. Smith spoke.", '"It is done. We go," he said.', "U.S. aid came."]
+    quoted = PG.split_sentences("He has a plan. “I have my own idea. But what good does it do?” Reporters said they had heard that before. It may last.")
+    assert quoted == ["He has a plan.", "“I have my own idea. But what good does it do?” Reporters said they had heard that before.", "It may last."]
+    assert PG.split_sentences(None) == [] and PG.split_sentences("no end mark here") == ["no end mark here"]
     twice = "The council voted on the new bridge over the river on Monday evening."
-    assert PG.narrative_sentences(f"{twice} {twice} Too short.") == [twice]
+    assert PG.narrative_sentences(f"{twice} {twice} Too short. Subscribe to our newsletter for more of what the council does every week.") == [twice]
 
 
 def test_hidden_text():
-    page = '<script type="application/ld+json">{"@graph": [{"articleBody": "Body text."}, {"description": "About."}]}</script><script type="application/ld+json">{broken</script>'
-    assert PG.jsonld_text(page) == ["Body text.", "About."]
-    long = "x" * 90
-    assert PG.embedded_json_text(f'{{"text": "{long}"}}') == [long]
+    body, about, long = f"{FIRST} More.", f"{SECOND} About.", "The council met in the evening and said that the bridge would be built before the end of the year at last."
+    page = f'<script type="application/ld+json">{{"@graph": [{{"articleBody": "{body}"}}, {{"description": "{about}"}}]}}</script><script type="application/ld+json">{{broken</script>'
+    assert PG.jsonld_text(page) == [body, about]
+    assert PG.embedded_json_text(f'{{"excerpt": "{long}", "text": "{long} Not under this key."}}') == [long]
+    assert PG.embedded_json_text(f'{{"subHeadline": "{long[:-1]}, \\u00e9t\\u00e9."}}') == [f"{long[:-1]}, été."]
+    assert PG.embedded_json_text('{"description": "too short"}') == [] and len(PG.embedded_json_text("".join(f'"summary": "{long} Number {i}."' for i in range(20)))) == 8
+
+
+def test_column_and_python_forms_agree(spark):
+    texts = [FIRST, SECOND, "", "short", FIRST[:-1], FIRST + " And then", FIRST + ' "open', f"{FIRST} J", "Smoke rises near the harbor after the strike in the early hours, as seen from far away.", f"{FIRST} {SECOND} " * 9, "Jane D.", "x" * 400, f"{FIRST} to a b"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for r in frame.select("t", X.is_non_narrative(F.col("t")).alias("n"), X.looks_clipped(F.col("t")).alias("c"), X.clean_snippet(F.col("t"), 320).alias("s")).collect():
+        clean = " ".join(r.t.split())
+        assert (r.n, r.c, r.s) == (PG.non_narrative(clean), PG.clipped(clean), PG.snippet(r.t, 320)), r.t
+    assert one(spark, X.clean_snippet(F.lit(f"{FIRST} {'word ' * 100}"), 320)) == FIRST and one(spark, X.clean_snippet(F.lit("word " * 100), 320)) == ""
 
 
 def test_sanitize_reaches_a_fixpoint():
@@ -85,6 +145,14 @@ def test_sanitize_reaches_a_fixpoint():
     assert PG.sanitize(text) == text
 
 
+def test_embedding_text_trims_sentences(spark):
+    body = "A first sentence of fifty characters or more stands here. 185 entries of the second sentence stand here, as long as the first. 222 of the third are here as well, which is long enough, too."
+    text = one(spark, similarity.embedding_text(F.lit("T"), F.lit("S"), F.lit(body), F.array(F.lit("Rome")), F.array(F.lit("b"), F.lit("a"))))
+    assert text == "t s a first sentence of fifty characters or more stands here 185 entries of the second sentence stand here as long as the first 222 of the third are here as well which is long enough too rome a b"
+    twice = "The very same sentence of fifty characters or more stands here. " * 2
+    assert one(spark, similarity.embedding_text(F.lit("T"), F.lit("T"), F.lit(twice), F.array().cast("array<string>"), F.array().cast("array<string>"))).count("very same") == 1
+
+
 def test_upsert_is_idempotent(spark):
     a = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     b = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
@@ -117,18 +185,108 @@ def test_front_page_ignores_framing(spark):
     assert plain == framed
 
 
+PAIR = "a int, b int, a_tokens array<string>, a_tags array<string>, a_entities array<string>, a_contextual boolean, b_tokens array<string>, b_tags array<string>, b_entities array<string>, b_contextual boolean, similarity double"
+
+
+def joined(spark, rows, **lexicons):
+    pairs = spark.createDataFrame(rows, PAIR)
+    return {r.a: (r.score, r.joins) for r in stories.should_join(stories.match_score(stories.pair_features(pairs, **lexicons))).collect()}
+
+
 def test_matching(spark):
     item = (["quake", "town", "rescue"], ["disaster"], ["rome"], False)
-    pairs = spark.createDataFrame([(1, 2, *item, *item, 0.0), (3, 4, *item, ["sport"], [], [], False, 0.1)], "a int, b int, a_tokens array<string>, a_tags array<string>, a_entities array<string>, a_contextual boolean, b_tokens array<string>, b_tags array<string>, b_entities array<string>, b_contextual boolean, similarity double")
-    got = {r.a: (r.score > 0, r.joins) for r in stories.should_join(stories.match_score(stories.pair_features(pairs))).collect()}
-    assert got == {1: (True, True), 3: (False, False)}
+    got = joined(spark, [(1, 2, *item, *item, 0.0), (3, 4, *item, ["sport"], [], [], False, 0.1)])
+    assert {k: (s > 0, j) for k, (s, j) in got.items()} == {1: (True, True), 3: (False, False)}
+
+
+def test_joins_without_shared_words(spark):
+    """Nothing but a similarity may join; an entity needs less of it. Neither scores."""
+    a, b = (["quake"], [], ["rome"], False), (["goal"], [], ["rome"], False)
+    bare = (["goal"], [], [], False)
+    got = joined(spark, [(1, 9, *a, *bare, 0.42), (2, 9, *a, *bare, 0.41), (3, 9, *a, *b, 0.32), (4, 9, *a, *b, 0.31), (5, 9, [], [], [], False, *bare, 0.5)])
+    assert got == {1: (0.0, True), 2: (0.0, False), 3: (0.0, True), 4: (0.0, False), 5: (0.0, True)}
+
+
+def test_contextual_items_need_more(spark):
+    report, guide = (["quake", "town"], [], [], False), (["quake", "guide"], [], [], True)
+    got = joined(spark, [(1, 9, *guide, *report, 0.65), (2, 9, *guide, *report, 0.66), (3, 9, *report, *guide, 0.65), (4, 9, *guide, *guide, 0.5)], low_signal=["town", "guide"])
+    assert [got[k][1] for k in (1, 2, 3, 4)] == [False, True, False, True] and got[1][0] == 0
+    generic = (["quake", "town"], ["crisis"], [], False)
+    got = joined(spark, [(1, 9, *generic, *generic, 0.9), (2, 9, ["quake", "town", "aid"], ["crisis"], [], False, ["quake", "aid"], ["crisis"], [], False, 0.0)], low_signal=["town"], generic_tags=["crisis"])
+    assert got[1] == (0.0, False) and got[2][1]
+
+
+ITEM = "article_id long, minute long, tokens array<string>, tags array<string>, entities array<string>, contextual boolean"
+LEXICONS = {"broad": ["news"], "low_signal": ["price"], "anchor_stop": ["know", "explainer"], "generic_tags": ["crisis"]}
+
+
+def grouped(spark, rows, near, **options):
+    neighbors = spark.createDataFrame([x for a, b, s in near for x in ((a, b, s), (b, a, s))], "item long, neighbor long, similarity double")
+    return stories.build_stories(spark.createDataFrame(rows, ITEM), neighbors, **LEXICONS, **options).toPandas().set_index("article_id").story_id.to_dict()
 
 
 def test_grouping(spark):
     rows = [(1, 10, ["quake", "town", "rescue", "aid"], [], [], False), (2, 9, ["quake", "town", "rescue", "dog"], [], [], False), (3, 8, ["match", "goal"], [], [], False)]
-    items = spark.createDataFrame(rows, "article_id long, minute long, tokens array<string>, tags array<string>, entities array<string>, contextual boolean")
-    got = stories.build_stories(items, [], [], [], []).toPandas().set_index("article_id").story_id.to_dict()
-    assert got == {1: 1, 2: 1, 3: 3}
+    assert grouped(spark, rows, [(1, 2, 0.5)]) == {1: 1, 2: 1, 3: 3}
+
+
+def test_grouping_cases(spark):
+    """Reports of one event meet, another event and guides around it stay apart from them."""
+    reserve = [(1, 30, ["oil", "reserve", "release", "price"], ["reserve_release"], ["united states"], False), (2, 20, ["oil", "reserve", "release", "fuel", "price"], ["reserve_release"], ["united states"], False), (3, 10, ["settlers", "sanctions", "review"], [], ["west bank"], False)]
+    assert grouped(spark, reserve, [(1, 2, 0.55), (2, 3, 0.12)]) == {1: 1, 2: 1, 3: 3}
+    ships = [(1, 30, ["attack", "shipping", "ship", "strait"], ["shipping_attack"], ["iran", "strait"], False), (2, 20, ["commercial", "ship", "reroute"], ["shipping_attack"], ["iran"], False), (3, 10, ["congress", "meeting", "political"], ["congress"], ["china"], False)]
+    assert grouped(spark, ships, [(1, 2, 0.4), (1, 3, 0.1), (2, 3, 0.1)]) == {1: 1, 2: 1, 3: 3}
+    island = [(1, 30, ["fire", "retaliation", "island", "hub"], [], ["harbor", "island one"], False), (2, 20, ["island", "explainer", "know", "shipping"], [], ["island one", "iran"], True), (3, 10, ["island", "know", "site", "struck"], [], ["island one", "iran"], True)]
+    assert grouped(spark, island, [(1, 2, 0.45), (1, 3, 0.4), (2, 3, 0.5)]) == {1: 1, 2: 2, 3: 2}
+
+
+def test_grouping_by_the_union_of_a_story(spark):
+    """The third shares two words with each of the others, four with both, which alone admits it."""
+    rows = [(1, 30, ["a1", "a2", "x1", "x2"], ["t"], [], False), (2, 20, ["b1", "b2", "x1", "x2"], ["t"], [], False), (3, 10, ["a1", "a2", "b1", "b2", "z1", "z2", "z3"], [], [], False)]
+    lexicons = {**LEXICONS, "anchor_stop": ["a1", "a2", "b1", "b2"]}
+    neighbors = spark.createDataFrame([(a, b, 0.2) for a, b in ((1, 2), (2, 1), (2, 3), (3, 2))], "item long, neighbor long, similarity double")
+    got = stories.build_stories(spark.createDataFrame(rows, ITEM), neighbors, **lexicons).toPandas().set_index("article_id").story_id.to_dict()
+    assert got == {1: 1, 2: 1, 3: 1}
+
+
+def test_large_components_are_cut_and_joined_again(spark):
+    rows = [(i, 100 - i, [f"w{i // 20}a", f"w{i // 20}b", f"w{i // 20}c", f"w{i // 20}d", f"own{i}"], [], [], False) for i in range(60)]
+    near = [(i, i + 1, 0.3) for i in range(59)]
+    whole = grouped(spark, rows, near)
+    assert whole == {i: i // 20 * 20 for i in range(60)}
+    assert grouped(spark, rows, near, max_component=7, rounds=8) == whole
+
+
+def test_neighbors(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(2)
+    centres = draw.normal(size=(60, 24))
+    x = np.repeat(centres, 10, axis=0) + 0.7 * draw.normal(size=(600, 24))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, [0.0] * 24), (901, None)], "k long, v array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.round(unit @ unit.T, 9)
+    np.fill_diagonal(near, -2)
+    want = {i: [j for j in np.lexsort((np.arange(600), -near[i]))[:6] if near[i, j] >= 0.1] for i in range(600)}
+    exact = similarity.top_k_neighbors(vectors, "k", "v", vectors.where("k % 50 = 0"), block=64).toPandas()
+    assert exact.sort_values(["item", "rank"]).groupby("item").neighbor.apply(list).to_dict() == {i: want[i] for i in range(0, 600, 50)}
+    found = similarity.lsh_neighbors(vectors, "k", "v", bucket=100, recall=0.9).toPandas().groupby("item").neighbor.apply(set).to_dict()
+    assert np.mean([len(found.get(i, set()) & set(want[i])) / len(want[i]) for i in range(600)]) >= 0.9
+
+
+def test_near_pairs_are_all_found(spark):
+    import random
+
+    draw = random.Random(8)
+    words = [f"word{i}" for i in range(40)]
+    rows = [(i, " ".join(draw.sample(words, draw.choice([1, 2, 5, 6, 7, 12])))) for i in range(150)] + [(150, ""), (151, None), (152, "word1 word2"), (153, "word2 word1")]
+    got = {(r.a, r.b) for r in similarity.near_pairs(spark.createDataFrame(rows, "k long, t string"), "k", F.col("t"), 0.6).collect()}
+    first = {}
+    for i, t in rows:
+        if t:
+            first.setdefault(frozenset(t.split()), i)
+    sets = sorted((i, s) for s, i in first.items())
+    assert got == {(i, j) for i, s in sets for j, t in sets if i < j and len(s & t) / max(len(s), len(t)) >= 0.6}
 
 
 def test_hash_vector():
