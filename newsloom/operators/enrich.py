@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.operators.stories import lead_and_open_alternate, story_summary
+
 QUALITY_ORDER = {"rss_only": 0, "metadata_description": 1, "article_body": 2}
 
 
@@ -44,10 +46,10 @@ def body_mismatch(alignment, residue, has_body, least: float = 0.16):
     return has_body & (residue | (alignment < least))
 
 
-def merge_enrichment(articles: DataFrame, enrichment: DataFrame) -> DataFrame:
-    """articles patched by enrichment (article_id, new_summary, new_body, new_quality, mismatch, error).
+def merge_enrichment(articles: DataFrame, enrichment: DataFrame, attempted_at: int) -> DataFrame:
+    """articles patched by enrichment (article_id, new_summary, new_body, new_quality, new_image, mismatch, error).
 
-    A mismatch falls back to the feed summary without body; an error leaves the article and marks it failed."""
+    A mismatch falls back to the feed summary without body, and is flagged; an error leaves the article and marks it failed; what was enriched bears the time of the attempt."""
     j = articles.join(enrichment, "article_id", "left")
     failed, reset, have = F.col("error").isNotNull(), F.coalesce("mismatch", F.lit(False)), F.col("new_quality").isNotNull()
     keep = failed | ~have
@@ -58,6 +60,7 @@ def merge_enrichment(articles: DataFrame, enrichment: DataFrame) -> DataFrame:
         F.when(keep, F.col("extraction_quality")).when(reset, "rss_only").otherwise(F.col("new_quality")).alias("extraction_quality"),
         F.when(failed, "failed").when(~have, "pending").when(reset | (F.col("new_quality") != "article_body"), "normalized").otherwise("fetched").alias("fetch_status"),
         "error",
+        F.when(keep | reset, F.col("image")).otherwise(F.coalesce("new_image", "image")).alias("image"), (~keep & reset).alias("body_mismatch"), F.when(~keep, F.lit(attempted_at)).alias("enriched_at"),
     )
 
 
@@ -70,8 +73,13 @@ def keep_better_enrichment(stored: DataFrame, incoming: DataFrame, key: str, kep
     return j.select(*(change[c].alias(c) if c in change else F.col(c) for c in incoming.columns))
 
 
-def refresh_story(touched: DataFrame, members: DataFrame) -> DataFrame:
-    """Per touched story: sources, substantive sources, best summary quality and whether it may lead the page."""
+def refresh_story(touched: DataFrame, members: DataFrame, titles: DataFrame, product: str) -> DataFrame:
+    """Per touched story the summary of F8, its outlets, whether it may lead the page, and the reading options of D12, all from its members as they now are.
+
+    members: as for story_summary, with rank_in_story, is_open and read_quality."""
     m = members.join(touched.select("story_id").distinct(), "story_id", "left_semi")
-    out = m.groupBy("story_id").agg(F.countDistinct("outlet").alias("outlets"), F.countDistinct(F.when(F.col("quality") >= 25, F.col("outlet"))).alias("substantive"), F.max("quality").alias("quality"))
-    return out.withColumn("eligible", (F.col("outlets") >= 2) & ((F.col("substantive") >= 2) | (F.col("quality") >= 40)))
+    summary = story_summary(m, titles, product)
+    options = lead_and_open_alternate(m.select("story_id", "rank_in_story", "outlet", "is_open", F.col("read_quality").alias("quality")))
+    counts = m.groupBy("story_id").agg(F.countDistinct("outlet").alias("outlets"))
+    out = summary.join(counts, "story_id").join(options, "story_id", "left")
+    return out.withColumn("eligible", (F.col("outlets") >= 2) & ((F.col("n_sources") >= 2) | (F.col("score") >= 8)))

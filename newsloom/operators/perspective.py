@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.operators.stories import top_per
@@ -36,21 +36,41 @@ def lens_status(members: DataFrame) -> DataFrame:
     return rows.select("story_id", "lens", "n", F.when(F.col("n") == 0, "unavailable").when((F.col("n") < 2) | narrow, "limited").otherwise("ready").alias("status"))
 
 
-def lens_items(members: DataFrame, most: int = 3) -> DataFrame:
-    """(story_id, lens, article_id, rank, score): the best candidates of each lens.
+#: How many reads a lens offers.
+LENS_SIZES = {"balanced": 3, "evidence": 3, "local": 2, "international": 2}
 
-    Rarity of framing and family is worth 10/n and 8/n in the balanced lens, where a repeat of the only framing so far yields to others."""
-    w = lambda c: Window.partitionBy("story_id", c)
+
+def lens_items(members: DataFrame, sizes: dict[str, int] = LENS_SIZES, codes: dict[str, str] | None = None) -> DataFrame:
+    """(story_id, lens, article_id, rank, score, codes): the best candidates of each lens.
+
+    The balanced lens passes over repeats of its first framing until another one has come; so it is its best read, the best of another framing, and the next after that one.
+
+    members: story_id, article_id, rank_in_story, is_substantive, access (open, likely_paywalled, unknown), extraction_quality, body_length, framing_group, family (wire, public_media, national ...), scope, local_words."""
+    w = lambda *c: Window.partitionBy("story_id", *c)
+    c, when = F.col, lambda test, yes, no=0.0: F.when(test, yes).otherwise(no)
     m = members.withColumn("_nf", F.count("*").over(w("framing_group"))).withColumn("_ns", F.count("*").over(w("family")))
-    c = F.col
-    base = F.when(c("is_substantive"), 14).otherwise(0) + F.when(c("is_open"), 4).otherwise(-2) + F.when(c("has_body"), 8).otherwise(3) + F.least(F.floor(c("body_length") / 20000), F.lit(4))
-    terms = {"balanced": 10 / c("_nf") + 8 / c("_ns"), "evidence": F.when(c("has_body"), 16.0).otherwise(0.0), "local": F.when(c("scope") == "local", 22.0).otherwise(-4.0), "international": F.when(c("scope") == "international", 16.0).otherwise(-4.0)}
-    rows = m.select("*", F.explode(F.array(*(F.struct(F.lit(x).alias("lens"), F.round(base + t, 6).alias("score")) for x, t in terms.items()))).alias("x")).select(*m.columns, "x.*")
+    # The points of a read.
+    base = (
+        when(c("is_substantive"), 14) + F.when(c("access") == "open", 4).when(c("access") == "likely_paywalled", -2).otherwise(0) + F.when(c("extraction_quality") == "article_body", 8).when(c("extraction_quality") == "metadata_description", 3).otherwise(0)
+        + F.least("body_length", F.lit(800)) / 200
+    )
+    terms = {
+        "balanced": 10 / c("_nf") + 8 / c("_ns"), "evidence": when(c("is_substantive"), 10.0) + when(c("family").isin("wire", "public_media"), 6.0),
+        "local": when(c("scope") == "local", 14.0, -4.0) + when(c("local_words"), 8.0), "international": when(c("scope") == "international", 14.0, -4.0) + when(c("family").isin("wire", "national"), 2.0),
+    }
+    rows = m.select("*", F.explode(F.array(*(F.struct(F.lit(x).alias("lens"), F.round(base + t, 6).alias("score")) for x, t in terms.items()))).alias("x")).select("story_id", "article_id", "rank_in_story", "framing_group", "x.*")
     order = [F.desc("score"), F.asc("rank_in_story"), F.asc("article_id")]
-    again = F.row_number().over(Window.partitionBy("story_id", "lens", "framing_group").orderBy(*order))
-    rows = rows.withColumn("_repeat", F.when(F.col("lens") == "balanced", again > 1).otherwise(False))
-    best = top_per(rows, ["story_id", "lens"], [F.asc("_repeat"), *order], most, "rank")
-    return best.select("story_id", "lens", "article_id", "rank", "score")
+    rows = rows.withColumn("_r", F.row_number().over(w("lens").orderBy(*order))).withColumn("_f", F.first("framing_group").over(w("lens").orderBy(*order)))
+    rows = rows.withColumn("_second", F.min(F.when(c("framing_group") != c("_f"), c("_r"))).over(w("lens")))
+    passed = (c("lens") == "balanced") & c("_second").isNotNull() & (c("_r") > 1) & (c("_r") < c("_second"))
+    size = F.create_map(*(F.lit(x) for kv in sizes.items() for x in kv))[c("lens")]
+    kept = rows.where(~passed).withColumn("rank", F.row_number().over(w("lens").orderBy(*order))).where(c("rank") <= size)
+    reasons = F.create_map(*(F.lit(x) for kv in (codes or LENS_CODES).items() for x in kv))[c("lens")]
+    return kept.select("story_id", "lens", "article_id", "rank", "score", reasons.alias("codes"))
+
+
+#: Why a read is in a lens.
+LENS_CODES = {"balanced": "framing,family", "evidence": "detail,density", "local": "consequences,operations", "international": "outside_view"}
 
 
 def context_packs_basic(members: DataFrame) -> DataFrame:
@@ -69,6 +89,11 @@ def context_packs_basic(members: DataFrame) -> DataFrame:
     return out
 
 
+def context_only_articles(packs: DataFrame, members: DataFrame) -> DataFrame:
+    """(story_id, article_id, lenses): pack entries that are no members of their story, to be kept as articles for context only."""
+    return packs.join(members.select("story_id", "article_id"), ["story_id", "article_id"], "left_anti").groupBy("story_id", "article_id").agg(F.array_join(F.array_sort(F.collect_set("lens")), ",").alias("lenses"))
+
+
 def perspective_readiness(stories: DataFrame, current: DataFrame, packs: DataFrame) -> DataFrame:
     """One row a story: whether a revision stands, and items per lens; zero where nothing is stored."""
     lenses = packs.groupBy("story_id").agg(*(F.count_if(F.col("lens") == x).alias(x) for x in LENSES))
@@ -77,12 +102,37 @@ def perspective_readiness(stories: DataFrame, current: DataFrame, packs: DataFra
 
 
 def build_perspective(members: DataFrame, product: str) -> DataFrame:
-    """(story_id, summary, takeaways, signature): generated sentences from the counts of a story."""
-    status, presence = perspective_status(members), presence_counts(members, {"framing": "framing_group", "family": "family", "scope": "scope"})
-    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "label")), asc=False), lambda x: F.concat(x["label"], F.lit(" "), x["n"].cast("string"))), ", ")
-    lists = presence.groupBy("story_id").pivot("kind", ["framing", "family", "scope"]).agg(listed)
-    rows = status.join(lists, "story_id")
-    summary = F.concat(F.lit(f"{product} follows this story in "), F.col("outlets").cast("string"), F.when(F.col("outlets") == 1, " outlet").otherwise(" outlets"), F.when(F.col("status") == "ready", ".").otherwise("; the picture is early."))
-    takeaways = F.array(F.concat(F.lit("Framing: "), "framing"), F.concat(F.lit("Outlets: "), "family"), F.concat(F.lit("Reach: "), "scope"))
-    out = rows.select("story_id", "status", summary.alias("summary"), takeaways.alias("takeaways"), "review")
-    return out.withColumn("signature", F.sha2(F.to_json(F.struct("review", "status", "summary", "takeaways")).cast("binary"), 256))
+    """The stored perspective of each story: status, summary, takeaways, three presence lists, snapshot, lens counts and statuses, review reasons and the signature of all that.
+
+    members: as for lens_items, with outlet."""
+    kinds = {"framing": "framing_group", "family": "family", "scope": "scope"}
+    status, presence = perspective_status(members), presence_counts(members, kinds)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "label"))), lambda x: F.struct(x["label"].alias("label"), (-x["m"]).alias("n")))
+    lists = presence.groupBy("story_id").pivot("kind", list(kinds)).agg(listed)
+    snapshot = members.groupBy("story_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank_in_story", "article_id", F.col("outlet").cast("string").alias("outlet"), "extraction_quality"))), lambda x: F.struct(x["article_id"].alias("article_id"), x["outlet"].alias("outlet"), x["extraction_quality"].alias("extraction_quality"))).alias("snapshot"),
+        F.count("*").alias("articles"), F.count_if("is_substantive").alias("substantive"), F.countDistinct(F.when(F.col("is_substantive"), F.col("outlet"))).alias("substantive_outlets"),
+    )
+    counted = lens_items(members).groupBy("story_id", "lens").agg(F.count("*").alias("count"))
+    state = lens_status(members).join(counted, ["story_id", "lens"], "left").fillna(0, ["count"])
+    state = state.withColumn("status", F.when(F.col("count") == 0, "unavailable").otherwise(F.col("status")))
+    lenses = state.groupBy("story_id").agg(
+        F.array_sort(F.collect_list(F.struct("lens", "status", "count"))).alias("lenses"), *(F.max(F.when(F.col("lens") == x, F.col("status"))).alias(f"_{x}") for x in LENSES)
+    )
+    c, text = F.col, lambda *parts: F.concat(*(p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts))
+    rows = status.drop("review").join(lists, "story_id").join(snapshot, "story_id").join(lenses, "story_id")
+    names = lambda kind, k: F.array_join(F.slice(F.transform(kind, lambda x: x["label"]), 1, k), " and ")
+    early = c("status") == "early"
+    summary = F.when(early, text(f"{product} has few sources to compare yet, mostly ", names("family", 2), "; what shows is ", names("framing", 1), ".")).otherwise(text(f"{product} compares ", c("outlets"), " outlets here: ", names("framing", 1), " leads, ", names("family", 2), " carry most of it."))
+    takeaways = F.when(early, F.array(text("Mostly read through ", names("family", 2), "."), text("Only ", names("framing", 1), " shows clearly."), F.lit("Another full report of a different kind would widen it."))).otherwise(
+        F.array(text(c("substantive"), " full reports stand behind the same event."), text("Framings seen: ", names("framing", 2), "."), text("Seen as ", names("scope", 2), "."))
+    )
+    full = (c("substantive") >= 2) & (c("substantive_outlets") >= 2)
+    holds = lambda kind, label: F.exists(kind, lambda x: x["label"] == label)
+    review = F.filter(F.array(
+        F.when(full & (c("_balanced") != "ready"), "balanced_not_ready"), F.when(full & (c("_evidence") != "ready"), "evidence_not_ready"),
+        F.when(full & holds("scope", "local") & (c("_local") == "unavailable"), "local_missing"), F.when(full & holds("scope", "international") & (c("_international") == "unavailable"), "international_missing"),
+    ), lambda x: x.isNotNull())
+    stored = ["status", "summary", "takeaways", "framing", "family", "scope", "lenses", "review", "snapshot"]
+    out = rows.select("story_id", "status", summary.alias("summary"), takeaways.alias("takeaways"), *kinds, "lenses", review.alias("review"), "snapshot", "articles", "substantive", "substantive_outlets", "outlets", "framings", "families")
+    return out.withColumn("signature", F.sha2(F.to_json(F.struct(*sorted(stored))).cast("binary"), 256))

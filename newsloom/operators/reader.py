@@ -51,14 +51,23 @@ def tracked_stories(state: DataFrame, changes: DataFrame, history: DataFrame) ->
     return rows.fillna(0, ["changes"]).fillna(False, ["has_updates"]).withColumn("sort_at", F.coalesce("followed_at", "saved_at", "viewed_at"))
 
 
-def story_detail(stories: DataFrame, facts: DataFrame, packs: DataFrame, lenses: list[str], hidden: list[str]) -> DataFrame:
-    """One nested row a visible story: facts in order, and a pack for every lens, empty ones too."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("sort_order", "fact_text"))), lambda x: x["fact_text"])
-    f = facts.groupBy("story_id").agg(ordered.alias("facts"))
+def story_detail(stories: DataFrame, facts: DataFrame, members: DataFrame, packs: DataFrame, evidence: DataFrame, corrections: DataFrame, briefs: DataFrame, perspectives: DataFrame, lenses: list[str], hidden: list[str]) -> DataFrame:
+    """One nested row a visible story: facts, articles and evidence in order, corrections newest first, a pack for every lens, empty ones too, and the current
+    brief and perspective (story_id, revision), where there are any. Each kind of child is gathered by itself before it is joined."""
+    gathered = lambda frame, name, fields, value: frame.groupBy("story_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(*fields))), value).alias(name))
+    children = {
+        "facts": (gathered(facts, "facts", ["sort_order", "fact_text"], lambda x: x["fact_text"]), "array<string>"),
+        "articles": (gathered(members, "articles", ["rank_in_story", "article_id", "outlet", "framing_group"], lambda x: F.struct(x["article_id"].alias("article_id"), x["outlet"].alias("outlet"), x["framing_group"].alias("framing_group"))), None),
+        "evidence": (gathered(evidence, "evidence", ["sort_order", "label"], lambda x: x["label"]), "array<string>"),
+        "corrections": (corrections.groupBy("story_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "label")), asc=False), lambda x: x["label"]).alias("corrections")), "array<string>"),
+    }
     p = packs.groupBy("story_id").agg(F.map_from_entries(F.array(*(
         F.struct(F.lit(x).alias("k"), F.transform(F.array_sort(F.collect_list(F.when(F.col("lens") == x, F.struct("rank", "article_id")))), lambda v: v["article_id"]).alias("v")) for x in lenses
     ))).alias("packs"))
     empty = F.map_from_entries(F.array(*(F.struct(F.lit(x).alias("k"), F.expr("CAST(array() AS array<bigint>)").alias("v")) for x in lenses)))
-    visible = stories.where(~F.col("origin").isin(hidden))
-    out = visible.join(f, "story_id", "left").join(p, "story_id", "left")
-    return out.withColumn("facts", F.coalesce("facts", F.expr("CAST(array() AS array<string>)"))).withColumn("packs", F.coalesce("packs", empty))
+    out = stories.where(~F.col("origin").isin(hidden))
+    for name, (rows, kind) in children.items():
+        kind = kind or rows.schema[name].dataType.simpleString()
+        out = out.join(rows, "story_id", "left").withColumn(name, F.coalesce(name, F.expr(f"CAST(array() AS {kind})")))
+    out = out.join(p, "story_id", "left").withColumn("packs", F.coalesce("packs", empty))
+    return out.join(briefs.withColumnRenamed("revision", "brief"), "story_id", "left").join(perspectives.withColumnRenamed("revision", "perspective"), "story_id", "left")

@@ -34,10 +34,11 @@ def select_candidates(scored: DataFrame, score: str, source: str, tie: str, leas
 
 
 def lead_and_open_alternate(members: DataFrame, lead_least: int = 6, alternate_least: int = 7) -> DataFrame:
-    """(story_id, lead, confident, alternate): the best read of a story, and the best open one of another outlet."""
-    lead = members.groupBy("story_id").agg(F.max_by(F.struct("rank_in_story", "outlet", "quality"), F.struct("quality", -F.col("rank_in_story"), -F.col("outlet"))).alias("lead"))
+    """(story_id, lead, confident, alternate): the best read of a story, and the best open one of another outlet. members: story_id, rank_in_story, outlet, quality, is_open."""
+    first = F.struct((-F.col("quality")).alias("q"), "rank_in_story", "outlet")
+    lead = members.groupBy("story_id").agg(F.min_by(F.struct("rank_in_story", "outlet", "quality"), first).alias("lead"))
     other = members.where("is_open").join(lead, "story_id").where(F.col("outlet") != F.col("lead.outlet"))
-    best = other.groupBy("story_id").agg(F.max_by(F.struct("rank_in_story", "quality"), F.struct("quality", -F.col("rank_in_story"), -F.col("outlet"))).alias("best"))
+    best = other.groupBy("story_id").agg(F.min_by(F.struct("rank_in_story", "quality"), first).alias("best"))
     return lead.join(best, "story_id", "left").select(
         "story_id", F.col("lead.rank_in_story").alias("lead"), (F.col("lead.quality") >= lead_least).alias("confident"),
         F.when(F.col("best.quality") >= alternate_least, F.col("best.rank_in_story")).alias("alternate"),
@@ -347,32 +348,40 @@ def augment_stories(needy: DataFrame, items: DataFrame, lexicons: dict[str, list
     return top_rows(picked, [F.asc("_need"), F.asc("_k")], overall).select("story_id", "article_id", "outlet", "score")
 
 
-def home_layout(ranked: DataFrame, supports: int = 5, latest: int = 8, per_section: int = 4) -> DataFrame:
+def pick_supports(sections: list, supports: int = 5, spread: int = 3) -> list[int]:
+    """Positions of the supports of a page whose stories, the featured one first, are of these sections: one a section for the first ``spread``, then two, then any."""
+    taken, used = [], {sections[0]: 1} if sections else {}
+    for k, section in enumerate(sections[1:], 1):
+        if len(taken) < supports and used.get(section, 0) < (1 if len(taken) < spread else 2):
+            taken.append(k)
+            used[section] = used.get(section, 0) + 1
+    rest = [k for k in range(1, len(sections)) if k not in taken]
+    return [*taken, *rest[: supports - len(taken)]]
+
+
+def home_layout(ranked: DataFrame, supports: int = 5, latest: int = 8, per_section: int = 4, enough: int = 10, filled: int = 12, considered: int = 240) -> DataFrame:
     """(edition, slot, place, story_id): per edition a featured story, supports that spread over sections, the latest, and each section's best.
 
-    The support pick is sequential, over the best 24 of an edition only; all else is ranking."""
+    The page is laid out from the eligible stories; where fewer than ``enough`` are, the next ones fill up to ``filled``. The support pick is sequential, over the best ``considered`` of
+    an edition; all else is ranking. ranked: edition, section, story_id, score, minute, eligible."""
     order = [F.desc("score"), F.desc("minute"), F.asc("story_id")]
-    pool = top_per(ranked.select("edition", "section", "story_id", "score", "minute"), ["edition"], order, 24, "rank")
+    rows = ranked.select("edition", "section", "story_id", "score", "minute", "eligible").withColumn("_good", F.count_if("eligible").over(Window.partitionBy("edition")))
+    rows = rows.withColumn("_other", F.row_number().over(Window.partitionBy("edition", "eligible").orderBy(*order)))
+    rows = durable(rows.withColumn("pool", F.col("eligible") | ((F.col("_good") < enough) & (F.col("_other") <= filled - F.col("_good")))).drop("_good", "_other"), "pool")
+    first = [F.desc("pool"), F.desc("eligible"), *order]
+    pool = top_per(rows.where("pool"), ["edition"], first, considered, "rank").select("edition", "section", "story_id", "rank")
 
     def pick(pdf):
         import pandas as pd
 
-        rows = pdf.sort_values("rank")
-        taken, used = [], {}
-        for limit, most in ((1, 3), (2, supports), (10**9, supports)):
-            for r in rows.iloc[1:].itertuples():
-                if len(taken) >= most:
-                    break
-                if r.story_id not in taken and used.get(r.section, 0) < limit:
-                    taken.append(r.story_id)
-                    used[r.section] = used.get(r.section, 0) + 1
-        out = [("featured", 1, rows.story_id.iloc[0]), *(("support", i + 1, s) for i, s in enumerate(taken))]
-        return pd.DataFrame([(rows.edition.iloc[0], *x) for x in out], columns=["edition", "slot", "place", "story_id"])
-
-    pinned = pool.groupBy("edition").applyInPandas(pick, "edition long, slot string, place int, story_id long")
-    newest = top_per(ranked, ["edition"], [F.desc("minute"), F.asc("story_id")], latest, "place").select("edition", F.lit("latest").alias("slot"), "place", "story_id")
-    rest = ranked.join(pinned.select("edition", "story_id"), ["edition", "story_id"], "left_anti")
-    sections = top_per(rest, ["edition", "section"], order, per_section, "place").select("edition", F.concat(F.lit("section:"), "section").alias("slot"), "place", "story_id")
+        page = pdf.sort_values("rank")
+        out = [("featured", 1, page.story_id.iloc[0]), *(("support", i + 1, page.story_id.iloc[k]) for i, k in enumerate(pick_supports(page.section.tolist(), supports)))]
+        return pd.DataFrame([(page.edition.iloc[0], *x) for x in out], columns=["edition", "slot", "place", "story_id"])
+
+    pinned = durable(pool.groupBy("edition").applyInPandas(pick, "edition long, slot string, place int, story_id long"), "pinned")
+    rest = rows.join(pinned.select("edition", "story_id"), ["edition", "story_id"], "left_anti")
+    newest = top_per(rest, ["edition"], [F.desc("minute"), F.asc("story_id")], latest, "place").select("edition", F.lit("latest").alias("slot"), "place", "story_id")
+    sections = top_per(rest, ["edition", "section"], first, per_section, "place").select("edition", F.concat(F.lit("section:"), "section").alias("slot"), "place", "story_id")
     return pinned.unionByName(newest).unionByName(sections)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.functions.text import overlap_tokens, squeeze, token_overlap
 from newsloom.operators import audits as M
 from newsloom.operators import enrich as G
 from newsloom.operators import perspective as I
@@ -60,12 +61,11 @@ _OT = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]{{4,}}'))"
 
 
 @query("g4_body_mismatch", f"""
-WITH {A.ARTICLES_SQL}, x AS (SELECT article_id, extraction_quality, body_text, {_OT.format("headline || ' ' || summary")} AS a, {_OT.format('substr(body_text, 200, 400)')} AS b FROM articles)
+WITH {A.ARTICLES_SQL}, x AS (SELECT article_id, extraction_quality, body_text, {_OT.format("headline || ' ' || summary")} AS a, {_OT.format("array_to_string((regexp_extract_all(trim(regexp_replace(coalesce(body_text, ''), '[[:space:]]+', ' ', 'g')), '[^.!?]+[.!?]'))[1:2], ' ')")} AS b FROM articles)
 SELECT article_id, extraction_quality = 'article_body' AND (contains(body_text, '!! ') OR (CASE WHEN least(len(a), len(b)) < 4 THEN 0.0 ELSE len(list_intersect(a, b))::DOUBLE / least(len(a), len(b)) END) < 0.16) AS mismatch FROM x""")
 def g4(spark: SparkSession, d: str) -> DataFrame:
-    from newsloom.functions.text import overlap_tokens, token_overlap
-
-    a, b = overlap_tokens(F.concat_ws(" ", "headline", "summary")), overlap_tokens(F.substring("body_text", 200, 400))
+    first_two = F.array_join(F.slice(F.regexp_extract_all(squeeze(F.col("body_text")), F.lit("([^.!?]+[.!?])"), 1), 1, 2), " ")
+    a, b = overlap_tokens(F.concat_ws(" ", "headline", "summary")), overlap_tokens(first_two)
     return A.articles(spark, d).select("article_id", G.body_mismatch(token_overlap(a, b, "alignment", 0.0), F.contains(F.col("body_text"), F.lit("!! ")), F.col("extraction_quality") == "article_body").alias("mismatch"))
 
 
@@ -75,14 +75,15 @@ _NEW = "ne AS (SELECT doc_id AS article_id, CASE WHEN doc_id % 4 = 1 THEN 'new '
 @query("g5_merge_enrichment", f"""
 WITH {A.ARTICLES_SQL}, {_NEW}, j AS (SELECT a.*, n.new_summary, n.new_body, n.new_quality, coalesce(n.mismatch, FALSE) AS reset, n.error, (n.error IS NOT NULL OR n.new_quality IS NULL) AS keep FROM articles a LEFT JOIN ne n USING (article_id))
 SELECT article_id, CASE WHEN keep THEN summary WHEN reset THEN headline ELSE coalesce(new_summary, summary) END AS summary, CASE WHEN keep THEN body_text WHEN reset THEN NULL ELSE coalesce(new_body, body_text) END AS body_text,
- CASE WHEN keep THEN extraction_quality WHEN reset THEN 'rss_only' ELSE new_quality END AS extraction_quality, CASE WHEN error IS NOT NULL THEN 'failed' WHEN new_quality IS NULL THEN 'pending' WHEN reset OR new_quality <> 'article_body' THEN 'normalized' ELSE 'fetched' END AS fetch_status, error FROM j""")
+ CASE WHEN keep THEN extraction_quality WHEN reset THEN 'rss_only' ELSE new_quality END AS extraction_quality, CASE WHEN error IS NOT NULL THEN 'failed' WHEN new_quality IS NULL THEN 'pending' WHEN reset OR new_quality <> 'article_body' THEN 'normalized' ELSE 'fetched' END AS fetch_status, error,
+ CASE WHEN keep OR reset THEN 'old' ELSE coalesce(CASE WHEN article_id % 6 = 1 THEN 'new' END, 'old') END AS image, NOT keep AND reset AS body_mismatch, CASE WHEN error IS NULL AND new_quality IS NOT NULL THEN 77 END AS enriched_at FROM j""")
 def g5(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("article_id")
     new = A.articles(spark, d).where(i % 3 != 0).select(
         i, F.when(i % 4 == 1, F.concat(F.lit("new "), i)).alias("new_summary"), F.when(i % 4 == 2, F.concat(F.lit("body "), i)).alias("new_body"),
-        F.when(i % 8 == 0, None).when(i % 4 == 2, "article_body").otherwise("metadata_description").alias("new_quality"), (i % 5 == 0).alias("mismatch"), F.when(i % 11 == 0, "timeout").alias("error"),
+        F.when(i % 8 == 0, None).when(i % 4 == 2, "article_body").otherwise("metadata_description").alias("new_quality"), (i % 5 == 0).alias("mismatch"), F.when(i % 11 == 0, "timeout").alias("error"), F.when(i % 6 == 1, "new").alias("new_image"),
     )
-    return G.merge_enrichment(A.articles(spark, d).withColumn("feed_summary", F.col("headline")), new)
+    return G.merge_enrichment(A.articles(spark, d).withColumn("feed_summary", F.col("headline")).withColumn("image", F.lit("old")), new, 77)
 
 
 _GRADE = "CASE {0} WHEN 'rss_only' THEN 0 WHEN 'metadata_description' THEN 1 ELSE 2 END"
@@ -98,20 +99,15 @@ def g6(spark: SparkSession, d: str) -> DataFrame:
     return G.keep_better_enrichment(rows.where("article_id % 2 = 0"), incoming, "article_id", ["summary"])
 
 
-@query("g7_refresh_story", f"""
-WITH {A.MEMBERS_SQL}, t AS (SELECT DISTINCT story_id FROM members WHERE quality = 50), c AS (SELECT story_id, count(DISTINCT outlet) AS outlets, count(DISTINCT CASE WHEN quality >= 25 THEN outlet END) AS substantive, max(quality) AS quality FROM members WHERE story_id IN (SELECT story_id FROM t) GROUP BY story_id)
-SELECT *, outlets >= 2 AND (substantive >= 2 OR quality >= 40) AS eligible FROM c""")
-def g7(spark: SparkSession, d: str) -> DataFrame:
-    m = A.members(spark, d)
-    return G.refresh_story(m.where("quality = 50"), m)
-
-
-_COVER = f"""{A.MEMBERS_SQL}, cv AS (SELECT *, quality >= 20 AS is_substantive, body_length >= 20000 AS has_body, ['wire', 'local', 'national'][outlet % 3 + 1] AS family, ['local', 'national', 'international'][article_id % 3 + 1] AS scope FROM members)"""
+_COVER = f"""{A.MEMBERS_SQL}, cv AS (SELECT *, quality >= 20 AS is_substantive, body_length >= 20000 AS has_body, ['wire', 'local', 'national'][outlet % 3 + 1] AS family, ['local', 'national', 'international'][article_id % 3 + 1] AS scope, CASE WHEN is_open THEN 'open' WHEN article_id % 2 = 0 THEN 'likely_paywalled' ELSE 'unknown' END AS access,
+  CASE WHEN body_length >= 20000 THEN 'article_body' WHEN body_length >= 5000 THEN 'metadata_description' ELSE 'rss_only' END AS extraction_quality, article_id % 5 = 0 AS local_words FROM members)"""
 
 
 def coverage(spark: SparkSession, d: str) -> DataFrame:
     pick = lambda values, c: F.element_at(F.array(*map(F.lit, values)), (F.col(c) % 3 + 1).cast("int"))
-    return A.members(spark, d).select("*", (F.col("quality") >= 20).alias("is_substantive"), (F.col("body_length") >= 20000).alias("has_body"), pick(["wire", "local", "national"], "outlet").alias("family"), pick(["local", "national", "international"], "article_id").alias("scope"))
+    return A.members(spark, d).select("*", (F.col("quality") >= 20).alias("is_substantive"), (F.col("body_length") >= 20000).alias("has_body"), pick(["wire", "local", "national"], "outlet").alias("family"), pick(["local", "national", "international"], "article_id").alias("scope"),
+        F.when(F.col("is_open"), "open").when(F.col("article_id") % 2 == 0, "likely_paywalled").otherwise("unknown").alias("access"), F.when(F.col("body_length") >= 20000, "article_body").when(F.col("body_length") >= 5000, "metadata_description").otherwise("rss_only").alias("extraction_quality"),
+        (F.col("article_id") % 5 == 0).alias("local_words"))
 
 
 @query("i1_presence_counts", f"WITH {_COVER} SELECT story_id, 'framing' AS kind, framing_group AS label, count(*) AS n FROM cv GROUP BY ALL UNION ALL SELECT story_id, 'family', family, count(*) FROM cv GROUP BY ALL UNION ALL SELECT story_id, 'scope', scope, count(*) FROM cv GROUP BY ALL")
@@ -134,25 +130,43 @@ def i3(spark: SparkSession, d: str) -> DataFrame:
     return I.lens_status(coverage(spark, d))
 
 
-_BASE = "CASE WHEN is_substantive THEN 14 ELSE 0 END + CASE WHEN is_open THEN 4 ELSE -2 END + CASE WHEN has_body THEN 8 ELSE 3 END + least(body_length // 20000, 4)"
+_BASE = "CASE WHEN is_substantive THEN 14 ELSE 0 END + CASE access WHEN 'open' THEN 4 WHEN 'likely_paywalled' THEN -2 ELSE 0 END + CASE extraction_quality WHEN 'article_body' THEN 8 WHEN 'metadata_description' THEN 3 ELSE 0 END + least(body_length, 800) / 200"
 LENS_SQL = f"""{_COVER}, n AS (SELECT *, count(*) OVER (PARTITION BY story_id, framing_group) AS nf, count(*) OVER (PARTITION BY story_id, family) AS ns FROM cv),
-t AS (SELECT *, 'balanced' AS lens, 10.0::DOUBLE / nf + 8.0::DOUBLE / ns AS x FROM n UNION ALL SELECT *, 'evidence', CASE WHEN has_body THEN 16 ELSE 0 END FROM n UNION ALL SELECT *, 'local', CASE WHEN scope = 'local' THEN 22 ELSE -4 END FROM n UNION ALL SELECT *, 'international', CASE WHEN scope = 'international' THEN 16 ELSE -4 END FROM n),
-s AS (SELECT *, round({_BASE} + x, 6) AS score FROM t), r AS (SELECT *, lens = 'balanced' AND row_number() OVER (PARTITION BY story_id, lens, framing_group ORDER BY score DESC, rank_in_story, article_id) > 1 AS rep FROM s),
-li AS (SELECT story_id, lens, article_id, row_number() OVER (PARTITION BY story_id, lens ORDER BY rep, score DESC, rank_in_story, article_id) AS rank, score FROM r)"""
+t AS (SELECT *, 'balanced' AS lens, 10.0::DOUBLE / nf + 8.0::DOUBLE / ns AS x FROM n UNION ALL SELECT *, 'evidence', CASE WHEN is_substantive THEN 10 ELSE 0 END + CASE WHEN family IN ('wire', 'public_media') THEN 6 ELSE 0 END FROM n
+  UNION ALL SELECT *, 'local', CASE WHEN scope = 'local' THEN 14 ELSE -4 END + CASE WHEN local_words THEN 8 ELSE 0 END FROM n UNION ALL SELECT *, 'international', CASE WHEN scope = 'international' THEN 14 ELSE -4 END + CASE WHEN family IN ('wire', 'national') THEN 2 ELSE 0 END FROM n),
+s AS (SELECT *, round({_BASE} + x, 6) AS score FROM t), r0 AS (SELECT *, row_number() OVER o AS r, first_value(framing_group) OVER o AS ff FROM s WINDOW o AS (PARTITION BY story_id, lens ORDER BY score DESC, rank_in_story, article_id)),
+r AS (SELECT *, min(CASE WHEN framing_group <> ff THEN r END) OVER (PARTITION BY story_id, lens) AS sec FROM r0),
+li AS (SELECT story_id, lens, article_id, row_number() OVER (PARTITION BY story_id, lens ORDER BY score DESC, rank_in_story, article_id) AS rank, score FROM r WHERE NOT (lens = 'balanced' AND sec IS NOT NULL AND r > 1 AND r < sec) QUALIFY rank <= CASE WHEN lens IN ('balanced', 'evidence') THEN 3 ELSE 2 END)"""
 
 
-@query("i4_lens_items", f"WITH {LENS_SQL} SELECT story_id, lens, rank, score FROM li WHERE rank <= 3")
+@query("i4_lens_items", f"WITH {LENS_SQL} SELECT story_id, lens, rank, score FROM li")
 def i4(spark: SparkSession, d: str) -> DataFrame:
     return I.lens_items(coverage(spark, d)).select("story_id", "lens", "rank", "score")
 
 
-@query("i5_build_perspective")
+_LISTED = "SELECT story_id, string_agg(label || ' ' || n, ', ' ORDER BY n DESC, label) AS {0}, string_agg(label, ' and ' ORDER BY n DESC, label) FILTER (k <= 1) AS {0}1, string_agg(label, ' and ' ORDER BY n DESC, label) FILTER (k <= 2) AS {0}2 FROM (SELECT story_id, {1} AS label, count(*) AS n, row_number() OVER (PARTITION BY story_id ORDER BY count(*) DESC, {1}) AS k FROM cv GROUP BY 1, 2) GROUP BY 1"
+
+
+@query("i5_build_perspective", f"""
+WITH {LENS_SQL}, c AS (SELECT story_id, count(*) AS articles, count(*) FILTER (is_substantive) AS s, count(DISTINCT outlet) FILTER (is_substantive) AS so, count(DISTINCT outlet) AS outlets, count(DISTINCT framing_group) AS f, count(*) FILTER (is_substantive AND has_body) AS e, count(*) FILTER (scope = 'local') AS l, count(*) FILTER (scope = 'international') AS i,
+  string_agg(article_id::VARCHAR, ',' ORDER BY rank_in_story, article_id) AS snapshot FROM cv GROUP BY story_id), fl AS ({_LISTED.format('framing', 'framing_group')}), ml AS ({_LISTED.format('family', 'family')}), sl AS ({_LISTED.format('scope', 'scope')}),
+st AS (SELECT *, CASE WHEN s >= 2 AND so >= 2 THEN 'ready' ELSE 'early' END AS status, CASE WHEN s = 0 THEN 'unavailable' WHEN s < 2 OR f < 2 THEN 'limited' ELSE 'ready' END AS sb, CASE WHEN e = 0 THEN 'unavailable' WHEN e < 2 THEN 'limited' ELSE 'ready' END AS se,
+  CASE WHEN l = 0 THEN 'unavailable' WHEN l < 2 THEN 'limited' ELSE 'ready' END AS sc, CASE WHEN i = 0 THEN 'unavailable' WHEN i < 2 THEN 'limited' ELSE 'ready' END AS si FROM c),
+n2 AS (SELECT story_id, count(*) FILTER (lens = 'balanced') AS nb, count(*) FILTER (lens = 'evidence') AS ne, count(*) FILTER (lens = 'local') AS nl, count(*) FILTER (lens = 'international') AS ni FROM li GROUP BY 1)
+SELECT story_id, status, CASE WHEN status = 'early' THEN 'The desk has few sources to compare yet, mostly ' || family2 || '; what shows is ' || framing1 || '.' ELSE 'The desk compares ' || outlets || ' outlets here: ' || framing1 || ' leads, ' || family2 || ' carry most of it.' END AS summary,
+ CASE WHEN status = 'early' THEN 'Mostly read through ' || family2 || '.|Only ' || framing1 || ' shows clearly.|Another full report of a different kind would widen it.' ELSE s || ' full reports stand behind the same event.|Framings seen: ' || framing2 || '.|Seen as ' || scope2 || '.' END AS takeaways, framing, family, scope,
+ 'balanced ' || sb || ' ' || nb || ', evidence ' || se || ' ' || ne || ', international ' || si || ' ' || ni || ', local ' || sc || ' ' || nl AS lenses,
+ concat_ws(',', CASE WHEN status = 'ready' AND sb <> 'ready' THEN 'balanced_not_ready' END, CASE WHEN status = 'ready' AND se <> 'ready' THEN 'evidence_not_ready' END) AS review, snapshot, articles, s AS substantive FROM st JOIN fl USING (story_id) JOIN ml USING (story_id) JOIN sl USING (story_id) JOIN n2 USING (story_id)""")
 def i5(spark: SparkSession, d: str) -> DataFrame:
-    return I.build_perspective(coverage(spark, d), "The desk")
+    p = I.build_perspective(coverage(spark, d), "The desk")
+    listed = lambda name: F.array_join(F.transform(name, lambda x: F.concat_ws(" ", x["label"], x["n"].cast("string"))), ", ").alias(name)
+    lenses = F.array_join(F.transform("lenses", lambda x: F.concat_ws(" ", x["lens"], x["status"], x["count"].cast("string"))), ", ").alias("lenses")
+    ids = F.array_join(F.transform("snapshot", lambda x: x["article_id"].cast("string")), ",").alias("snapshot")
+    return p.select("story_id", "status", "summary", F.array_join("takeaways", "|").alias("takeaways"), *map(listed, ("framing", "family", "scope")), lenses, F.array_join("review", ",").alias("review"), ids, "articles", "substantive")
 
 
 @query("i6_perspective_readiness", f"""
-WITH {LENS_SQL}, p AS (SELECT story_id, count(*) FILTER (lens = 'balanced') AS balanced, count(*) FILTER (lens = 'evidence') AS evidence, count(*) FILTER (lens = 'local') AS "local", count(*) FILTER (lens = 'international') AS international FROM li WHERE rank <= 3 AND story_id % 2 = 0 GROUP BY story_id)
+WITH {LENS_SQL}, p AS (SELECT story_id, count(*) FILTER (lens = 'balanced') AS balanced, count(*) FILTER (lens = 'evidence') AS evidence, count(*) FILTER (lens = 'local') AS "local", count(*) FILTER (lens = 'international') AS international FROM li WHERE story_id % 2 = 0 GROUP BY story_id)
 SELECT o_orderkey AS story_id, o_orderstatus = 'O' AS has_current, coalesce(balanced, 0) AS balanced, coalesce(evidence, 0) AS evidence, coalesce("local", 0) AS "local", coalesce(international, 0) AS international FROM orders LEFT JOIN p ON story_id = o_orderkey""")
 def i6(spark: SparkSession, d: str) -> DataFrame:
     stories = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("story_id"), "o_orderstatus")
@@ -169,6 +183,15 @@ def i7(spark: SparkSession, d: str) -> DataFrame:
     return I.context_packs_basic(coverage(spark, d))
 
 
+@query("i7_context_only_articles", f"""
+WITH {LENS_SQL}, o AS (SELECT li.story_id + 1 AS story_id, article_id, lens FROM li), x AS (SELECT DISTINCT story_id, article_id FROM members)
+SELECT story_id, article_id, string_agg(DISTINCT lens, ',' ORDER BY lens) AS lenses FROM o WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.story_id = o.story_id AND x.article_id = o.article_id) GROUP BY 1, 2""")
+def i7_context(spark: SparkSession, d: str) -> DataFrame:
+    """Packs of each story held against the members of the story after it."""
+    packs = I.lens_items(coverage(spark, d)).withColumn("story_id", F.col("story_id") + 1)
+    return I.context_only_articles(packs, A.members(spark, d))
+
+
 _HIST = f"{A.REVISIONS_SQL}, hist AS (SELECT story_id, 'r' || revision AS tag, status AS signature, revision = max(revision) OVER (PARTITION BY story_id) AS is_current FROM revisions), gen AS (SELECT c_custkey AS story_id, 'g' || c_custkey AS tag, ['1-URGENT', '2-HIGH', '3-MEDIUM', 'NEW'][c_custkey % 4 + 1] AS signature FROM customer)"
 _DECIDED = """cur AS (SELECT story_id, signature FROM hist WHERE is_current), st AS (SELECT story_id, signature, min(tag) AS stored FROM hist GROUP BY 1, 2),
 dec AS (SELECT g.story_id, g.signature, coalesce(st.stored, g.tag) AS tag, CASE WHEN cur.signature = g.signature THEN 'unchanged' WHEN st.stored IS NOT NULL THEN 'reuse' WHEN cur.signature IS NULL THEN 'create' ELSE 'update' END AS change FROM gen g LEFT JOIN cur USING (story_id) LEFT JOIN st ON st.story_id = g.story_id AND st.signature = g.signature)"""
@@ -309,14 +332,21 @@ def k4(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("k5_story_detail", f"""
-WITH {LENS_SQL}, f AS (SELECT o_orderkey AS story_id, ['live', 'editorial', 'seed'][o_orderkey % 3 + 1] AS origin FROM orders),
-fa AS (SELECT l_orderkey AS story_id, string_agg('fact ' || l_linenumber || ' ' || l_shipdate, '|' ORDER BY l_linenumber, 'fact ' || l_linenumber || ' ' || l_shipdate) AS facts FROM lineitem WHERE l_quantity > 30 GROUP BY 1), p AS (SELECT story_id, count(*) FILTER (lens = 'local') AS n_local, count(*) FILTER (lens = 'balanced') AS n_balanced FROM li WHERE rank <= 3 AND story_id % 5 <> 0 GROUP BY 1)
-SELECT story_id, coalesce(facts, '') AS facts, coalesce(n_local, 0) AS n_local, coalesce(n_balanced, 0) AS n_balanced FROM f LEFT JOIN fa USING (story_id) LEFT JOIN p USING (story_id) WHERE origin <> 'seed'""")
+WITH {LENS_SQL}, f AS (SELECT o_orderkey AS story_id, ['live', 'editorial', 'seed'][o_orderkey % 3 + 1] AS origin FROM orders), fa AS (SELECT l_orderkey AS story_id, string_agg('fact ' || l_linenumber || ' ' || l_shipdate, '|' ORDER BY l_linenumber, 'fact ' || l_linenumber || ' ' || l_shipdate) AS facts FROM lineitem WHERE l_quantity > 30 GROUP BY 1),
+p AS (SELECT story_id, count(*) FILTER (lens = 'local') AS n_local, count(*) FILTER (lens = 'balanced') AS n_balanced FROM li WHERE story_id % 5 <> 0 GROUP BY 1), ar AS (SELECT story_id, string_agg(article_id::VARCHAR, '|' ORDER BY rank_in_story, article_id) AS articles FROM members GROUP BY 1),
+ev AS (SELECT l_orderkey AS story_id, string_agg(l_returnflag, '|' ORDER BY l_linenumber, l_returnflag) AS evidence FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1), co AS (SELECT o_custkey AS story_id, string_agg(o_orderkey::VARCHAR, '|' ORDER BY o_orderdate DESC, o_orderkey DESC) AS corrections FROM orders GROUP BY 1)
+SELECT story_id, coalesce(facts, '') AS facts, coalesce(articles, '') AS articles, coalesce(evidence, '') AS evidence, coalesce(corrections, '') AS corrections, CASE WHEN story_id % 4 = 0 THEN 'b' || story_id END AS brief, CASE WHEN story_id % 6 = 0 THEN 'p' || story_id END AS perspective, coalesce(n_local, 0) AS n_local, coalesce(n_balanced, 0) AS n_balanced
+FROM f LEFT JOIN fa USING (story_id) LEFT JOIN p USING (story_id) LEFT JOIN ar USING (story_id) LEFT JOIN ev USING (story_id) LEFT JOIN co USING (story_id) WHERE origin <> 'seed'""")
 def k5(spark: SparkSession, d: str) -> DataFrame:
-    stories = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("story_id"), F.element_at(F.array(*map(F.lit, ("live", "editorial", "seed"))), (F.col("o_orderkey") % 3 + 1).cast("int")).alias("origin"))
-    facts = A.table(spark, d, "lineitem").where("l_quantity > 30").select(F.col("l_orderkey").alias("story_id"), F.col("l_linenumber").alias("sort_order"), F.concat_ws(" ", F.lit("fact"), "l_linenumber", F.col("l_shipdate").cast("string")).alias("fact_text"))
-    detail = K.story_detail(stories, facts, I.lens_items(coverage(spark, d)).where("story_id % 5 <> 0"), I.LENSES, ["seed"])
-    return detail.select("story_id", F.array_join("facts", "|").alias("facts"), F.size(F.col("packs")["local"]).cast("long").alias("n_local"), F.size(F.col("packs")["balanced"]).cast("long").alias("n_balanced"))
+    c, orders, lines = F.col, A.table(spark, d, "orders"), A.table(spark, d, "lineitem")
+    stories = orders.select(c("o_orderkey").alias("story_id"), F.element_at(F.array(*map(F.lit, ("live", "editorial", "seed"))), (c("o_orderkey") % 3 + 1).cast("int")).alias("origin"))
+    facts = lines.where("l_quantity > 30").select(c("l_orderkey").alias("story_id"), c("l_linenumber").alias("sort_order"), F.concat_ws(" ", F.lit("fact"), "l_linenumber", c("l_shipdate").cast("string")).alias("fact_text"))
+    evidence = lines.where("l_linestatus = 'O'").select(c("l_orderkey").alias("story_id"), c("l_linenumber").alias("sort_order"), c("l_returnflag").alias("label"))
+    corrections = orders.select(c("o_custkey").alias("story_id"), F.struct(F.unix_date(c("o_orderdate").cast("date")), "o_orderkey").alias("at"), c("o_orderkey").cast("string").alias("label"))
+    tagged = lambda letter, n: stories.where(c("story_id") % n == 0).select("story_id", F.struct(F.concat(F.lit(letter), "story_id").alias("tag")).alias("revision"))
+    detail = K.story_detail(stories, facts, A.members(spark, d), I.lens_items(coverage(spark, d)).where("story_id % 5 <> 0"), evidence, corrections, tagged("b", 4), tagged("p", 6), I.LENSES, ["seed"])
+    flat = lambda name: F.array_join(name, "|").alias(name)
+    return detail.select("story_id", flat("facts"), F.array_join(F.transform("articles", lambda x: x["article_id"].cast("string")), "|").alias("articles"), flat("evidence"), flat("corrections"), c("brief.tag").alias("brief"), c("perspective.tag").alias("perspective"), F.size(c("packs")["local"]).cast("long").alias("n_local"), F.size(c("packs")["balanced"]).cast("long").alias("n_balanced"))
 
 
 STOP = ["that", "with", "from"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text as X
 from newsloom.functions.text import settled
+from newsloom.operators import enrich as G
 from newsloom.operators import similarity as E
 from newsloom.operators import stories as ST
 from newsloom.plans import adapters as A
@@ -334,7 +335,7 @@ def f16_top(spark: SparkSession, d: str) -> DataFrame:
 
 @query("f17_home_layout")
 def f17(spark: SparkSession, d: str) -> DataFrame:
-    rows = ranked_stories(spark, d).withColumn("edition", F.col("story_id") % 30).withColumn("section", F.concat(F.lit("s"), F.col("story_id") % 6))
+    rows = ranked_stories(spark, d).withColumn("edition", F.col("story_id") % 30).withColumn("section", F.concat(F.lit("s"), F.col("story_id") % 6)).withColumn("eligible", F.col("eligible") & (F.col("story_id") % 7 < 5))
     return ST.home_layout(rows)
 
 
@@ -374,8 +375,7 @@ def _fit(a: str, b: str) -> str:
     return f"CASE WHEN least(len({a}), len({b})) < 4 THEN 0.0 ELSE len(list_intersect({a}, {b}))::DOUBLE / least(len({a}), len({b})) END"
 
 
-@query("f8_story_summary", rf"""
-WITH {ITEM_SQL}, ti AS (SELECT story_id, arg_min(headline, article_id) AS title FROM item GROUP BY 1), s0 AS (SELECT item.*, title, list_filter(list_transform(regexp_extract_all({_CLEAN.format('body_text')}, '[^.!?]+[.!?]'), lambda x: trim(x)), lambda x: length(x) >= 40) AS sents FROM item JOIN ti USING (story_id)),
+_SUMMARY = rf"""{ITEM_SQL}, ti AS (SELECT story_id, arg_min(headline, article_id) AS title FROM item GROUP BY 1), s0 AS (SELECT item.*, title, list_filter(list_transform(regexp_extract_all({_CLEAN.format('body_text')}, '[^.!?]+[.!?]'), lambda x: trim(x)), lambda x: length(x) >= 40) AS sents FROM item JOIN ti USING (story_id)),
 s1 AS (SELECT *, array_to_string(sents[1:2], ' ') AS ex, {P._overlap_tokens("headline || ' ' || summary")} AS rt FROM s0), s2 AS (SELECT *, {P._overlap_tokens('ex')} AS et FROM s1),
 s3 AS (SELECT *, CASE WHEN extraction_quality = 'article_body' AND ex <> '' AND NOT {P.non_narrative_sql('ex')} AND {_fit('rt', 'et')} >= 0.18 THEN ex ELSE summary END AS raw FROM s2),
 s4 AS (SELECT *, {_CLEAN.format('raw')} AS c FROM s3), s5 AS (SELECT *, substr(c, 1, 320) AS h, regexp_extract(substr(c, 1, 320), '^(.*[.!?])\s', 1) AS sp, regexp_extract(c, '^(.+?[.!?])(?:\s|$)', 1) AS fs FROM s4),
@@ -388,9 +388,29 @@ ag AS (SELECT story_id, any_value(title) AS title, arg_max(pk, (sel, -article_id
   count(DISTINCT outlet) FILTER (sco >= 6) AS n_sources, array_to_string((list_sort(list_distinct(list(outlet))))[1:3], ', ') AS names FROM sx GROUP BY story_id),
 rl AS (SELECT *, CASE WHEN fit.score >= 6 AND (best IS NULL OR best.al < fit.al - 0.12 OR fit.score >= best.score - 3) THEN 'fit' WHEN ow.score >= 6 AND ow.al >= 0.28 AND (best IS NULL OR best.al < ow.al OR ow.score >= best.score - 2) THEN 'own'
   WHEN best.score >= 6 THEN CASE WHEN best.access = 'likely_paywalled' AND opn.score >= greatest(6, best.score - 3) THEN 'open' ELSE 'best' END WHEN opn.score >= 4 THEN 'open' ELSE 'none' END AS role FROM ag),
-us AS (SELECT *, CASE role WHEN 'fit' THEN fit WHEN 'own' THEN ow WHEN 'open' THEN opn WHEN 'best' THEN best END AS us FROM rl)
-SELECT story_id, us.id AS article_id, coalesce(us.text, regexp_replace({_CLEAN.format('title')}, '[?!.]+$', '') || ': first coverage from ' || names || '; The desk waits for fuller reports.') AS summary, coalesce(us.score, greatest(best.score, 0), 0) AS score, n_sources, role FROM us""")
+us AS (SELECT *, CASE role WHEN 'fit' THEN fit WHEN 'own' THEN ow WHEN 'open' THEN opn WHEN 'best' THEN best END AS us FROM rl),
+sm AS (SELECT story_id, us.id AS article_id, coalesce(us.text, regexp_replace({_CLEAN.format('title')}, '[?!.]+$', '') || ': first coverage from ' || names || '; The desk waits for fuller reports.') AS summary, coalesce(us.score, greatest(best.score, 0), 0) AS score, n_sources, role FROM us)"""
+
+
+@query("f8_story_summary", f"WITH {_SUMMARY} SELECT * FROM sm")
 def f8(spark: SparkSession, d: str) -> DataFrame:
+    rows, titles = summarised(spark, d)
+    return ST.story_summary(rows, titles, "The desk")
+
+
+def summarised(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Members with their sentences, and the titles of their stories."""
     found = F.transform(F.regexp_extract_all(X.squeeze(F.col("body_text")), F.lit("([^.!?]+[.!?])"), 1), lambda x: F.trim(x))
     rows = story_items(spark, d).withColumn("sentences", F.filter(found, lambda x: F.length(x) >= 40))
-    return ST.story_summary(rows, rows.groupBy("story_id").agg(F.min_by("headline", "article_id").alias("title")), "The desk")
+    return rows, rows.groupBy("story_id").agg(F.min_by("headline", "article_id").alias("title"))
+
+
+@query("g7_refresh_story", f"""
+WITH {_SUMMARY}, to AS (SELECT DISTINCT story_id FROM item WHERE article_id % 4 = 0), rq AS (SELECT *, quality + CASE access_signal WHEN 'open' THEN 3 WHEN 'likely_paywalled' THEN -2 ELSE 0 END + CASE WHEN extraction_quality = 'article_body' THEN 2 ELSE 0 END AS rd FROM item),
+l1 AS (SELECT * FROM rq QUALIFY row_number() OVER (PARTITION BY story_id ORDER BY rd DESC, article_id, outlet) = 1), l2 AS (SELECT rq.* FROM rq JOIN l1 USING (story_id) WHERE rq.is_open AND rq.outlet <> l1.outlet QUALIFY row_number() OVER (PARTITION BY story_id ORDER BY rq.rd DESC, rq.article_id, rq.outlet) = 1),
+oc AS (SELECT story_id, count(DISTINCT outlet) AS outlets FROM item GROUP BY 1)
+SELECT sm.*, outlets, outlets >= 2 AND (n_sources >= 2 OR sm.score >= 8) AS eligible, l1.article_id AS lead, l1.rd >= 6 AS confident, CASE WHEN l2.rd >= 7 THEN l2.article_id END AS alternate FROM sm JOIN to USING (story_id) JOIN oc USING (story_id) JOIN l1 USING (story_id) LEFT JOIN l2 USING (story_id)""".replace("to AS (SELECT", "tch AS (SELECT").replace("JOIN to USING", "JOIN tch USING"))
+def g7(spark: SparkSession, d: str) -> DataFrame:
+    rows, titles = summarised(spark, d)
+    members = rows.withColumn("rank_in_story", F.col("article_id")).withColumn("read_quality", P.S.read_quality(F.col("quality"), F.col("access_signal"), F.col("extraction_quality")))
+    return G.refresh_story(rows.where("article_id % 4 = 0"), members, titles, "The desk")
