@@ -74,7 +74,7 @@ def features(column: pa.Array) -> np.ndarray:
         lines, stops = shares[4] * size + 1, shares[6] * size + 1
         stopped = np.isin(data[np.maximum(ends - 1, 0)], [0x2E, 0x3F, 0x21]) if len(ends) else np.zeros(0, bool)
         lone = np.zeros(len(stopped), bool)
-        lone[1:] = stopped[1:] & stopped[:-1]
+        lone[1:] = stopped[1:] & stopped[:-1] & inner  # of one text, whatever stands before it
         out.append(np.column_stack([
             *shares, shares[1] > 0.1, _per_text(length, first) / some / 10, *columns,
             np.log1p(counts) / 10, np.log1p(columns[1] * some) / 10, np.log1p(counts / lines) / 5, np.log1p(counts / stops) / 5, _per_text(lone, first) / some,
