@@ -62,7 +62,7 @@ def fold(id_col: str, n: int) -> Column:
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> dict[str, bytes]:
     """The dictionaries, the language with most labelled rows first, each within the bound."""
     usable = labelled.where(F.trim(label_col) != "").where(F.length(text_col) > 0)
-    rows = usable.select(F.col(label_col).alias("_l"), F.col(id_col).cast("string").alias("_i"), F.col(text_col).cast("string").alias("_t"))
+    rows = usable.select(F.col(label_col).alias("_l"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_i"), F.col(text_col).cast("string").alias("_t"))
     order = rows.select("_l", "_i", F.xxhash64("_i").alias("_o"), F.xxhash64("_t").alias("_h")).distinct()
     first = order.withColumn("_k", F.row_number().over(Window.partitionBy("_l").orderBy("_o", "_i", "_h"))).where(F.col("_k") <= DICTIONARY_DOCS)
     chosen = rows.withColumn("_h", F.xxhash64("_t")).join(first, ["_l", "_i", "_h"]).select("_l", "_k", "_t")
