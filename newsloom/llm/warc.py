@@ -7,8 +7,8 @@ are read in pieces, each member is inflated incrementally, its header is framed
 Content-Length, and the digests of block and payload are verified.
 
 Defined cases: null html is an empty payload, a null url an empty target; payloads under ``LEAST_REVISITED`` bytes are always responses; of rows
-with equal payload and the same smallest id each is a response; a null id is written as empty, and never the original;
-an empty table gives no rows; a record that is cut short or fails a digest raises.
+with equal payload and the same smallest id each is a response; repeated rows of an id share its record id; a null id is written as empty, is never the original, and
+has a record id of its own; ids may be of any type with an order; an empty table gives no rows; a record that is cut short or fails a digest raises.
 """
 
 from __future__ import annotations
@@ -35,17 +35,18 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2024-01-01T00:00:00Z"
 
 
-def record_id(page_id: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, page_id)}>"
+def record_id(page_id: str | None) -> str:
+    """The same for the same page; without one, one of its own."""
+    return f"<urn:uuid:{uuid.uuid4() if page_id is None else uuid.uuid5(_NAMESPACE, page_id)}>"
 
 
-def _record(page_id: str, url: str, payload: bytes, digest: str, original: str | None) -> bytes:
+def _record(page_id: str | None, url: str, payload: bytes, digest: str, original: str | None) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if original is not None else http + payload
     head = [
         "WARC/1.1", f"WARC-Type: {'response' if original is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {_DATE}",
         f"WARC-Target-URI: {url}", "Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: sha256:{digest}",
-        f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", f"X-Page-ID: {page_id}",
+        f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", f"X-Page-ID: {page_id or ''}",
     ]
     if original is not None:
         head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {record_id(original)}", f"X-Refers-To-Page-ID: {original}"]
@@ -68,7 +69,7 @@ def _writer(folder: str):
                 if out is None:
                     path, size, records = f"{root}/part-{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = fs.open_output_stream(path, compression=None)
-                data = _gzip(_record(page_id or "", " ".join((url or "").split()), html.encode(), digest, original))
+                data = _gzip(_record(None if pd.isna(page_id) else page_id, " ".join((url or "").split()), html.encode(), digest, None if pd.isna(original) else original))
                 out.write(data)
                 size, records = size + len(data), records + 1
                 if size >= ROLL_BYTES:
@@ -176,7 +177,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = store.table(spark, sf_dir, "pages")
     folder = store.new_path(spark, "warc")
     found = read_archives(write_archives(pages, folder), folder)
-    return found.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+    return found.select(F.nullif("id", F.lit("")).cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
 OP7_SQL = """
