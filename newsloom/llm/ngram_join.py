@@ -8,9 +8,9 @@ second-level partitions: what a set holds in them. k differing features change a
 size (ties by hash) and enumerates one more than that. Of two linked sets, the first subset in this order that both hold alike has
 at most so many before it in either list, so both enumerate it: they share a signature, and none is lost.
 
-Equal sets are one class from the start, told apart by two 64-bit hashes and numbered. A class is first compared with one other, the least
-class that shares a signature with it; only signatures whose classes then still lie in several groups are verified all against all, in blocks of
-bounded size, inside tasks that put out no more than a spanning forest. So no operator's output grows with the square of a group.
+Equal sets are one class from the start, told apart by two 64-bit hashes and numbered. The classes of a signature are tested against each other in blocks of
+bounded size inside tasks: on bitmaps first, which give out a spanning forest of the pairs that may link, each of which is verified once; the signatures of pairs that
+fail are then verified on whole sets, again for a spanning forest. So no operator's output grows with the square of a group.
 
 Defined cases: a null or empty text, or one without words, has an empty set, 0 shingles and no link; a text under five
 words is one shingle; repeated rows and copies fall in one class; a null id is linked like any other but names no component unless
@@ -146,30 +146,27 @@ def class_signatures(docs: DataFrame, text_col: str, similarity: int) -> DataFra
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (sig, h1): those of signatures with two classes or more, with the least of these. Streams."""
-    last_sig, last_class, pivot, written = None, None, None, False
+    """Of rows sorted by (sig, h1): those of signatures with two classes or more, each once. Streams: the last row waits for the next batch."""
+    last: tuple[np.ndarray, np.ndarray] = np.empty(0, np.int64), np.empty(0, np.int64)
+    shared = False  # whether the signature of the row that waits has had another class
+
+    def out(sig: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(cls)], ["sig", "h1"])
+
     for batch in batches:
-        sig, cls = (batch.column(i).to_numpy() for i in range(2))
+        sig, cls = (np.concatenate((held, batch.column(i).to_numpy())) for i, held in enumerate(last))
         if not len(sig):
             continue
         fresh = np.ones(len(sig), bool)
         fresh[1:] = (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])
-        fresh[0] = last_sig is None or (sig[0], cls[0]) != (last_sig, last_class)
         sig, cls = sig[fresh], cls[fresh]
-        if not len(sig):
-            continue
-        extra = last_sig is not None and sig[0] == last_sig
-        if extra:  # the run goes on: put its pivot in front
-            sig, cls = np.insert(sig, 0, last_sig), np.insert(cls, 0, pivot)
-        starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-        counts = np.diff(np.append(starts, len(sig)))
-        lead = np.repeat(cls[starts], counts)
-        keep = np.repeat(counts > 1, counts)
-        if extra and written:
-            keep[0] = False
-        written = bool(counts[-1] > 1 or (extra and len(starts) == 1 and written))
-        last_sig, last_class, pivot = sig[-1], cls[-1], cls[starts[-1]]
-        yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(cls[keep]), pa.array(lead[keep])], ["sig", "h1", "pivot"])
+        same = sig[1:] == sig[:-1]
+        keep = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        keep[0] |= shared
+        last, shared = (sig[-1:], cls[-1:]), bool(keep[-1])
+        yield out(sig[:-1][keep[:-1]], cls[:-1][keep[:-1]])
+    if shared:
+        yield out(*last)
 
 
 def _filter_of(picks: DataFrame) -> np.ndarray:
@@ -282,19 +279,47 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int,
         yield key, ids, groups, content
 
 
+def _near_rows(group: np.ndarray, content: list, similarity: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of a block of bitmaps the later rows of other groups that it may link to; group may change between rows."""
+    n, bits = np.array([c["n"] for c in content], np.int64), _folded([c["bits"] for c in content])
+    for k in range(len(group) - 1):
+        later = np.flatnonzero(group[k + 1 :] != group[k]) + k + 1
+        if len(later):
+            differ = np.bitwise_count(bits[later] ^ bits[k]).sum(1, dtype=np.int64)
+            yield k, later[may_link(n[later], n[k], differ, similarity)]
+
+
+def _likely(similarity: int):
+    """Of each block of bitmaps as many pairs (with its signature) that may link as join its groups: a spanning forest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs: list[tuple[int, int, int]] = []
+        for key, ids, groups, content in _blocks(batches):
+            group = np.unique(np.array(groups), return_inverse=True)[1]
+            for k, near in _near_rows(group, content, similarity):
+                if len(near):
+                    joined, first = np.unique(group[near], return_index=True)
+                    pairs += [(key[0], ids[k], ids[j]) for j in near[first].tolist()]
+                    group[np.isin(group, joined)] = group[k]
+            if len(pairs) > 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], ["sig", "a", "b"])
+                pairs = []
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], ["sig", "a", "b"])
+
+    return run
+
+
 def _promising(similarity: int):
     """Of each block of bitmaps the rows that may link to a row of another group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for key, ids, groups, content in _blocks(batches):
-            n, group = np.array([c["n"] for c in content], np.int64), np.array(groups)
-            bits, keep = _folded([c["bits"] for c in content]), np.zeros(len(ids), bool)
-            for k in range(len(ids) - 1):
-                differ = np.bitwise_count(bits[k + 1 :] ^ bits[k]).sum(1, dtype=np.int64)
-                good = may_link(n[k + 1 :], n[k], differ, similarity) & (group[k + 1 :] != group[k])
-                keep[k] |= good.any()
-                keep[k + 1 :] |= good
+            group, keep = np.array(groups), np.zeros(len(ids), bool)
+            for k, near in _near_rows(group, content, similarity):
+                keep[k] |= len(near) > 0
+                keep[near] = True
             rows += [(*key, ids[k], groups[k]) for k in np.flatnonzero(keep)]
             if len(rows) > 4096:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["sig", "i", "j", "class", "comp"])
@@ -315,19 +340,6 @@ def _verify_blocks(similarity: int):
     return run
 
 
-def _may_link_rows(similarity: int):
-    """Pairs with sizes and bitmaps, to the pairs that may link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            na, nb = (batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
-            differ = [int(np.bitwise_count(np.bitwise_xor(*_folded([x, y]))).sum()) for x, y in zip(batch.column("ba").to_pylist(), batch.column("bb").to_pylist(), strict=True)]
-            keep = pa.array(may_link(na, nb, np.array(differ, np.int64), similarity))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
-
-    return run
-
-
 def class_links(docs: DataFrame, known: DataFrame, tables: store.Tables, id_col: str, text_col: str, similarity: int = SIMILARITY) -> DataFrame:
     """(a, b): links between the known classes (class, h1, h2, n, pick) whose components are those of all links.
 
@@ -335,45 +347,49 @@ def class_links(docs: DataFrame, known: DataFrame, tables: store.Tables, id_col:
     whole sets for pairs and blocks that the bitmaps leave open.
     """
     rows = class_signatures(docs, text_col, similarity).repartition("sig").sortWithinPartitions("sig", "h1")
-    buckets = tables.write(rows.mapInArrow(_shared, "sig long, h1 long, pivot long"), "buckets")
-    lead = buckets.where("h1 <> pivot").groupBy("h1").agg(F.min("pivot").alias("pivot"))
-    pairs = lead.join(known.select("h1", F.col("class").alias("b")), "h1").select("b", F.col("pivot").alias("h1")).join(known.select("h1", F.col("class").alias("a")), "h1").select("a", "b")
+    buckets = tables.write(rows.mapInArrow(_shared, "sig long, h1 long"), "buckets")
     wanted = known.join(buckets.select("h1").distinct(), "h1", "left_semi")
-    members = tables.write(buckets.drop("pivot").join(known.select("h1", "class", "n"), "h1").select("sig", "class", "n"), "members")
-    pairs = tables.write(pairs, "pairs")
+    members = tables.write(buckets.join(known.select("h1", "class", "n"), "h1").select("sig", "class", "n"), "members")
     sets = tables.write(class_sets(docs, id_col, text_col, wanted), "sets")
     tables.drop(buckets)
 
-    def side(name: str, *columns: str) -> DataFrame:
-        return sets.select(F.col("class").alias(name), *(F.col(c).alias(f"{c[0]}{name}") for c in columns))
-
-    open_pairs = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").select("a", "b", "na", "nb", "ba", "bb")
-    open_pairs = tables.write(open_pairs.mapInArrow(_may_link_rows(similarity), "a long, b long"), "open_pairs")
-    both = F.size(F.array_intersect("fa", "fb"))
-    tested = open_pairs.join(side("a", "features"), "a").join(side("b", "features"), "b")
-    tested = tested.where(100 * both >= similarity * (F.size("fa") + F.size("fb") - both))
-    lead_links = tables.write(tested.select("a", "b"), "links")
-    found = components(lead_links, tables).select(F.col("node").alias("class"), F.col("component").alias("comp"))
-    placed = members.join(found, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs that link: only the sets of their classes move, each to its pairs."""
+        ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("class"))
+        held = ends.join(sets.select("class", "features"), "class").groupBy("a", "b").agg(F.collect_list("features").alias("f"))
+        one, two = F.element_at("f", 1), F.element_at("f", 2)
+        both = F.size(F.array_intersect(one, two))
+        return tables.write(held.where(100 * both >= similarity * (F.size(one) + F.size(two) - both)).select("a", "b"), name)
+
     prints = [F.bit_xor(F.xxhash64("class")).alias("p1"), F.bit_xor(F.xxhash64(F.lit("second"), F.col("class"))).alias("p2")]
-    sig = placed.groupBy("sig").agg(F.count("*").alias("members"), F.max("n").alias("n_max"), F.min("comp").alias("low"), F.max("comp").alias("high"), *prints)
-    blocks = F.ceil(F.greatest(F.col("members") * F.col("n_max") / BLOCK_FEATURES, F.col("members") / 1024))
-    open_sigs = sig.where("low <> high").groupBy("p1", "p2", "members").agg(F.min("sig").alias("sig"), F.max(blocks).alias("blocks"))  # equal groups once
-    rows = placed.join(open_sigs.select("sig", "blocks"), "sig").withColumn("r", F.pmod(F.xxhash64("class", "sig"), F.col("blocks")))
-    rows = rows.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = tables.write(rows.select("sig", F.least("r", "s").alias("i"), F.greatest("r", "s").alias("j"), "class", "comp"), "rows")
+
+    def open_blocks(placed: DataFrame) -> DataFrame:
+        """(sig, i, j, class, comp): the signatures whose classes lie in several components, equal groups once, in blocks that meet pairwise."""
+        sig = placed.groupBy("sig").agg(F.count("*").alias("members"), F.max("n").alias("n_max"), F.min("comp").alias("low"), F.max("comp").alias("high"), *prints)
+        blocks = F.ceil(F.greatest(F.col("members") * F.col("n_max") / BLOCK_FEATURES, F.col("members") / 1024))
+        open_sigs = sig.where("low <> high").groupBy("p1", "p2", "members").agg(F.min("sig").alias("sig"), F.max(blocks).alias("blocks"))
+        rows = placed.join(open_sigs.select("sig", "blocks"), "sig").withColumn("r", F.pmod(F.xxhash64("class", "sig"), F.col("blocks")))
+        rows = rows.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        return tables.write(rows.select("sig", F.least("r", "s").alias("i"), F.greatest("r", "s").alias("j"), "class", "comp"), "rows")
 
     def block_rows(rows: DataFrame, content: Column) -> DataFrame:
         rows = rows.join(sets.select("class", content.alias("content")), "class").select("sig", "i", "j", "class", "comp", "content")
         return rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "class")
 
-    left = tables.write(block_rows(rows, F.struct("n", "bits")).mapInArrow(_promising(similarity), "sig long, i long, j long, class long, comp long"), "promising")
+    likely = tables.write(block_rows(open_blocks(members.withColumn("comp", F.col("class"))), F.struct("n", "bits")).mapInArrow(_likely(similarity), "sig long, a long, b long"), "likely")
+    tried = tables.write(likely.select("a", "b").distinct(), "tried")
+    links = verified(tried, "links")
+    # where every pair held, all that may link is joined; only signatures with a pair that failed can hold more
+    again = members.join(likely.join(tried.join(links, ["a", "b"], "left_anti"), ["a", "b"], "left_semi").select("sig").distinct(), "sig", "left_semi")
+    found = components(links, tables).select(F.col("node").alias("class"), F.col("component").alias("comp"))
+    again = open_blocks(again.join(found, "class", "left").withColumn("comp", F.coalesce("comp", "class")))
+    left = tables.write(block_rows(again, F.struct("n", "bits")).mapInArrow(_promising(similarity), "sig long, i long, j long, class long, comp long"), "promising")
     same = left.groupBy("sig", "i", "j").agg(*prints, F.count("*").alias("members"))
     once = same.groupBy("p1", "p2", "members").agg(F.min(F.struct("sig", "i", "j")).alias("at")).select("at.*")
     more = block_rows(left.join(once, ["sig", "i", "j"], "left_semi"), F.col("features")).mapInArrow(_verify_blocks(similarity), "a long, b long")
     more = tables.write(more.distinct(), "more_links")
-    tables.drop(sets, members, rows, left)
-    return lead_links.unionByName(more)
+    tables.drop(sets, members, left, likely, tried)
+    return links.unionByName(more)
 
 
 def _placed(docs: DataFrame, id_col: str, text_col: str, similarity: int) -> DataFrame:

@@ -172,6 +172,65 @@ def test_quality_edges(spark):
     assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted((i or 0, t or "") for i, t in EDGE)
 
 
+def plain_features(text):
+    """quality.FEATURES of one text, by loops."""
+    data = (text or "").encode()
+    if not data:
+        return [0.0] * len(quality.FEATURES)
+    share = {name: sum(b in set(values) for b in data) / len(data) for name, values in quality._CLASSES.items()}
+    w = [x.encode() for x in SPACED.findall(text)]
+    low, n = [x.lower() for x in w], max(1, len(w))
+    distinct = lambda k: len({tuple(low[i : i + k]) for i in range(len(low) - k + 1)}) / max(1, len(low) - k + 1)
+    out = [*share.values(), float(share["upper"] > 0.1), sum(map(len, w)) / n / 10, sum(x == y for x, y in zip(low, low[1:])) / n, len(set(low)) / n, distinct(2), distinct(3)]
+    out += [sum(len(x) <= 2 for x in w) / n, sum(len(x) >= 15 for x in w) / n]
+    stopped = [x[-1:] in (b".", b"?", b"!") for x in w]
+    lines, stops = data.count(b"\n") + 1, data.count(b".") + data.count(b"?") + 1
+    return [*out, np.log1p(len(w)) / 10, np.log1p(len(set(low))) / 10, np.log1p(len(w) / lines) / 5, np.log1p(len(w) / stops) / 5, sum(x and y for x, y in zip(stopped, stopped[1:])) / n]
+
+
+def test_quality_features_equal_plain_loops(spark, small):
+    texts = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect()] + [None, "", "One.", "a a a\n\nb! c? D, E;", "É ß \U0001f600", "x" * 50]
+    import pyarrow as pa
+
+    assert np.allclose(quality.features(pa.array(texts)), [plain_features(t) for t in texts], atol=1e-9)
+
+
+def plain_bradley_terry(d, ridge, steps=20_000, rate=0.05):
+    """Weights of logistic loss on differences, by gradient descent."""
+    w = np.zeros(d.shape[1])
+    for _ in range(steps):
+        w += rate * (d.T @ (1 / (1 + np.exp(d @ w))) / len(d) - ridge * w)
+    return w
+
+
+def test_ranking_equals_plain_descent():
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(120, len(quality.FEATURES)))
+    y = (x[:, 0] + 0.5 * x[:, 3] + draw.normal(size=120) > 0).astype(int)
+    fitted = quality.fit_ranking(x, y, ridge=0.05)
+    z = np.clip((x - fitted.mean) / fitted.spread, -8, 8)
+    up, down = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    pick = np.random.default_rng(1)
+    n = min(quality.PAIRS, len(up) * len(down))
+    d = z[pick.choice(up, n)] - z[pick.choice(down, n)]
+    assert np.allclose(fitted.weights, plain_bradley_terry(d, 0.05), atol=2e-3)
+    s = z @ fitted.weights
+    assert abs(np.mean(s < fitted.threshold) - len(down) / len(y)) < 0.02 and ((fitted.scores(x) >= 0.5) == (s >= fitted.threshold)).all()
+
+
+def test_op1_equals_its_parts(spark, small):
+    """The query against a fit on all labelled rows outside the held-out third, in plain numpy."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").toPandas().set_index("doc_id").text
+    labels = spark.read.parquet(f"{small}/labels.parquet").toPandas()
+    labels["id"] = labels.doc_id.astype(str)
+    train = labels[[zlib.crc32(i.encode()) % 3 != 1 and d in docs.index for i, d in zip(labels.id, labels.doc_id)]]
+    train = train.assign(quality=train.quality.astype(int)).drop_duplicates(["id", "quality"]).sort_values(["id", "quality"])
+    ranking = quality.fit_ranking(np.array([plain_features(docs[i]) for i in train.doc_id]), train.quality.to_numpy())
+    want = ranking.scores(np.array([plain_features(t) for t in docs]))
+    got = quality.op1_quality(spark, small).toPandas().set_index("doc_id").loc[docs.index]
+    assert np.allclose(got.score, want, atol=1e-6) and (got.held_out == [zlib.crc32(str(i).encode()) % 3 == 1 for i in docs.index]).all()
+
+
 def test_ranking_puts_winners_first():
     draw = np.random.default_rng(0)
     x = draw.normal(size=(400, len(quality.FEATURES)))
@@ -186,11 +245,51 @@ def test_language_held_out(spark, small):
     assert (rows.lang == rows.lang_pred).mean() > 0.95 and rows.score.between(0, 1).all()
 
 
+def plain_language(text, dictionaries):
+    """Smallest raw-content compression of the text's distinct words, by the definition."""
+    import unicodedata
+
+    import zstandard
+
+    letters = "".join(c if unicodedata.category(c).startswith("L") else " " for c in (text or "").lower())
+    data = " ".join(dict.fromkeys(letters.split())).encode()
+    if not data or not dictionaries:
+        return "und", 0.0
+    sizes = {k: len(zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=zstandard.ZstdCompressionDict(v, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False, write_checksum=False).compress(data)) for k, v in dictionaries.items()}
+    best = min(sizes.values())
+    return next(k for k, n in sizes.items() if n == best), 1 / sum(np.exp(max(-60.0, (best - n) / 4)) for n in sizes.values())
+
+
+def test_op10_equals_direct_compression(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    dictionaries = language_id.learn(docs.where(language_id.fold("doc_id", 4) != 2))
+    assert set(dictionaries) == {"en", "de", "fr", "es"} and all(0 < len(v) <= language_id.DICTIONARY_BYTES for v in dictionaries.values())
+    texts = docs.toPandas().set_index("doc_id").text
+    got = language_id.op10_language(spark, small).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        label, score = plain_language(texts[r.doc_id], dictionaries)
+        assert (r.lang_pred, r.held_out) == (label, zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and abs(r.score - score) < 1e-9
+
+
 def test_language_edges(spark):
-    rows = {r.doc_id: r for r in language_id.classify(documents(spark, [r for r in EDGE if r[0] != 7]), {"en": b"one two word", "fr": b"un deux mot"}).collect()}
+    known = {"en": b"one two word", "fr": b"un deux mot"}
+    rows = {r.doc_id: r for r in language_id.classify(documents(spark, [r for r in EDGE if r[0] != 7]), known).collect()}
     assert [rows[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and rows[6].lang_pred in ("en", "fr") and rows[4].lang_pred == "en"
     assert {r.lang_pred for r in language_id.classify(documents(spark), {}).collect()} == {"und"}
     assert language_id.learn(documents(spark).withColumn("lang", F.lit(None).cast("string"))) == {}
+    marks = [(1, "½ ²"), (2, "① Ⅷ ٣"), (3, "½x²"), (4, "日本"), (5, "x1y")]
+    got = {r.doc_id: r for r in language_id.classify(documents(spark, marks), known).collect()}
+    assert [got[i].lang_pred == "und" for i in range(1, 6)] == [True, True, False, False, False] and got[1].score == 0
+    assert [language_id.words_of(t) for _, t in marks] == [[], [], ["x"], ["日本"], ["x", "y"]]
+    twice = language_id.classify(documents(spark), known).collect()
+    assert len(twice) == len(EDGE)
+    assert language_id.classify(documents(spark, []), known).count() == 0 and language_id.learn(documents(spark, [])) == {}
+    repeated = spark.createDataFrame([("a", "eins zwei drei", "de"), ("a", "eins zwei drei", "de"), (None, "un deux", "fr"), ("b", "one", " ")], "doc_id string, text string, lang string")
+    assert language_id.learn(repeated) == {"de": b"eins zwei drei", "fr": b"un deux"}
+    long = spark.createDataFrame([("a", " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}xxxxx" for i in range(17_000)), "en"), ("b", "last", "en")], "doc_id string, text string, lang string")
+    learnt = language_id.learn(long)["en"]
+    assert len(learnt) <= language_id.DICTIONARY_BYTES and b"zzyxxxxx"[:3] not in learnt[:100]
 
 
 # --- shards, urls, secrets ----------------------------------------------------------------------------
@@ -218,6 +317,22 @@ def test_shards_edges(spark):
     assert sharding.assign_shards(documents(spark, [])).count() == 0
     copies = sharding.assign_shards(documents(spark, [(1, "same")] * 500), shards=7).toPandas()
     assert copies.groupby("shard").size().between(71, 72).all()
+    named = spark.createDataFrame([(None if i % 3 else f"d{i:03}", "x" * (i % 50)) for i in range(300)] + [("d000", None)], "doc_id string, text string")
+    rows = sharding.assign_shards(named, shards=10).toPandas()
+    ends = rows.groupby("shard")["size"].sum()
+    assert len(rows) == 301 and ends.max() - ends.min() <= 2 * rows["size"].max()
+    for _, g in rows.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+    nulls = rows[rows.doc_id.isna()]["shard"]
+    assert nulls.max() <= rows[rows.doc_id.notna()]["shard"].min() and nulls.nunique() > 3
+
+
+def test_shards_of_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "FOLD", 10)
+    rows = sharding.assign_shards(documents(spark, [(1, "same")] * 95 + [(2, "other"), (0, "first")]), shards=4).toPandas()
+    assert len(rows) == 97 and rows.groupby("shard").size().between(23, 26).all()
+    for _, g in rows.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
 
 
 def brute_verdict(url, rules):
@@ -241,6 +356,9 @@ def test_url_filters(spark):
     got = url_filters.filter_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()
     assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got} == {i: brute_verdict(u, rules) for i, u in enumerate(urls)}
     assert len(got) == len(urls)
+    odd = spark.createDataFrame([(None, "http://a.net/x"), (None, "http://b.org"), (5, "http://a.net/x"), (5, "http://a.net/x"), (6, None)], "page_id long, url string")
+    got = url_filters.filter_urls(odd, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()
+    assert Counter((r.page_id, r.host, r.verdict) for r in got) == Counter((i, *(brute_verdict(u, rules)[k] for k in (0, 3))) for i, u in ((None, "http://a.net/x"), (None, "http://b.org"), (5, "http://a.net/x"), (5, "http://a.net/x"), (6, None)))
     none = url_filters.filter_urls(pages, spark.createDataFrame([], "host string, path string, verdict string"))
     assert {r.verdict for r in none.collect()} == {"allow"} and none.count() == len(urls)
     assert url_filters.filter_urls(pages.limit(0), spark.createDataFrame(rules, "host string, path string, verdict string")).count() == 0
@@ -269,6 +387,27 @@ def test_secrets(spark):
         assert [tuple(s) for s in rows[i].base] == brute_spans(t), t
     assert [(s.start, s.end) for s in rows[8].extra] == [(3, 3 + len(key))]
     assert secrets.scan_secrets(documents(spark, [])).count() == 0
+    same = secrets.scan_secrets(documents(spark, [(1, texts[8]), (1, texts[8]), (None, texts[8]), (None, "token=abcdefgh")])).collect()
+    assert Counter((r.doc_id, len(r.base), len(r.extra)) for r in same) == Counter({(1, 0, 1): 2, (None, 0, 1): 1, (None, 1, 0): 1})
+
+
+def test_random_spans_find_planted_keys(spark):
+    """Recall and precision of the random spans on keys among words: see the README for what the digit and the length cost."""
+    draw = random.Random(12)
+    filler = ["the", "annual", "report", "of_2024", "a-very-long-hyphenated-compound-word-indeed", "https", "section_12_of_the_general_terms_and_conditions", "AAAAAAAAAAAAAAAAAAAAAAAA1", "121212121212121212121212"]
+    rows, planted = [], {}
+    for i in range(400):
+        alphabet = secrets.ALPHABET[draw.choice(["mixed", "base32", "base64", "upper"])]
+        key = "".join(draw.choice(alphabet) for _ in range(draw.choice([28, 40, 64])))
+        words = [draw.choice(filler) for _ in range(30)]
+        if i % 2:
+            words.insert(15, key)
+            planted[i] = key
+        rows.append((i, " ".join(words)))
+    found = {r.doc_id: {rows[r.doc_id][1][s.start : s.end] for s in r.extra} for r in secrets.scan_secrets(documents(spark, rows)).collect()}
+    caught = sum(planted[i] in found[i] for i in planted)
+    wrong = sum(len(f - {planted.get(i)}) for i, f in found.items())
+    assert caught / len(planted) >= 0.9 and wrong <= 0.1 * caught
 
 
 def test_randomness_tests(spark):
@@ -385,6 +524,12 @@ def test_warc(spark, tmp_path):
     assert {i for i in got if got[i].record_type == "revisit"} == {2, 8} and got[2].refers_to == "1" and got[2].refers_to_record == got[1].record_id
     empty = warc.write_archives(pages.limit(0), folder)
     assert warc.read_archives(empty, folder).count() == 0
+    odd = spark.createDataFrame([(None, "a", big), (None, "b", big), (5, "c", big), (5, "c", big), (9, "d", big), (None, "e", None)], "page_id long, url string, html string")
+    rows = warc.read_archives(warc.write_archives(odd, f"{folder}2"), f"{folder}2").collect()
+    assert Counter((r.id, r.record_type, r.refers_to) for r in rows) == Counter({("", "revisit", "5"): 2, ("5", "response", None): 2, ("9", "revisit", "5"): 1, ("", "response", None): 1})
+    assert len({r.record_id for r in rows}) == 5
+    named = spark.createDataFrame([("x", "a", big), ("b", "b", big)], "page_id string, url string, html string")
+    assert {(r.id, r.refers_to) for r in warc.read_archives(warc.write_archives(named, f"{folder}3"), f"{folder}3").collect()} == {("b", None), ("x", "b")}
 
 
 def test_warc_damage():
@@ -455,6 +600,13 @@ def test_contaminated_documents_go(spark, limit):
     assert Counter((r.doc_id, r.n_words, r.n_hit, len(r["items"]), r.contaminated) for r in found) == Counter(verdicts)
 
 
+def test_contamination_ids_of_any_type(spark):
+    items = spark.createDataFrame([("q1", "one two three"), (None, "one two three"), ("q2", "four")], "item_id string, text string")
+    docs = spark.createDataFrame([("a", "one two three four"), (None, "nothing")], "doc_id string, text string")
+    rows = {r.doc_id: r for r in contamination.contamination(docs, items).collect()}
+    assert rows["a"]["items"] == ["q1", "q2", None] and rows["a"].n_hit == 4 and rows[None]["items"] == []
+
+
 def test_contamination_empty(spark):
     none = contamination.contamination(documents(spark), spark.createDataFrame([], "item_id long, text string")).collect()
     assert len(none) == len(EDGE) and not any(r.contaminated for r in none)
@@ -527,3 +679,65 @@ def test_pipeline(spark, small):
     final = pipeline.run(spark, small).toPandas()
     assert set(final.doc_id) == kept[3]
     assert isinstance(final, pd.DataFrame)
+
+
+STRANGE = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (6, LONG), (7, LONG), (8, "É Ü ß é à ç"), (9, "x\ue000y \U0001f600")]
+
+
+def test_pipeline_on_edge_rows(spark, tmp_path, monkeypatch):
+    """Nulls, empty and very long texts, ties, repeated rows, clashing columns and an empty table, through every stage."""
+    pipeline = importlib.import_module("corpus_pipeline")
+    draw = random.Random(6)
+    line = lambda n: " ".join(f"w{draw.randint(0, 10**6)}" for _ in range(n)) + "."
+    a, b, c = (line(60) for _ in range(3))
+    passage = line(20)
+    rows = [*STRANGE, (20, a), (27, f"{a} more"), (27, b), (27, b), (30, f"{line(30)} {passage} {line(30)}"), (None, c), (None, None), (31, line(50)), (31, line(50))]
+    docs = documents(spark, rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, passage), (None, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(4, 1, 0), (None, 0, 0), (31, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    key = lambda frame: Counter((r.doc_id, r.text) for r in frame.select("doc_id", "text").collect())
+    now, want = docs, Counter(rows)
+    for name, stage in pipeline.STAGES[:-1]:
+        out = spark.createDataFrame(stage(spark, now, str(tmp_path)).collect(), docs.schema)
+        assert out.columns == docs.columns
+        if name == "quality":
+            assert key(out) == want  # one label alone teaches nothing, so all stay
+        if name == "ngram_join":
+            want = Counter({(i, t): 1 if SPACED.search(t or "") and i is not None else n for (i, t), n in want.items() if (i, t) not in ((7, LONG), (27, f"{a} more"))})
+            assert key(out) == want
+        if name == "decontaminate":
+            want = Counter({(i, t): n for (i, t), n in want.items() if i != 30})
+            assert key(out) == want
+        if name == "mix":
+            assert not key(out) - want
+            want = key(out)
+        now = out
+    final = pipeline.run(spark, str(tmp_path)).toPandas()
+    assert len(final) == sum(want.values()) and Counter(final.doc_id.fillna(-1)) == Counter(-1 if i is None else i for i, _ in want.elements())
+    none = tmp_path / "none"
+    docs.limit(0).write.parquet(f"{none}/documents.parquet")
+    for t in ("benchmark", "labels"):
+        spark.read.parquet(f"{tmp_path}/{t}.parquet").limit(0).write.parquet(f"{none}/{t}.parquet")
+    assert pipeline.run(spark, str(none)).count() == 0
+
+
+def test_pipeline_stages_against_plain_code(spark, small):
+    """Quality, mix and shards, which test_pipeline leaves open."""
+    pipeline = importlib.import_module("corpus_pipeline")
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    text = docs.toPandas().set_index("doc_id").text
+    labels = spark.read.parquet(f"{small}/labels.parquet").toPandas()
+    labels["id"] = labels.doc_id.astype(str)
+    train = labels[labels.doc_id.isin(text.index)].assign(quality=lambda x: x.quality.astype(int)).drop_duplicates(["id", "quality"]).sort_values(["id", "quality"])
+    ranking = quality.fit_ranking(np.array([plain_features(text[i]) for i in train.doc_id]), train.quality.to_numpy())
+    want = {i for i, s in zip(text.index, ranking.scores(np.array([plain_features(t) for t in text]))) if s >= 0.5}
+    assert {r.doc_id for r in pipeline.rank_quality(spark, docs, small).collect()} == want
+    mix = mixing.mixed(docs)
+    p = {(r.source, r.lang, r.topic): r.p for r in mix.cells.collect()}
+    draws = {r.doc_id: r.u for r in docs.select("doc_id", mixing.draw(F.col("doc_id")).alias("u")).collect()}
+    kept = {r.id for r in mix.rows.collect() if draws[r.id] < p.get((r.source, r.lang, r.topic), 1.0)}
+    assert {r.doc_id for r in pipeline.mix_sources(spark, docs, small).collect()} == kept
+    rows = pipeline.cut_shards(spark, docs, small).toPandas().sort_values("doc_id")
+    sizes = np.array([len(text[i].encode()) + 16 for i in rows.doc_id])
+    assert (rows["shard"] == (np.cumsum(sizes) - sizes / 2) * 40 // sizes.sum()).all()
