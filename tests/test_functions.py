@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import pages as PG
 from newsloom.functions import text as X
 from newsloom.functions import urls as U
-from newsloom.operators import audits, enrich, outlets, revisions, similarity, stories, tables
+from newsloom.operators import audits, briefs, enrich, outlets, revisions, similarity, stories, tables
 
 
 def one(spark, expression, **columns):
@@ -312,3 +312,112 @@ def test_shuffled_input_gives_the_same(spark, small):
     a = stories.lead_and_open_alternate(lines).toPandas().sort_values("story_id").reset_index(drop=True)
     b = stories.lead_and_open_alternate(lines.orderBy(F.rand(3))).toPandas().sort_values("story_id").reset_index(drop=True)
     pd.testing.assert_frame_equal(a, b)
+
+
+SOURCE = {"article_id": 0, "outlet": "", "snippet": "", "detail": "", "followup": "", "body_paragraphs": [], "focus": "", "comparison_ready": True, "shell_aligned": True, "contextual": False, "stub": False, "title_like": False, "has_body": True}
+STORY = {"headline": "Council approves the harbor bridge after a long debate", "summary": "The council approved the harbor bridge on Monday after a debate of many hours in the old hall.", "family": "politics", "facts": ["The bridge is long.", "The bridge will cost ninety million.", "The bridge will cost ninety million!"], "corrections": []}
+LEAD = {**SOURCE, "article_id": 1, "outlet": "One", "focus": "harbor bridge vote", "snippet": "The council approved the harbor bridge on Monday after a debate of many hours in the old hall. Ninety people spoke.", "detail": "Builders are expected to start in spring, according to the plan that officials laid out in public."}
+OTHER = {**SOURCE, "article_id": 2, "outlet": "Two", "focus": "ferry jobs", "snippet": "Ferry workers warned that two hundred jobs hang on the crossing, which the new bridge would replace.", "detail": "Their union said that it would challenge the decision in court before the summer begins.", "followup": "A study of the port counted four thousand daily passengers on the boats last year."}
+
+
+def brief(sources, **changes):
+    options = {"lead_id": 1, "divergent_id": 2, "comparison_id": 1, "alternate_id": None, "ready": True, "product": "The desk"} | changes
+    return briefs.compose_brief(STORY, sources, *options.values())
+
+
+def test_full_brief():
+    got = brief([LEAD, OTHER])
+    assert got["status"] == "full" and [p["role"] for p in got["paragraphs"]] == ["opening", "baseline", "detail", "difference"]
+    assert [p["support"] for p in got["paragraphs"]] == [[1, 2], [1, 2], [2], [1, 2]] and all(p["mode"] == "required" for p in got["paragraphs"])
+    assert got["paragraphs"][0]["text"] == STORY["summary"] and got["paragraphs"][1]["text"].startswith("All of One and Two agree on this much. Their union said")
+    assert "Two goes on from there" in got["paragraphs"][3]["text"] or "Two turns to ferry jobs" in got["paragraphs"][3]["text"]
+    sections = {s["name"]: s for s in got["sections"]}
+    assert sections["why"]["text"] == "The bridge will cost ninety million." and sections["why"]["mode"] == "required" and sections["differ"]["support"] == [1, 2] and sections["watch"]["mode"] == "scaffold"
+    assert got["points"] == ["The bridge is long.", "The bridge will cost ninety million."] and got["visible"] and {s["article_id"] for s in got["snapshot"]} == {1, 2}
+
+
+def test_early_brief():
+    got = brief([LEAD], divergent_id=None, ready=False)
+    assert got["status"] == "early" and [p["role"] for p in got["paragraphs"]] == ["opening", "detail"] and got["visible"]
+    sections = {s["name"]: s for s in got["sections"]}
+    assert sections["agree"]["text"].startswith("The fullest report so far is from One:") and sections["agree"]["support"] == [1] and sections["differ"]["mode"] == "scaffold"
+    stub = {**LEAD, "stub": True, "comparison_ready": False, "detail": "", "snippet": STORY["headline"], "title_like": True, "has_body": False}
+    got = brief([stub], divergent_id=None, comparison_id=None, ready=False)
+    assert {s["name"]: s for s in got["sections"]}["agree"]["support"] == [] and not got["visible"] and got["reason"] == "no_distinct_grounded_followup"
+    opened = brief([stub, OTHER], divergent_id=None, comparison_id=None, alternate_id=2, ready=False)
+    assert any(2 in p["support"] for p in opened["paragraphs"])
+    none = brief([], lead_id=None, divergent_id=None, comparison_id=None, ready=False)
+    assert none["status"] == "early" and none["paragraphs"] == [{"text": STORY["summary"], "role": "opening", "mode": "scaffold", "support": []}] and none["snapshot"] == []
+
+
+def test_brief_repeats_nothing():
+    same = {**OTHER, "snippet": LEAD["snippet"], "detail": LEAD["detail"], "followup": "", "focus": LEAD["focus"]}
+    got = brief([LEAD, same])
+    texts = [p["text"] for p in got["paragraphs"]]
+    assert len(texts) == len(set(texts)) and texts[-1] == briefs.BriefWords().same
+
+
+def test_opening_takes_the_report_where_the_summary_is_clipped():
+    story = {**STORY, "summary": "The council of the town approved the harbor bridge on Monday after a debate of many hours in"}
+    assert briefs._opening(story["headline"], story["summary"], LEAD) == "The council approved the harbor bridge on Monday after a debate of many hours in the old hall."
+
+
+def test_briefs_of_stories(spark):
+    """Two outlets with full reports make a full brief, one makes an early one, a story without sources keeps its summary."""
+    body = lambda d: [d["snippet"].split(". ")[0] + ".", "Ninety people spoke in the hall before the vote was taken late at night.", d["detail"] + " The harbor bridge was approved by the council.", "The council said that the harbor bridge will open in ten years from now."]
+    members = [(1, 1, 1, "One", "left", STORY["headline"], STORY["summary"], body(LEAD)), (1, 2, 2, "Two", "right", "Council approves harbor bridge, ferry workers warn", "The council approved the harbor bridge; ferry workers warned of lost jobs.", ["The council approved the harbor bridge on Monday, and ferry workers warned that two hundred jobs are at risk.", *body(OTHER)[1:]]), (2, 3, 1, "One", "left", STORY["headline"], STORY["summary"], [])]
+    frame = spark.createDataFrame(members, "story_id long, article_id long, rank long, outlet string, framing string, headline string, summary string, sentences array<string>")
+    frame = frame.withColumns({"extraction_quality": F.when(F.size("sentences") > 0, "article_body").otherwise("rss_only"), "access_signal": F.lit("open"), "context": F.lit(0), "blocked": F.lit(False), "focus": F.concat(F.lit("focus of "), "outlet")})
+    told = spark.createDataFrame([(s, STORY["headline"], STORY["summary"], "politics", ["A fact."], None) for s in (1, 2, 3)], "story_id long, story_headline string, story_summary string, family string, facts array<string>, corrections array<string>")
+    flagged = briefs.source_flags(briefs.source_rows(told, briefs.source_texts(frame)))
+    got = {r.story_id: r for r in briefs.build_brief(told, flagged, "The desk").collect()}
+    assert {k: r.status for k, r in got.items()} == {1: "full", 2: "early", 3: "early"} and {s.outlet for s in got[1].snapshot} == {"One", "Two"}
+    assert [p.mode for p in got[3].paragraphs] == ["scaffold"] and not got[3].visible
+
+
+def test_dedupe_sources_drops_what_repeats_the_title(spark):
+    rows = spark.createDataFrame([(1, 1, 1, "quake hits northern town"), (1, 2, 2, "rescuers reach the valley"), (2, 3, 1, "quake hits northern town")], "story_id long, article_id long, rank long, snippet string").withColumn("title", F.lit("Quake hits northern town"))
+    assert {r.article_id for r in briefs.dedupe_sources(rows, text="snippet", anchors=["title"]).collect()} == {2, 3}
+
+
+def test_supports_spread_over_sections():
+    assert stories.pick_supports(list("aabab")) == [2, 1, 3, 4] and stories.pick_supports(list("aaaaaaa")) == [1, 2, 3, 4, 5] and stories.pick_supports(["a"]) == [] and stories.pick_supports([]) == []
+    assert stories.pick_supports(list("abcdefgh")) == [1, 2, 3, 4, 5] and stories.pick_supports(list("abcdabcd")) == [1, 2, 3, 4, 5]
+
+
+def test_home_layout(spark):
+    rows = [(1, f"s{i % 3}", i, 100 - i, i, i % 2 == 0) for i in range(30)] + [(2, "s", 100, 1, 1, False), (2, "s", 101, 2, 2, False)]
+    got = stories.home_layout(spark.createDataFrame(rows, "edition long, section string, story_id long, score long, minute long, eligible boolean")).collect()
+    slots = {}
+    for r in sorted(got, key=lambda r: (r.edition, r.slot, r.place)):
+        slots.setdefault((r.edition, r.slot), []).append(r.story_id)
+    pool = [i for i in range(30) if i % 2 == 0]
+    want = [pool[k] for k in stories.pick_supports([f"s{i % 3}" for i in pool])]
+    assert slots[1, "featured"] == [0] and slots[1, "support"] == want and slots[1, "latest"] == [i for i in range(29, -1, -1) if i not in [0, *want]][:8]
+    rest = [*[i for i in pool if i not in [0, *want]], *[i for i in range(30) if i % 2]]
+    assert slots[1, "section:s1"] == [i for i in rest if i % 3 == 1][:4] and slots[2, "featured"] == [101] and slots[2, "support"] == [100]
+
+
+def test_lens_items_pass_over_the_first_framing(spark):
+    rows = [(1, i, i, f, 900 - i) for i, f in enumerate("LLLRLC")] + [(2, 10, 1, "L", 0), (2, 11, 2, "L", 0)]
+    frame = spark.createDataFrame(rows, "story_id long, article_id long, rank_in_story long, framing_group string, body_length long")
+    frame = frame.withColumns({"is_substantive": F.lit(True), "access": F.lit("open"), "extraction_quality": F.lit("article_body"), "family": F.lit("wire"), "scope": F.lit("national"), "local_words": F.lit(False)})
+    from newsloom.operators import perspective
+
+    got = {}
+    for r in perspective.lens_items(frame).orderBy("rank").collect():
+        got.setdefault((r.story_id, r.lens), []).append(r.article_id)
+    assert got[1, "balanced"] == [3, 5, 0] and got[1, "evidence"] == [0, 1, 2] and len(got[1, "local"]) == 2 and got[2, "balanced"] == [10, 11]
+
+
+def test_quality_rules(spark):
+    sound = {"brief_id": 1, "has_brief": True, "status": "full", "ready_now": True, "stored_ready": True, "alternate_expected": False, "alternate_stored": False, "agree_mode": "required", "comparison": 2, "stub_shells": 0, "contextual": 0, "snapshot_stubs": 0, "ratio": 0.9, "unsupported": 0, "weak": 0, "refs": 5, "outlets": 2, "articles": 3, "bodies": 2, "dominant_share": 0.5, "duplicates": 0, "unbalanced": 0, "one_source": False, "early_split": False, "follow_on": False}
+    cases = [
+        ({}, []), ({"has_brief": False, "refs": 0}, ["no_brief"]), ({"ready_now": False}, ["full_without_breadth", "readiness_stale"]), ({"status": "early"}, ["ready_but_early"]), ({"alternate_expected": True}, ["open_alternate_missing"]), ({"comparison": 0, "stub_shells": 1, "contextual": 1}, ["stub_drives_brief"]),
+        ({"comparison": 0, "contextual": 1}, ["context_drives_brief"]), ({"comparison": 0, "contextual": 1, "agree_mode": "scaffold"}, []), ({"refs": 0}, ["no_section_support"]), ({"unsupported": 2}, ["grounding_failures"]), ({"weak": 2}, ["grounding_warnings"]), ({"outlets": 1, "dominant_share": 1.0}, ["full_on_one_outlet"]),
+        ({"dominant_share": 0.8}, ["full_with_dominant_outlet"]), ({"articles": 1}, ["full_on_one_article"]), ({"bodies": 1}, ["full_on_few_bodies"]), ({"duplicates": 1, "unbalanced": 2}, ["duplicate_paragraphs", "unbalanced_quotes"]), ({"one_source": True}, ["full_says_one_source"]), ({"early_split": True, "follow_on": True}, ["full_with_early_split", "full_with_follow_on"]),
+    ]
+    assert len(audits.brief_rules()) == 19
+    got = {r.brief_id: r for r in audits.quality_flags(spark.createDataFrame([{**sound, **change, "brief_id": k} for k, (change, _) in enumerate(cases)])).collect()}
+    assert [got[k].flags for k in range(len(cases))] == [flags for _, flags in cases]
+    assert (got[2].risk, got[2].priority) == (42, "critical") and (got[0].risk, got[0].priority) == (0, "pass") and (got[15].risk, got[15].priority) == (24, "warning")
