@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import overlap_tokens, squeeze, token_overlap
+from newsloom.functions.text import marked_sentences, overlap_tokens, squeeze, token_overlap
 from newsloom.operators.graph import components
 from newsloom.sources.scratch import Tables, durable
 
@@ -82,7 +82,7 @@ def syndication_variants(pairs: DataFrame, articles: DataFrame, key: str, outlet
 
 def embedding_text(title: Column, summary: Column, body: Column, entities: Column, tags: Column) -> Column:
     """The text that is embedded: distinct title, summary and first three useful sentences, entities, sorted tags; [a-z0-9 -] only."""
-    sentences = F.filter(F.regexp_extract_all(squeeze(body), F.lit(r"([^.!?]+[.!?])"), 1), lambda s: F.length(F.trim(s)) >= 50)
+    sentences = F.filter(marked_sentences(squeeze(body)), lambda s: F.length(F.trim(s)) >= 50)
     parts = F.array_distinct(F.concat(F.array(squeeze(title), squeeze(summary)), F.transform(F.slice(sentences, 1, 3), lambda x: F.trim(x))))  # bare F.trim would take the element's index for the characters to strip
     text = F.concat_ws(" ", F.array_join(F.filter(parts, lambda p: p != ""), " "), F.array_join(F.slice(entities, 1, 6), " "), F.array_join(F.array_sort(tags), " "))
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9 -]+", " "), " +", " "))
@@ -190,6 +190,17 @@ def top_k_neighbors(vectors: DataFrame, key: str, vector: str, queries: DataFram
     return _ranked(held.join(asked, "cell").mapInArrow(_best(k, least), _FOUND), k)
 
 
+def _first_of_each(near: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k largest values of each row, ties by id, where few values are over -2."""
+    row, col = np.nonzero(near > -2)
+    order = np.lexsort((ids[col], -near[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    out = np.tile(np.argmin(near, axis=1)[:, None], (1, k))
+    out[row[place < k], place[place < k]] = col[place < k]
+    return out
+
+
 def hyperplanes(n: int, dims: int, similarity: float, recall: float, bucket: int) -> tuple[np.ndarray, int]:
     """Normals for enough tables of sign bits that vectors of this similarity share a bucket of one with probability ``recall``."""
     bits = max(0, math.ceil(math.log2(max(n, 1) / bucket)))
@@ -198,40 +209,53 @@ def hyperplanes(n: int, dims: int, similarity: float, recall: float, bucket: int
     return np.random.default_rng(17).standard_normal((tables, bits, dims)), tables
 
 
-def lsh_neighbors(vectors: DataFrame, key: str, vector: str, k: int = 6, least: float = 0.10, similarity: float = 0.42, recall: float = 0.95, bucket: int = 1024, window: str | None = None) -> DataFrame:
+def lsh_neighbors(vectors: DataFrame, key: str, vector: str, k: int = 6, least: float = 0.10, similarity: float = 0.42, recall: float = 0.95, bucket: int = 2048, window: str | None = None) -> DataFrame:
     """The same for all items at once, approximately: an item meets those that share a bucket of sign bits in one of several tables.
 
     Pairs of ``similarity`` meet with probability ``recall``, more similar ones more surely. ``window`` (a day, say) bounds what may meet at all. A bucket with more
     than ``bucket`` vectors is cut into blocks that meet pairwise."""
-    rows = durable(vectors.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"), (F.lit(0) if window is None else F.col(window)).alias("w")).where("v IS NOT NULL AND size(v) > 0"), "vectors")
+    plain = vectors.select(F.col(key).cast("long").alias("k"), (F.lit(0) if window is None else F.col(window)).alias("w"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL AND size(v) > 0")
+    kind = plain.schema["w"].dataType.simpleString()
+
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            n = np.linalg.norm(x, axis=1)
+            good = np.flatnonzero(n > 0)
+            packed = pa.array([u.tobytes() for u in (x[good] / n[good, None]).astype(np.float32)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(good)) for c in ("k", "w")), packed], ["k", "w", "u"])
+
+    rows = durable(plain.mapInArrow(units, f"k long, w {kind}, u binary"), "vectors")  # unit vectors as bytes of floats
     size = rows.groupBy("w").count().agg(F.max("count").alias("n")).first().n or 0
-    shape = rows.select(F.size("v").alias("d")).first()
+    shape = rows.select((F.octet_length("u") / 4).cast("int").alias("d")).first()
     normals, tables = hyperplanes(size, shape.d if shape else 1, similarity, recall, bucket)
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = (1 << np.arange(normals.shape[1])).astype(np.int64)
         for batch in batches:
-            x = np.array(batch.column("v").to_pylist()).reshape(batch.num_rows, -1)
+            x = np.frombuffer(b"".join(batch.column("u").to_pylist()), np.float32).reshape(batch.num_rows, -1)
             codes = np.stack([((x @ t.T > 0) @ weights if len(weights) else np.zeros(len(x), np.int64)) for t in normals], axis=1)
             where = np.repeat(np.arange(batch.num_rows), tables)
-            yield pa.RecordBatch.from_arrays([batch.column("k").take(pa.array(where)), batch.column("w").take(pa.array(where)), pa.array(np.tile(np.arange(tables), batch.num_rows)), pa.array(codes.ravel())], ["k", "w", "t", "code"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(where)) for c in ("k", "w")), pa.array(np.tile(np.arange(tables), batch.num_rows)), pa.array(codes.ravel())], ["k", "w", "t", "code"])
 
-    placed = durable(rows.mapInArrow(buckets, f"k long, w {rows.schema['w'].dataType.simpleString()}, t long, code long"), "buckets")
+    placed = durable(rows.mapInArrow(buckets, f"k long, w {kind}, t long, code long"), "buckets")
     held = placed.groupBy("w", "t", "code").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / bucket))
     dealt = placed.join(held, ["w", "t", "code"]).withColumn("r", F.pmod(F.xxhash64("k", "t"), F.col("blocks")))
     dealt = dealt.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("w", "t", "code", F.least("r", "s").alias("i"), F.greatest("r", "s").alias("j"), "r", "k").join(rows.select("k", "v"), "k")
+    dealt = dealt.select("w", "t", "code", F.least("r", "s").alias("i"), F.greatest("r", "s").alias("j"), "r", "k").join(rows.select("k", "u"), "k")
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf.r == pdf.i.iloc[0]], pdf[pdf.r == pdf.j.iloc[0]]
         out = []
         for q, x in ((left, right),) if pdf.i.iloc[0] == pdf.j.iloc[0] else ((left, right), (right, left)):
             if len(q) and len(x):
-                a, b = (np.stack(side.v.to_numpy()) for side in (q, x))
-                a, b = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (a, b))
-                near, ids = np.round(a @ b.T, 9), x.k.to_numpy()
+                a, b = (np.frombuffer(b"".join(side.u), np.float32).reshape(len(side), -1) for side in (q, x))
+                near, ids = np.round(a @ b.T, 5).astype(np.float64), x.k.to_numpy()
                 near[q.k.to_numpy()[:, None] == ids[None, :]] = -2
-                order = np.lexsort((np.broadcast_to(ids, near.shape), -near), axis=1)[:, :k]
+                if near.shape[1] > 4 * k:  # the best of each row, and all that tie with the last of them
+                    last = np.partition(near, -k, axis=1)[:, -k]
+                    near[near < last[:, None]] = -2
+                order = np.lexsort((np.broadcast_to(ids, near.shape), -near), axis=1)[:, :k] if near.shape[1] <= 4 * k else _first_of_each(near, ids, k)
                 best = np.take_along_axis(near, order, 1)
                 row, col = np.nonzero(best >= least)
                 out.append(pd.DataFrame({"item": q.k.to_numpy()[row], "neighbor": ids[order[row, col]], "similarity": best[row, col]}))

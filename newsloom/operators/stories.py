@@ -415,7 +415,7 @@ def _best_story(item, stories: dict, near: dict, rules: dict[str, frozenset]):
     return best
 
 
-def build_stories(items: DataFrame, neighbors: DataFrame, broad: list[str], low_signal: list[str], anchor_stop: list[str], generic_tags: list[str], max_component: int = 2000, rounds: int = 3) -> DataFrame:
+def build_stories(items: DataFrame, neighbors: DataFrame, broad: list[str], low_signal: list[str], anchor_stop: list[str], generic_tags: list[str], max_component: int = 20_000, rounds: int = 3) -> DataFrame:
     """(article_id, story_id): every item in one story; a story is named after its newest item.
 
     An item may join the stories that hold one of its neighbours (item, neighbor, similarity; a few an item), so only components of the graph of neighbours can meet. Inside a component the items join

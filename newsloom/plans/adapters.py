@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import settled
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,7 +20,7 @@ def discoveries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.split(F.trim("text"), r"\s+", 41)  # the rest of the text stays whole
-    return settled(table(spark, sf_dir, "documents").withColumn("words", words).select(
+    return table(spark, sf_dir, "documents").withColumn("words", words).select(
         F.col("doc_id").alias("article_id"),
         F.array_join(F.slice("words", 1, 12), " ").alias("headline"),
         F.array_join(F.slice("words", 1, 40), " ").alias("summary"),
@@ -32,7 +30,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("minute"),
         F.when(F.col("n_chars") >= 1000, "article_body").when(F.col("n_chars") >= 200, "metadata_description").otherwise("rss_only").alias("extraction_quality"),
         F.element_at(F.array(F.lit("open"), F.lit("likely_paywalled"), F.lit("unknown")), (F.col("doc_id") % 3 + 1).cast("int")).alias("access_signal"),
-    ))
+    )
 
 
 ARTICLES_SQL = r"""articles AS (

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import scoring as S
 from newsloom.functions import text as X
-from newsloom.functions.text import settled
 from newsloom.operators import stories as ST
 from newsloom.plans import adapters as A
 from newsloom.plans.catalog import query
@@ -82,11 +81,11 @@ def articles(spark: SparkSession, d: str) -> DataFrame:
     a = A.articles(spark, d).withColumn("url", F.concat(F.lit("https://x.example/"), "article_id"))
     args = [F.col(c) for c in ("headline", "summary", "extraction_quality", "body_text")]
     both = F.concat_ws(" ", "headline", "summary")
-    return settled(a.select(
+    return a.select(
         "*", X.match_tokens(both, STOP).alias("tokens"), X.event_tags(F.col("body_text"), TAGS).alias("tags"),
         S.summary_quality(*args).alias("quality"), S.is_title_only_stub(*args).alias("stub"),
         S.context_score(F.col("headline"), F.col("summary"), F.col("url"), F.col("extraction_quality"), F.col("body_text"), RULES).alias("context"),
-    ))
+    )
 
 
 def _any(column: str, patterns: list[str]) -> str:

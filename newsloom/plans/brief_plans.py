@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions import pages as PG
-from newsloom.functions.text import STOPWORDS, named_entities, settled, squeeze, strong_entities
+from newsloom.functions.text import STOPWORDS, marked_sentences, named_entities, settled, squeeze, strong_entities
 from newsloom.operators import briefs as H
 from newsloom.operators import revisions as J
 from newsloom.plans import adapters as A
 from newsloom.plans import article_plans as P
 from newsloom.plans import story_plans as S
 from newsloom.plans.catalog import query
+from newsloom.sources.scratch import durable
 
 
 @query("c1_strip_html")
@@ -91,7 +92,7 @@ ROWS_SQL = _sources_sql()
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
     """Articles of stories as source texts."""
-    found = F.transform(F.regexp_extract_all(squeeze(F.col("body_text")), F.lit("([^.!?]+[.!?])"), 1), lambda x: F.trim(x))
+    found = F.transform(marked_sentences(squeeze(F.col("body_text"))), lambda x: F.trim(x))
     items = S.story_items(spark, d).withColumns({
         "rank": F.col("article_id"), "framing": F.element_at(F.array(*map(F.lit, ("left", "center", "right"))), (F.col("article_id") % 3 + 1).cast("int")), "focus": F.concat(F.lit("f"), (F.col("article_id") % 4).cast("string")),
         "blocked": F.col("article_id") % 50 == 0, "sentences": F.filter(found, lambda x: F.length(x) >= 40),
@@ -100,10 +101,15 @@ def texts(spark: SparkSession, d: str) -> DataFrame:
     return H.source_texts(items.select(*keep))
 
 
+def told(spark: SparkSession, d: str) -> DataFrame:
+    """The stories' own headlines and summaries, from the articles alone."""
+    first = lambda c, name: F.min_by(c, "article_id").alias(name)
+    return A.articles(spark, d).groupBy(F.expr("article_id div 5").alias("story_id")).agg(first("headline", "story_headline"), first("summary", "story_summary"), first("outlet", "family"))
+
+
 def rows(spark: SparkSession, d: str) -> DataFrame:
-    members = texts(spark, d)
-    stories = members.groupBy("story_id").agg(F.min_by("headline", "article_id").alias("story_headline"), F.min_by("summary", "article_id").alias("story_summary"))
-    return H.source_flags(H.source_rows(stories, members))
+    """Flagged source rows, written once: what builds on them reads them several times."""
+    return durable(H.source_flags(H.source_rows(told(spark, d).drop("family"), texts(spark, d))), "sources")
 
 
 _SIX = ", ".join(f"{n}_alignment, {n}_overlap" for n in H.ALIGNMENTS)
@@ -121,9 +127,7 @@ def h2(spark: SparkSession, d: str) -> DataFrame:
 
 @query("h3_dedupe_sources")
 def h3(spark: SparkSession, d: str) -> DataFrame:
-    members = texts(spark, d)
-    stories = members.groupBy("story_id").agg(F.min_by("headline", "article_id").alias("story_headline"))
-    return H.dedupe_sources(members.join(stories, "story_id"), text="snippet", anchors=["story_headline"]).select("story_id", "article_id")
+    return H.dedupe_sources(texts(spark, d).join(told(spark, d).select("story_id", "story_headline"), "story_id"), text="snippet", anchors=["story_headline"]).select("story_id", "article_id")
 
 
 _BEST = "priority DESC, story_alignment DESC, detail_alignment DESC, has_body DESC, is_open DESC, article_id"
@@ -207,7 +211,7 @@ def h8(spark: SparkSession, d: str) -> DataFrame:
 def h9(spark: SparkSession, d: str) -> DataFrame:
     focus = H.focus_phrase(F.array("headline", "summary"), F.expr("CAST(array() AS array<string>)"), F.col("outlet"))
     members = settled(texts(spark, d).withColumn("focus", focus))
-    stories = members.groupBy("story_id").agg(F.min_by("headline", "article_id").alias("story_headline"), F.min_by("summary", "article_id").alias("story_summary"), F.min_by("outlet", "article_id").alias("family"))
+    stories = told(spark, d)
     facts = A.table(spark, d, "conversations").where("role = 'user'").groupBy(F.col("conv_id").alias("story_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("facts"))
     stories = stories.join(facts, "story_id", "left").withColumn("corrections", F.when(F.col("story_id") % 7 == 0, F.array(F.lit("a figure was corrected"))))
     return H.build_brief(stories, H.source_flags(H.source_rows(stories.select("story_id", "story_headline", "story_summary"), members)), "The desk")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import overlap_tokens, squeeze, token_overlap
+from newsloom.functions.text import marked_sentences, overlap_tokens, squeeze, token_overlap
 from newsloom.operators import audits as M
 from newsloom.operators import enrich as G
 from newsloom.operators import perspective as I
@@ -64,7 +64,7 @@ _OT = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]{{4,}}'))"
 WITH {A.ARTICLES_SQL}, x AS (SELECT article_id, extraction_quality, body_text, {_OT.format("headline || ' ' || summary")} AS a, {_OT.format("array_to_string((regexp_extract_all(trim(regexp_replace(coalesce(body_text, ''), '[[:space:]]+', ' ', 'g')), '[^.!?]+[.!?]'))[1:2], ' ')")} AS b FROM articles)
 SELECT article_id, extraction_quality = 'article_body' AND (contains(body_text, '!! ') OR (CASE WHEN least(len(a), len(b)) < 4 THEN 0.0 ELSE len(list_intersect(a, b))::DOUBLE / least(len(a), len(b)) END) < 0.16) AS mismatch FROM x""")
 def g4(spark: SparkSession, d: str) -> DataFrame:
-    first_two = F.array_join(F.slice(F.regexp_extract_all(squeeze(F.col("body_text")), F.lit("([^.!?]+[.!?])"), 1), 1, 2), " ")
+    first_two = F.array_join(F.slice(marked_sentences(squeeze(F.col("body_text"))), 1, 2), " ")
     a, b = overlap_tokens(F.concat_ws(" ", "headline", "summary")), overlap_tokens(first_two)
     return A.articles(spark, d).select("article_id", G.body_mismatch(token_overlap(a, b, "alignment", 0.0), F.contains(F.col("body_text"), F.lit("!! ")), F.col("extraction_quality") == "article_body").alias("mismatch"))
 

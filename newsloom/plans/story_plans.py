@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 
 from newsloom.functions import text as X
-from newsloom.functions.text import settled
 from newsloom.operators import enrich as G
 from newsloom.operators import similarity as E
 from newsloom.operators import stories as ST
@@ -155,7 +154,7 @@ ANCHORS_SQL = "an AS (SELECT * FROM (SELECT *, CASE WHEN is_substantive AND cont
 
 def story_items(spark: SparkSession, d: str) -> DataFrame:
     rows = P.articles(spark, d).withColumn("story_id", F.expr("article_id div 5"))
-    rows = settled(rows.withColumn("signal", P.signal_column()).withColumn("entities", F.filter("tokens", lambda x: F.startswith(x, F.lit("th")))))
+    rows = rows.withColumn("signal", P.signal_column()).withColumn("entities", F.filter("tokens", lambda x: F.startswith(x, F.lit("th"))))
     return rows.withColumns({"is_substantive": (F.length(X.squeeze(F.col("body_text"))) >= 180) | (F.col("quality") >= 6), "is_open": F.col("access_signal") == "open", "has_body": F.col("extraction_quality") == "article_body"})
 
 
@@ -400,7 +399,7 @@ def f8(spark: SparkSession, d: str) -> DataFrame:
 
 def summarised(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Members with their sentences, and the titles of their stories."""
-    found = F.transform(F.regexp_extract_all(X.squeeze(F.col("body_text")), F.lit("([^.!?]+[.!?])"), 1), lambda x: F.trim(x))
+    found = F.transform(X.marked_sentences(X.squeeze(F.col("body_text"))), lambda x: F.trim(x))
     rows = story_items(spark, d).withColumn("sentences", F.filter(found, lambda x: F.length(x) >= 40))
     return rows, rows.groupBy("story_id").agg(F.min_by("headline", "article_id").alias("title"))
 
