@@ -343,6 +343,7 @@ def _verify_blocks(similarity: int):
 def class_links(docs: DataFrame, known: DataFrame, tables: store.Tables, id_col: str, text_col: str, similarity: int = SIMILARITY) -> DataFrame:
     """(a, b): links between the known classes (class, h1, h2, n, pick) whose components are those of all links.
 
+    Joins of tables that grow with the input are merge joins at every size, so that plans, and what they move, do not turn with a threshold.
     What moves: a signature and eight bytes of its class; then only classes that share one: a bitmap of a few bits a feature for each,
     whole sets for pairs and blocks that the bitmaps leave open.
     """
@@ -356,7 +357,7 @@ def class_links(docs: DataFrame, known: DataFrame, tables: store.Tables, id_col:
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs that link: only the sets of their classes move, each to its pairs."""
         ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("class"))
-        held = ends.join(sets.select("class", "features"), "class").groupBy("a", "b").agg(F.collect_list("features").alias("f"))
+        held = ends.join(sets.select("class", "features").hint("merge"), "class").groupBy("a", "b").agg(F.collect_list("features").alias("f"))
         one, two = F.element_at("f", 1), F.element_at("f", 2)
         both = F.size(F.array_intersect(one, two))
         return tables.write(held.where(100 * both >= similarity * (F.size(one) + F.size(two) - both)).select("a", "b"), name)
@@ -368,12 +369,12 @@ def class_links(docs: DataFrame, known: DataFrame, tables: store.Tables, id_col:
         sig = placed.groupBy("sig").agg(F.count("*").alias("members"), F.max("n").alias("n_max"), F.min("comp").alias("low"), F.max("comp").alias("high"), *prints)
         blocks = F.ceil(F.greatest(F.col("members") * F.col("n_max") / BLOCK_FEATURES, F.col("members") / 1024))
         open_sigs = sig.where("low <> high").groupBy("p1", "p2", "members").agg(F.min("sig").alias("sig"), F.max(blocks).alias("blocks"))
-        rows = placed.join(open_sigs.select("sig", "blocks"), "sig").withColumn("r", F.pmod(F.xxhash64("class", "sig"), F.col("blocks")))
+        rows = placed.join(open_sigs.select("sig", "blocks").hint("merge"), "sig").withColumn("r", F.pmod(F.xxhash64("class", "sig"), F.col("blocks")))
         rows = rows.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         return tables.write(rows.select("sig", F.least("r", "s").alias("i"), F.greatest("r", "s").alias("j"), "class", "comp"), "rows")
 
     def block_rows(rows: DataFrame, content: Column) -> DataFrame:
-        rows = rows.join(sets.select("class", content.alias("content")), "class").select("sig", "i", "j", "class", "comp", "content")
+        rows = rows.join(sets.select("class", content.alias("content")).hint("merge"), "class").select("sig", "i", "j", "class", "comp", "content")
         return rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "class")
 
     likely = tables.write(block_rows(open_blocks(members.withColumn("comp", F.col("class"))), F.struct("n", "bits")).mapInArrow(_likely(similarity), "sig long, a long, b long"), "likely")
