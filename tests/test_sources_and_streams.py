@@ -70,6 +70,41 @@ def test_tracking_state(spark, event_files, tmp_path):
 
 def test_publish(spark, event_files, tmp_path):
     events, stream = event_files
-    q = jobs.stream_publish(stream.select("event_id", "user_id"), str(tmp_path / "table"), str(tmp_path / "ck"), ["event_id"])
+    path = str(tmp_path / "table")
+    q = jobs.stream_publish(stream.select("event_id", "user_id"), path, str(tmp_path / "ck"), ["event_id"], jobs.upsert(["event_id"], ["user_id"]), buckets=4)
     q.awaitTermination(180)
-    assert spark.read.parquet(str(tmp_path / "table" / "v0")).count() == events.count()
+    done = jobs.published(spark, path, q.lastProgress["batchId"])
+    assert done.count() == done.select("event_id").distinct().count() == events.count()
+
+
+def test_publish_rewrites_only_touched_buckets(spark, tmp_path):
+    path, source = str(tmp_path / "table"), str(tmp_path / "in")
+    spark.createDataFrame([(i, i) for i in range(40)], "k long, v long").coalesce(1).write.mode("append").parquet(source)
+    spark.createDataFrame([(3, 99), (3, 98), (77, 7)], "k long, v long").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("k long, v long").option("maxFilesPerTrigger", 1).parquet(source)
+    q = jobs.stream_publish(stream, path, str(tmp_path / "ck"), ["k"], jobs.upsert(["k"], ["v"]), buckets=8)
+    q.awaitTermination(180)
+    assert {r.k: r.v for r in jobs.published(spark, path, 1).collect()} == {**{i: i for i in range(40)}, 3: 99, 77: 7}
+    versions = [r.version for r in spark.read.parquet(f"{path}/manifest/v1").collect()]
+    assert 1 <= versions.count(1) <= 2 and set(versions) == {0, 1}
+
+
+def test_sitemap_entries(spark, tmp_path):
+    """Prefixed titles, dates, language and keywords; titles from the url; other languages go; the index picks the news."""
+    entry = lambda loc, rest: f"<url><loc>{loc}</loc>{rest}</url>"
+    news = lambda title, language, date: f"<news:news><news:publication><news:language>{language}</news:language></news:publication><news:publication_date>{date}</news:publication_date>{title}</news:news>"
+    rows = [
+        entry("https://site.example/a/one", news("<news:title>First title</news:title>", "en", "2024-01-02T03:04:05Z") + "<image:image><image:loc>https://i.example/1.jpg</image:loc></image:image>"),
+        entry("https://site.example/a/deux", news("<news:title>Second</news:title>", "fr", "2024-01-02T03:04:05Z")), entry("https://site.example/a/the-long-bridge-story", "<lastmod>2024-01-03T00:00:00Z</lastmod>"), entry("https://site.example/12", ""),
+        entry("https://site.example/a/last", news("<news:title>Past the limit</news:title>", "eng", "2024-01-02T03:04:05Z")),
+    ]
+    (tmp_path / "map.xml").write_text("<urlset>" + "\n".join(rows) + "</urlset>")
+    got = feeds.read_sitemap_items(spark, str(tmp_path / "map.xml"), limit=3).orderBy("position").collect()
+    assert [(r.title, r.url, r.image) for r in got] == [("First title", "https://site.example/a/one", "https://i.example/1.jpg"), ("The long bridge story", "https://site.example/a/the-long-bridge-story", None)]
+    assert [str(r.published_at) for r in got] == ["2024-01-02 03:04:05", "2024-01-03 00:00:00"]
+    locs = [f"https://site.example/part-{i}.xml" for i in range(6)] + ["https://site.example/news.xml", "https://site.example/latest.xml", "https://site.example/map.xml"]
+    (tmp_path / "index.xml").write_text("<sitemapindex>" + "".join(f"<sitemap><loc>{x}</loc></sitemap>" for x in locs) + "</sitemapindex>")
+    chosen = feeds.child_sitemaps(spark, str(tmp_path / "index.xml"), most=3)
+    assert {r.loc for r in chosen.collect()} == {"https://site.example/news.xml", "https://site.example/latest.xml", "https://site.example/map.xml"}
+    assert feeds.read_sitemap_items(spark, str(tmp_path / "map.xml"), children=chosen).count() == 3
+    assert feeds.read_sitemap_items(spark, str(tmp_path / "map.xml"), children=chosen.where("loc LIKE '%news%'")).count() == 0
