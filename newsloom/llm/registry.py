@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsloom.llm import contamination, embedding_dedup, language_id, mixing, ngram_join, quality, secrets, sharding, url_filters, warc
+from newsloom.llm import contamination, embedding_dedup, filter_audit, language_id, licenses, mixing, ngram_join, quality, secrets, sharding, url_filters, vector_codes, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,18 @@ def queries() -> dict:
         "op8_contamination": contamination.op8_contamination,
         "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
         "op10_language": language_id.op10_language,
+        "op11_vector_codes": vector_codes.op11_vector_codes,
+        "op12_licenses": licenses.op12_licenses,
+        "op13_filter_audit": filter_audit.op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filters": url_filters.OP4_SQL, "op7_warc": warc.OP7_SQL, "op8_contamination": contamination.OP8_SQL, "op9_embedding_dedup": embedding_dedup.OP9_SQL}
+    return {
+        "op4_url_filters": url_filters.OP4_SQL,
+        "op7_warc": warc.OP7_SQL,
+        "op8_contamination": contamination.OP8_SQL,
+        "op9_embedding_dedup": embedding_dedup.OP9_SQL,
+        "op11_vector_codes": vector_codes.OP11_SQL,
+        "op13_filter_audit": filter_audit.OP13_SQL,
+    }
