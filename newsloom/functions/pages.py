@@ -27,7 +27,8 @@ _ATTRIBUTE = re.compile(r"(?is)([a-z:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
 _SENTENCE = re.compile(r"(?s).+?(?:[.!?][\"')\]”’]*(?=\s+[A-Z\"'(“‘])|\Z)")
 _SHORT = re.compile(r"(?:\b(?:Mr|Mrs|Ms|Dr|Prof|St|Gen|Sen|Rep|Gov|No|vs|etc|Inc|Jr|Sr)|\b[A-Z](?:\.[A-Z])*)\.[\"')\]]*$")
 _ATTRIBUTED = re.compile(r"[.!?][\"”'’]$")
-_ATTRIBUTION = re.compile(r"^(?:[A-Z][\w'’-]+ ){0,3}(?:he |she |they )?(?:said|says|told|added|asked|wrote|replied)\b", re.IGNORECASE)
+#: A speaker's clause behind a quotation: up to four words, the last a verb of speech.
+_ATTRIBUTION = re.compile(r"^(?:\S+ ){0,3}(?:said|explained|recalled|insisted|concluded|commented|continued)\b")
 _QUALITIES = ("rss_only", "metadata_description", "article_body")
 _FLAT_TOKEN = re.compile("[a-z0-9]{4,}")
 
@@ -36,9 +37,9 @@ _FLAT_TOKEN = re.compile("[a-z0-9]{4,}")
 class PageRules:
     """Own short defaults; pass others for other desks and sites."""
 
-    fragments: tuple[str, ...] = (r"(?i)\((?:[^()]{0,80})?(?:photo|getty|images)[^()]{0,80}\)", r"(?i)^(?:photo|image|credit) ?: ?[^.]{0,60}\.", r"(?i)^by [A-Z][a-z]+ [A-Z][a-z]+[.,]? ?", r"(?i)^(?:watch|listen|see also):\s*", r"(?i)\s+(?:hide|toggle) caption$")
+    fragments: tuple[str, ...] = (r"(?i)\((?:picture|illustration|credit)s?\b[^()]{0,80}\)", r"(?i)^(?:picture|illustration|source) ?: ?[^.]{0,60}\.", r"(?i)^(?:words|text) by [A-Z][a-z]+ [A-Z][a-z]+[.,]? ?", r"(?i)^(?:also|more) on this:\s*", r"(?i)\s+(?:enlarge|open) picture$")
     non_narrative: tuple[str, ...] = tuple(T.NON_NARRATIVE)
-    boilerplate: tuple[str, ...] = ("all rights reserved", "cookie policy", "terms of service", "sign up for", "newsletter", "click here", "read more:", "advertisement", "machine and human generated")
+    boilerplate: tuple[str, ...] = ("privacy settings", "terms and conditions", "mailing list", "tap here", "related stories", "paid content", "automatic transcript", "copyright of")
     #: Patterns after which a site's paragraphs start, by domain; their windows are this long.
     markers: dict[str, tuple[str, ...]] = field(default_factory=lambda: {"example.org": (r'itemprop="articleBody"', r'class="[^"]*body-text')})
     window: int = 18_000
@@ -47,7 +48,7 @@ class PageRules:
     site_texts: dict[str, tuple[str, ...]] = field(default_factory=lambda: {"example.net": (r"(?i)^sponsored content$",)})
     paywalled: tuple[str, ...] = ("paid.example",)
     paywall_hints: tuple[str, ...] = (r"(?i)subscribe to (?:continue|read)", r"(?i)class=\"[^\"]*paywall")
-    blocks: tuple[tuple[str, str], ...] = (("challenge", r"(?i)verify you are (?:a )?human|press (?:&amp;|&) hold"), ("denied", r"(?i)access to this page has been denied"))
+    blocks: tuple[tuple[str, str], ...] = (("robot check", r"(?i)are you a robot"), ("refused", r"(?i)<title>[^<]*(?:403|forbidden)"))
     entity_stop: tuple[str, ...] = tuple(T.LOW_SIGNAL_ENTITIES)
     stopwords: tuple[str, ...] = ("that", "with", "from", "this", "have", "said", "were", "they")
 

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.scoring import is_title_only_stub, summary_quality
 from newsloom.functions.text import clean_snippet, is_non_narrative, overlap_tokens, settled, squeeze, token_overlap
-from newsloom.operators.graph import components
-from newsloom.sources.scratch import Tables, durable
+from newsloom.sources.scratch import durable
 
 
 def top_per(frame: DataFrame, by: list[str], order: list, k: int, rank: str = "_k") -> DataFrame:
@@ -51,14 +50,14 @@ def pair_features(pairs: DataFrame, a: str = "a", b: str = "b", broad: list[str]
     lit = lambda values: F.array(*map(F.lit, values)) if len(values) else F.expr("CAST(array() AS array<string>)")
     shared = F.array_intersect(f"{a}_tokens", f"{b}_tokens")
     f = pairs.withColumn("_shared", shared).withColumn("_specific", F.array_except("_shared", lit(broad)))
-    f = f.withColumn("_tags", F.array_intersect(f"{a}_tags", f"{b}_tags"))
+    f = f.withColumn("_anchored", F.array_except("_specific", lit(low_signal))).withColumn("_tags", F.array_intersect(f"{a}_tags", f"{b}_tags"))
     return f.select(
         *pairs.columns,
         F.size("_shared").alias("overlap"), F.size("_specific").alias("specific"),
-        F.size(F.array_except("_specific", lit(low_signal))).alias("anchored"), F.size(F.array_except("_specific", lit(anchor_stop))).alias("event_anchors"),
+        F.size("_anchored").alias("anchored"), F.size(F.array_except("_anchored", lit(anchor_stop))).alias("event_anchors"),
         F.size(F.array_except("_tags", lit(generic_tags))).alias("strong_tags"), F.size(F.array_intersect("_tags", lit(generic_tags))).alias("generic_shared"),
         F.size(F.array_intersect(f"{a}_entities", f"{b}_entities")).alias("entities"),
-        F.size(F.array_union(f"{a}_tokens", f"{b}_tokens")).alias("union_size"), F.least(F.size(f"{a}_tokens"), F.size(f"{b}_tokens")).alias("smaller"),
+        F.size(F.array_union(f"{a}_tokens", f"{b}_tokens")).alias("union_size"), F.least(F.size(f"{a}_tokens"), F.size(f"{b}_tokens")).alias("smaller"), F.size(f"{a}_tokens").alias("own_tokens"),
     )
 
 
@@ -93,7 +92,7 @@ def match_score(features: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         + bonus((c("similarity") >= JOIN_SIMILARITY) & supported, 3.0) - bonus(c(f"{a}_contextual"), 4.5) - bonus(c(f"{a}_contextual") & ~c(f"{b}_contextual"), 3.5)
     )
     nothing = (c("overlap") == 0) & (c("strong_tags") + c("generic_shared") == 0)
-    zero = _gates(a, b) | nothing | (_bare() & (c("similarity") < JOIN_SIMILARITY)) | (F.size(f"{a}_tokens") == 0)
+    zero = _gates(a, b) | nothing | (_bare() & (c("similarity") < JOIN_SIMILARITY)) | (c("own_tokens") == 0)
     return features.withColumn("score", F.when(zero, 0.0).otherwise(score))
 
 
@@ -383,103 +382,3 @@ def home_layout(ranked: DataFrame, supports: int = 5, latest: int = 8, per_secti
     newest = top_per(rest, ["edition"], [F.desc("minute"), F.asc("story_id")], latest, "place").select("edition", F.lit("latest").alias("slot"), "place", "story_id")
     sections = top_per(rest, ["edition", "section"], first, per_section, "place").select("edition", F.concat(F.lit("section:"), "section").alias("slot"), "place", "story_id")
     return pinned.unionByName(newest).unionByName(sections)
-
-
-def _best_story(item, stories: dict, near: dict, rules: dict[str, frozenset]):
-    """The best scoring admissible story for an item, by the rules of match_score and should_join, or none; near has the item's similarity to stories."""
-    best, best_score = None, 0.0
-    for key in near:
-        held = stories[key]
-        shared = item.tokens & held["tokens"]
-        tags, names = item.tags & held["tags"], len(item.entities & held["entities"])
-        strong, generic = len(tags - rules["generic_tags"]), len(tags & rules["generic_tags"])
-        specific = shared - rules["broad"]
-        anchored, events, like = len(specific - rules["low_signal"]), len(specific - rules["low_signal"] - rules["anchor_stop"]), near[key]
-        if not item.tokens or not (shared or tags) or (generic and not strong and not names and anchored < 2):
-            continue
-        if item.contextual != held["contextual"] and events < 2 and names < 2 and like < CONTEXT_SIMILARITY:
-            continue
-        bare = not (tags or names or anchored)
-        if bare and like < JOIN_SIMILARITY:
-            continue
-        smaller = min(len(item.tokens), len(held["tokens"]))
-        score = (
-            8 * strong + 3 * generic + 2.5 * len(specific) + 3 * anchored + 3.5 * events + 1.25 * len(shared) + 4 * len(shared) / max(1, len(item.tokens | held["tokens"])) + (5 * len(specific) / smaller if smaller else 0) + 2 * names + 12 * like
-            + 3 * (strong > 0 and len(specific) > 0) + 1.5 * (generic > 0 and anchored >= 2) + 3 * (like >= JOIN_SIMILARITY and not bare and (strong > 0 or anchored > 0 or names > 0)) - 4.5 * item.contextual - 3.5 * (item.contextual and not held["contextual"])
-        )
-        joins = score >= JOIN_SCORE or bare or (
-            (like >= JOIN_SIMILARITY and (anchored or names or strong)) or (like >= SUPPORT_SIMILARITY and (anchored >= 2 or names)) or (strong and anchored) or (generic and anchored >= 2) or events >= 2 or anchored >= 4 or (anchored >= 3 and len(shared) >= 4)
-        )
-        if joins and score > 0 and (best is None or score > best_score or (score == best_score and key < best)):
-            best, best_score = key, score
-    return best
-
-
-def build_stories(items: DataFrame, neighbors: DataFrame, broad: list[str], low_signal: list[str], anchor_stop: list[str], generic_tags: list[str], max_component: int = 20_000, rounds: int = 3) -> DataFrame:
-    """(article_id, story_id): every item in one story; a story is named after its newest item.
-
-    An item may join the stories that hold one of its neighbours (item, neighbor, similarity; a few an item), so only components of the graph of neighbours can meet. Inside a component the items join
-    one after another, newest first, the best admissible story, judged by the union of its members. A component of more than ``max_component`` items is cut into slices of time that are grouped
-    apart; then, in rounds, each story joins the best newer story of another slice that its union is admissible for. No item or pair of neighbours is left out.
-
-    items: article_id, minute, tokens, tags, entities, contextual."""
-    import pandas as pd
-
-    rules = {"broad": frozenset(broad), "low_signal": frozenset(low_signal), "anchor_stop": frozenset(anchor_stop), "generic_tags": frozenset(generic_tags)}
-    items = durable(items, "items")
-    links = durable(neighbors.select(F.col("item").alias("a"), F.col("neighbor").alias("b"), "similarity"), "neighbors")
-    with Tables(items.sparkSession) as tables:
-        component = durable(components(links, tables), "components").toDF("article_id", "group")
-    placed = items.join(component, "article_id").withColumn("_size", F.count("*").over(Window.partitionBy("group")))
-    small = placed.where(F.col("_size") <= max_component).withColumn("slice", F.lit(0))
-    order = Window.partitionBy("group").orderBy(F.desc("minute"), F.asc("article_id"))
-    large = placed.where(F.col("_size") > max_component).withColumn("slice", F.floor((F.row_number().over(order) - 1) / max_component).cast("int"))
-    placed = durable(small.unionByName(large).drop("_size"), "placed")
-    where = placed.select("article_id", "group", "slice")
-    inside = links.join(where.toDF("a", "group", "slice"), "a").join(where.toDF("b", "group", "slice"), ["b", "group", "slice"])
-
-    def greedy(left, right):
-        near: dict = {}
-        for a, b, likeness in zip(right.a, right.b, right.similarity, strict=True):
-            near.setdefault(a, {})[b] = likeness
-        story, stories = {}, {}
-        for item in left.sort_values(["minute", "article_id"], ascending=[False, True]).assign(**{c: left[c].map(frozenset) for c in ("tokens", "tags", "entities")}).itertuples():
-            close: dict = {}
-            for other, likeness in near.get(item.article_id, {}).items():
-                if other in story:
-                    close[story[other]] = max(likeness, close.get(story[other], 0.0))
-            best = _best_story(item, stories, close, rules)
-            if best is None:
-                best = item.article_id
-                stories[best] = {"tokens": set(), "tags": set(), "entities": set(), "contextual": True}
-            held = stories[best]
-            for c in ("tokens", "tags", "entities"):
-                held[c] |= getattr(item, c)
-            held["contextual"] &= bool(item.contextual)
-            story[item.article_id] = best
-        return pd.DataFrame({"article_id": list(story), "story_id": list(story.values())})
-
-    grouped = placed.groupBy("group", "slice").cogroup(inside.groupBy("group", "slice")).applyInPandas(greedy, "article_id long, story_id long")
-    alone = items.join(where, "article_id", "left_anti").select("article_id", F.col("article_id").alias("story_id"))
-    stories = durable(grouped.unionByName(alone), "stories")
-    if large.limit(1).isEmpty():
-        return stories
-    lexicons = {"broad": broad, "low_signal": low_signal, "anchor_stop": anchor_stop, "generic_tags": generic_tags}
-    for _ in range(rounds):
-        members = stories.join(items, "article_id")
-        union = durable(story_unions(members).join(members.groupBy("story_id").agg(F.max("minute").alias("minute")), "story_id"), "unions")
-        named = stories.select(F.col("article_id"), "story_id")
-        near = links.join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b").where("x <> y").groupBy("x", "y").agg(F.max("similarity").alias("similarity"))
-        side = lambda n: union.select(F.col("story_id").alias(n), F.col("minute").alias(f"{n}_minute"), *(F.col(c).alias(f"{n}_{c}") for c in ("tokens", "tags", "entities", "contextual")))
-        pairs = near.toDF("a", "b", "similarity").unionByName(near.toDF("b", "a", "similarity")).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
-        pairs = pairs.join(side("a"), "a").join(side("b"), "b").where("a_minute < b_minute OR (a_minute = b_minute AND a > b)")
-        scored = should_join(match_score(pair_features(pairs, **lexicons))).where("joins AND score > 0")
-        joins = durable(scored.groupBy("a").agg(F.max_by("b", F.struct("score", -F.col("b"))).alias("b")), "merges")
-        if joins.isEmpty():
-            break
-        with Tables(items.sparkSession) as tables:
-            merged = components(joins, tables)
-            newest = merged.toDF("story_id", "group").join(union.select("story_id", "minute"), "story_id").groupBy("group").agg(F.max_by("story_id", F.struct("minute", -F.col("story_id"))).alias("into"))
-            moved = durable(merged.toDF("story_id", "group").join(newest, "group").select("story_id", "into"), "moved")
-        stories = durable(stories.join(moved, "story_id", "left").select("article_id", F.coalesce("into", "story_id").alias("story_id")), "stories")
-    return stories

@@ -18,17 +18,15 @@ TAGS = {"alpha": ["th", "with"], "beta": ["ch", "und"], "gamma": ["ción"], "gen
 DESKS = [("world", [("thea", 3), ("with", 1)]), ("politics", [("from", 2), ("und", 2)]), ("science", [("ción", 3)])]
 
 _SQUEEZE = r"trim(regexp_replace(coalesce({0}, ''), '\s+', ' ', 'g'))"
-_STEM = """CASE WHEN length(w) <= 3 THEN w WHEN ends_with(w, 'ies') AND length(w) > 4 THEN w[:-4] || 'y'
- WHEN ends_with(w, 'ing') AND length(w) > 5 THEN CASE WHEN regexp_matches(r, '(as|iz|at|leas)$') THEN r || 'e' ELSE r END
- WHEN ends_with(w, 'ed') AND length(w) > 4 THEN CASE WHEN regexp_matches(w[:-3], '(as|iz|at|leas)$') THEN w[:-3] || 'e' ELSE w[:-3] END
- WHEN ends_with(w, 'es') AND length(w) > 4 AND NOT regexp_matches(w, '(ses|xes)$') THEN w[:-3]
- WHEN ends_with(w, 's') AND length(w) > 4 AND NOT ends_with(w, 'ss') THEN w[:-2] ELSE w END"""
+_STEM = "w"
+for _ending in X.STEM_ENDINGS:
+    _STEM = f"regexp_replace({_STEM}, '{_ending}', '\\1')"
 
 
 def tokens_sql(name: str, source: str, column: str, stop: list[str]) -> str:
     """CTE (article_id, t): sorted distinct stems."""
     listed = ", ".join(f"'{s}'" for s in stop)
-    return f"""{name}_w AS (SELECT article_id, w, CASE WHEN length(w) >= 5 AND w[-4:-4] = w[-5:-5] THEN w[:-5] ELSE w[:-4] END AS r FROM (SELECT article_id, unnest(regexp_extract_all(lower({column}), '[a-z]{{3,}}')) AS w FROM {source})),
+    return f"""{name}_w AS (SELECT article_id, unnest(regexp_extract_all(lower({column}), '[a-z]{{3,}}')) AS w FROM {source}),
 {name}_s AS (SELECT DISTINCT article_id, {_STEM} AS s FROM {name}_w),
 {name} AS (SELECT a.article_id, coalesce(t, []) AS t FROM {source} a LEFT JOIN (SELECT article_id, list(s ORDER BY s) AS t FROM {name}_s WHERE s NOT IN ({listed}) GROUP BY 1) USING (article_id))"""
 

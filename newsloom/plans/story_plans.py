@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text as X
 from newsloom.operators import enrich as G
+from newsloom.operators import grouping as GR
 from newsloom.operators import similarity as E
 from newsloom.operators import stories as ST
 from newsloom.plans import adapters as A
@@ -347,7 +348,7 @@ def _neighbor_graph(spark: SparkSession, d: str) -> DataFrame:
 @query("f3_build_stories")
 def f3(spark: SparkSession, d: str) -> DataFrame:
     rows = P.articles(spark, d).select("article_id", "minute", "tokens", "tags", F.filter("tokens", lambda x: F.startswith(x, F.lit("thea"))).alias("entities"), (F.col("context") >= 2).alias("contextual"))
-    return ST.build_stories(rows, _neighbor_graph(spark, d), broad=P.BROAD, low_signal=LOW, anchor_stop=ANCHOR_STOP, generic_tags=["generic"])
+    return GR.build_stories(rows, _neighbor_graph(spark, d), broad=P.BROAD, low_signal=LOW, anchor_stop=ANCHOR_STOP, generic_tags=["generic"])
 
 
 _NEEDY = """nd0 AS (SELECT story_id, count(DISTINCT outlet) = 1 AS t1, count(*) FILTER (is_substantive) <= 1 AS t2, count(*) FILTER (signal >= 3 AND NOT stub) <= 1 AS t3, count(*) FILTER (NOT is_open) > 0 AND count(*) FILTER (is_open AND is_substantive) = 0 AS t4 FROM item GROUP BY story_id),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import pages as PG
 from newsloom.functions import text as X
 from newsloom.functions import urls as U
-from newsloom.operators import audits, briefs, enrich, outlets, revisions, similarity, stories, tables
+from newsloom.operators import audits, briefs, enrich, grouping, outlets, revisions, similarity, stories, tables
 
 
 def one(spark, expression, **columns):
@@ -36,7 +36,7 @@ def test_normalize_domain(spark):
 def test_stems(spark):
     words = ["stories", "running", "closed", "rated", "boxes", "houses", "cars", "glass", "ed"]
     got = [one(spark, X.stem(F.lit(w))) for w in words]
-    assert got == ["story", "run", "clos", "rate", "boxe", "house", "cars", "glass", "ed"]
+    assert got == ["stor", "runn", "clos", "rated", "box", "hous", "cars", "glass", "ed"]
 
 
 def test_access_by_parent_domain(spark):
@@ -67,7 +67,7 @@ def test_page_text():
     assert (found.lede, found.body_preview, found.extraction_quality, found.access_signal, found.block_reason) == (FIRST, f"{FIRST} {SECOND}", "article_body", "open", None)
     blocked = PG.enrich(page, None, "<b>fall</b> back", 403)
     assert (blocked.lede, blocked.body_preview, blocked.extraction_quality, blocked.block_reason, blocked.block_vendor) == ("<b>fall</b> back", "", "rss_only", "http_access_denied", "generic")
-    assert PG.enrich("<title>Access to this page has been denied</title>").block_vendor == "denied"
+    assert PG.enrich("<title>403 Forbidden</title>").block_vendor == "refused"
     assert PG.enrich(None).lede == "" and PG.enrich("").extraction_quality == "rss_only"
 
 
@@ -82,12 +82,12 @@ def test_page_metadata_image_and_access():
 
 def test_paragraphs_skip_what_is_no_narrative():
     bad = [
-        "window.state && t[0].headers && e(t[0].headers, o) and so on for a while longer", "READ MORE: the prosecutor leaves the case after a long dispute with the attorney", "Notice: transcripts are machine and human generated and lightly edited for accuracy.",
-        "Smoke rises near the harbor after the strike in the early hours, as seen from far", "People walk past a shop window in the old quarter of the town on Friday morning", "A view of the bridge by Jane Doe/Getty in the early light of a long summer day over there", "Copyright of the publisher, all rights reserved, see the terms for what that means.",
+        "state.load(row[0].cells, other[1].cells); and so on in this way for a while longer", "Related: the mayor of the town leaves the council after a long dispute over money", "This automatic transcript of the session may differ from what was said in the room.",
+        "Visitors by the station on a grey afternoon, with the tower of the old town far away", "Crowds walk past a window in the old quarter of the town on Friday morning, as in May", "A boat on the river (illustration by Jane Doe) in the early light of a long summer day", "Copyright of the publisher, see the terms for what that means to readers elsewhere.",
     ]
     page = "<article>" + "".join(f"<p>{x}</p>" for x in [bad[0], FIRST, *bad[1:], SECOND.replace("&", "and")]) + "</article>"
     assert PG.article_paragraphs(page) == [FIRST, SECOND.replace("&", "and")]
-    assert not PG.non_narrative("People near the border said that officials had warned them of the flood for a week.")
+    assert not PG.non_narrative("Workers at the station confirmed that the council had told them of the flood for a week.")
 
 
 def test_source_windows_and_site_texts():
@@ -107,7 +107,7 @@ def test_live_updates_that_fit_the_headline():
     import json
 
     blog = {"@type": "LiveBlogPosting", "headline": "Live: raid strikes harbor island oil terminal", "liveBlogUpdate": [update("Raid hits terminal", fits), update("School bill", other), update("Why the raid was ordered", also)]}
-    page = f'<script type="application/ld+json">{json.dumps(blog)}</script><article><p>window.state && t[0].headers && e(t[0].headers, o) and more of that sort</p></article>'
+    page = f'<script type="application/ld+json">{json.dumps(blog)}</script><article><p>state.load(row[0].cells, other[1].cells); and more lines of that very same sort</p></article>'
     assert PG.live_updates(page) == [fits, also]
     found = PG.enrich(page, "https://live.example.com/x", "fallback")
     assert found.extraction_quality == "article_body" and found.lede.startswith("The harbor island raid") and "school" not in found.body_preview.lower()
@@ -115,11 +115,11 @@ def test_live_updates_that_fit_the_headline():
 
 def test_sentences():
     assert PG.split_sentences('Dr. Smith spoke. "It is done. We go," he said. U.S. aid came.') == ["Dr. Smith spoke.", '"It is done. We go," he said.', "U.S. aid came."]
-    quoted = PG.split_sentences("He has a plan. “I have my own idea. But what good does it do?” Reporters said they had heard that before. It may last.")
-    assert quoted == ["He has a plan.", "“I have my own idea. But what good does it do?” Reporters said they had heard that before.", "It may last."]
+    quoted = PG.split_sentences("He has a plan. “I have my own idea. But what good does it do?” The mayor recalled that they had heard that before. It may last.")
+    assert quoted == ["He has a plan.", "“I have my own idea. But what good does it do?” The mayor recalled that they had heard that before.", "It may last."]
     assert PG.split_sentences(None) == [] and PG.split_sentences("no end mark here") == ["no end mark here"]
     twice = "The council voted on the new bridge over the river on Monday evening."
-    assert PG.narrative_sentences(f"{twice} {twice} Too short. Subscribe to our newsletter for more of what the council does every week.") == [twice]
+    assert PG.narrative_sentences(f"{twice} {twice} Too short. Write to our mailing list for more of what the council does every week.") == [twice]
 
 
 def test_hidden_text():
@@ -222,7 +222,7 @@ LEXICONS = {"broad": ["news"], "low_signal": ["price"], "anchor_stop": ["know",
 
 def grouped(spark, rows, near, **options):
     neighbors = spark.createDataFrame([x for a, b, s in near for x in ((a, b, s), (b, a, s))], "item long, neighbor long, similarity double")
-    return stories.build_stories(spark.createDataFrame(rows, ITEM), neighbors, **LEXICONS, **options).toPandas().set_index("article_id").story_id.to_dict()
+    return grouping.build_stories(spark.createDataFrame(rows, ITEM), neighbors, **LEXICONS, **options).toPandas().set_index("article_id").story_id.to_dict()
 
 
 def test_grouping(spark):
@@ -245,18 +245,10 @@ def test_grouping_by_the_union_of_a_story(spark):
     rows = [(1, 30, ["a1", "a2", "x1", "x2"], ["t"], [], False), (2, 20, ["b1", "b2", "x1", "x2"], ["t"], [], False), (3, 10, ["a1", "a2", "b1", "b2", "z1", "z2", "z3"], [], [], False)]
     lexicons = {**LEXICONS, "anchor_stop": ["a1", "a2", "b1", "b2"]}
     neighbors = spark.createDataFrame([(a, b, 0.2) for a, b in ((1, 2), (2, 1), (2, 3), (3, 2))], "item long, neighbor long, similarity double")
-    got = stories.build_stories(spark.createDataFrame(rows, ITEM), neighbors, **lexicons).toPandas().set_index("article_id").story_id.to_dict()
+    got = grouping.build_stories(spark.createDataFrame(rows, ITEM), neighbors, **lexicons).toPandas().set_index("article_id").story_id.to_dict()
     assert got == {1: 1, 2: 1, 3: 1}
 
 
-def test_large_components_are_cut_and_joined_again(spark):
-    rows = [(i, 100 - i, [f"w{i // 20}a", f"w{i // 20}b", f"w{i // 20}c", f"w{i // 20}d", f"own{i}"], [], [], False) for i in range(60)]
-    near = [(i, i + 1, 0.3) for i in range(59)]
-    whole = grouped(spark, rows, near)
-    assert whole == {i: i // 20 * 20 for i in range(60)}
-    assert grouped(spark, rows, near, max_component=7, rounds=8) == whole
-
-
 def test_neighbors(spark):
     import numpy as np
 
