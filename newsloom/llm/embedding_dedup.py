@@ -16,8 +16,9 @@ never link; a null id neither links nor is kept; equal rows count as different v
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ PER_FILTER = 200
 RECALL = 0.995
 ROTATIONS = 32
 SIMULATED = 2000
+#: Filters of a vector beyond which codes are not refined; a recall under ``RECALL`` is then stated by a warning and by ``CodeShape.reached``.
+MOST_FILTERS = 2000
 #: Vectors of a filter that are verified against one another at a time.
 BLOCK = 1024
 #: Sums of block scores that are looked at at a time, and pairs that a task holds before it puts out the distinct ones.
@@ -63,12 +66,13 @@ class ProductCode:
 
 @dataclass(frozen=True)
 class CodeShape:
-    """What the codes are drawn from, so that tasks draw the same: they are not sent."""
+    """What the codes are drawn from, so that tasks draw the same: they are not sent. ``reached`` is the simulated recall at the threshold."""
 
     dims: int
     words: int
     height: float
     rotations: int = ROTATIONS
+    reached: float = 1.0
 
     def codes(self) -> list[ProductCode]:
         """Independent codes of two blocks each: a vector whose weight lies badly for one rotation lies well for another."""
@@ -114,8 +118,11 @@ def product_codes(n: int, dims: int, cosine: float = COSINE, per_filter: int = P
         codes = shape.codes()
         (ru, fu), (rv, fv) = decode(codes, u), decode(codes, v)
         met = len(np.unique(np.intersect1d((ru << 48) + fu, (rv << 48) + fv) >> 48)) / SIMULATED
-        if met >= recall or expected > 2000:
-            return shape
+        if met >= recall:
+            return replace(shape, reached=met)
+        if expected > MOST_FILTERS:
+            warnings.warn(f"{dims} dimensions: pairs at cosine {cosine} share a filter with probability {met:.4f}, under {recall}", stacklevel=2)
+            return replace(shape, reached=met)
         expected *= 1.2
         if dims < 16:  # blocks of few dimensions have few directions: widen the caps as well
             p = min(0.5, 1.5 * p)
@@ -124,7 +131,8 @@ def product_codes(n: int, dims: int, cosine: float = COSINE, per_filter: int = P
 def _units(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Double-precision unit vectors of a list column whose lists are equally long, and the plain vectors."""
     x = lists.flatten().to_numpy().astype(np.float64).reshape(len(lists), -1)
-    return x / np.linalg.norm(x, axis=1, keepdims=True), x
+    scaled = x / np.abs(x).max(1, initial=0, keepdims=True)  # squares of huge and tiny components stay finite and above zero
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True), x
 
 
 def _decode(shape: CodeShape):
@@ -211,7 +219,7 @@ def near_duplicates(embeddings: DataFrame, id_col: str = "vec_id", vector_col: s
     """One row per vector: id, n_links, component_id, kept."""
     v = F.col(vector_col).cast("array<double>")
     fine = F.coalesce(
-        F.col(id_col).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e300)) & F.exists(v, lambda x: x != 0), F.lit(False)
+        F.col(id_col).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False)
     )
     prints = {"h1": F.when(fine, F.xxhash64(vector_col)), "h2": F.when(fine, F.xxhash64(F.lit("second"), F.col(vector_col)))}  # together 128 bits
     rows = embeddings.select(F.col(id_col).alias("_id"), *(c.alias(n) for n, c in prints.items()), F.when(fine, F.col(vector_col)).alias("v"))
