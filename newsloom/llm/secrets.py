@@ -11,7 +11,7 @@ fixed size; the tokens that it leaves are reported as ``random``, unless they me
 tests and a threshold of their own; tokens under ``SHORTEST`` characters have no power and are left
 alone, and so are tokens without a digit, which words glued together would imitate.
 
-Defined cases: a null text reads as empty, with no spans; equal rows get equal results; very long tokens are tested whole; an
+Defined cases: a null text reads as empty, with no spans; equal rows get equal results; very long tokens are tested whole, and texts of very many matches in time that grows with them; an
 empty table gives no rows; extra columns are ignored.
 """
 
@@ -36,6 +36,8 @@ MISS_RATE = 0.01
 _FENCE, _OTHER = "\ue000", "\ue001"
 _SPAN = "array<struct<start: int, end: int, value: string>>"
 _BINS = 400
+#: Pieces of a text whose positions are summed together; even, so that a block's second piece is a match.
+BLOCK_PIECES = 512
 #: Characters of the encodings in order.
 ALPHABET = {
     "hex": "0123456789abcdef",
@@ -47,22 +49,43 @@ ALPHABET = {
 
 
 def spans_of(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> of the leftmost non-overlapping matches, in code points."""
+    """array<struct<start, end, value>> of the leftmost non-overlapping matches, in code points.
+
+    Every second piece between fences is a match. Lengths are summed in blocks of pieces, then over the blocks, so an array that grows is copied within a block only."""
     safe = F.when(F.instr(text, _FENCE) > 0, F.translate(text, _FENCE, _OTHER)).otherwise(text)
-    parts = F.split(F.regexp_replace(safe, pattern, f"{_FENCE}$0{_FENCE}"), _FENCE, -1)
-    found = F.aggregate(
-        parts,
-        F.expr(f"named_struct('pos', 0, 'k', 0, 'out', CAST(array() AS {_SPAN}))"),
-        lambda a, p: F.struct(
-            (a["pos"] + F.length(p)).alias("pos"),
-            (a["k"] + 1).alias("k"),
-            F.when(a["k"] % 2 == 1, F.concat(a["out"], F.array(F.struct(a["pos"].alias("start"), (a["pos"] + F.length(p)).alias("end"), p.alias("value"))))).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
+    pieces = F.split(F.regexp_replace(safe, pattern, f"{_FENCE}$0{_FENCE}"), _FENCE, -1)
+
+    def inside(block: Column) -> Column:
+        return F.aggregate(
+            block,
+            F.expr(f"named_struct('pos', 0, 'k', 0, 'out', CAST(array() AS {_SPAN}))"),
+            lambda a, p: F.struct(
+                (a["pos"] + F.length(p)).alias("pos"),
+                (a["k"] + 1).alias("k"),
+                F.when(a["k"] % 2 == 1, F.concat(a["out"], F.array(F.struct(a["pos"].alias("start"), (a["pos"] + F.length(p)).alias("end"), p.alias("value"))))).otherwise(a["out"]).alias("out"),
+            ),
+        )
+
+    def joined(blocks: Column) -> Column:
+        starts = F.aggregate(
+            blocks,
+            F.expr("named_struct('pos', 0, 'out', CAST(array() AS array<int>))"),
+            lambda a, b: F.struct((a["pos"] + b["pos"]).alias("pos"), F.concat(a["out"], F.array(a["pos"])).alias("out")),
+            lambda a: a["out"],
+        )
+        moved = lambda b, at: F.transform(b["out"], lambda s: F.struct((s["start"] + at).alias("start"), (s["end"] + at).alias("end"), s["value"].alias("value")))
+        return F.flatten(F.zip_with(blocks, starts, moved))
+
+    cut = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK_PIECES).cast("int")), lambda b: F.slice(p, b * BLOCK_PIECES + 1, BLOCK_PIECES))
+    found = _bound(_bound(pieces, cut), lambda blocks: _bound(F.transform(blocks, inside), joined))
     return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(F.expr(f"CAST(array() AS {_SPAN})"))
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _upper_tail(z: Column) -> Column:
     """P(Z > z) of the standard normal distribution, to about 1e-7."""
     t = 1 / (1 + 0.2316419 * F.abs(z))
