@@ -7,8 +7,8 @@ are read in pieces, each member is inflated incrementally, its header is framed
 Content-Length, and the digests of block and payload are verified.
 
 Defined cases: null html is an empty payload, a null url an empty target; payloads under ``LEAST_REVISITED`` bytes are always responses; of rows
-with equal payload and the same smallest id each is a response; repeated rows of an id share its record id; a null id is written as empty, is never the original, and
-has a record id of its own; ids may be of any type with an order; an empty table gives no rows; a record that is cut short or fails a digest raises.
+with equal payload and the same smallest id each is a response; repeated rows of an id share its record id; a null id is left out of its record, is never the original, and
+has a record id of its own; ids may be of any type with an order, and as text hold any character: headers have them percent-encoded; an empty table gives no rows; a record that is cut short or fails a digest raises.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pandas as pd
 import pyarrow.fs as pafs
@@ -30,6 +31,8 @@ ROLL_BYTES = 64 << 20
 PIECE = 256 << 10
 #: Most reading tasks; with more archives a task reads several, one after another.
 READERS = 4096
+#: Payloads that repeat, digest and id of each, that are sent to all writers, which then read pages where they lie; with more, pages meet them by digest.
+SMALL_REPEATED = 100_000
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 4122
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2024-01-01T00:00:00Z"
@@ -46,10 +49,12 @@ def _record(page_id: str | None, url: str, payload: bytes, digest: str, original
     head = [
         "WARC/1.1", f"WARC-Type: {'response' if original is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {_DATE}",
         f"WARC-Target-URI: {url}", "Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: sha256:{digest}",
-        f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", f"X-Page-ID: {page_id or ''}",
+        f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
     ]
+    if page_id is not None:
+        head.append(f"X-Page-ID: {quote(page_id, safe='')}")
     if original is not None:
-        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {record_id(original)}", f"X-Refers-To-Page-ID: {original}"]
+        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {record_id(original)}", f"X-Refers-To-Page-ID: {quote(original, safe='')}"]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -131,6 +136,10 @@ def parse_record(data: bytes) -> dict:
 _READ = "id string, url string, record_id string, record_type string, payload_digest string, payload_bytes long, refers_to string, refers_to_record string"
 
 
+def _plain(value: str | None) -> str | None:
+    return None if value is None else unquote(value)
+
+
 def _reader(folder: str, payload: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, _ = pafs.FileSystem.from_uri(folder)
@@ -142,7 +151,7 @@ def _reader(folder: str, payload: bool):
                     for data in _members(stream):
                         r = parse_record(data)
                         f = r["fields"]
-                        rows.append((f["x-page-id"], f["warc-target-uri"], f["warc-record-id"], f["warc-type"], f["warc-payload-digest"].removeprefix("sha256:"), r["payload_bytes"], f.get("x-refers-to-page-id"), f.get("warc-refers-to"), *([r["payload"]] if payload else [])))
+                        rows.append((_plain(f.get("x-page-id")), f["warc-target-uri"], f["warc-record-id"], f["warc-type"], f["warc-payload-digest"].removeprefix("sha256:"), r["payload_bytes"], _plain(f.get("x-refers-to-page-id")), f.get("warc-refers-to"), *([r["payload"]] if payload else [])))
                         held += len(r["payload"]) if payload else 200
                         if held > 8 << 20:
                             yield pd.DataFrame(rows, columns=columns)
@@ -159,6 +168,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.sha2(F.encode(html, "UTF-8"), 256).alias("digest"))
     long_enough = F.octet_length("html") >= LEAST_REVISITED
     first = rows.where(long_enough).groupBy("digest").agg(F.min("_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    first = store.durable(first, "repeated")
+    if first.limit(SMALL_REPEATED + 1).count() <= SMALL_REPEATED:
+        first = F.broadcast(first)
     placed = rows.join(first, "digest", "left").select(
         F.col("_id").cast("string").alias("id"), "url", "html", "digest",
         F.when(long_enough & (F.col("_id").isNull() | (F.col("first") != F.col("_id"))), F.col("first")).cast("string").alias("original"),
@@ -177,7 +189,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = store.table(spark, sf_dir, "pages")
     folder = store.new_path(spark, "warc")
     found = read_archives(write_archives(pages, folder), folder)
-    return found.select(F.nullif("id", F.lit("")).cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+    return found.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
 OP7_SQL = """
