@@ -123,14 +123,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fit on a bounded sample of the labelled documents."""
     marked = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where("_label IN (0, 1) AND _id IS NOT NULL")
     chosen = marked.orderBy(F.xxhash64(F.col("_id").cast("string")), "_id", "_label").limit(sample)  # a bounded top-k
-    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256).alias("_print")).join(F.broadcast(chosen), "_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = features(batch.column("_text"))
-            yield pa.RecordBatch.from_arrays([batch.column("_id").cast(pa.string()), batch.column("_label"), pa.array(list(x), pa.list_(pa.float64()))], ["_id", "_label", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id").cast(pa.string()), batch.column("_label"), batch.column("_print"), pa.array(list(x), pa.list_(pa.float64()))], ["_id", "_label", "_print", "x"])
 
-    rows = found.mapInArrow(run, "_id string, _label int, x array<double>").dropDuplicates(["_id", "_label"]).toPandas().sort_values(["_id", "_label"])
+    rows = found.mapInArrow(run, "_id string, _label int, _print string, x array<double>")
+    rows = rows.groupBy("_id", "_label").agg(F.min_by("x", "_print").alias("x")).toPandas().sort_values(["_id", "_label"])
     x = np.array(rows.x.tolist()).reshape(len(rows), len(FEATURES))
     return fit_ranking(x, rows._label.to_numpy())
 
