@@ -420,8 +420,8 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     key = [f"{store.RESERVED}id", f"{store.RESERVED}pick"]
     found = store.durable(_placed(docs, id_col, text_col, similarity), "found").where("_id IS NOT NULL AND class IS NOT NULL")
     rows = found.groupBy("comp", "_id", "class", "pick").agg(F.count("*").alias("copies"))
-    first = rows.groupBy("comp").agg(F.min(F.struct("_id", "class", "pick")).alias("first"))
-    judged = rows.join(first, "comp").withColumn("stays", F.struct("_id", "class", "pick") == F.col("first"))
+    first = rows.groupBy("comp").agg(F.min(F.struct("_id", "pick", "class")).alias("first"))
+    judged = rows.join(first, "comp").withColumn("stays", F.struct("_id", "pick", "class") == F.col("first"))
     judged = store.durable(judged.select(F.col("_id").alias(key[0]), F.col("pick").alias(key[1]), "stays", "copies"), "judged")
     keyed = docs.withColumns({key[0]: F.col(id_col), key[1]: _pick(id_col, text_col)})
     rest = keyed.join(judged.where("NOT stays").select(*key), key, "left_anti")
