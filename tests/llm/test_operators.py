@@ -4,6 +4,7 @@ import hashlib
 import importlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -32,6 +33,20 @@ def test_sql(spark, small, name):
     assert_same(registry.queries()[name](spark, small).toPandas(), connection(small).sql(registry.oracle_sql()[name]).df())
 
 
+def test_huge_and_tiny_vectors_have_directions(spark):
+    """Finite components of any size count; products and squares of them neither overflow nor vanish."""
+    rows = [(1, [1e301, 1.0]), (2, [1e301, 1.0]), (3, [1e-200, 0.0]), (4, [2e-200, 0.0]), (5, [0.0, 1.7e308]), (6, [1.0, 1e9]), (7, [5e-324, -5e-324]), (8, [float("inf"), 1.0])]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (1, 5), 6: (1, 5), 7: (0, 7), 8: (0, 8)}
+
+
+def test_codes_say_what_recall_they_reach(monkeypatch):
+    assert embedding_dedup.product_codes(300, 8).reached >= embedding_dedup.RECALL
+    monkeypatch.setattr(embedding_dedup, "MOST_FILTERS", 1)
+    with pytest.warns(UserWarning, match="share a filter"):
+        assert embedding_dedup.product_codes(300, 8, cosine=0.05).reached < embedding_dedup.RECALL
+
+
 # --- sets of shingles ---------------------------------------------------------------------------
 
 
@@ -391,6 +406,16 @@ def test_secrets(spark):
     assert Counter((r.doc_id, len(r.base), len(r.extra)) for r in same) == Counter({(1, 0, 1): 2, (None, 0, 1): 1, (None, 1, 0): 1})
 
 
+def test_texts_of_very_many_matches(spark):
+    """200,000 matches in one text, and numbers of matches around the size of a block."""
+    began = time.time()
+    for n in (255, 256, 257, 511, 512, 513, 200_000):
+        text = "é token=abcdef" * n
+        (row,) = secrets.scan_secrets(documents(spark, [(1, text)])).collect()
+        assert [(s.start, s.end) for s in row.base] == [(14 * k + 2, 14 * k + 14) for k in range(n)] or n and [tuple(s) for s in row.base] == brute_spans(text)
+    assert time.time() - began < 240
+
+
 def test_random_spans_find_planted_keys(spark):
     """Recall and precision of the random spans on keys among words: see the README for what the digit and the length cost."""
     draw = random.Random(12)
@@ -526,12 +551,22 @@ def test_warc(spark, tmp_path):
     assert warc.read_archives(empty, folder).count() == 0
     odd = spark.createDataFrame([(None, "a", big), (None, "b", big), (5, "c", big), (5, "c", big), (9, "d", big), (None, "e", None)], "page_id long, url string, html string")
     rows = warc.read_archives(warc.write_archives(odd, f"{folder}2"), f"{folder}2").collect()
-    assert Counter((r.id, r.record_type, r.refers_to) for r in rows) == Counter({("", "revisit", "5"): 2, ("5", "response", None): 2, ("9", "revisit", "5"): 1, ("", "response", None): 1})
+    assert Counter((r.id, r.record_type, r.refers_to) for r in rows) == Counter({(None, "revisit", "5"): 2, ("5", "response", None): 2, ("9", "revisit", "5"): 1, (None, "response", None): 1})
     assert len({r.record_id for r in rows}) == 5
     named = spark.createDataFrame([("x", "a", big), ("b", "b", big)], "page_id string, url string, html string")
     assert {(r.id, r.refers_to) for r in warc.read_archives(warc.write_archives(named, f"{folder}3"), f"{folder}3").collect()} == {("b", None), ("x", "b")}
 
 
+def test_warc_keeps_ids_of_any_text(spark, tmp_path):
+    big = "<p>" + "y" * 200
+    ids = [" a", "", "b\r\nX-Page-ID: c", "100%", "%20", "é\U0001f600", None]
+    pages = spark.createDataFrame([(i, "http://a/", big) for i in ids], "page_id string, url string, html string")
+    folder = f"file://{tmp_path}/ids"
+    got = warc.read_archives(warc.write_archives(pages, folder), folder).collect()
+    assert Counter(r.id for r in got) == Counter(ids)
+    assert {r.id: (r.record_type, r.refers_to) for r in got} == {i: ("revisit", "") if i != "" else ("response", None) for i in ids}
+
+
 def test_warc_damage():
     record = warc._record("1", "u", b"payload" * 50, hashlib.sha256(b"payload" * 50).hexdigest(), None)
 
