@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import text as X
 from newsloom.operators import enrich as G
 from newsloom.operators import grouping as GR
+from newsloom.operators import neighbors as N
 from newsloom.operators import similarity as E
 from newsloom.operators import stories as ST
 from newsloom.plans import adapters as A
@@ -128,6 +129,11 @@ def e6_lsh(spark: SparkSession, d: str) -> DataFrame:
     return E.lsh_neighbors(A.table(spark, d, "embeddings"), "vec_id", "embedding")
 
 
+@query("e6_ivf_neighbors")
+def e6_ivf(spark: SparkSession, d: str) -> DataFrame:
+    return N.ivf_neighbors(A.table(spark, d, "embeddings"), "vec_id", "embedding")
+
+
 @query("e7_neighbor_recall", f"""
 WITH {NEIGHBORS_SQL}, m AS (SELECT vec_id, label, count(*) OVER (PARTITION BY label) - 1 AS mates FROM embeddings),
 h AS (SELECT item, count(*) AS hits FROM top JOIN embeddings x ON x.vec_id = item JOIN embeddings y ON y.vec_id = neighbor AND x.label = y.label WHERE rank <= 6 GROUP BY item)
@@ -208,6 +214,35 @@ def f4(spark: SparkSession, d: str) -> DataFrame:
     return ST.recluster_changes(old, rows.where("l_quantity > 2").groupBy("item").agg(F.max(now).alias("story")))
 
 
+def _regrouped(spark: SparkSession, d: str, hours: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The articles of the last hours grouped again; what is stored groups them by text, five to a story. Minutes are article numbers here, so an hour is sixty articles."""
+    rows = grouping_items(spark, d)
+    stored = rows.select("article_id", F.expr("article_id div 5 * 5").alias("story_id"))
+    since = (rows.agg(F.max("minute")).first()[0] or 0) - 60 * hours
+    return GR.recluster_window(rows, stored, _neighbor_graph(spark, d), since, broad=P.BROAD, low_signal=LOW, anchor_stop=ANCHOR_STOP, generic_tags=["generic"])
+
+
+@query("f4_recluster_24h")
+def f4_day(spark: SparkSession, d: str) -> DataFrame:
+    _, changes, moved = _regrouped(spark, d, 24)
+    return changes.unionByName(moved.agg(F.count("*").alias("stories")).select(F.lit("moved").alias("kind"), "stories"))
+
+
+@query("f4_recluster_72h")
+def f4_days(spark: SparkSession, d: str) -> DataFrame:
+    return _regrouped(spark, d, 72)[2]
+
+
+@query("f4_moved_items", """
+WITH o AS (SELECT l_orderkey * 10 + l_linenumber AS article_id, max(l_suppkey) AS was FROM lineitem WHERE l_quantity < 48 GROUP BY 1), n AS (SELECT l_orderkey * 10 + l_linenumber AS article_id, max(CASE WHEN l_quantity > 49 THEN -l_suppkey WHEN l_suppkey % 9 = 0 THEN l_suppkey - 1 ELSE l_suppkey + 1000000 END) AS now FROM lineitem WHERE l_quantity > 2 GROUP BY 1),
+b AS (SELECT *, count(*) OVER (PARTITION BY was, now) AS c, count(*) OVER (PARTITION BY was) AS x, count(*) OVER (PARTITION BY now) AS y FROM o JOIN n USING (article_id)) SELECT article_id, was, now FROM b WHERE c < x OR c < y""")
+def f4_moved(spark: SparkSession, d: str) -> DataFrame:
+    rows = A.table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("article_id"), "l_suppkey", "l_quantity")
+    now = F.when(F.col("l_quantity") > 49, -F.col("l_suppkey")).when(F.col("l_suppkey") % 9 == 0, F.col("l_suppkey") - 1).otherwise(F.col("l_suppkey") + 1000000)
+    old = rows.where("l_quantity < 48").groupBy("article_id").agg(F.max("l_suppkey").alias("story_id"))
+    return GR.moved_items(old, rows.where("l_quantity > 2").groupBy("article_id").agg(F.max(now).alias("story_id")))
+
+
 @query("f5_low_confidence_queue", f"WITH {PAIR_SQL} SELECT a, b, round(score, 6) AS score FROM sc WHERE abs(score - 12) <= 2")
 def f5(spark: SparkSession, d: str) -> DataFrame:
     return ST.low_confidence(scored_pairs(spark, d), 2.0).select("a", "b", F.round("score", 6).alias("score"))
@@ -342,13 +377,16 @@ def f17(spark: SparkSession, d: str) -> DataFrame:
 def _neighbor_graph(spark: SparkSession, d: str) -> DataFrame:
     """Six neighbours of every article by the hashed embedding of its text."""
     vectors = A.articles(spark, d).select("article_id", E.hash_embedding(embedded()).alias("vector"))
-    return E.lsh_neighbors(vectors, "article_id", "vector")
+    return N.ivf_neighbors(vectors, "article_id", "vector")
+
+
+def grouping_items(spark: SparkSession, d: str) -> DataFrame:
+    return P.articles(spark, d).select("article_id", "minute", "tokens", "tags", F.filter("tokens", lambda x: F.startswith(x, F.lit("thea"))).alias("entities"), (F.col("context") >= 2).alias("contextual"))
 
 
 @query("f3_build_stories")
 def f3(spark: SparkSession, d: str) -> DataFrame:
-    rows = P.articles(spark, d).select("article_id", "minute", "tokens", "tags", F.filter("tokens", lambda x: F.startswith(x, F.lit("thea"))).alias("entities"), (F.col("context") >= 2).alias("contextual"))
-    return GR.build_stories(rows, _neighbor_graph(spark, d), broad=P.BROAD, low_signal=LOW, anchor_stop=ANCHOR_STOP, generic_tags=["generic"])
+    return GR.build_stories(grouping_items(spark, d), _neighbor_graph(spark, d), broad=P.BROAD, low_signal=LOW, anchor_stop=ANCHOR_STOP, generic_tags=["generic"])
 
 
 _NEEDY = """nd0 AS (SELECT story_id, count(DISTINCT outlet) = 1 AS t1, count(*) FILTER (is_substantive) <= 1 AS t2, count(*) FILTER (signal >= 3 AND NOT stub) <= 1 AS t3, count(*) FILTER (NOT is_open) > 0 AND count(*) FILTER (is_open AND is_substantive) = 0 AS t4 FROM item GROUP BY story_id),

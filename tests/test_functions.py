@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import pages as PG
 from newsloom.functions import text as X
 from newsloom.functions import urls as U
-from newsloom.operators import audits, briefs, enrich, grouping, outlets, revisions, similarity, stories, tables
+from newsloom.operators import audits, briefs, enrich, grouping, neighbors, outlets, revisions, similarity, stories, tables
 
 
 def one(spark, expression, **columns):
@@ -221,8 +221,8 @@ LEXICONS = {"broad": ["news"], "low_signal": ["price"], "anchor_stop": ["know",
 
 
 def grouped(spark, rows, near, **options):
-    neighbors = spark.createDataFrame([x for a, b, s in near for x in ((a, b, s), (b, a, s))], "item long, neighbor long, similarity double")
-    return grouping.build_stories(spark.createDataFrame(rows, ITEM), neighbors, **LEXICONS, **options).toPandas().set_index("article_id").story_id.to_dict()
+    links = spark.createDataFrame([x for a, b, s in near for x in ((a, b, s), (b, a, s))], "item long, neighbor long, similarity double")
+    return grouping.build_stories(spark.createDataFrame(rows, ITEM), links, **LEXICONS, **options).toPandas().set_index("article_id").story_id.to_dict()
 
 
 def test_grouping(spark):
@@ -244,8 +244,8 @@ def test_grouping_by_the_union_of_a_story(spark):
     """The third shares two words with each of the others, four with both, which alone admits it."""
     rows = [(1, 30, ["a1", "a2", "x1", "x2"], ["t"], [], False), (2, 20, ["b1", "b2", "x1", "x2"], ["t"], [], False), (3, 10, ["a1", "a2", "b1", "b2", "z1", "z2", "z3"], [], [], False)]
     lexicons = {**LEXICONS, "anchor_stop": ["a1", "a2", "b1", "b2"]}
-    neighbors = spark.createDataFrame([(a, b, 0.2) for a, b in ((1, 2), (2, 1), (2, 3), (3, 2))], "item long, neighbor long, similarity double")
-    got = grouping.build_stories(spark.createDataFrame(rows, ITEM), neighbors, **lexicons).toPandas().set_index("article_id").story_id.to_dict()
+    links = spark.createDataFrame([(a, b, 0.2) for a, b in ((1, 2), (2, 1), (2, 3), (3, 2))], "item long, neighbor long, similarity double")
+    got = grouping.build_stories(spark.createDataFrame(rows, ITEM), links, **lexicons).toPandas().set_index("article_id").story_id.to_dict()
     assert got == {1: 1, 2: 1, 3: 1}
 
 
@@ -266,6 +266,28 @@ def test_neighbors(spark):
     assert np.mean([len(found.get(i, set()) & set(want[i])) / len(want[i]) for i in range(600)]) >= 0.9
 
 
+def test_neighbors_by_lists(spark, monkeypatch):
+    import numpy as np
+
+    draw = np.random.default_rng(5)
+    centres = draw.normal(size=(60, 24))
+    x = np.repeat(centres, 10, axis=0) + 0.7 * draw.normal(size=(600, 24))
+    x[100:140] = x[100]  # forty copies
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, [0.0] * 24), (901, None)], "k long, v array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.round(unit @ unit.T, 5)
+    np.fill_diagonal(near, -2)
+    want = {i: {j for j in np.lexsort((np.arange(600), -near[i]))[:6] if near[i, j] >= 0.1} for i in range(600)}
+    for options, least in (({}, 0.99), ({"size": 40, "probes": 8}, 0.9), ({"size": 20, "top": 6, "probes": 15}, 0.9)):
+        rows = neighbors.ivf_neighbors(vectors, "k", "v", **options).toPandas()
+        found = rows.groupby("item").neighbor.apply(set).to_dict()
+        assert np.mean([len(found.get(i, set()) & want[i]) / len(want[i]) for i in range(600)]) >= least, options
+        assert not rows.duplicated(["item", "neighbor"]).any() and (rows["item"] != rows.neighbor).all() and rows.groupby("item")["rank"].apply(list).map(lambda r: sorted(r) == list(range(1, len(r) + 1))).all()
+        assert np.allclose(rows.similarity, near[rows["item"], rows.neighbor], atol=2e-5)
+        assert found[120] == set(range(100, 106)) and found[100] == set(range(101, 107))
+    assert neighbors.ivf_neighbors(vectors.where("k >= 900"), "k", "v").count() == 0
+
+
 def test_near_pairs_are_all_found(spark):
     import random
 
