@@ -80,6 +80,42 @@ def syndication_variants(pairs: DataFrame, articles: DataFrame, key: str, outlet
     return pairs.join(side("a"), "a").join(side("b"), "b").where("outlet_a <> outlet_b")
 
 
+#: Words of a passage that is hashed, and passages of which one is kept: copies of 15 words always share a fingerprint.
+GRAM, WINDOW = 8, 8
+
+
+def body_fingerprints(articles: DataFrame, key: str, text: Column, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+    """(key, print, place): winnowed fingerprints of a text: of any ``window`` runs of ``gram`` words in sequence the least digest (the last of equals), where it starts first.
+
+    Words are lower-case runs of ASCII letters or digits; a text of fewer than ``gram`` words has none."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), 1)
+    rows = articles.select(key, words.alias("words")).where(F.size("words") >= gram)
+    starts = F.sequence(F.lit(1), F.size("words") - (gram - 1))
+    digest = lambda i: F.struct(F.substring(F.md5(F.array_join(F.slice("words", i, gram), " ").cast("binary")), 1, 16).alias("print"), (-i).alias("back"))
+    rows = rows.select(key, F.transform(starts, digest).alias("grams"))
+    least = F.transform(F.sequence(F.lit(1), F.greatest(F.size("grams") - (window - 1), F.lit(1))), lambda i: F.array_min(F.slice("grams", i, window)))
+    kept = rows.select(key, F.explode(F.array_distinct(least)).alias("x"))
+    return kept.groupBy(key, "x.print").agg((-F.max("x.back") - 1).alias("place"))
+
+
+def syndicated_bodies(articles: DataFrame, key: str, outlet: str, text: Column, least: float = 0.5) -> DataFrame:
+    """(article, other, shared, share, share_of_other, place, place_in_other): articles whose bodies hold a good part of an earlier article of another outlet, or lie in it, under whatever headline.
+
+    Share: of the article's fingerprints, those that the other has; ``least`` of either side's relate them. Others are the articles of the smallest key that hold one of the fingerprints, so a passage that
+    very many hold relates each to the first alone and rows grow with the fingerprints, not with pairs; what later copies share is reached through the first. place, place_in_other: the first words of what is shared."""
+    prints = durable(body_fingerprints(articles, key, text).withColumnRenamed(key, "article"), "fingerprints")
+    sizes = prints.groupBy("article").agg(F.count("*").alias("n"))
+    first = prints.groupBy("print").agg(F.min("article").alias("other"), F.count("*").alias("held")).where("held > 1").drop("held")
+    pairs = prints.join(first, "print").where("article <> other").select("article", "other").distinct()
+    sides = articles.select(F.col(key).alias("article"), F.col(outlet).alias("outlet"))
+    pairs = pairs.join(sides, "article").join(sides.toDF("other", "outlet_other"), "other").where("outlet <> outlet_other").select("article", "other")
+    both = pairs.join(prints, "article").join(prints.toDF("other", "print", "place_in_other"), ["other", "print"])
+    found = both.groupBy("article", "other").agg(F.count("*").alias("shared"), F.min("place").alias("place"), F.min("place_in_other").alias("place_in_other"))
+    found = found.join(sizes, "article").join(sizes.toDF("other", "n_other"), "other")
+    shares = found.select("article", "other", "shared", (F.col("shared") / F.col("n")).alias("share"), (F.col("shared") / F.col("n_other")).alias("share_of_other"), "place", "place_in_other")
+    return shares.where(F.greatest("share", "share_of_other") >= least)
+
+
 def embedding_text(title: Column, summary: Column, body: Column, entities: Column, tags: Column) -> Column:
     """The text that is embedded: distinct title, summary and first three useful sentences, entities, sorted tags; [a-z0-9 -] only."""
     sentences = F.filter(marked_sentences(squeeze(body)), lambda s: F.length(F.trim(s)) >= 50)

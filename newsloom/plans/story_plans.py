@@ -119,6 +119,26 @@ def neighbors(spark: SparkSession, d: str) -> DataFrame:
     return E.top_k_neighbors(v, "vec_id", "embedding", v.where("vec_id % 50 = 0"))
 
 
+_PRINTS = f"""wd AS (SELECT article_id, outlet, regexp_extract_all(lower(coalesce(body_text, '')), '[a-z0-9]+') AS w FROM articles),
+gm AS (SELECT article_id, outlet, i - 1 AS p, len(w) - {E.GRAM - 1} AS n, substr(md5(array_to_string(w[i:i + {E.GRAM - 1}], ' ')), 1, 16) AS h FROM (SELECT *, unnest(generate_series(1, len(w) - {E.GRAM - 1})) AS i FROM wd WHERE len(w) >= {E.GRAM})),
+wn AS (SELECT article_id, outlet, p, n, min(h || lpad((1000000000 - p)::VARCHAR, 10, '0')) OVER (PARTITION BY article_id ORDER BY p ROWS BETWEEN CURRENT ROW AND {E.WINDOW - 1} FOLLOWING) AS m FROM gm),
+fp AS (SELECT article_id, any_value(outlet) AS outlet, substr(m, 1, 16) AS h, min(1000000000 - substr(m, 17)::BIGINT) AS p FROM wn WHERE p <= greatest(n - {E.WINDOW}, 0) GROUP BY article_id, substr(m, 1, 16))"""
+
+
+@query("e2_body_fingerprints", f"WITH {A.ARTICLES_SQL}, {_PRINTS} SELECT article_id, h AS print, p AS place FROM fp")
+def e2_prints(spark: SparkSession, d: str) -> DataFrame:
+    return E.body_fingerprints(A.articles(spark, d), "article_id", F.col("body_text"))
+
+
+@query("e2_syndicated_bodies", f"""
+WITH {A.ARTICLES_SQL}, {_PRINTS}, sz AS (SELECT article_id, count(*) AS n FROM fp GROUP BY 1), fo AS (SELECT h, min(article_id) AS other FROM fp GROUP BY 1 HAVING count(*) > 1),
+pr AS (SELECT DISTINCT x.article_id AS article, other FROM fp x JOIN fo USING (h) JOIN articles y ON y.article_id = other WHERE x.article_id <> other AND x.outlet <> y.outlet),
+sh AS (SELECT article, other, count(*) AS shared, min(a.p) AS place, min(b.p) AS place_in_other FROM pr JOIN fp a ON a.article_id = article JOIN fp b ON b.article_id = other AND b.h = a.h GROUP BY 1, 2)
+SELECT article, other, shared, shared / x.n AS share, shared / y.n AS share_of_other, place, place_in_other FROM sh JOIN sz x ON x.article_id = article JOIN sz y ON y.article_id = other WHERE greatest(shared / x.n, shared / y.n) >= 0.5""")
+def e2_bodies(spark: SparkSession, d: str) -> DataFrame:
+    return E.syndicated_bodies(A.articles(spark, d), "article_id", "outlet", F.col("body_text"))
+
+
 @query("e6_top_k_neighbors", f"WITH {NEIGHBORS_SQL} SELECT item, neighbor, similarity, rank FROM top WHERE rank <= 6")
 def e6(spark: SparkSession, d: str) -> DataFrame:
     return neighbors(spark, d)

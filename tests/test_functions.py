@@ -303,6 +303,22 @@ def test_near_pairs_are_all_found(spark):
     assert got == {(i, j) for i, s in sets for j, t in sets if i < j and len(s & t) / max(len(s), len(t)) >= 0.6}
 
 
+def test_syndicated_bodies(spark):
+    """A report under another headline, a report inside a longer text, a shared line, and one house's own copy."""
+    line = lambda s, n: " ".join(f"{s}{i}" for i in range(n))
+    report, other = line("r", 60), line("o", 300)
+    rows = [(1, "a", report), (2, "b", "Another headline. " + report.upper()), (3, "c", f"{line('x', 100)} {report} {line('y', 40)}"), (4, "a", report), (5, "d", f"{other} {line('r', 12)}"), (6, "e", None), (7, "f", "short text"), (8, "g", line("r", 7)), (9, "h", f"{line('o', 200)}")]
+    found = {(r.article, r.other): r for r in similarity.syndicated_bodies(spark.createDataFrame(rows, "k long, outlet string, t string"), "k", "outlet", F.col("t")).collect()}
+    assert set(found) == {(2, 1), (3, 1), (3, 2), (9, 5)}  # three meets two where the report begins in both behind other words
+    assert found[2, 1].share_of_other == 1 and found[2, 1].place - found[2, 1].place_in_other == 2 and found[2, 1].share > 0.9
+    assert found[3, 1].share_of_other > 0.8 and 0.2 < found[3, 1].share < 0.4 and found[3, 1].place - found[3, 1].place_in_other == 100
+    assert found[9, 5].share > 0.9 and found[9, 5].share_of_other > 0.5
+    prints = {(r.k, r["print"]) for r in similarity.body_fingerprints(spark.createDataFrame(rows, "k long, outlet string, t string"), "k", F.col("t")).collect()}
+    pieces = spark.createDataFrame([(i, " ".join(report.split()[i : i + 15])) for i in range(46)], "k long, t string")  # any copy of fifteen words shares a fingerprint
+    shared = {r.k for r in similarity.body_fingerprints(pieces, "k", F.col("t")).collect() if (1, r["print"]) in prints}
+    assert shared == set(range(46))
+
+
 def test_hash_vector():
     v = similarity.hash_vector("one two three")
     assert abs((v * v).sum() - 1) < 1e-9 and not similarity.hash_vector("").any()
