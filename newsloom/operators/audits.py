@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import overlap_tokens, settled
+from newsloom.operators.running import last_before, sum_before
+from newsloom.sources.scratch import Tables, durable
 
+#: States of a section.
+GROUNDING = ["grounded", "weak", "ungrounded", "missing", "scaffold"]
 MINIMUMS = {"paragraph": 0.16, "why": 0.11, "agree": 0.14, "differ": 0.13, "watch": 0.10}
 
 
@@ -118,9 +124,21 @@ def review_sample(evaluations: DataFrame, limit: int = 12, controls: int = 2) ->
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def quality_report(evaluations: DataFrame) -> DataFrame:
+def quality_report(evaluations: DataFrame, missing: str = "no_brief") -> DataFrame:
+    """One row: briefs by class, those with the flag ``missing``, those ready for a full brief, mean risk and mean grounding ratio (of those that have one).
+
+    evaluations: priority, risk, flags, ready, ratio."""
+    c = F.col
     return evaluations.agg(
-        F.count("*").alias("briefs"), *(F.count_if(F.col("priority") == p).alias(p) for p in ("critical", "warning", "pass")), F.round(F.avg("risk"), 6).alias("mean_risk")
+        F.count("*").alias("briefs"), *(F.count_if(c("priority") == p).alias(p) for p in ("critical", "warning", "pass")), F.count_if(F.array_contains("flags", missing)).alias("missing"), F.count_if("ready").alias("ready"),
+        F.round(F.avg("risk"), 6).alias("mean_risk"), F.round(F.avg("ratio"), 6).alias("mean_grounding"),
+    )
+
+
+def grounding_totals(sections: DataFrame) -> DataFrame:
+    """One row: briefs, and sections by status over all of them. sections: brief_id, status."""
+    return sections.agg(
+        F.countDistinct("brief_id").alias("briefs"), *(F.count_if(F.col("status") == x).alias(x) for x in GROUNDING), F.count_if(~F.col("status").isin(GROUNDING)).alias("other")
     )
 
 
@@ -142,10 +160,11 @@ def source_health(sources: DataFrame, discoveries: DataFrame, articles: DataFram
 
 
 def health_snapshot(fetches: DataFrame, seconds: int = 3600) -> DataFrame:
-    """(source_id, start, fetches, success_rate, parse_rate, degraded): per source and window of time."""
+    """(source_id, start, fetches, success_rate, parse_rate, freshness_lag, degraded): per source and window of time; the lag is the time from the last fetch that brought something to the window's end."""
     f = fetches.withColumn("start", F.floor(F.col("second") / seconds) * seconds)
     rate = lambda test: F.round(100 * F.count_if(test) / F.count("*"), 2)
-    out = f.groupBy("source_id", "start").agg(F.count("*").alias("fetches"), rate(F.col("status") != "failed").alias("success_rate"), rate(F.col("status").isin("fetched", "normalized")).alias("parse_rate"))
+    out = f.groupBy("source_id", "start").agg(F.count("*").alias("fetches"), rate(F.col("status") != "failed").alias("success_rate"), rate(F.col("status").isin("fetched", "normalized")).alias("parse_rate"), F.max(F.when(F.col("status").isin("fetched", "normalized"), F.col("second"))).alias("_newest"))
+    out = out.withColumn("freshness_lag", F.col("start") + seconds - F.col("_newest")).drop("_newest")
     return out.withColumn("degraded", F.when(F.col("success_rate") < 50, "failing").when(F.col("parse_rate") < 25, "unparsed"))
 
 
@@ -160,12 +179,50 @@ def feed_state(polls: DataFrame, degraded_at: int = 3) -> DataFrame:
     return out.withColumn("degraded", F.col("failures") >= degraded_at)
 
 
+#: Seconds of a bucket of running state.
+DAY = 86400
+
+
 def consecutive_failures(polls: DataFrame) -> DataFrame:
-    """polls with run: failures in a row up to this poll (rows unbounded to current)."""
-    w = Window.partitionBy("feed_id").orderBy("second", "event_id")
-    group = F.sum(F.when(F.col("ok"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    p = polls.withColumn("_g", group)
-    return p.withColumn("run", F.sum(F.when(F.col("ok"), 0).otherwise(1)).over(Window.partitionBy("feed_id", "_g").orderBy("second", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_g")
+    """polls with run: failures in a row up to this poll.
+
+    Failures so far, less those at the last success; both are carried from day to day, so a busy feed is not one task."""
+    order = ["second", "event_id"]
+    p = polls.withColumn("_day", F.floor(F.col("second") / DAY))
+    failed = F.when(F.coalesce("ok", F.lit(False)), 0).otherwise(1)
+    p = sum_before(p, ["feed_id"], "_day", order, failed, "_failed").withColumn("_failed", F.col("_failed") + failed)
+    p = last_before(p, ["feed_id"], "_day", order, F.when(F.col("ok"), F.col("_failed")), "_at_success")
+    return p.withColumn("run", F.when(F.col("ok"), 0).otherwise(F.col("_failed") - F.coalesce("_at_success", F.lit(0))).cast("long")).drop("_day", "_failed", "_at_success")
+
+
+#: Bins of one pass over the values in the search for a median.
+BINS = 4096
+
+
+def exact_median(frame: DataFrame, value: str) -> float | None:
+    """The median of a numeric column, the mean of the middle two where there are two; None without values. Nulls do not count.
+
+    Each pass counts the values of a range in ``BINS`` bins; the bin that holds the middle one is the range of the next, until its values are equal. What the driver and any task hold is the bins."""
+    values = frame.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    whole = values.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    if not whole.n:
+        return None
+
+    def ranked(rank: int) -> float:
+        lo, hi = whole.lo, whole.hi
+        while lo < hi:
+            step = (hi / BINS - lo / BINS) or math.ulp(hi)
+            place = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(step)), F.lit(BINS - 1))
+            bins = values.where(F.col("v").between(lo, hi)).groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+            for b in sorted(bins, key=lambda r: r.bin):
+                if rank < b.n:
+                    lo, hi = b.lo, b.hi
+                    break
+                rank -= b.n
+        return lo
+
+    low = ranked((whole.n - 1) // 2)
+    return low if whole.n % 2 else (low + ranked(whole.n // 2)) / 2
 
 
 def ops_metrics(articles: DataFrame, known_outlets: DataFrame, corrections: DataFrame) -> DataFrame:
@@ -173,24 +230,40 @@ def ops_metrics(articles: DataFrame, known_outlets: DataFrame, corrections: Data
 
     corrections: article_id, hours since the report (negative ones, which precede it, do not count)."""
     j = articles.join(known_outlets.select("outlet", "refreshed_days"), "outlet", "left")
-    late = corrections.where("hours >= 0").agg(F.median("hours").alias("correction_hours"), F.count("*").alias("corrections")).withColumn("_one", F.lit(1))
-    return j.agg(F.median(F.col("story_minute") - F.col("minute")).alias("median_latency"), F.round(F.avg(F.col("refreshed_days").isNotNull().cast("double")), 6).alias("outlet_hit_rate"), F.round(F.avg("refreshed_days"), 6).alias("mean_refresh_days")).withColumn("_one", F.lit(1)).join(late, "_one").drop("_one")
+    with Tables(articles.sparkSession) as tables:
+        waits = tables.write(articles.select((F.col("story_minute") - F.col("minute")).cast("double").alias("v")), "waits")
+        late = tables.write(corrections.where("hours >= 0").select(F.col("hours").cast("double").alias("v")), "late")
+        wait, hours, n = exact_median(waits, "v"), exact_median(late, "v"), late.count()
+    found = lambda x: F.lit(x).cast("double")
+    return j.agg(F.round(F.avg(F.col("refreshed_days").isNotNull().cast("double")), 6).alias("outlet_hit_rate"), F.round(F.avg("refreshed_days"), 6).alias("mean_refresh_days")).select(
+        found(wait).alias("median_latency"), "outlet_hit_rate", "mean_refresh_days", found(hours).alias("correction_hours"), F.lit(n).cast("long").alias("corrections")
+    )
 
 
 def reader_sessions(events: DataFrame, gap: int = 1800) -> DataFrame:
-    """(user_id, start, end, events, views, evidence): sessions split where a reader pauses longer than ``gap`` seconds."""
-    w = Window.partitionBy("user_id").orderBy("second", "event_id")
-    fresh = F.when(F.col("second") - F.lag("second").over(w) <= gap, 0).otherwise(1)
-    s = events.withColumn("_n", fresh).withColumn("_s", F.sum("_n").over(w))
+    """(user_id, start, end, events, views, evidence): sessions split where a reader pauses longer than ``gap`` seconds. Pauses and numbers of sessions are carried from day to day."""
+    order = ["second", "event_id"]
+    e = last_before(events.withColumn("_day", F.floor(F.col("second") / DAY)), ["user_id"], "_day", order, F.col("second"), "_last")
+    fresh = F.when(F.col("second") - F.col("_last") <= gap, 0).otherwise(1)
+    s = sum_before(e, ["user_id"], "_day", order, fresh, "_s").withColumn("_s", F.col("_s") + fresh)
     return s.groupBy("user_id", "_s").agg(F.min("second").alias("start"), F.max("second").alias("end"), F.count("*").alias("events"), F.count_if(F.col("action") == "view").alias("views"), F.count_if(F.col("action") == "evidence").alias("evidence")).drop("_s")
 
 
+#: What a reader does with a context that was of use.
+USEFUL = ["save", "follow", "compare", "useful"]
+
+
 def reader_metrics(events: DataFrame, gap: int = 1800) -> DataFrame:
-    """One row: sessions, share of viewing sessions that opened evidence, share of readers who follow and came back, rapid re-opens."""
+    """One row: sessions, share of viewing sessions that opened evidence, share of those that opened evidence and then saved, followed or compared (context usefulness), share of readers who
+    follow and came back, rapid re-opens."""
     s = reader_sessions(events, gap)
-    w = Window.partitionBy("user_id").orderBy("start")
-    s = s.withColumn("_pause", F.col("start") - F.lag("end").over(w))
-    one = s.agg(F.count("*").alias("sessions"), F.round(F.try_divide(F.count_if((F.col("views") > 0) & (F.col("evidence") > 0)), F.count_if(F.col("views") > 0)), 6).alias("follow_through"), F.count_if(F.col("_pause") <= 2 * gap).alias("rapid_reopens"))
+    useful = events.where(F.col("action").isin(USEFUL)).select("user_id", F.col("second").alias("_u"))
+    opened = durable(s.where("evidence > 0").select("user_id", "start", "end"), "opened")
+    used = opened.join(useful, "user_id", "left").groupBy("user_id", "start").agg(F.coalesce(F.bool_or(F.col("_u").between(F.col("start"), F.col("end"))), F.lit(False)).alias("_used"))
+    share = used.agg(F.round(F.avg(F.col("_used").cast("double")), 6).alias("context_usefulness"))
+    paused = last_before(s.withColumn("_day", F.floor(F.col("start") / DAY)), ["user_id"], "_day", ["start"], F.col("end"), "_before").withColumn("_pause", F.col("start") - F.col("_before"))
+    one = paused.agg(F.count("*").alias("sessions"), F.round(F.try_divide(F.count_if((F.col("views") > 0) & (F.col("evidence") > 0)), F.count_if(F.col("views") > 0)), 6).alias("follow_through"), F.count_if(F.col("_pause") <= 2 * gap).alias("rapid_reopens"))
     first = events.where("action = 'follow'").groupBy("user_id").agg(F.min("second").alias("_f"))
     back = first.join(events.groupBy("user_id").agg(F.max("second").alias("_l")), "user_id").agg(F.round(F.avg((F.col("_l") > F.col("_f") + gap).cast("double")), 6).alias("return_rate"))
-    return one.withColumn("_one", F.lit(1)).join(back.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    keyed = [x.withColumn("_one", F.lit(1)) for x in (one, share, back)]
+    return keyed[0].join(keyed[1], "_one").join(keyed[2], "_one").drop("_one")

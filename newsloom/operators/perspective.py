@@ -28,12 +28,25 @@ def perspective_status(members: DataFrame) -> DataFrame:
 
 
 def lens_status(members: DataFrame) -> DataFrame:
-    """(story_id, lens, n, status): candidates of each of the four lenses; none is unavailable, under two is limited."""
-    test = {"balanced": F.col("is_substantive"), "evidence": F.col("is_substantive") & F.col("has_body"), "local": F.col("scope") == "local", "international": F.col("scope") == "international"}
-    counts = members.groupBy("story_id").agg(*(F.count_if(t).alias(lens) for lens, t in test.items()), F.countDistinct("framing_group").alias("_framings"))
-    rows = counts.select("story_id", "_framings", F.explode(F.array(*(F.struct(F.lit(x).alias("lens"), F.col(x).alias("n")) for x in LENSES))).alias("x")).select("story_id", "_framings", "x.*")
-    narrow = (F.col("lens") == "balanced") & (F.col("_framings") < 2)
-    return rows.select("story_id", "lens", "n", F.when(F.col("n") == 0, "unavailable").when((F.col("n") < 2) | narrow, "limited").otherwise("ready").alias("status"))
+    """(story_id, lens, n, status, reason): how many candidates each of the four lenses has, and whether it can be offered.
+
+    Only substantive articles are candidates. Balanced, local and international need two of them from two outlets; balanced then two framings or two families among all articles, local a local
+    one, international an international one and another to hold it against. Evidence is limited with one. reason: few_outlets, one_lane, nothing_read, thin, no_local, no_international, no_counterpart, or ready."""
+    c, sub = F.col, F.col("is_substantive")
+    counts = members.groupBy("story_id").agg(
+        F.count_if(sub).alias("_s"), F.countDistinct(F.when(sub, c("outlet"))).alias("_outlets"), F.countDistinct("framing_group").alias("_framings"), F.countDistinct("family").alias("_families"),
+        F.count_if(sub & (c("scope") == "local")).alias("_local"), F.count_if(sub & (c("scope") == "international")).alias("_far"),
+    )
+    narrow = (c("_s") < 2) | (c("_outlets") < 2)
+    state = {
+        "balanced": ("_s", F.when(narrow, "few_outlets").when((c("_framings") < 2) & (c("_families") < 2), "one_lane")),
+        "evidence": ("_s", F.when(c("_s") == 0, "nothing_read").when(c("_s") == 1, "thin")),
+        "local": ("_local", F.when(narrow, "few_outlets").when(c("_local") == 0, "no_local")),
+        "international": ("_far", F.when(narrow, "few_outlets").when(c("_far") == 0, "no_international").when(c("_far") == c("_s"), "no_counterpart")),
+    }
+    rows = counts.select("story_id", F.explode(F.array(*(F.struct(F.lit(x).alias("lens"), c(n).alias("n"), F.coalesce(why, F.lit("ready")).alias("reason")) for x, (n, why) in state.items()))).alias("x")).select("story_id", "x.*")
+    status = F.when(c("reason") == "ready", "ready").when(c("reason") == "thin", "limited").otherwise("unavailable")
+    return rows.select("story_id", "lens", F.when(status == "unavailable", 0).otherwise(c("n")).alias("n"), status.alias("status"), "reason")
 
 
 #: How many reads a lens offers.
@@ -41,7 +54,7 @@ LENS_SIZES = {"balanced": 3, "evidence": 3, "local": 2, "international": 2}
 
 
 def lens_items(members: DataFrame, sizes: dict[str, int] = LENS_SIZES, codes: dict[str, str] | None = None) -> DataFrame:
-    """(story_id, lens, article_id, rank, score, codes): the best candidates of each lens.
+    """(story_id, lens, article_id, rank, score, codes): the best candidates of each lens that ``lens_status`` offers.
 
     The balanced lens passes over repeats of its first framing until another one has come; so it is its best read, the best of another framing, and the next after that one.
 
@@ -58,7 +71,9 @@ def lens_items(members: DataFrame, sizes: dict[str, int] = LENS_SIZES, codes: di
         "balanced": 10 / c("_nf") + 8 / c("_ns"), "evidence": when(c("is_substantive"), 10.0) + when(c("family").isin("wire", "public_media"), 6.0),
         "local": when(c("scope") == "local", 14.0, -4.0) + when(c("local_words"), 8.0), "international": when(c("scope") == "international", 14.0, -4.0) + when(c("family").isin("wire", "national"), 2.0),
     }
-    rows = m.select("*", F.explode(F.array(*(F.struct(F.lit(x).alias("lens"), F.round(base + t, 6).alias("score")) for x, t in terms.items()))).alias("x")).select("story_id", "article_id", "rank_in_story", "framing_group", "x.*")
+    rows = m.select("*", F.explode(F.array(*(F.struct(F.lit(x).alias("lens"), F.round(base + t, 6).alias("score")) for x, t in terms.items()))).alias("x")).select("story_id", "article_id", "rank_in_story", "framing_group", "is_substantive", "scope", "x.*")
+    offered = lens_status(members).where("status <> 'unavailable'").select("story_id", "lens")
+    rows = rows.where(c("is_substantive") & (~c("lens").isin("local", "international") | (c("scope") == c("lens")))).join(offered, ["story_id", "lens"], "left_semi").drop("is_substantive", "scope")
     order = [F.desc("score"), F.asc("rank_in_story"), F.asc("article_id")]
     rows = rows.withColumn("_r", F.row_number().over(w("lens").orderBy(*order))).withColumn("_f", F.first("framing_group").over(w("lens").orderBy(*order)))
     rows = rows.withColumn("_second", F.min(F.when(c("framing_group") != c("_f"), c("_r"))).over(w("lens")))
@@ -95,10 +110,22 @@ def context_only_articles(packs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def perspective_readiness(stories: DataFrame, current: DataFrame, packs: DataFrame) -> DataFrame:
-    """One row a story: whether a revision stands, and items per lens; zero where nothing is stored."""
+    """One row a story: whether a revision stands, items per lens (zero where nothing is stored), the lenses that have any, whether all have, and whether the revision asks for a review.
+
+    current: story_id, review (reasons)."""
     lenses = packs.groupBy("story_id").agg(*(F.count_if(F.col("lens") == x).alias(x) for x in LENSES))
-    rows = stories.select("story_id").join(current.select("story_id", F.lit(True).alias("has_current")), "story_id", "left").join(lenses, "story_id", "left")
-    return rows.fillna(0, LENSES).withColumn("has_current", F.coalesce("has_current", F.lit(False)))
+    stored = current.select("story_id", F.lit(True).alias("has_current"), (F.size("review") > 0).alias("review_required"))
+    rows = stories.select("story_id").join(stored, "story_id", "left").join(lenses, "story_id", "left").fillna(0, LENSES).fillna(False, ["has_current", "review_required"])
+    available = F.filter(F.array(*(F.when(F.col(x) > 0, x) for x in LENSES)), lambda x: x.isNotNull())
+    return rows.withColumn("available", available).withColumn("all_lenses", F.size("available") == len(LENSES))
+
+
+def readiness_totals(rows: DataFrame) -> DataFrame:
+    """One row of totals over perspective_readiness: stories, those with a revision, with a review to do, with all lenses, with evidence alone."""
+    return rows.agg(
+        F.count("*").alias("stories"), F.count_if("has_current").alias("with_current"), F.count_if("review_required").alias("with_review"), F.count_if("all_lenses").alias("with_all_lenses"),
+        F.count_if(F.array_join("available", ",") == "evidence").alias("evidence_only"),
+    )
 
 
 def build_perspective(members: DataFrame, product: str) -> DataFrame:

@@ -79,12 +79,12 @@ tx1 AS (SELECT *, list_filter(sents[3:], lambda x: length(x) >= 50 AND len(list_
 tx2 AS (SELECT *, CASE WHEN len(sents) > 0 THEN array_to_string(sents[1:2], ' ') ELSE {P._SQUEEZE.format('summary')} END AS snippet, coalesce(nr[1], '') AS detail FROM tx1),
 tx3 AS (SELECT *, coalesce(list_filter(lo, lambda x: x <> detail)[1], '') AS followup FROM tx2),
 sr0 AS (SELECT *, {tokens} FROM tx3),
-sr AS (SELECT *, {', '.join(columns)}, {P._title_like('headline', 'snippet')} AS title_like, extraction_quality = 'article_body' AS has_body, access_signal = 'open' AS is_open, {like('detail')} AND {like('followup')} AND {like('snippet')} AS repeats_title FROM sr0),
+sr AS (SELECT *, {', '.join(columns)}, {P._title_like('headline', 'snippet')} AS title_like, extraction_quality = 'article_body' AS has_body, access_signal = 'open' AS is_open, (extraction_quality = 'article_body' AND length(trim(coalesce(body_text, ''))) >= 180 AND article_id % 60 <> 7) OR length(snippet) >= 110 AS substantive, {like('detail')} AND {like('followup')} AND {like('snippet')} AS repeats_title FROM sr0 WHERE {P._SQUEEZE.format('snippet')} <> ''),
 sf0 AS (SELECT *, {near('story', 0.28)} OR {near('detail', 0.24)} OR {near('followup', 0.24)} AS aligned, {near('headline', 0.24)} OR {near('detail_headline', 0.22)} OR {near('followup_headline', 0.22)} AS shell, context >= 2 AS contextual FROM sr),
 sf1 AS (SELECT * EXCLUDE (stub), repeats_title AND (title_like OR (contextual AND NOT has_body AND detail = '' AND followup = '')) AS stub FROM sf0),
 sf2 AS (SELECT *, aligned AND shell AND NOT contextual AND NOT blocked AND NOT stub AS ready FROM sf1),
 sf AS (SELECT *, round(3.0 * story_alignment + 1.8 * headline_alignment + 1.4 * detail_alignment + followup_alignment + CASE WHEN ready THEN 0.4 ELSE 0.0 END + CASE WHEN repeats_title THEN 0.0 ELSE 0.18 END + CASE WHEN shell THEN 0.18 ELSE -0.28 END + CASE WHEN has_body THEN 0.24 ELSE 0.0 END
-  + CASE WHEN is_open THEN 0.06 ELSE 0.0 END - 0.34 * context - CASE WHEN blocked THEN 0.16 ELSE 0.0 END - CASE WHEN stub THEN 0.48 ELSE 0.0 END - CASE WHEN title_like THEN 0.12 ELSE 0.0 END - 0.01 * article_id, 6) + 0.0 AS priority FROM sf2)"""
+  + CASE WHEN is_open THEN 0.06 ELSE 0.0 END - 0.34 * context - CASE WHEN blocked THEN 0.16 ELSE 0.0 END - CASE WHEN stub THEN 0.48 ELSE 0.0 END - CASE WHEN title_like THEN 0.12 ELSE 0.0 END - 0.01 * article_id, 6) + 0.0 AS priority FROM sf2), sfs AS (SELECT * FROM sf WHERE substantive)"""
 
 
 ROWS_SQL = _sources_sql()
@@ -95,9 +95,9 @@ def texts(spark: SparkSession, d: str) -> DataFrame:
     found = F.transform(marked_sentences(squeeze(F.col("body_text"))), lambda x: F.trim(x))
     items = S.story_items(spark, d).withColumns({
         "rank": F.col("article_id"), "framing": F.element_at(F.array(*map(F.lit, ("left", "center", "right"))), (F.col("article_id") % 3 + 1).cast("int")), "focus": F.concat(F.lit("f"), (F.col("article_id") % 4).cast("string")),
-        "blocked": F.col("article_id") % 50 == 0, "sentences": F.filter(found, lambda x: F.length(x) >= 40),
+        "blocked": F.col("article_id") % 50 == 0, "body_length": F.length(F.trim(F.coalesce("body_text", F.lit("")))), "mismatch": F.col("article_id") % 60 == 7, "sentences": F.filter(found, lambda x: F.length(x) >= 40),
     })
-    keep = ["story_id", "article_id", "rank", "outlet", "framing", "headline", "summary", "extraction_quality", "access_signal", "context", "blocked", "focus", "sentences"]
+    keep = ["story_id", "article_id", "rank", "outlet", "framing", "headline", "summary", "extraction_quality", "access_signal", "context", "blocked", "body_length", "mismatch", "focus", "sentences"]
     return H.source_texts(items.select(*keep))
 
 
@@ -115,9 +115,9 @@ def rows(spark: SparkSession, d: str) -> DataFrame:
 _SIX = ", ".join(f"{n}_alignment, {n}_overlap" for n in H.ALIGNMENTS)
 
 
-@query("h1_source_rows", f"WITH {ROWS_SQL} SELECT story_id, article_id, snippet, detail, followup, {_SIX}, title_like, has_body, is_open FROM sr")
+@query("h1_source_rows", f"WITH {ROWS_SQL} SELECT story_id, article_id, snippet, detail, followup, {_SIX}, title_like, has_body, is_open, substantive FROM sr")
 def h1(spark: SparkSession, d: str) -> DataFrame:
-    return rows(spark, d).select("story_id", "article_id", "snippet", "detail", "followup", *(f"{n}_{k}" for n in H.ALIGNMENTS for k in ("alignment", "overlap")), "title_like", "has_body", "is_open")
+    return rows(spark, d).select("story_id", "article_id", "snippet", "detail", "followup", *(f"{n}_{k}" for n in H.ALIGNMENTS for k in ("alignment", "overlap")), "title_like", "has_body", "is_open", "substantive")
 
 
 @query("h2_source_flags", f"WITH {ROWS_SQL} SELECT story_id, article_id, aligned, shell AS shell_aligned, contextual, stub, ready AS comparison_ready, priority FROM sf")
@@ -167,14 +167,14 @@ def h5(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("h6_brief_readiness", f"""
-WITH {ROWS_SQL}, {_DIV}, c AS (SELECT story_id, count(DISTINCT outlet) AS substantive, count(DISTINCT outlet) FILTER (has_body) AS bodies, count(DISTINCT outlet) FILTER (aligned) AS aligned, count(DISTINCT outlet) FILTER (shell) AS shell_aligned, count(DISTINCT outlet) FILTER (shell AND has_body) AS shell_bodies,
-  count(DISTINCT outlet) FILTER (ready) AS comparison, count(DISTINCT outlet) FILTER (shell AND stub) AS stub_shells, count(DISTINCT outlet) FILTER (contextual) AS contextual, count(DISTINCT outlet) FILTER (is_open) AS open FROM sf GROUP BY 1),
-r AS (SELECT c.*, substantive >= 2 AND comparison >= 2 AND shell_bodies >= 1 AND divergent_id IS NOT NULL AS ready FROM c JOIN di USING (story_id)), b AS (SELECT DISTINCT o_orderkey AS story_id, CASE WHEN o_orderstatus = 'O' THEN 'full' ELSE 'early' END AS brief_status, o_orderpriority AS brief_tag FROM orders)
+WITH {ROWS_SQL}, {_DIV.replace('FROM sf', 'FROM sfs')}, c AS (SELECT story_id, count(*) FILTER (substantive) AS sources, count(DISTINCT outlet) FILTER (substantive) AS substantive, count(DISTINCT outlet) FILTER (substantive AND has_body) AS bodies, count(DISTINCT outlet) FILTER (substantive AND aligned) AS aligned, count(DISTINCT outlet) FILTER (substantive AND shell) AS shell_aligned, count(DISTINCT outlet) FILTER (substantive AND shell AND has_body) AS shell_bodies,
+  count(DISTINCT outlet) FILTER (substantive AND ready) AS comparison, count(DISTINCT outlet) FILTER (substantive AND ready) AS core, count(DISTINCT outlet) FILTER (substantive AND shell AND stub) AS stub_shells, count(DISTINCT outlet) FILTER (substantive AND contextual) AS contextual, count(DISTINCT outlet) FILTER (substantive AND is_open) AS open, count(DISTINCT outlet) FILTER (substantive AND access_signal = 'likely_paywalled') AS paywalled FROM sf GROUP BY 1),
+r AS (SELECT c.*, substantive >= 2 AND comparison >= 2 AND shell_bodies >= 1 AND core >= 2 AND divergent_id IS NOT NULL AS ready FROM c JOIN di USING (story_id)), b AS (SELECT DISTINCT o_orderkey AS story_id, CASE WHEN o_orderstatus = 'O' THEN 'full' ELSE 'early' END AS brief_status, o_orderpriority AS brief_tag FROM orders)
 SELECT r.*, brief_status, brief_tag, CASE WHEN brief_status IS NULL THEN CASE WHEN ready THEN 'missing_full' ELSE 'missing_early' END WHEN ready AND brief_status <> 'full' THEN 'upgrade' WHEN NOT ready AND brief_status = 'full' THEN 'overstated' ELSE 'in_step' END AS state FROM r LEFT JOIN b USING (story_id)""")
 def h6(spark: SparkSession, d: str) -> DataFrame:
     r = rows(spark, d)
     stored = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("story_id"), F.when(F.col("o_orderstatus") == "O", "full").otherwise("early").alias("brief_status"), F.col("o_orderpriority").alias("brief_tag"))
-    return H.brief_readiness(r, H.divergent_source(r), stored)
+    return H.brief_readiness(r, H.divergent_source(r.where("substantive")), stored)
 
 
 @query("h7_open_alternate", f"""

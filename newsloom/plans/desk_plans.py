@@ -122,19 +122,23 @@ def i2(spark: SparkSession, d: str) -> DataFrame:
     return I.perspective_status(coverage(spark, d))
 
 
-@query("i3_lens_status", f"""
-WITH {_COVER}, c AS (SELECT story_id, count(DISTINCT framing_group) AS f, count(*) FILTER (is_substantive) AS b, count(*) FILTER (is_substantive AND has_body) AS e, count(*) FILTER (scope = 'local') AS l, count(*) FILTER (scope = 'international') AS i FROM cv GROUP BY story_id),
-r AS (SELECT story_id, f, 'balanced' AS lens, b AS n FROM c UNION ALL SELECT story_id, f, 'evidence', e FROM c UNION ALL SELECT story_id, f, 'local', l FROM c UNION ALL SELECT story_id, f, 'international', i FROM c)
-SELECT story_id, lens, n, CASE WHEN n = 0 THEN 'unavailable' WHEN n < 2 OR (lens = 'balanced' AND f < 2) THEN 'limited' ELSE 'ready' END AS status FROM r""")
+#: The lenses by their rules: the pool of each, then why it can't be offered.
+_STATUS = f"""{_COVER}, l0 AS (SELECT story_id, count(*) FILTER (is_substantive) AS s, count(DISTINCT outlet) FILTER (is_substantive) AS so, count(DISTINCT framing_group) AS f, count(DISTINCT family) AS m, count(*) FILTER (is_substantive AND scope = 'local') AS l, count(*) FILTER (is_substantive AND scope = 'international') AS i, count(*) FILTER (is_substantive AND scope <> 'international') AS o FROM cv GROUP BY 1),
+l1 AS (SELECT story_id, 'balanced' AS lens, s AS n, CASE WHEN s < 2 OR so < 2 THEN 'few_outlets' WHEN f < 2 AND m < 2 THEN 'one_lane' ELSE 'ready' END AS reason FROM l0 UNION ALL SELECT story_id, 'evidence', s, CASE WHEN s = 0 THEN 'nothing_read' WHEN s < 2 THEN 'thin' ELSE 'ready' END FROM l0
+  UNION ALL SELECT story_id, 'local', l, CASE WHEN s < 2 OR so < 2 THEN 'few_outlets' WHEN l = 0 THEN 'no_local' ELSE 'ready' END FROM l0 UNION ALL SELECT story_id, 'international', i, CASE WHEN s < 2 OR so < 2 THEN 'few_outlets' WHEN i = 0 THEN 'no_international' WHEN o = 0 THEN 'no_counterpart' ELSE 'ready' END FROM l0),
+ls AS (SELECT story_id, lens, CASE WHEN reason IN ('ready', 'thin') THEN n ELSE 0 END AS n, CASE reason WHEN 'ready' THEN 'ready' WHEN 'thin' THEN 'limited' ELSE 'unavailable' END AS status, reason FROM l1)"""
+
+
+@query("i3_lens_status", f"WITH {_STATUS} SELECT * FROM ls")
 def i3(spark: SparkSession, d: str) -> DataFrame:
     return I.lens_status(coverage(spark, d))
 
 
 _BASE = "CASE WHEN is_substantive THEN 14 ELSE 0 END + CASE access WHEN 'open' THEN 4 WHEN 'likely_paywalled' THEN -2 ELSE 0 END + CASE extraction_quality WHEN 'article_body' THEN 8 WHEN 'metadata_description' THEN 3 ELSE 0 END + least(body_length, 800) / 200"
-LENS_SQL = f"""{_COVER}, n AS (SELECT *, count(*) OVER (PARTITION BY story_id, framing_group) AS nf, count(*) OVER (PARTITION BY story_id, family) AS ns FROM cv),
+LENS_SQL = f"""{_STATUS}, n AS (SELECT *, count(*) OVER (PARTITION BY story_id, framing_group) AS nf, count(*) OVER (PARTITION BY story_id, family) AS ns FROM cv),
 t AS (SELECT *, 'balanced' AS lens, 10.0::DOUBLE / nf + 8.0::DOUBLE / ns AS x FROM n UNION ALL SELECT *, 'evidence', CASE WHEN is_substantive THEN 10 ELSE 0 END + CASE WHEN family IN ('wire', 'public_media') THEN 6 ELSE 0 END FROM n
   UNION ALL SELECT *, 'local', CASE WHEN scope = 'local' THEN 14 ELSE -4 END + CASE WHEN local_words THEN 8 ELSE 0 END FROM n UNION ALL SELECT *, 'international', CASE WHEN scope = 'international' THEN 14 ELSE -4 END + CASE WHEN family IN ('wire', 'national') THEN 2 ELSE 0 END FROM n),
-s AS (SELECT *, round({_BASE} + x, 6) AS score FROM t), r0 AS (SELECT *, row_number() OVER o AS r, first_value(framing_group) OVER o AS ff FROM s WINDOW o AS (PARTITION BY story_id, lens ORDER BY score DESC, rank_in_story, article_id)),
+s AS (SELECT t.*, round({_BASE} + x, 6) AS score FROM t JOIN ls USING (story_id, lens) WHERE ls.status <> 'unavailable' AND is_substantive AND (lens NOT IN ('local', 'international') OR scope = lens)), r0 AS (SELECT *, row_number() OVER o AS r, first_value(framing_group) OVER o AS ff FROM s WINDOW o AS (PARTITION BY story_id, lens ORDER BY score DESC, rank_in_story, article_id)),
 r AS (SELECT *, min(CASE WHEN framing_group <> ff THEN r END) OVER (PARTITION BY story_id, lens) AS sec FROM r0),
 li AS (SELECT story_id, lens, article_id, row_number() OVER (PARTITION BY story_id, lens ORDER BY score DESC, rank_in_story, article_id) AS rank, score FROM r WHERE NOT (lens = 'balanced' AND sec IS NOT NULL AND r > 1 AND r < sec) QUALIFY rank <= CASE WHEN lens IN ('balanced', 'evidence') THEN 3 ELSE 2 END)"""
 
@@ -150,13 +154,13 @@ _LISTED = "SELECT story_id, string_agg(label || ' ' || n, ', ' ORDER BY n DESC,
 @query("i5_build_perspective", f"""
 WITH {LENS_SQL}, c AS (SELECT story_id, count(*) AS articles, count(*) FILTER (is_substantive) AS s, count(DISTINCT outlet) FILTER (is_substantive) AS so, count(DISTINCT outlet) AS outlets, count(DISTINCT framing_group) AS f, count(*) FILTER (is_substantive AND has_body) AS e, count(*) FILTER (scope = 'local') AS l, count(*) FILTER (scope = 'international') AS i,
   string_agg(article_id::VARCHAR, ',' ORDER BY rank_in_story, article_id) AS snapshot FROM cv GROUP BY story_id), fl AS ({_LISTED.format('framing', 'framing_group')}), ml AS ({_LISTED.format('family', 'family')}), sl AS ({_LISTED.format('scope', 'scope')}),
-st AS (SELECT *, CASE WHEN s >= 2 AND so >= 2 THEN 'ready' ELSE 'early' END AS status, CASE WHEN s = 0 THEN 'unavailable' WHEN s < 2 OR f < 2 THEN 'limited' ELSE 'ready' END AS sb, CASE WHEN e = 0 THEN 'unavailable' WHEN e < 2 THEN 'limited' ELSE 'ready' END AS se,
-  CASE WHEN l = 0 THEN 'unavailable' WHEN l < 2 THEN 'limited' ELSE 'ready' END AS sc, CASE WHEN i = 0 THEN 'unavailable' WHEN i < 2 THEN 'limited' ELSE 'ready' END AS si FROM c),
+sw AS (SELECT story_id, max(status) FILTER (lens = 'balanced') AS sb, max(status) FILTER (lens = 'evidence') AS se, max(status) FILTER (lens = 'local') AS sc, max(status) FILTER (lens = 'international') AS si FROM ls GROUP BY 1),
+st AS (SELECT c.*, CASE WHEN s >= 2 AND so >= 2 THEN 'ready' ELSE 'early' END AS status, sb, se, sc, si FROM c JOIN sw USING (story_id)),
 n2 AS (SELECT story_id, count(*) FILTER (lens = 'balanced') AS nb, count(*) FILTER (lens = 'evidence') AS ne, count(*) FILTER (lens = 'local') AS nl, count(*) FILTER (lens = 'international') AS ni FROM li GROUP BY 1)
 SELECT story_id, status, CASE WHEN status = 'early' THEN 'The desk has few sources to compare yet, mostly ' || family2 || '; what shows is ' || framing1 || '.' ELSE 'The desk compares ' || outlets || ' outlets here: ' || framing1 || ' leads, ' || family2 || ' carry most of it.' END AS summary,
  CASE WHEN status = 'early' THEN 'Mostly read through ' || family2 || '.|Only ' || framing1 || ' shows clearly.|Another full report of a different kind would widen it.' ELSE s || ' full reports stand behind the same event.|Framings seen: ' || framing2 || '.|Seen as ' || scope2 || '.' END AS takeaways, framing, family, scope,
- 'balanced ' || sb || ' ' || nb || ', evidence ' || se || ' ' || ne || ', international ' || si || ' ' || ni || ', local ' || sc || ' ' || nl AS lenses,
- concat_ws(',', CASE WHEN status = 'ready' AND sb <> 'ready' THEN 'balanced_not_ready' END, CASE WHEN status = 'ready' AND se <> 'ready' THEN 'evidence_not_ready' END) AS review, snapshot, articles, s AS substantive FROM st JOIN fl USING (story_id) JOIN ml USING (story_id) JOIN sl USING (story_id) JOIN n2 USING (story_id)""")
+ 'balanced ' || sb || ' ' || coalesce(nb, 0) || ', evidence ' || se || ' ' || coalesce(ne, 0) || ', international ' || si || ' ' || coalesce(ni, 0) || ', local ' || sc || ' ' || coalesce(nl, 0) AS lenses,
+ concat_ws(',', CASE WHEN status = 'ready' AND sb <> 'ready' THEN 'balanced_not_ready' END, CASE WHEN status = 'ready' AND se <> 'ready' THEN 'evidence_not_ready' END, CASE WHEN status = 'ready' AND l > 0 AND sc = 'unavailable' THEN 'local_missing' END, CASE WHEN status = 'ready' AND i > 0 AND si = 'unavailable' THEN 'international_missing' END) AS review, snapshot, articles, s AS substantive FROM st JOIN fl USING (story_id) JOIN ml USING (story_id) JOIN sl USING (story_id) LEFT JOIN n2 USING (story_id)""")
 def i5(spark: SparkSession, d: str) -> DataFrame:
     p = I.build_perspective(coverage(spark, d), "The desk")
     listed = lambda name: F.array_join(F.transform(name, lambda x: F.concat_ws(" ", x["label"], x["n"].cast("string"))), ", ").alias(name)
@@ -165,13 +169,26 @@ def i5(spark: SparkSession, d: str) -> DataFrame:
     return p.select("story_id", "status", "summary", F.array_join("takeaways", "|").alias("takeaways"), *map(listed, ("framing", "family", "scope")), lenses, F.array_join("review", ",").alias("review"), ids, "articles", "substantive")
 
 
-@query("i6_perspective_readiness", f"""
-WITH {LENS_SQL}, p AS (SELECT story_id, count(*) FILTER (lens = 'balanced') AS balanced, count(*) FILTER (lens = 'evidence') AS evidence, count(*) FILTER (lens = 'local') AS "local", count(*) FILTER (lens = 'international') AS international FROM li WHERE story_id % 2 = 0 GROUP BY story_id)
-SELECT o_orderkey AS story_id, o_orderstatus = 'O' AS has_current, coalesce(balanced, 0) AS balanced, coalesce(evidence, 0) AS evidence, coalesce("local", 0) AS "local", coalesce(international, 0) AS international FROM orders LEFT JOIN p ON story_id = o_orderkey""")
-def i6(spark: SparkSession, d: str) -> DataFrame:
+_READY = f"""{LENS_SQL}, p AS (SELECT story_id, count(*) FILTER (lens = 'balanced') AS balanced, count(*) FILTER (lens = 'evidence') AS evidence, count(*) FILTER (lens = 'local') AS "local", count(*) FILTER (lens = 'international') AS international FROM li WHERE story_id % 2 = 0 GROUP BY story_id),
+re AS (SELECT o_orderkey AS story_id, o_orderstatus = 'O' AS has_current, o_orderstatus = 'O' AND o_orderkey % 4 = 0 AS review_required, coalesce(balanced, 0) AS balanced, coalesce(evidence, 0) AS evidence, coalesce("local", 0) AS "local", coalesce(international, 0) AS international FROM orders LEFT JOIN p ON story_id = o_orderkey),
+rx AS (SELECT *, concat_ws(',', CASE WHEN balanced > 0 THEN 'balanced' END, CASE WHEN evidence > 0 THEN 'evidence' END, CASE WHEN "local" > 0 THEN 'local' END, CASE WHEN international > 0 THEN 'international' END) AS available, balanced > 0 AND evidence > 0 AND "local" > 0 AND international > 0 AS all_lenses FROM re)"""
+
+
+def readiness(spark: SparkSession, d: str) -> DataFrame:
     stories = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("story_id"), "o_orderstatus")
+    review = F.when(F.col("story_id") % 4 == 0, F.array(F.lit("balanced_not_ready"))).otherwise(F.expr("CAST(array() AS array<string>)"))
     packs = I.lens_items(coverage(spark, d)).where("story_id % 2 = 0")
-    return I.perspective_readiness(stories, stories.where("o_orderstatus = 'O'"), packs).select("story_id", "has_current", *I.LENSES)
+    return I.perspective_readiness(stories, stories.where("o_orderstatus = 'O'").withColumn("review", review), packs)
+
+
+@query("i6_perspective_readiness", f"WITH {_READY} SELECT * FROM rx")
+def i6(spark: SparkSession, d: str) -> DataFrame:
+    return readiness(spark, d).select("story_id", "has_current", "review_required", *I.LENSES, F.array_join("available", ",").alias("available"), "all_lenses")
+
+
+@query("i6_readiness_totals", f"WITH {_READY} SELECT count(*) AS stories, count(*) FILTER (has_current) AS with_current, count(*) FILTER (review_required) AS with_review, count(*) FILTER (all_lenses) AS with_all_lenses, count(*) FILTER (available = 'evidence') AS evidence_only FROM rx")
+def i6_totals(spark: SparkSession, d: str) -> DataFrame:
+    return I.readiness_totals(readiness(spark, d))
 
 
 @query("i7_context_packs_basic", f"""
@@ -369,6 +386,11 @@ def m1(spark: SparkSession, d: str) -> DataFrame:
     return grounding(spark, d)
 
 
+@query("m2_grounding_totals", f"WITH {_SECT} SELECT count(DISTINCT brief_id) AS briefs, count(*) FILTER (status = 'grounded') AS grounded, count(*) FILTER (status = 'weak') AS weak, count(*) FILTER (status = 'ungrounded') AS ungrounded, count(*) FILTER (status = 'missing') AS missing, count(*) FILTER (status = 'scaffold') AS scaffold, 0 AS other FROM sg")
+def m2_totals(spark: SparkSession, d: str) -> DataFrame:
+    return M.grounding_totals(grounding(spark, d))
+
+
 @query("m2_grounding_report", f"WITH {_SECT} SELECT brief_id, count(*) AS sections, count(*) FILTER (status = 'grounded') AS grounded, round(count(*) FILTER (status = 'grounded') / nullif(count(*) FILTER (status IN ('grounded', 'weak', 'ungrounded')), 0), 6) AS ratio, coalesce(string_agg(section::VARCHAR, ',' ORDER BY section::VARCHAR) FILTER (status IN ('weak', 'ungrounded')), '') AS weak FROM sg GROUP BY brief_id")
 def m2(spark: SparkSession, d: str) -> DataFrame:
     return M.grounding_report(grounding(spark, d))
@@ -471,9 +493,9 @@ def m6(spark: SparkSession, d: str) -> DataFrame:
     return M.review_sample(evaluations(spark, d).withColumn("newest", F.col("brief_id"))).select("brief_id", "reason")
 
 
-@query("m7_quality_report", f"WITH {_EVAL} SELECT count(*) AS briefs, count(*) FILTER (priority = 'critical') AS critical, count(*) FILTER (priority = 'warning') AS warning, count(*) FILTER (priority = 'pass') AS pass, round(avg(risk), 6) AS mean_risk FROM ev")
+@query("m7_quality_report", f"WITH {_EVAL} SELECT count(*) AS briefs, count(*) FILTER (priority = 'critical') AS critical, count(*) FILTER (priority = 'warning') AS warning, count(*) FILTER (priority = 'pass') AS pass, count(*) FILTER (list_contains(fl, 'no_brief')) AS missing, count(*) FILTER (ready_now) AS ready, round(avg(risk), 6) AS mean_risk, round(avg(ratio), 6) AS mean_grounding FROM ev")
 def m7(spark: SparkSession, d: str) -> DataFrame:
-    return M.quality_report(evaluations(spark, d))
+    return M.quality_report(evaluations(spark, d).withColumn("ready", F.col("ready_now")))
 
 
 _SINCE = AS_OF - 3600 * 48 * 5
@@ -494,7 +516,7 @@ def m8(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("m9_health_snapshot", f"""
-WITH {A.FETCH_SQL}, w AS (SELECT source_id, second // 86400 * 86400 AS start, count(*) AS fetches, round(100.0::DOUBLE * count(*) FILTER (status <> 'failed') / count(*), 2) AS success_rate, round(100.0::DOUBLE * count(*) FILTER (status IN ('fetched', 'normalized')) / count(*), 2) AS parse_rate FROM fetches GROUP BY 1, 2)
+WITH {A.FETCH_SQL}, w AS (SELECT source_id, second // 86400 * 86400 AS start, count(*) AS fetches, round(100.0::DOUBLE * count(*) FILTER (status <> 'failed') / count(*), 2) AS success_rate, round(100.0::DOUBLE * count(*) FILTER (status IN ('fetched', 'normalized')) / count(*), 2) AS parse_rate, second // 86400 * 86400 + 86400 - max(second) FILTER (status IN ('fetched', 'normalized')) AS freshness_lag FROM fetches GROUP BY 1, 2)
 SELECT *, CASE WHEN success_rate < 50 THEN 'failing' WHEN parse_rate < 25 THEN 'unparsed' END AS degraded FROM w""")
 def m9(spark: SparkSession, d: str) -> DataFrame:
     return M.health_snapshot(A.fetch_log(spark, d), 86400)
@@ -540,6 +562,7 @@ def m12_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("m12_reader_metrics", f"""
 WITH {_SESS}, p AS (SELECT *, start - lag("end") OVER (PARTITION BY user_id ORDER BY start) AS pause FROM ss), o AS (SELECT count(*) AS sessions, round(count(*) FILTER (views > 0 AND evidence > 0) / count(*) FILTER (views > 0), 6) AS follow_through, count(*) FILTER (pause <= 3600) AS rapid_reopens FROM p),
-b AS (SELECT round(avg(CASE WHEN l > f + 1800 THEN 1.0 ELSE 0.0 END), 6) AS return_rate FROM (SELECT user_id, min(second) FILTER (action = 'follow') AS f, max(second) AS l FROM reader GROUP BY 1) WHERE f IS NOT NULL) SELECT * FROM o, b""")
+b AS (SELECT round(avg(CASE WHEN l > f + 1800 THEN 1.0 ELSE 0.0 END), 6) AS return_rate FROM (SELECT user_id, min(second) FILTER (action = 'follow') AS f, max(second) AS l FROM reader GROUP BY 1) WHERE f IS NOT NULL),
+u AS (SELECT round(avg(CASE WHEN EXISTS (SELECT 1 FROM reader r WHERE r.user_id = ss.user_id AND r.action IN ('save', 'follow') AND r.second BETWEEN ss.start AND ss."end") THEN 1.0 ELSE 0.0 END), 6) AS context_usefulness FROM ss WHERE evidence > 0) SELECT * FROM o, b, u""")
 def m12(spark: SparkSession, d: str) -> DataFrame:
     return M.reader_metrics(A.reader_events(spark, d))

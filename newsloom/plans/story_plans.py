@@ -15,6 +15,7 @@ from newsloom.operators import stories as ST
 from newsloom.plans import adapters as A
 from newsloom.plans import article_plans as P
 from newsloom.plans.catalog import query
+from newsloom.sources.scratch import durable
 
 _CLEAN = "trim(regexp_replace(coalesce({0}, ''), '\\s+', ' ', 'g'))"
 
@@ -204,8 +205,8 @@ PAIR_SQL = f"""{ITEM_SQL}, pr AS (
   FROM item x JOIN item y ON x.story_id = y.story_id AND x.article_id <> y.article_id), {_scores_sql('pr', 'sc')}"""
 
 
-def scored_pairs(spark: SparkSession, d: str) -> DataFrame:
-    rows = story_items(spark, d).select("story_id", "article_id", "tokens", "tags", "entities", (F.col("context") >= 2).alias("contextual"))
+def scored_pairs(spark: SparkSession, d: str, items: DataFrame | None = None) -> DataFrame:
+    rows = (durable(story_items(spark, d), "items") if items is None else items).select("story_id", "article_id", "tokens", "tags", "entities", (F.col("context") >= 2).alias("contextual"))
     side = lambda n: rows.select("story_id", F.col("article_id").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in ("tokens", "tags", "entities", "contextual")))
     pairs = side("a").join(side("b"), "story_id").where("a <> b").withColumn("similarity", ((F.col("a") + F.col("b")) % 10) / 20.0)
     return ST.match_score(ST.pair_features(pairs, broad=P.BROAD, low_signal=LOW, anchor_stop=ANCHOR_STOP, generic_tags=["generic"]))
@@ -285,9 +286,9 @@ le AS (SELECT story_id, article_id AS lead_id, lead_score FROM (SELECT *, row_nu
 
 
 @query("f7_story_lead", f"WITH {PAIR_SQL}, {_LEAD} SELECT * FROM le")
-def f7(spark: SparkSession, d: str) -> DataFrame:
-    scores = scored_pairs(spark, d).select("story_id", F.col("a").alias("article_id"), "score")
-    return ST.story_lead(story_items(spark, d), scores)
+def f7(spark: SparkSession, d: str, items: DataFrame | None = None) -> DataFrame:
+    items = durable(story_items(spark, d), "items") if items is None else items
+    return ST.story_lead(items, scored_pairs(spark, d, items).select("story_id", F.col("a").alias("article_id"), "score"))
 
 
 _SLUG = "regexp_replace(substr(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), '-+$', '')"
@@ -300,8 +301,8 @@ q AS (SELECT story_id, count(*) AS articles, count(DISTINCT outlet) AS outlets,
 so AS (SELECT story_id, string_agg(outlet, ',' ORDER BY f) AS sources FROM (SELECT story_id, outlet, min(k) AS f FROM p WHERE k <= 3 GROUP BY 1, 2) GROUP BY 1)
 SELECT q.*, sources, label, headline AS title, {_SLUG.format('headline')} AS slug FROM q JOIN so USING (story_id) JOIN la USING (story_id) JOIN le USING (story_id) JOIN item i ON i.article_id = lead_id""")
 def f9(spark: SparkSession, d: str) -> DataFrame:
-    items = story_items(spark, d)
-    leads = f7(spark, d).select("story_id", F.col("lead_id").alias("article_id")).join(items.select("article_id", F.col("headline").alias("title")), "article_id").select("story_id", "title", ST.slug(F.col("title")).alias("slug"))
+    items = durable(story_items(spark, d).drop("body_text", "words"), "items")  # the features are computed once
+    leads = f7(spark, d, items).select("story_id", F.col("lead_id").alias("article_id")).join(items.select("article_id", F.col("headline").alias("title")), "article_id").select("story_id", "title", ST.slug(F.col("title")).alias("slug"))
     return ST.story_payload(items, 3, [ST.story_label(items, "tokens", P.BROAD), leads])
 
 
