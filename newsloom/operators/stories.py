@@ -358,17 +358,19 @@ def pick_supports(sections: list, supports: int = 5, spread: int = 3) -> list[in
     return [*taken, *rest[: supports - len(taken)]]
 
 
-def home_layout(ranked: DataFrame, supports: int = 5, latest: int = 8, per_section: int = 4, enough: int = 10, filled: int = 12, considered: int = 240) -> DataFrame:
+def home_layout(ranked: DataFrame, supports: int = 5, latest: int = 8, per_section: int = 4, enough: int = 10, filled: int = 12, good: int = 24) -> DataFrame:
     """(edition, slot, place, story_id): per edition a featured story, supports that spread over sections, the latest, and each section's best.
 
-    The page is laid out from the eligible stories; where fewer than ``enough`` are, the next ones fill up to ``filled``. The support pick is sequential, over the best ``considered`` of
-    an edition; all else is ranking. ranked: edition, section, story_id, score, minute, eligible."""
+    The page is laid out from the stories that are eligible, live, or of quality ``good`` with an outlet; where fewer than ``enough`` are, the next ones fill up to ``filled``. The support pick is sequential, over the
+    best of each section, as many as a page shows; no other story of it can be picked. All else is ranking. ranked: edition, section, story_id, score, minute, eligible, origin, quality, outlets."""
     order = [F.desc("score"), F.desc("minute"), F.asc("story_id")]
-    rows = ranked.select("edition", "section", "story_id", "score", "minute", "eligible").withColumn("_good", F.count_if("eligible").over(Window.partitionBy("edition")))
-    rows = rows.withColumn("_other", F.row_number().over(Window.partitionBy("edition", "eligible").orderBy(*order)))
-    rows = durable(rows.withColumn("pool", F.col("eligible") | ((F.col("_good") < enough) & (F.col("_other") <= filled - F.col("_good")))).drop("_good", "_other"), "pool")
-    first = [F.desc("pool"), F.desc("eligible"), *order]
-    pool = top_per(rows.where("pool"), ["edition"], first, considered, "rank").select("edition", "section", "story_id", "rank")
+    fit = F.coalesce(F.col("eligible") | (F.col("origin") == "live") | ((F.col("quality") >= good) & (F.col("outlets") >= 1)), F.lit(False))
+    rows = ranked.select("edition", "section", "story_id", "score", "minute", fit.alias("fit")).withColumn("_good", F.count_if("fit").over(Window.partitionBy("edition")))
+    rows = rows.withColumn("_other", F.row_number().over(Window.partitionBy("edition", "fit").orderBy(*order)))
+    rows = durable(rows.withColumn("pool", F.col("fit") | ((F.col("_good") < enough) & (F.col("_other") <= filled - F.col("_good")))).drop("_good", "_other"), "pool")
+    first = [F.desc("pool"), F.desc("fit"), *order]
+    pool = top_per(rows.where("pool"), ["edition", "section"], first, supports + 1)
+    pool = pool.withColumn("rank", F.row_number().over(Window.partitionBy("edition").orderBy(*first))).select("edition", "section", "story_id", "rank")
 
     def pick(pdf):
         import pandas as pd

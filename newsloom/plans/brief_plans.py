@@ -125,7 +125,18 @@ def h2(spark: SparkSession, d: str) -> DataFrame:
     return rows(spark, d).select("story_id", "article_id", "aligned", "shell_aligned", "contextual", "stub", "comparison_ready", "priority")
 
 
-@query("h3_dedupe_sources")
+_H3_TOKENS = "list_distinct(regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]{{4,}}'))"
+_LIKE = "CASE WHEN greatest(len({0}), len({1})) = 0 THEN 0.0 ELSE len(list_intersect({0}, {1}))::DOUBLE / greatest(len({0}), len({1})) END >= 0.72"
+
+
+@query("h3_dedupe_sources", f"""
+WITH {ROWS_SQL}, tk AS (SELECT story_id, article_id, {_H3_TOKENS.format('snippet')} AS t, {_H3_TOKENS.format('sh')} AS h, count(*) OVER (PARTITION BY story_id) AS c FROM tx3),
+fl AS (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY article_id) AS k FROM tk WHERE NOT (c > 1 AND {_LIKE.format('t', 'h')})),
+wk AS (WITH RECURSIVE w(story_id, k, article_id, stays, kept) AS (
+    SELECT story_id, k, article_id, true, [t] FROM fl WHERE k = 1
+    UNION ALL SELECT story_id, k, article_id, fresh, CASE WHEN fresh THEN list_append(kept, t) ELSE kept END FROM (SELECT fl.*, kept, len(list_filter(kept, lambda u: {_LIKE.format('u', 'fl.t')})) = 0 AS fresh FROM w JOIN fl ON fl.story_id = w.story_id AND fl.k = w.k + 1))
+  SELECT story_id, article_id FROM w WHERE stays)
+SELECT * FROM wk""")
 def h3(spark: SparkSession, d: str) -> DataFrame:
     return H.dedupe_sources(texts(spark, d).join(told(spark, d).select("story_id", "story_headline"), "story_id"), text="snippet", anchors=["story_headline"]).select("story_id", "article_id")
 

@@ -389,10 +389,27 @@ def f16_top(spark: SparkSession, d: str) -> DataFrame:
     return ranked_stories(spark, d).select("story_id", "score").limit(12)
 
 
-@query("f17_home_layout")
+#: The page as SQL: the supports are picked in a walk over the pool by rank, with the sections used so far.
+_LAYOUT = f"""{RANK_SQL}, ed AS (SELECT *, story_id % 30 AS edition, 's' || (story_id % 6) AS section, coalesce((eligible AND story_id % 7 < 5) OR (origin = 'live' AND story_id % 4 = 1) OR (quality >= 17 AND outlets >= 1), false) AS fit FROM rk),
+ep AS (SELECT *, fit OR (count(*) FILTER (fit) OVER (PARTITION BY edition) < 10 AND row_number() OVER (PARTITION BY edition, fit ORDER BY score DESC, minute DESC, story_id) <= 12 - count(*) FILTER (fit) OVER (PARTITION BY edition)) AS pool FROM ed),
+po AS (SELECT edition, section, story_id, row_number() OVER (PARTITION BY edition ORDER BY fit DESC, score DESC, minute DESC, story_id) AS k FROM ep WHERE pool),
+pk AS (WITH RECURSIVE w(edition, k, used, taken) AS (
+    SELECT edition, k, [section], CAST([] AS BIGINT[]) FROM po WHERE k = 1
+    UNION ALL SELECT edition, k, CASE WHEN take THEN list_append(used, section) ELSE used END, CASE WHEN take THEN list_append(taken, story_id) ELSE taken END FROM (
+      SELECT w.edition, po.k, used, taken, section, story_id, len(taken) < 5 AND len(list_filter(used, lambda x: x = section)) < CASE WHEN len(taken) < 3 THEN 1 ELSE 2 END AS take FROM w JOIN po ON po.edition = w.edition AND po.k = w.k + 1))
+  SELECT edition, arg_max(taken, k) AS taken FROM w GROUP BY 1),
+su AS (SELECT edition, story_id, row_number() OVER (PARTITION BY edition ORDER BY CASE WHEN list_contains(taken, story_id) THEN 0 ELSE 1 END, k) AS place FROM po JOIN pk USING (edition) WHERE k > 1 QUALIFY place <= 5),
+pi AS (SELECT edition, 'featured' AS slot, 1 AS place, story_id FROM po WHERE k = 1 UNION ALL SELECT edition, 'support', place, story_id FROM su), re AS (SELECT * FROM ep WHERE story_id NOT IN (SELECT story_id FROM pi)),
+la AS (SELECT edition, 'latest' AS slot, row_number() OVER (PARTITION BY edition ORDER BY minute DESC, story_id) AS place, story_id FROM re QUALIFY place <= 8),
+se AS (SELECT edition, 'section:' || section AS slot, row_number() OVER (PARTITION BY edition, section ORDER BY pool DESC, fit DESC, score DESC, minute DESC, story_id) AS place, story_id FROM re QUALIFY place <= 4)"""
+
+
+@query("f17_home_layout", f"WITH {_LAYOUT} SELECT * FROM pi UNION ALL SELECT * FROM la UNION ALL SELECT * FROM se")
 def f17(spark: SparkSession, d: str) -> DataFrame:
-    rows = ranked_stories(spark, d).withColumn("edition", F.col("story_id") % 30).withColumn("section", F.concat(F.lit("s"), F.col("story_id") % 6)).withColumn("eligible", F.col("eligible") & (F.col("story_id") % 7 < 5))
-    return ST.home_layout(rows)
+    c = F.col
+    rows = ranked_stories(spark, d).withColumn("edition", c("story_id") % 30).withColumn("section", F.concat(F.lit("s"), c("story_id") % 6))
+    rows = rows.withColumns({"eligible": c("eligible") & (c("story_id") % 7 < 5), "origin": F.when((c("origin") == "live") & (c("story_id") % 4 == 1), "live").otherwise("seed")})
+    return ST.home_layout(rows, good=17)
 
 
 def _neighbor_graph(spark: SparkSession, d: str) -> DataFrame:
