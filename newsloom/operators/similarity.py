@@ -29,27 +29,78 @@ def canonical_articles(articles: DataFrame, key: str, text: Column) -> DataFrame
     return rows.join(groups, "print").select(key, "canonical", "copies")
 
 
-def similar_sets(sets: DataFrame, similar: float, by: list[str] = ()) -> DataFrame:
-    """(by, a, b, similarity): the prints of two token sets, a the earlier in ``at``, whose overlap is ``similar`` of the larger or more. All such pairs, and no others.
+def _prefixes(sets: DataFrame, similar: float, by: list[str]) -> DataFrame:
+    """(by, print, n, common, left): the tokens that a set shares with others, rarest first, and how many of these begin its prefix.
 
-    sets: by, print, at, tokens (distinct sets, no blank ones). Such sets share a token among the rarest n - ceil(similar * n) + 1 of each, so only these meet;
-    rarity is counted over the table, or within the columns of ``by``."""
-    by = list(by)
+    Sets whose overlap is ``similar`` of the larger or more share a token among the rarest n - ceil(similar * n) + 1 of each. Tokens that one set alone holds come first and match nothing: they use up the
+    prefix. Rarity is counted over the table, or within the columns of ``by``."""
     tokens = sets.select(*by, "print", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     counts = tokens.groupBy(*by, "token").agg(F.count("*").alias("held"))
     ordered = tokens.join(counts.where("held > 1"), [*by, "token"]).groupBy(*by, "print", "n").agg(F.array_sort(F.collect_list(F.struct("held", "token"))).alias("common"))
-    # tokens that one set alone holds come first and match nothing: they use up the prefix
     left = F.col("n") - F.ceil(F.lit(similar) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("common"))
-    keys = ordered.select(*by, "print", "n", F.explode(F.slice("common", 1, F.greatest(left, F.lit(0)).cast("int"))["token"]).alias("token"))
-    x, y = (keys.select(*by, "token", F.col("print").alias(k), F.col("n").alias(f"n{k}")) for k in "xy")
+    return ordered.withColumn("left", F.greatest(left, F.lit(0)).cast("int"))
+
+
+def similar_sets(sets: DataFrame, similar: float, by: list[str] = ()) -> DataFrame:
+    """(by, a, b, similarity): the prints of two token sets, a the earlier in ``at``, whose overlap is ``similar`` of the larger or more. All such pairs, and no others.
+
+    sets: by, print, at, tokens (distinct sets, no blank ones). Only sets whose prefixes share a token meet, where what follows it can still be enough. All pairs come out: where groups of like
+    sets may be large and their membership is wanted, take ``similar_groups``."""
+    by = list(by)
+    keys = _prefixes(sets, similar, by).select(*by, "print", "n", (F.size("common") - 1).alias("last"), F.posexplode(F.slice("common", 1, F.col("left"))["token"]).alias("at", "token"))
+    x, y = (keys.select(*by, "token", F.col("print").alias(k), F.col("n").alias(f"n{k}"), (F.col("last") - F.col("at")).alias(f"r{k}")) for k in "xy")
     close = F.least("nx", "ny") >= similar * F.greatest("nx", "ny") - 1e-9
-    pairs = x.join(y, [*by, "token"]).where((F.col("x") < F.col("y")) & close).select(*by, "x", "y").distinct()
+    left = 1 + F.least("rx", "ry") >= similar * F.greatest("nx", "ny") - 1e-9  # for the first token that two share this holds; other ones need not meet
+    pairs = x.join(y, [*by, "token"]).where((F.col("x") < F.col("y")) & close & left).select(*by, "x", "y").distinct()
     side = lambda k: sets.select(*by, F.col("print").alias(k), F.col("at").alias(f"at_{k}"), F.col("tokens").alias(f"t_{k}"))
     both = pairs.join(side("x"), [*by, "x"]).join(side("y"), [*by, "y"]).withColumn("similarity", token_overlap(F.col("t_x"), F.col("t_y"))).where(F.col("similarity") >= similar)
     first = F.col("at_x") < F.col("at_y")
     return both.select(*by, F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b"), "similarity")
 
 
+#: Sets of a common token that are compared in one task, on each side.
+BLOCK = 1024
+
+
+def _connected(similar: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix the least row that its links reach."""
+    least = np.arange(len(similar))
+    while True:
+        near = np.where(similar, least[None, :], len(least)).min(1)
+        new = np.minimum(least, near)
+        new = new[new]
+        if (new == least).all():
+            return least
+        least = new
+
+
+def similar_groups(sets: DataFrame, similar: float, tables: Tables, block: int = BLOCK) -> DataFrame:
+    """(print, group): the sets that links of ``similar`` and more connect; group is the least print. Sets without a link are left out.
+
+    The sets whose prefixes share a token are dealt in blocks that meet pairwise; a task compares its blocks by one product of their tokens and gives out a link or less for each set that it holds, so no table grows with
+    the square of a token's sets."""
+    keys = _prefixes(sets, similar, []).select("print", "n", F.col("common")["token"].alias("tokens"), F.explode(F.slice("common", 1, F.col("left"))["token"]).alias("token"))
+    keys = tables.write(keys, "prefixes")
+    held = keys.groupBy("token").agg(F.ceil(F.count("*") / block).alias("blocks"), F.count("*").alias("m")).where("m > 1").drop("m")
+    dealt = keys.join(held, "token").withColumn("r", F.pmod(F.xxhash64("print", "token"), F.col("blocks"))).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("token", F.least("r", "s").alias("i"), F.greatest("r", "s").alias("j"), "print", "n", "tokens")
+    kind = sets.schema["print"].dataType.simpleString()
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("print")
+        codes = pd.factorize(np.concatenate(pdf.tokens.to_numpy()))[0]
+        holds = np.zeros((len(pdf), codes.max() + 1), np.float32)
+        holds[np.repeat(np.arange(len(pdf)), pdf.tokens.map(len)), codes] = 1
+        n = pdf.n.to_numpy()
+        least = _connected(holds @ holds.T >= similar * np.maximum(n[:, None], n[None, :]) - 1e-6)
+        moved = np.flatnonzero(least < np.arange(len(least)))
+        prints = pdf["print"].to_numpy()
+        return pd.DataFrame({"a": prints[least[moved]], "b": prints[moved]})
+
+    links = tables.write(dealt.groupBy("token", "i", "j").applyInPandas(link, f"a {kind}, b {kind}").distinct(), "set_links")
+    return components(links, tables).select(F.col("node").alias("print"), F.col("component").alias("group"))
+
+
 def near_pairs(articles: DataFrame, key: str, text: Column, threshold: float) -> DataFrame:
     """(a, b, similarity): articles whose token sets overlap enough. Equal sets are represented by their smallest key, so copies do not multiply pairs."""
     rows = articles.select(F.col(key).alias("k"), F.array_sort(overlap_tokens(text)).alias("tokens")).where(F.size("tokens") > 0)
@@ -60,15 +111,19 @@ def near_pairs(articles: DataFrame, key: str, text: Column, threshold: float) ->
 def dedupe_articles(articles: DataFrame, key: str, url: str, headline: Column, body: Column, threshold: float) -> tuple[DataFrame, DataFrame]:
     """((key, canonical), relations (article, other, kind)): articles are one if they share a canonical url, their normalised body, or nearly their headline.
 
-    Relations of url and body run to the smallest key of the group; headlines relate equal sets to their smallest key, and these to each other. The canonical
-    article is the smallest key that relations reach."""
+    Relations run to the smallest key of a group: of a url, of a body, and of the headlines that links of ``threshold`` connect. So rows grow with the articles, however many are alike. The
+    canonical article is the smallest key that relations reach."""
     prints = {"url": F.when(F.coalesce(F.col(url), F.lit("")) != "", F.col(url)), "body": F.when(squeeze(body) != "", F.sha2(F.lower(squeeze(body)).cast("binary"), 256)), "headline": F.nullif(F.array_join(F.array_sort(overlap_tokens(headline)), " "), F.lit(""))}
-    rows = articles.select(F.col(key).alias("article"), F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), p.cast("string").alias("print")) for k, p in prints.items()))).alias("x")).select("article", "x.*").where("print IS NOT NULL")
-    least = rows.groupBy("kind", "print").agg(F.min("article").alias("other"), F.count("*").alias("n")).where("n > 1").drop("n")
-    same = rows.join(least, ["kind", "print"]).where("article <> other").select("article", "other", "kind")
-    near = near_pairs(articles, key, headline, threshold).select(F.col("b").alias("article"), F.col("a").alias("other"), F.lit("headline").alias("kind"))
-    relations = durable(same.unionByName(near), "relations")
     with Tables(articles.sparkSession) as tables:
+        rows = articles.select(F.col(key).alias("article"), F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), p.cast("string").alias("print")) for k, p in prints.items()))).alias("x")).select("article", "x.*").where("print IS NOT NULL")
+        rows = tables.write(rows, "article_prints")
+        heads = rows.where("kind = 'headline'")
+        sets = tables.write(heads.groupBy("print").agg(F.min("article").alias("k")).select(F.col("k").alias("print"), F.col("k").alias("at"), F.split("print", " ").alias("tokens")), "sets")
+        groups = similar_groups(sets, threshold, tables)
+        named = heads.join(sets.select(F.array_join("tokens", " ").alias("print"), F.col("print").alias("k")), "print").join(groups.withColumnRenamed("print", "k"), "k", "left")
+        grouped = rows.where("kind <> 'headline'").unionByName(named.select("article", "kind", F.coalesce("group", "k").cast("string").alias("print")))
+        least = grouped.groupBy("kind", "print").agg(F.min("article").alias("other"), F.count("*").alias("n")).where("n > 1").drop("n")
+        relations = durable(grouped.join(least, ["kind", "print"]).where("article <> other").select("article", "other", "kind"), "relations")
         found = durable(components(relations, tables, "article", "other"), "canonical")
     out = articles.select(F.col(key).alias("node")).join(found, "node", "left").select(F.col("node").alias(key), F.coalesce("component", "node").alias("canonical"))
     return out, relations

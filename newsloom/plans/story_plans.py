@@ -39,8 +39,10 @@ def e1_near(spark: SparkSession, d: str) -> DataFrame:
 
 
 _DEDUPE = f"""{NEAR_SQL}, pr AS (SELECT article_id, 'url' AS kind, 'https://x.example/' || (article_id // 3 * 3 + article_id % 3 // 2) AS p FROM articles WHERE article_id % 10 < 4
-  UNION ALL SELECT article_id, 'body', sha256(lower({_CLEAN.format('body_text')})) FROM articles WHERE {_CLEAN.format('body_text')} <> '' UNION ALL SELECT article_id, 'headline', array_to_string({_TOKENS}, ' ') FROM articles WHERE len({_TOKENS}) > 0),
-ls AS (SELECT kind, p, min(article_id) AS o FROM pr GROUP BY 1, 2), rel AS (SELECT article_id AS article, o AS other, kind FROM pr JOIN ls USING (kind, p) WHERE article_id <> o UNION ALL SELECT b, a, 'headline' FROM near)"""
+  UNION ALL SELECT article_id, 'body', sha256(lower({_CLEAN.format('body_text')})) FROM articles WHERE {_CLEAN.format('body_text')} <> ''),
+hn AS (SELECT a, b FROM near UNION SELECT b, a FROM near), hr(a, b) AS (SELECT k, k FROM tk UNION SELECT hr.a, hn.b FROM hr JOIN hn ON hn.a = hr.b), hg AS (SELECT a AS k, min(b) AS g FROM hr GROUP BY a),
+hd AS (SELECT article_id, g FROM (SELECT article_id, {_TOKENS} AS t FROM articles) JOIN tk USING (t) JOIN hg USING (k)),
+ls AS (SELECT kind, p, min(article_id) AS o FROM pr GROUP BY 1, 2), rel AS (SELECT article_id AS article, o AS other, kind FROM pr JOIN ls USING (kind, p) WHERE article_id <> o UNION ALL SELECT article_id, g, 'headline' FROM hd WHERE article_id <> g)"""
 
 
 def _deduped(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -56,7 +58,7 @@ def e1_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return _deduped(spark, d)[0]
 
 
-@query("e1_relations", f"WITH {_DEDUPE} SELECT article, other, kind FROM rel")
+@query("e1_relations", f"WITH RECURSIVE {_DEDUPE} SELECT article, other, kind FROM rel")
 def e1_relations(spark: SparkSession, d: str) -> DataFrame:
     return _deduped(spark, d)[1]
 

@@ -321,6 +321,29 @@ def test_syndicated_bodies(spark):
     assert shared == set(range(46))
 
 
+def test_similar_groups_are_those_of_all_pairs(spark):
+    """Blocks of four meet pairwise; chains and large groups of like sets come out as one."""
+    import random
+
+    from newsloom.sources.scratch import Tables
+
+    draw = random.Random(3)
+    words = [f"word{i}" for i in range(60)]
+    sets = {frozenset(draw.sample(words, draw.choice([1, 2, 5, 6, 7, 12]))) for _ in range(150)} | {frozenset([*words[:9], f"own{i}"]) for i in range(40)}
+    rows = list(enumerate(sorted(map(sorted, sets))))
+    frame = spark.createDataFrame([(i, i, t) for i, t in rows], "print long, at long, tokens array<string>")
+    parent = dict.fromkeys(range(len(rows)))
+    top = lambda x: x if parent[x] is None else top(parent[x])
+    for i, s in rows:
+        for j, t in rows[:i]:
+            if len(set(s) & set(t)) / max(len(s), len(t)) >= 0.6 and top(i) != top(j):
+                parent[max(top(i), top(j))] = min(top(i), top(j))
+    want = {i: top(i) for i, _ in rows}
+    with Tables(spark) as tables:
+        got = {r["print"]: r.group for r in similarity.similar_groups(frame, 0.6, tables, block=4).collect()}
+    assert {i: got.get(i, i) for i, _ in rows} == want and set(got) == {i for i in want if sum(g == want[i] for g in want.values()) > 1}
+
+
 def test_hash_vector():
     v = similarity.hash_vector("one two three")
     assert abs((v * v).sum() - 1) < 1e-9 and not similarity.hash_vector("").any()
