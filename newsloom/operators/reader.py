@@ -51,6 +51,20 @@ def tracked_stories(state: DataFrame, changes: DataFrame, history: DataFrame) ->
     return rows.fillna(0, ["changes"]).fillna(False, ["has_updates"]).withColumn("sort_at", F.coalesce("followed_at", "saved_at", "viewed_at"))
 
 
+def preview_state(records: DataFrame, stories: DataFrame) -> DataFrame:
+    """(user_id, story_id, slug, saved_at, followed_at, viewed_at): the tracking state that a reader's own records give, as ``tracked_stories`` takes it.
+
+    A record is of the story with its id, or, if there is none, with its slug; it counts if it has a slug and anything was done. Records of one story are taken together, the first save and follow and the last view.
+    records: user_id, story_id, slug, saved_at, followed_at, viewed_at; stories: story_id, slug."""
+    c = F.col
+    kept = records.where(F.coalesce("slug", F.lit("")) != "").where("saved_at IS NOT NULL OR followed_at IS NOT NULL OR viewed_at IS NOT NULL")
+    by_id = stories.select(c("story_id").alias("_asked"), c("story_id").alias("_by_id"))
+    by_slug = stories.groupBy("slug").agg(F.min("story_id").alias("_by_slug"))
+    found = kept.withColumnRenamed("story_id", "_asked").join(by_id, "_asked", "left").join(by_slug, "slug", "left").withColumn("story_id", F.coalesce("_by_id", "_by_slug")).where("story_id IS NOT NULL")
+    state = found.groupBy("user_id", "story_id").agg(F.min("saved_at").alias("saved_at"), F.min("followed_at").alias("followed_at"), F.max("viewed_at").alias("viewed_at"))
+    return state.join(stories.select("story_id", "slug"), "story_id").select("user_id", "story_id", "slug", "saved_at", "followed_at", "viewed_at")
+
+
 def story_detail(stories: DataFrame, facts: DataFrame, members: DataFrame, packs: DataFrame, evidence: DataFrame, corrections: DataFrame, briefs: DataFrame, perspectives: DataFrame, lenses: list[str], hidden: list[str]) -> DataFrame:
     """One nested row a visible story: facts, articles and evidence in order, corrections newest first, a pack for every lens, empty ones too, and the current
     brief and perspective (story_id, revision), where there are any. Each kind of child is gathered by itself before it is joined."""

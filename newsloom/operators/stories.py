@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.scoring import is_title_only_stub, summary_quality
 from newsloom.functions.text import clean_snippet, is_non_narrative, overlap_tokens, settled, squeeze, token_overlap
+from newsloom.operators.similarity import cosine_pairs
 from newsloom.sources.scratch import durable
 
 
@@ -314,13 +315,14 @@ def story_unions(members: DataFrame) -> DataFrame:
     return members.groupBy("story_id").agg(union("tokens"), union("tags"), union("entities"), F.bool_and("contextual").alias("contextual"))
 
 
-def augment_stories(needy: DataFrame, items: DataFrame, lexicons: dict[str, list[str]], stories: int = 4, per_story: int = 2, overall: int = 8) -> DataFrame:
+def augment_stories(needy: DataFrame, items: DataFrame, lexicons: dict[str, list[str]], stories: int = 4, per_story: int = 2, overall: int = 8, vectors: DataFrame | None = None) -> DataFrame:
     """(story_id, article_id, outlet, score): articles of other stories and outlets for the neediest stories.
 
     A candidate shares an entity or two tokens with the story's query; a contextual item or stub needs two of either where the story has event items. Its score is F1 against the story + 3 a query
     token + 2 a query entity + 2 if it may join (F2) - 4 x context - 8 for a stub + D4 + 3 if open + 4 with a body + 5 if event-driven. One an outlet, ``per_story`` a story, each article once, for the
     neediest story it is good for, ``overall`` in all; those caps are what the operator is for.
 
+    vectors: article_id, vector; a candidate is as similar to a story as to its most similar member, 0 without vectors.
     needy: story_id, needed, priority; items: story_id, article_id, outlet, tokens, tags, entities, context, stub, signal, quality, is_substantive, is_open, has_body."""
     c = F.col
     items = durable(items.withColumn("contextual", c("context") >= 2), "items")
@@ -334,7 +336,14 @@ def augment_stories(needy: DataFrame, items: DataFrame, lexicons: dict[str, list
     hits = hits.where("q_entities > 0 OR q_tokens >= 2").join(own.select("story_id", "outlet").distinct(), ["story_id", "outlet"], "left_anti")
     prefers = own.groupBy("story_id").agg(F.bool_or((c("signal") >= 3) & ~c("stub")).alias("_event"))
     side = lambda frame, name, key: frame.select(F.col(key).alias(name), *(F.col(x).alias(f"{name}_{x}") for x in ("tokens", "tags", "entities", "contextual")))
-    pairs = hits.withColumnsRenamed({"article_id": "a", "story_id": "b"}).join(side(items, "a", "article_id"), "a").join(side(story_unions(own), "b", "story_id"), "b").withColumn("similarity", F.lit(0.0))
+    pairs = hits.withColumnsRenamed({"article_id": "a", "story_id": "b"}).join(side(items, "a", "article_id"), "a").join(side(story_unions(own), "b", "story_id"), "b")
+    if vectors is None:
+        pairs = pairs.withColumn("similarity", F.lit(0.0))
+    else:
+        mates = hits.select(c("article_id").alias("a"), "story_id").join(own.select("story_id", c("article_id").alias("b")), "story_id")
+        like = cosine_pairs(mates.select("a", "b").distinct(), vectors, "article_id", "vector")
+        like = mates.join(like, ["a", "b"]).groupBy("a", c("story_id").alias("b")).agg(F.greatest(F.max("similarity"), F.lit(0.0)).alias("similarity"))
+        pairs = pairs.join(like, ["a", "b"])
     scored = should_join(match_score(pair_features(pairs, **lexicons))).select(c("b").alias("story_id"), c("a").alias("article_id"), "outlet", "q_tokens", "q_entities", c("score").alias("_f1"), "joins")
     scored = scored.join(items.select("article_id", "context", "stub", "signal", "quality", "is_open", "has_body"), "article_id").join(prefers, "story_id")
     scored = scored.where(~(c("_event") & ((c("context") >= 2) | c("stub")) & (c("q_tokens") < 2) & (c("q_entities") < 2)))

@@ -113,7 +113,8 @@ def c8_snippet(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("c11_named_entities", r"""
-WITH r AS (SELECT doc_id, regexp_extract_all(text, '(?:^|[^A-Za-z0-9_])([A-Z][A-Za-z]+(?: [A-Z][A-Za-z]+){0,3})', 1) AS e FROM documents),
+WITH d AS (SELECT doc_id, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([^A-Za-z0-9_])', '\1\1', 'g') AS t FROM documents), -- every mark twice, so that it may end one run and begin the next
+r AS (SELECT doc_id, list_transform(regexp_extract_all(t, '(?:^|[^A-Za-z0-9_])((?:[A-Z][a-z]+|[A-Z]{2,})(?:  (?:[A-Z][a-z]+|[A-Z]{2,})){0,3})(?:$|[^A-Za-z0-9_])', 1), lambda x: replace(x, '  ', ' ')) AS e FROM d),
 u AS (SELECT doc_id, e, unnest(e) AS x, generate_subscripts(e, 1) AS k FROM r),
 f AS (SELECT doc_id, x, min(k) AS k FROM u WHERE length(x) >= 4 AND lower(x) NOT IN ('the', 'monday', 'tuesday', 'wednesday', 'thursday', 'friday', 'saturday', 'sunday') GROUP BY 1, 2),
 n AS (SELECT doc_id, x, k, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS n FROM f)

@@ -348,6 +348,18 @@ def k4(spark: SparkSession, d: str) -> DataFrame:
     return K.tracked_stories(state(spark, d), e.where("action = 'evidence'").select("story_id", "second"), history).select("user_id", "story_id", "changes", "latest_change", "has_updates", "sort_at")
 
 
+@query("k4_preview_state", f"""
+WITH {_ST}, so AS (SELECT DISTINCT story_id, 's' || story_id AS slug FROM reader WHERE story_id % 7 <> 0), rc AS (SELECT user_id, CASE WHEN story_id % 3 = 0 THEN NULL WHEN story_id % 5 = 0 THEN story_id + 1000000 ELSE story_id END AS asked, CASE WHEN story_id % 11 = 0 THEN '' ELSE 's' || (story_id // 4 * 4) END AS slug, saved_at, followed_at, viewed_at FROM stt),
+f AS (SELECT rc.user_id, coalesce(a.story_id, b.story_id) AS story_id, saved_at, followed_at, viewed_at FROM rc LEFT JOIN so a ON a.story_id = rc.asked LEFT JOIN so b ON b.slug = rc.slug WHERE rc.slug <> '')
+SELECT user_id, story_id, 's' || story_id AS slug, min(saved_at) AS saved_at, min(followed_at) AS followed_at, max(viewed_at) AS viewed_at FROM f WHERE story_id IS NOT NULL GROUP BY user_id, story_id""")
+def k4_preview(spark: SparkSession, d: str) -> DataFrame:
+    s = F.col("story_id")
+    stories = A.reader_events(spark, d).where("story_id % 7 <> 0").select("story_id").distinct().withColumn("slug", F.concat(F.lit("s"), "story_id"))
+    slug = F.when(s % 11 == 0, "").otherwise(F.concat(F.lit("s"), F.expr("story_id div 4 * 4")))
+    records = state(spark, d).select("user_id", F.when(s % 3 == 0, None).when(s % 5 == 0, s + 1000000).otherwise(s).alias("story_id"), slug.alias("slug"), "saved_at", "followed_at", "viewed_at")
+    return K.preview_state(records, stories)
+
+
 @query("k5_story_detail", f"""
 WITH {LENS_SQL}, f AS (SELECT o_orderkey AS story_id, ['live', 'editorial', 'seed'][o_orderkey % 3 + 1] AS origin FROM orders), fa AS (SELECT l_orderkey AS story_id, string_agg('fact ' || l_linenumber || ' ' || l_shipdate, '|' ORDER BY l_linenumber, 'fact ' || l_linenumber || ' ' || l_shipdate) AS facts FROM lineitem WHERE l_quantity > 30 GROUP BY 1),
 p AS (SELECT story_id, count(*) FILTER (lens = 'local') AS n_local, count(*) FILTER (lens = 'balanced') AS n_balanced FROM li WHERE story_id % 5 <> 0 GROUP BY 1), ar AS (SELECT story_id, string_agg(article_id::VARCHAR, '|' ORDER BY rank_in_story, article_id) AS articles FROM members GROUP BY 1),

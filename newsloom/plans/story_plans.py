@@ -69,11 +69,14 @@ def e2(spark: SparkSession, d: str) -> DataFrame:
     return E.syndication_variants(E.near_pairs(rows, "article_id", F.col("headline"), 0.6), rows, "article_id", "outlet").select("a", "b", "outlet_a", "outlet_b")
 
 
-@query("e3_embedding_text", f"""
-WITH {A.ARTICLES_SQL}, c AS (SELECT article_id, {_CLEAN.format('headline')} AS h, {_CLEAN.format('summary')} AS s, {_CLEAN.format('body_text')} AS b FROM articles),
+_E3 = f"""{A.ARTICLES_SQL}, c AS (SELECT article_id, {_CLEAN.format('headline')} AS h, {_CLEAN.format('summary')} AS s, {_CLEAN.format('body_text')} AS b FROM articles),
 p AS (SELECT article_id, list_transform(list_filter(regexp_extract_all(b, '[^.!?]+[.!?]'), lambda x: length(trim(x)) >= 50)[1:3], lambda x: trim(x)) AS parts, h, s FROM c),
 u AS (SELECT article_id, h, s, CASE WHEN h <> '' THEN h ELSE '' END AS t0, list_filter(CASE WHEN s <> h THEN list_concat([h, s], list_filter(parts, lambda x: x <> h AND x <> s)) ELSE list_concat([h], list_filter(parts, lambda x: x <> h)) END, lambda x: x <> '') AS l FROM p),
-e AS (SELECT article_id, l, list_filter(l, lambda x, i: list_position(l, x) = i) AS once FROM u)
+e AS (SELECT article_id, l, list_filter(l, lambda x, i: list_position(l, x) = i) AS once FROM u)"""
+
+
+@query("e3_embedding_text", f"""
+WITH {_E3}
 SELECT article_id, trim(regexp_replace(regexp_replace(lower(array_to_string(once, ' ') || ' zulu alpha beta'), '[^a-z0-9 -]+', ' ', 'g'), ' +', ' ', 'g')) AS embedding_text FROM e""")
 def e3(spark: SparkSession, d: str) -> DataFrame:
     text = E.embedding_text(F.col("headline"), F.col("summary"), F.col("body_text"), F.array(F.lit("Zulu")), F.array(F.lit("beta"), F.lit("alpha")))
@@ -91,13 +94,13 @@ def e4(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("e4_hash_embedding_md5", f"""
-WITH {A.ARTICLES_SQL}, w AS (SELECT article_id, regexp_extract_all(lower(summary), '[a-z0-9]{{3,}}') AS w FROM articles),
+WITH {_E3}, w AS (SELECT article_id, regexp_extract_all(regexp_replace(regexp_replace(lower(array_to_string(once, ' ')), '[^a-z0-9 -]+', ' ', 'g'), ' +', ' ', 'g'), '[a-z0-9]{{3,}}') AS w FROM e),
 f AS (SELECT article_id, unnest(w) AS t, 1.0 AS w FROM w UNION ALL SELECT article_id, w[i] || '_' || w[i + 1], 1.75 FROM (SELECT article_id, w, unnest(range(1, len(w))) AS i FROM w WHERE len(w) > 1)),
 n AS (SELECT article_id, w, ('0x' || substr(md5(t), 1, 8))::BIGINT AS h FROM f),
 s AS (SELECT article_id, h % 384 AS dimension, sum(CASE WHEN (h // 65536) % 2 = 1 THEN w ELSE -w END)::DOUBLE AS w FROM n GROUP BY 1, 2 HAVING sum(CASE WHEN (h // 65536) % 2 = 1 THEN w ELSE -w END) <> 0)
 SELECT article_id, dimension, w / sqrt(sum(w * w) OVER (PARTITION BY article_id)) AS weight FROM s""")
 def e4_md5(spark: SparkSession, d: str) -> DataFrame:
-    return E.hashed_features(A.articles(spark, d), "article_id", F.col("summary"))
+    return E.hashed_features(A.articles(spark, d), "article_id", embedded())
 
 
 _COS = "list_inner_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) / (sqrt(list_inner_product(x.embedding::DOUBLE[], x.embedding::DOUBLE[])) * sqrt(list_inner_product(y.embedding::DOUBLE[], y.embedding::DOUBLE[])))"
@@ -436,7 +439,7 @@ nd AS (SELECT story_id, row_number() OVER (ORDER BY CASE WHEN t1 THEN 4 ELSE 0 E
 @query("f12_augment_stories", f"""
 WITH {ITEM_SQL}, {_QUERY}, {_NEEDY}, ow AS (SELECT item.* FROM item JOIN nd USING (story_id)),
 un AS (SELECT story_id, list_distinct(flatten(list(t))) AS b_t, list_distinct(flatten(list(tags))) AS b_g, list_distinct(flatten(list(entities))) AS b_e, bool_and(context >= 2) AS bc, bool_or(signal >= 3 AND NOT stub) AS ev FROM ow GROUP BY story_id),
-hi AS (SELECT nd.story_id, need, x.article_id, x.outlet, x.t AS a_t, x.tags AS a_g, x.entities AS a_e, x.context >= 2 AS ac, b_t, b_g, b_e, bc, ev, 0.0 AS similarity, x.context AS cx, x.stub AS sb, x.signal AS sg, x.quality AS ql, x.is_open AS op, x.extraction_quality = 'article_body' AS hb, len(list_intersect(x.t, coalesce(qt, []))) AS n_t, len(list_intersect(x.entities, coalesce(qe, []))) AS n_e
+hi AS (SELECT nd.story_id, need, x.article_id, x.outlet, x.t AS a_t, x.tags AS a_g, x.entities AS a_e, x.context >= 2 AS ac, b_t, b_g, b_e, bc, ev, coalesce((SELECT max(greatest(0, list_inner_product(p.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_inner_product(p.embedding::DOUBLE[], p.embedding::DOUBLE[])) * sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))))) FROM embeddings p, embeddings q, ow WHERE p.vec_id = x.article_id AND q.vec_id = ow.article_id AND ow.story_id = nd.story_id), 0.0) AS similarity, x.context AS cx, x.stub AS sb, x.signal AS sg, x.quality AS ql, x.is_open AS op, x.extraction_quality = 'article_body' AS hb, len(list_intersect(x.t, coalesce(qt, []))) AS n_t, len(list_intersect(x.entities, coalesce(qe, []))) AS n_e
   FROM nd JOIN qq USING (story_id) JOIN un USING (story_id) JOIN item x ON x.story_id <> nd.story_id WHERE NOT EXISTS (SELECT 1 FROM ow WHERE ow.story_id = nd.story_id AND ow.outlet = x.outlet)),
 hm AS (SELECT * FROM hi WHERE (n_e > 0 OR n_t >= 2) AND NOT (ev AND (cx >= 2 OR sb) AND n_t < 2 AND n_e < 2)), {_scores_sql('hm', 'hs')},
 fi AS (SELECT story_id, need, article_id, outlet, round(score + 3 * n_t + 2 * n_e + CASE WHEN {_JOINS} THEN 2 ELSE 0 END - 4 * cx - CASE WHEN sb THEN 8 ELSE 0 END + ql + CASE WHEN op THEN 3 ELSE 0 END + CASE WHEN hb THEN 4 ELSE 0 END + CASE WHEN sg >= 3 AND NOT sb THEN 5 ELSE 0 END, 6) AS points FROM hs),
@@ -446,7 +449,8 @@ SELECT story_id, article_id, outlet, points AS score FROM f3 ORDER BY need, k LI
 def f12(spark: SparkSession, d: str) -> DataFrame:
     rows = story_items(spark, d)
     needy = ST.needs_augmentation(rows.withColumn("is_event", (F.col("signal") >= 3) & ~F.col("stub")))
-    return ST.augment_stories(needy, rows, {"broad": P.BROAD, "low_signal": LOW, "anchor_stop": ANCHOR_STOP, "generic_tags": ["generic"]})
+    vectors = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("article_id"), F.col("embedding").alias("vector"))
+    return ST.augment_stories(needy, rows, {"broad": P.BROAD, "low_signal": LOW, "anchor_stop": ANCHOR_STOP, "generic_tags": ["generic"]}, vectors=vectors)
 
 
 def _fit(a: str, b: str) -> str:

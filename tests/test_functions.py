@@ -124,6 +124,12 @@ def test_sentences():
     assert PG.narrative_sentences(f"{twice} {twice} Too short. Write to our mailing list for more of what the council does every week.") == [twice]
 
 
+def test_names_in_both_forms(spark):
+    for text in ["At McDonald Hall", "Rome,Oslo-Lima met IN\nNew  York City Of Light today", "UN and EU leaders; Mayor Jane Doe of ROME", "Abc_Def x9 Ab12 Über Paris", "", None]:
+        assert one(spark, X.named_entities(F.lit(text))) == PG.named_entities(text or ""), text
+    assert PG.named_entities("Rome,Oslo-Lima At McDonald Hall") == ["Rome", "Oslo", "Lima At", "Hall"]
+
+
 def test_hidden_text():
     body, about, long = f"{FIRST} More.", f"{SECOND} About.", "The council met in the evening and said that the bridge would be built before the end of the year at last."
     page = f'<script type="application/ld+json">{{"@graph": [{{"articleBody": "{body}"}}, {{"description": "{about}"}}]}}</script><script type="application/ld+json">{{broken</script>'
