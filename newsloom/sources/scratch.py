@@ -1,17 +1,23 @@
 """Tables written to the folder that driver and executors share, and their removal.
 
 A written table ends lineage and survives lost executors. Steps that need many of them write through ``Tables``, which deletes
-what the result does not read; the shuffle files of a write go when it is done.
+what the result does not read; the shuffle files of a write go when it is done. What results read stays until ``clean_up``, which is for
+when they are written, or until the process ends.
 """
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths of durable tables by session, and temporary folders of our own.
+_KEPT: list[tuple[SparkSession, str]] = []
+_FOLDERS: list[str] = []
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -21,7 +27,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
+        _FOLDERS.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        folder = f"file://{_FOLDERS[-1]}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -43,8 +50,10 @@ def write_once(frame: DataFrame, path: str) -> DataFrame:
 
 
 def durable(frame: DataFrame, name: str) -> DataFrame:
-    """A written table that stays: for what a result reads."""
-    return write_once(frame, new_path(frame.sparkSession, name))
+    """A written table that stays until ``clean_up``: for what a result reads."""
+    path = new_path(frame.sparkSession, name)
+    _KEPT.append((frame.sparkSession, path))
+    return write_once(frame, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -52,6 +61,27 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def clean_up(spark: SparkSession) -> int:
+    """Delete the durable tables written in this session's application so far, and say how many; frames that read them are of no use afterwards."""
+    own = [x for x in _KEPT if x[0].sparkContext is spark.sparkContext]
+    for kept in own:
+        remove(spark, kept[1])
+        _KEPT.remove(kept)
+    return len(own)
+
+
+@atexit.register
+def _at_exit() -> None:
+    """What is left when the process ends: tables of sessions that still run, and temporary folders of our own."""
+    try:
+        for session in {id(x[0].sparkContext): x[0] for x in _KEPT}.values():
+            if session.sparkContext._jsc is not None:
+                clean_up(session)
+    finally:
+        for folder in _FOLDERS:
+            shutil.rmtree(folder, ignore_errors=True)
+
+
 class Tables:
     """Written tables of one computation; ``drop`` deletes one, leaving the block deletes all."""
 

@@ -108,3 +108,14 @@ def test_sitemap_entries(spark, tmp_path):
     assert {r.loc for r in chosen.collect()} == {"https://site.example/news.xml", "https://site.example/latest.xml", "https://site.example/map.xml"}
     assert feeds.read_sitemap_items(spark, str(tmp_path / "map.xml"), children=chosen).count() == 3
     assert feeds.read_sitemap_items(spark, str(tmp_path / "map.xml"), children=chosen.where("loc LIKE '%news%'")).count() == 0
+
+
+def test_durable_tables_go_with_clean_up(spark):
+    import os
+
+    from newsloom.sources import scratch
+
+    frame = scratch.durable(spark.range(5), "five")
+    path = scratch._KEPT[-1][1].removeprefix("file://")
+    assert frame.count() == 5 and os.path.isdir(path)
+    assert scratch.clean_up(spark) >= 1 and not os.path.exists(path) and scratch.clean_up(spark) == 0
