@@ -776,3 +776,18 @@ def test_pipeline_stages_against_plain_code(spark, small):
     rows = pipeline.cut_shards(spark, docs, small).toPandas().sort_values("doc_id")
     sizes = np.array([len(text[i].encode()) + 16 for i in rows.doc_id])
     assert (rows["shard"] == (np.cumsum(sizes) - sizes / 2) * 40 // sizes.sum()).all()
+
+
+def test_topics_equal_plain_lloyd_rounds(spark):
+    """Centres of all rounds against the same rounds written plainly, from the same starts."""
+    draw = np.random.default_rng(4)
+    x = draw.standard_normal((400, mixing.DIMENSIONS)).astype(np.float32) + 2 * draw.standard_normal((5, mixing.DIMENSIONS)).astype(np.float32)[np.arange(400) % 5]
+    vectors = spark.createDataFrame([(v.tolist(),) for v in x], "v array<float>").repartition(3)
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    centres = mixing.topic_centres(vectors, topics=7, rounds=0)
+    for _ in range(4):
+        near = np.array([[float(np.dot(u, c)) for c in centres] for u in unit]).argmax(1)
+        sums = [unit[near == k].sum(0) for k in range(len(centres))]
+        centres = np.array([s / np.linalg.norm(s) if np.linalg.norm(s) > 1e-9 else c for s, c in zip(sums, centres, strict=True)])
+    assert len(centres) == 7 and np.allclose(mixing.topic_centres(vectors, topics=7, rounds=4), centres, atol=1e-5)
+    assert len(mixing.topic_centres(vectors.limit(0))) == 0
