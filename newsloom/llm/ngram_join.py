@@ -433,3 +433,16 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return jaccard_components(store.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+OP2_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{20}\x{09}-\x{0D}]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, r, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS x FROM d
+), e AS (SELECT r, len(x) AS n, unnest(x) AS h FROM s),
+c AS (SELECT a.r AS x, b.r AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS k FROM e a JOIN e b ON a.h = b.h AND a.r < b.r AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.r, b.r),
+l AS (SELECT x, y FROM c WHERE 100 * k >= 80 * (nx + ny - k) UNION ALL SELECT y, x FROM c WHERE 100 * k >= 80 * (nx + ny - k)),
+t(a, b) AS (SELECT r, r FROM s UNION SELECT t.a, l.y FROM t JOIN l ON l.x = t.b)
+SELECT s.doc_id, len(s.x)::BIGINT AS n_shingles, min(o.doc_id) AS component_id FROM s JOIN t ON t.a = s.r JOIN s o ON o.r = t.b GROUP BY s.r, s.doc_id, s.x
+"""

@@ -25,6 +25,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_ngram_join": ngram_join.OP2_SQL,
         "op4_url_filters": url_filters.OP4_SQL,
         "op7_warc": warc.OP7_SQL,
         "op8_contamination": contamination.OP8_SQL,
