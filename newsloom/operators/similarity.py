@@ -145,12 +145,27 @@ def body_fingerprints(articles: DataFrame, key: str, text: Column, gram: int = G
     Words are lower-case runs of ASCII letters or digits; a text of fewer than ``gram`` words has none."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), 1)
     rows = articles.select(key, words.alias("words")).where(F.size("words") >= gram)
-    starts = F.sequence(F.lit(1), F.size("words") - (gram - 1))
-    digest = lambda i: F.struct(F.substring(F.md5(F.array_join(F.slice("words", i, gram), " ").cast("binary")), 1, 16).alias("print"), (-i).alias("back"))
-    rows = rows.select(key, F.transform(starts, digest).alias("grams"))
-    least = F.transform(F.sequence(F.lit(1), F.greatest(F.size("grams") - (window - 1), F.lit(1))), lambda i: F.array_min(F.slice("grams", i, window)))
-    kept = rows.select(key, F.explode(F.array_distinct(least)).alias("x"))
-    return kept.groupBy(key, "x.print").agg((-F.max("x.back") - 1).alias("place"))
+    grams = _runs(F.col("words"), gram, lambda x, y: F.concat_ws(" ", x, y))
+    digests = _bound(grams, lambda g: F.transform(g, lambda x, i: F.struct(F.substring(F.md5(x.cast("binary")), 1, 16).alias("print"), (-i).alias("back"))))
+    whole = lambda d: F.when(F.size(d) >= window, _runs(d, window, lambda x, y: F.least(x, y))).otherwise(F.array(F.array_min(d)))
+    kept = rows.select(key, F.explode(F.array_distinct(_bound(digests, whole))).alias("x"))
+    return kept.groupBy(key, "x.print").agg((-F.max("x.back")).alias("place"))
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _runs(items: Column, n: int, join: Callable[[Column, Column], Column]) -> Column:
+    """What ``join`` makes of each run of n items, a power of two, by doubling: linear in the items."""
+    if n < 1 or n & (n - 1):
+        raise ValueError("runs have a power of two of items")
+    if n == 1:
+        return items
+    half = n // 2
+    shorter = lambda a: F.greatest(F.size(a) - half, F.lit(0))
+    return _bound(_runs(items, half, join), lambda a: F.zip_with(F.slice(a, 1, shorter(a)), F.slice(a, 1 + half, shorter(a)), join))
 
 
 def syndicated_bodies(articles: DataFrame, key: str, outlet: str, text: Column, least: float = 0.5) -> DataFrame:
