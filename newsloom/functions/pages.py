@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions import prose as R
 from newsloom.functions import text as T
 
 _TAG, _SPACE = re.compile(r"<[^>]*>"), re.compile(r"\s+")
@@ -24,11 +25,6 @@ _KEYS = ["articleBody", "description", "summary", "excerpt", "seoDescription", "
 _EMBEDDED = re.compile(r'(?is)"(%s)"\s*:\s*"((?:[^"\\]|\\.){80,4000})"' % "|".join(_KEYS))
 _META_TAG = re.compile(r"(?is)<meta\b[^>]*>")
 _ATTRIBUTE = re.compile(r"(?is)([a-z:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
-_SENTENCE = re.compile(r"(?s).+?(?:[.!?][\"')\]”’]*(?=\s+[A-Z\"'(“‘])|\Z)")
-_SHORT = re.compile(r"(?:\b(?:Mr|Mrs|Ms|Dr|Prof|St|Gen|Sen|Rep|Gov|No|vs|etc|Inc|Jr|Sr)|\b[A-Z](?:\.[A-Z])*)\.[\"')\]]*$")
-_ATTRIBUTED = re.compile(r"[.!?][\"”'’]$")
-#: A speaker's clause behind a quotation: up to four words, the last a verb of speech.
-_ATTRIBUTION = re.compile(r"^(?:\S+ ){0,3}(?:said|explained|recalled|insisted|concluded|commented|continued)\b")
 _QUALITIES = ("rss_only", "metadata_description", "article_body")
 _FLAT_TOKEN = re.compile("[a-z0-9]{4,}")
 
@@ -111,12 +107,10 @@ def snippet(text: str | None, most: int) -> str:
 
 
 def split_sentences(text: str | None) -> list[str]:
-    """Sentences with their closing marks; abbreviations and initials do not end one, an open quotation goes on, and an attribution stays with
-    its quotation."""
+    """The Python form of ``prose.sentences``."""
     out: list[str] = []
-    for found in _SENTENCE.finditer(_SPACE.sub(" ", text or "").strip()):
-        piece = found[0].strip()
-        if out and (_SHORT.search(out[-1]) or out[-1].count('"') % 2 or out[-1].count("“") > out[-1].count("”") or (_ATTRIBUTED.search(out[-1]) and _ATTRIBUTION.match(piece))):
+    for piece in re.sub(R.CUT, "\\1\n\\2", _SPACE.sub(" ", text or "").strip()).split("\n"):
+        if out and (re.search(R.SHORT, out[-1]) or out[-1].count('"') % 2 or out[-1].count("“") > out[-1].count("”") or (re.search(R.QUOTED, out[-1]) and re.match(R.ATTRIBUTION, piece))):
             out[-1] = f"{out[-1]} {piece}"
         elif piece:
             out.append(piece)
@@ -133,18 +127,6 @@ def alignment(reference: str, candidate: str, rules: PageRules = RULES) -> float
     return len(a & b) / min(len(a), len(b)) if min(len(a), len(b)) >= 4 else 0.0
 
 
-def narrative_sentences(text: str | None, similar: float = 0.72, overlap: float = 0.66, rules: PageRules = RULES) -> list[str]:
-    """Narrative, unclipped sentences that repeat no earlier one."""
-    kept: list[tuple[str, set[str]]] = []
-    for s in split_sentences(text):
-        if non_narrative(s, rules) or clipped(s):
-            continue
-        t = _tokens(s)
-        if not any(s == k or (t and u and (len(t & u) / max(len(t), len(u)) >= similar or len(t & u) / min(len(t), len(u)) >= overlap)) for k, u in kept):
-            kept.append((s, t))
-    return [s for s, _ in kept]
-
-
 def meta(page: str, names: tuple[str, ...]) -> str:
     """Content of the first of the named meta tags that has some."""
     found: dict[str, str] = {}
@@ -319,33 +301,6 @@ def extract_pages(pages: DataFrame, id_col: str, html_col: str, url: Column, fal
     return out.withColumnRenamed("id", id_col)
 
 
-def sentences(text: Column, narrative: bool = False) -> Column:
-    """The sentences of a text as an array, computed once for the steps that need them."""
-    split = narrative_sentences if narrative else split_sentences
-
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(split)
-
-    return run(text)
-
-
-def plain_text(markup: Column) -> Column:
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(strip_html)
-
-    return run(markup)
-
-
-def sanitized(text: Column) -> Column:
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: sanitize(t or ""))
-
-    return run(text)
-
-
 def hidden_text(markup: Column) -> Column:
     """struct(jsonld, embedded, live): the texts of JSON-LD scripts, of JSON anywhere in a page, and of live updates."""
 

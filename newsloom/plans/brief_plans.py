@@ -16,11 +16,6 @@ from newsloom.plans.catalog import query
 from newsloom.sources.scratch import durable
 
 
-@query("c1_strip_html")
-def c1(spark: SparkSession, d: str) -> DataFrame:
-    return A.table(spark, d, "pages").select("page_id", PG.plain_text(F.col("html")).alias("text"))
-
-
 @query("c3_c4_hidden_text")
 def c3(spark: SparkSession, d: str) -> DataFrame:
     return A.table(spark, d, "pages").select("page_id", PG.hidden_text(F.col("html")).alias("x")).select("page_id", "x.*")
@@ -32,21 +27,6 @@ def c16(spark: SparkSession, d: str) -> DataFrame:
     return PG.extract_pages(p, "page_id", "html", F.col("url"), F.regexp_extract("html", "<title>([^<]*)", 1), F.when(F.col("page_id") % 50 == 0, 403))
 
 
-@query("c6_sanitize_text")
-def c6(spark: SparkSession, d: str) -> DataFrame:
-    return A.table(spark, d, "documents").select("doc_id", PG.sanitized(F.col("text")).alias("text"))
-
-
-@query("c9_split_sentences")
-def c9(spark: SparkSession, d: str) -> DataFrame:
-    return A.table(spark, d, "documents").select("doc_id", PG.sentences(F.col("text")).alias("sentences"))
-
-
-@query("c10_narrative_sentences")
-def c10(spark: SparkSession, d: str) -> DataFrame:
-    return A.table(spark, d, "documents").select("doc_id", PG.sentences(F.col("text"), narrative=True).alias("sentences"))
-
-
 _STOP4, _STOP5 = ([w for w in words if len(w) >= 4] for words in (STOPWORDS, [*STOPWORDS, *H.LOW_SIGNAL]))
 
 

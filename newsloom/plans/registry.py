@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.plans import article_plans, brief_plans, desk_plans, page_plans, source_plans, story_plans, stream_plans  # noqa: F401
+from newsloom.plans import article_plans, brief_plans, desk_plans, page_plans, prose_plans, source_plans, story_plans, stream_plans  # noqa: F401
 from newsloom.plans.catalog import ORACLES, QUERIES
 
 

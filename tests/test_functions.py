@@ -120,8 +120,6 @@ def test_sentences():
     quoted = PG.split_sentences("He has a plan. “I have my own idea. But what good does it do?” The mayor recalled that they had heard that before. It may last.")
     assert quoted == ["He has a plan.", "“I have my own idea. But what good does it do?” The mayor recalled that they had heard that before.", "It may last."]
     assert PG.split_sentences(None) == [] and PG.split_sentences("no end mark here") == ["no end mark here"]
-    twice = "The council voted on the new bridge over the river on Monday evening."
-    assert PG.narrative_sentences(f"{twice} {twice} Too short. Write to our mailing list for more of what the council does every week.") == [twice]
 
 
 def test_names_in_both_forms(spark):
