@@ -140,7 +140,7 @@ def sentences(text: Column) -> Column:
 
 def narrative_sentences(text: Column, similar: float = 0.72, overlap: float = 0.66, patterns: list[str] = T.NON_NARRATIVE) -> Column:
     """Narrative, unclipped sentences that repeat no earlier one that stays."""
-    good = F.filter(sentences(text), lambda s: ~T.is_non_narrative(s, patterns) & ~T.looks_clipped(s))
+    good = F.filter(sentences(text), lambda s: ~T.is_non_narrative(s, patterns, squeezed=True) & ~T.looks_clipped(s, squeezed=True))
     worded = F.transform(good, lambda s: F.struct(s.alias("s"), T.overlap_tokens(s).alias("t")))
 
     def repeats(x: Column, k: Column) -> Column:
