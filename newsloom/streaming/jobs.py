@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -28,13 +28,22 @@ def stream_source_health(stream: DataFrame, window: str = "48 hours", slide: str
 
 
 def stream_reader_sessions(stream: DataFrame, gap: str = "30 minutes", delay: str = "1 hour", at: str = "at") -> DataFrame:
-    """(user_id, start, events, views, evidence): session windows for each reader."""
+    """(user_id, start, end, events, views, evidence): session windows for each reader. A row that comes after its session was put out, but before the watermark passes the row itself, opens a
+    piece of its own, which ``joined_sessions`` joins."""
     grouped = stream.withWatermark(at, delay).groupBy(F.session_window(at, gap), "user_id")
     return grouped.agg(F.count("*").alias("events"), F.count_if(F.col("action") == "view").alias("views"), F.count_if(F.col("action") == "evidence").alias("evidence")).select(
-        "user_id", F.col("session_window.start").alias("start"), "events", "views", "evidence"
+        "user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "events", "views", "evidence"
     )
 
 
+def joined_sessions(pieces: DataFrame) -> DataFrame:
+    """What ``stream_reader_sessions`` put out, with the pieces of a reader that overlap as one session. A window holds the pieces of a reader."""
+    order = Window.partitionBy("user_id").orderBy("start", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = pieces.withColumn("_new", F.when(F.col("start") < before, 0).otherwise(1)).withColumn("_session", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return opened.groupBy("user_id", "_session").agg(F.min("start").alias("start"), F.max("end").alias("end"), *(F.sum(c).alias(c) for c in ("events", "views", "evidence"))).drop("_session")
+
+
 _STATE = "saved boolean, saved_at long, saved_id long, followed boolean, followed_at long, followed_id long, viewed_at long"
 _NAMES = ["saved", "saved_at", "saved_id", "followed", "followed_at", "followed_id", "viewed_at"]
 

@@ -68,6 +68,19 @@ def test_tracking_state(spark, event_files, tmp_path):
     assert joined.select("user_id", "story_id").distinct().count() == want.count()
 
 
+def test_late_rows_join_sessions_that_were_put_out(spark, tmp_path):
+    source = str(tmp_path / "clicks")
+    for minutes in ([0, 10, 100, 300], [310], [20, 110, 800], [1000]):  # at 310 the watermark is 240: 20 is too late; 215 and 228 are not
+        minutes = [215, 228, *minutes] if 800 in minutes else [190, *minutes] if 0 in minutes else minutes
+        rows = spark.createDataFrame([(7, "view", m) for m in minutes], "user_id long, action string, m long")
+        rows.select("user_id", "action", F.timestamp_seconds(1704067200 + 60 * F.col("m")).alias("at")).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("user_id long, action string, at timestamp").option("maxFilesPerTrigger", 1).parquet(source)
+    pieces = jobs.finished(jobs.stream_reader_sessions(stream), "append", str(tmp_path / "sessions"))
+    start = lambda r: (int(r.start.timestamp()) - 1704067200) // 60
+    assert sorted((start(r), r.events) for r in pieces.collect()) == [(0, 2), (100, 1), (190, 1), (215, 2), (300, 2), (800, 1)]
+    assert sorted((start(r), r.events, r.views) for r in jobs.joined_sessions(pieces.drop("batch")).collect()) == [(0, 2, 2), (100, 1, 1), (190, 3, 3), (300, 2, 2), (800, 1, 1)]
+
+
 def test_publish(spark, event_files, tmp_path):
     events, stream = event_files
     path = str(tmp_path / "table")
