@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from newsloom.operators.reader import fold_tracking_events
 from newsloom.operators.revisions import publish_revisions
 from newsloom.operators.tables import upsert_by_key
 
@@ -53,7 +54,9 @@ def stream_tracking_state(stream: DataFrame, ttl_ms: int | None = None) -> DataF
 
     An event that is older than what its field was last set by changes nothing, so order of arrival does not matter.
     With ttl_ms, state unused that long is dropped; such a query keeps running idle batches, so it does not end under availableNow. Without it, state
-    grows with the pairs of reader and story, as the stored table does."""
+    grows with the pairs of reader and story, as the stored table does, and is kept by plain aggregates."""
+    if not ttl_ms:
+        return fold_tracking_events(stream).select("user_id", "story_id", "saved", "followed", "viewed_at")
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -69,12 +72,11 @@ def stream_tracking_state(stream: DataFrame, ttl_ms: int | None = None) -> DataF
                 if action == "view":
                     viewed_at = max(viewed_at, int(second))
         state.update((saved, saved_at, saved_id, followed, followed_at, followed_id, viewed_at))
-        if ttl_ms:
-            state.setTimeoutDuration(ttl_ms)
+        state.setTimeoutDuration(ttl_ms)
         if saved or followed or viewed_at >= 0:
             yield pd.DataFrame([(key[0], key[1], saved, followed, viewed_at)], columns=["user_id", "story_id", "saved", "followed", "viewed_at"])
 
-    folded = stream.groupBy("user_id", "story_id").applyInPandasWithState(fold, "user_id long, story_id long, saved boolean, followed boolean, viewed_at long", _STATE, "update", "ProcessingTimeTimeout" if ttl_ms else "NoTimeout")
+    folded = stream.groupBy("user_id", "story_id").applyInPandasWithState(fold, "user_id long, story_id long, saved boolean, followed boolean, viewed_at long", _STATE, "update", "ProcessingTimeTimeout")
     return folded.withColumn("viewed_at", F.when(F.col("viewed_at") >= 0, F.col("viewed_at")))
 
 

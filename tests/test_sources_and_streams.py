@@ -81,6 +81,14 @@ def test_late_rows_join_sessions_that_were_put_out(spark, tmp_path):
     assert sorted((start(r), r.events, r.views) for r in jobs.joined_sessions(pieces.drop("batch")).collect()) == [(0, 2, 2), (100, 1, 1), (190, 3, 3), (300, 2, 2), (800, 1, 1)]
 
 
+def test_tracking_state_is_kept_by_aggregates(event_files):
+    """Without a time to live no Python runs for each pair of reader and story."""
+    _, stream = event_files
+    rows = stream.select("user_id", "story_id", "action", "second", "event_id")
+    assert "FlatMapGroupsInPandasWithState" not in jobs.stream_tracking_state(rows)._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapGroupsInPandasWithState" in jobs.stream_tracking_state(rows, 60_000)._jdf.queryExecution().analyzed().toString()
+
+
 def test_publish(spark, event_files, tmp_path):
     events, stream = event_files
     path = str(tmp_path / "table")
