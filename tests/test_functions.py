@@ -294,6 +294,22 @@ def test_neighbors_by_lists(spark, monkeypatch):
     assert neighbors.ivf_neighbors(vectors.where("k >= 900"), "k", "v").count() == 0
 
 
+def test_pairs_of_common_tokens_move_once(spark):
+    """In blocks and by the join alike every pair comes out once, and no other is made."""
+    import random
+
+    from newsloom.sources.scratch import Tables
+
+    draw = random.Random(3)
+    sets = sorted({tuple(sorted(draw.sample([f"w{i}" for i in range(9)] + [f"rare{i}" for i in range(6)], draw.choice([1, 2, 3, 5, 6])))) for _ in range(200)})
+    frame = spark.createDataFrame(list(enumerate(sets)), "print long, tokens array<string>")
+    want = {(i, j): len({*s} & {*t}) / max(len(s), len(t)) for i, s in enumerate(sets) for j, t in enumerate(sets) if i < j and len({*s} & {*t}) / max(len(s), len(t)) >= 0.6}
+    with Tables(spark) as tables:
+        for block, few in ((16, 4), (1024, 4), (1024, 1000)):
+            got = similarity.similar_pairs(frame, 0.6, tables, block, few).collect()
+            assert len(got) == len(want) > 50 and {(r.a, r.b): r.similarity for r in got} == want
+
+
 def test_near_pairs_are_all_found(spark):
     import random
 
