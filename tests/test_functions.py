@@ -310,6 +310,12 @@ def test_pairs_of_common_tokens_move_once(spark):
             assert len(got) == len(want) > 50 and {(r.a, r.b): r.similarity for r in got} == want
 
 
+def test_relations_hold_every_link_of_unlike_headlines(spark):
+    rows = [(1, None, "alpha beta gamma delta epsilon", "x"), (2, None, "alpha beta gamma delta other", "y"), (3, None, "alpha beta gamma other words", "z"), (4, "u", "epsilon delta gamma beta alpha", "X"), (5, "u", "", "")]
+    got = similarity.article_relations(spark.createDataFrame(rows, "k long, u string, h string, b string"), "k", "u", F.col("h"), F.col("b"), 0.6).collect()
+    assert sorted((r.kind, r.article, r.other) for r in got) == [("body", 4, 1), ("headline", 2, 1), ("headline", 3, 1), ("headline", 3, 2), ("headline", 4, 1), ("url", 5, 4)]
+
+
 def test_near_pairs_are_all_found(spark):
     import random
 
