@@ -294,6 +294,15 @@ def test_neighbors_by_lists(spark, monkeypatch):
     assert neighbors.ivf_neighbors(vectors.where("k >= 900"), "k", "v").count() == 0
 
 
+def test_blocks_of_queries_and_vectors_do_not_travel_as_pairs(spark):
+    """A row that holds both blocks would put thousands of them into one batch."""
+    vectors = spark.createDataFrame([(i, [1.0, float(i % 7), float(i % 3)]) for i in range(200)], "k long, v array<double>")
+    found = similarity.top_k_neighbors(vectors, "k", "v", vectors.where("k % 50 = 0"), block=16)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan.split("CoGroup")[0] and "CoGroup" in plan and "Join" not in plan
+    assert found.groupBy("item").count().where("count = 6").count() == 4
+
+
 def test_pairs_of_common_tokens_move_once(spark):
     """In blocks and by the join alike every pair comes out once, and no other is made."""
     import random
