@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.functions.text import settled
 from newsloom.operators.stories import top_per
 
 LENSES = ["balanced", "evidence", "local", "international"]
@@ -16,17 +17,39 @@ def presence_counts(members: DataFrame, kinds: dict[str, str]) -> DataFrame:
     return members.select("story_id", stacked.alias("x")).groupBy("story_id", "x.kind", "x.label").agg(F.count("*").alias("n"))
 
 
+def _distinct(value: Column) -> Column:
+    """Distinct values of an aggregate, gathered as a set: labels and outlets of a story are few, and a row is not multiplied by the columns that are counted."""
+    return F.size(F.collect_set(value)).cast("long")
+
+
 def perspective_status(members: DataFrame) -> DataFrame:
     """(story_id, status, outlets, framings, families, review): ready with two substantive articles of two outlets."""
     c = members.groupBy("story_id").agg(
-        F.count_if("is_substantive").alias("_sub"), F.countDistinct(F.when(F.col("is_substantive"), F.col("outlet"))).alias("_sub_outlets"),
-        F.countDistinct("outlet").alias("outlets"), F.countDistinct("framing_group").alias("framings"), F.countDistinct("family").alias("families"),
+        F.count_if("is_substantive").alias("_sub"), _distinct(F.when(F.col("is_substantive"), F.col("outlet"))).alias("_sub_outlets"),
+        _distinct(F.col("outlet")).alias("outlets"), _distinct(F.col("framing_group")).alias("framings"), _distinct(F.col("family")).alias("families"),
     )
     ready = (F.col("_sub") >= 2) & (F.col("_sub_outlets") >= 2)
     review = F.filter(F.array(F.when(F.col("framings") == 1, "one_framing"), F.when(F.col("families") == 1, "one_family"), F.when(F.col("outlets") == 1, "one_outlet")), lambda x: x.isNotNull())
     return c.select("story_id", F.when(ready, "ready").otherwise("early").alias("status"), "outlets", "framings", "families", F.array_join(review, ",").alias("review"))
 
 
+def _lens_state() -> dict[str, tuple[Column, Column]]:
+    """Of each lens its candidates and why it can't be offered, from the counts _s (substantive), _local and _far of these, and _outlets, _framings, _families, of which only 0, 1 and more matter."""
+    c = F.col
+    narrow = (c("_s") < 2) | (c("_outlets") < 2)
+    state = {
+        "balanced": ("_s", F.when(narrow, "few_outlets").when((c("_framings") < 2) & (c("_families") < 2), "one_lane")),
+        "evidence": ("_s", F.when(c("_s") == 0, "nothing_read").when(c("_s") == 1, "thin")),
+        "local": ("_local", F.when(narrow, "few_outlets").when(c("_local") == 0, "no_local")),
+        "international": ("_far", F.when(narrow, "few_outlets").when(c("_far") == 0, "no_international").when(c("_far") == c("_s"), "no_counterpart")),
+    }
+    return {lens: (c(n), F.coalesce(why, F.lit("ready"))) for lens, (n, why) in state.items()}
+
+
+def _offer(reason: Column) -> Column:
+    return F.when(reason == "ready", "ready").when(reason == "thin", "limited").otherwise("unavailable")
+
+
 def lens_status(members: DataFrame) -> DataFrame:
     """(story_id, lens, n, status, reason): how many candidates each of the four lenses has, and whether it can be offered.
 
@@ -34,18 +57,11 @@ def lens_status(members: DataFrame) -> DataFrame:
     one, international an international one and another to hold it against. Evidence is limited with one. reason: few_outlets, one_lane, nothing_read, thin, no_local, no_international, no_counterpart, or ready."""
     c, sub = F.col, F.col("is_substantive")
     counts = members.groupBy("story_id").agg(
-        F.count_if(sub).alias("_s"), F.countDistinct(F.when(sub, c("outlet"))).alias("_outlets"), F.countDistinct("framing_group").alias("_framings"), F.countDistinct("family").alias("_families"),
+        F.count_if(sub).alias("_s"), _distinct(F.when(sub, c("outlet"))).alias("_outlets"), _distinct(c("framing_group")).alias("_framings"), _distinct(c("family")).alias("_families"),
         F.count_if(sub & (c("scope") == "local")).alias("_local"), F.count_if(sub & (c("scope") == "international")).alias("_far"),
     )
-    narrow = (c("_s") < 2) | (c("_outlets") < 2)
-    state = {
-        "balanced": ("_s", F.when(narrow, "few_outlets").when((c("_framings") < 2) & (c("_families") < 2), "one_lane")),
-        "evidence": ("_s", F.when(c("_s") == 0, "nothing_read").when(c("_s") == 1, "thin")),
-        "local": ("_local", F.when(narrow, "few_outlets").when(c("_local") == 0, "no_local")),
-        "international": ("_far", F.when(narrow, "few_outlets").when(c("_far") == 0, "no_international").when(c("_far") == c("_s"), "no_counterpart")),
-    }
-    rows = counts.select("story_id", F.explode(F.array(*(F.struct(F.lit(x).alias("lens"), c(n).alias("n"), F.coalesce(why, F.lit("ready")).alias("reason")) for x, (n, why) in state.items()))).alias("x")).select("story_id", "x.*")
-    status = F.when(c("reason") == "ready", "ready").when(c("reason") == "thin", "limited").otherwise("unavailable")
+    rows = counts.select("story_id", F.explode(F.array(*(F.struct(F.lit(x).alias("lens"), n.alias("n"), why.alias("reason")) for x, (n, why) in _lens_state().items()))).alias("x")).select("story_id", "x.*")
+    status = _offer(c("reason"))
     return rows.select("story_id", "lens", F.when(status == "unavailable", 0).otherwise(c("n")).alias("n"), status.alias("status"), "reason")
 
 
@@ -61,7 +77,6 @@ def lens_items(members: DataFrame, sizes: dict[str, int] = LENS_SIZES, codes: di
     members: story_id, article_id, rank_in_story, is_substantive, access (open, likely_paywalled, unknown), extraction_quality, body_length, framing_group, family (wire, public_media, national ...), scope, local_words."""
     w = lambda *c: Window.partitionBy("story_id", *c)
     c, when = F.col, lambda test, yes, no=0.0: F.when(test, yes).otherwise(no)
-    m = members.withColumn("_nf", F.count("*").over(w("framing_group"))).withColumn("_ns", F.count("*").over(w("family")))
     # The points of a read.
     base = (
         when(c("is_substantive"), 14) + F.when(c("access") == "open", 4).when(c("access") == "likely_paywalled", -2).otherwise(0) + F.when(c("extraction_quality") == "article_body", 8).when(c("extraction_quality") == "metadata_description", 3).otherwise(0)
@@ -71,9 +86,17 @@ def lens_items(members: DataFrame, sizes: dict[str, int] = LENS_SIZES, codes: di
         "balanced": 10 / c("_nf") + 8 / c("_ns"), "evidence": when(c("is_substantive"), 10.0) + when(c("family").isin("wire", "public_media"), 6.0),
         "local": when(c("scope") == "local", 14.0, -4.0) + when(c("local_words"), 8.0), "international": when(c("scope") == "international", 14.0, -4.0) + when(c("family").isin("wire", "national"), 2.0),
     }
-    rows = m.select("*", F.explode(F.array(*(F.struct(F.lit(x).alias("lens"), F.round(base + t, 6).alias("score")) for x, t in terms.items()))).alias("x")).select("story_id", "article_id", "rank_in_story", "framing_group", "is_substantive", "scope", "x.*")
-    offered = lens_status(members).where("status <> 'unavailable'").select("story_id", "lens")
-    rows = rows.where(c("is_substantive") & (~c("lens").isin("local", "international") | (c("scope") == c("lens")))).join(offered, ["story_id", "lens"], "left_semi").drop("is_substantive", "scope")
+    # Members move once, by story: every window is over a story or a part of it, and whether a lens is offered is told by windows, too.
+    m = members.where("story_id IS NOT NULL").withColumn("_base", base).select("story_id", "article_id", "rank_in_story", "is_substantive", "outlet", "framing_group", "family", "scope", "local_words", "_base").repartition("story_id")
+    two = lambda x: F.when(F.min(x).over(w()) != F.max(x).over(w()), 2).when(F.min(x).over(w()).isNotNull(), 1).otherwise(0)
+    sub, held = c("is_substantive"), lambda test: F.count_if(test).over(w())
+    m = m.withColumns({
+        "_s": held(sub), "_local": held(sub & (c("scope") == "local")), "_far": held(sub & (c("scope") == "international")), "_outlets": two(F.when(sub, c("outlet"))), "_framings": two(c("framing_group")), "_families": two(c("family")),
+        "_nf": F.count("*").over(w("framing_group")), "_ns": F.count("*").over(w("family")),
+    }).where(sub)
+    fits = lambda x: (_offer(_lens_state()[x][1]) != "unavailable") & ((c("scope") == x) if x in ("local", "international") else F.lit(True))
+    reads = F.array(*(F.when(fits(x), F.struct(F.lit(x).alias("lens"), F.round(c("_base") + t, 6).alias("score"))) for x, t in terms.items()))
+    rows = m.select("story_id", "article_id", "rank_in_story", "framing_group", F.explode(reads).alias("x")).where("x IS NOT NULL").select("story_id", "article_id", "rank_in_story", "framing_group", "x.*")
     order = [F.desc("score"), F.asc("rank_in_story"), F.asc("article_id")]
     rows = rows.withColumn("_r", F.row_number().over(w("lens").orderBy(*order))).withColumn("_f", F.first("framing_group").over(w("lens").orderBy(*order)))
     rows = rows.withColumn("_second", F.min(F.when(c("framing_group") != c("_f"), c("_r"))).over(w("lens")))
@@ -133,21 +156,27 @@ def build_perspective(members: DataFrame, product: str) -> DataFrame:
 
     members: as for lens_items, with outlet."""
     kinds = {"framing": "framing_group", "family": "family", "scope": "scope"}
-    status, presence = perspective_status(members), presence_counts(members, kinds)
-    listed = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "label"))), lambda x: F.struct(x["label"].alias("label"), (-x["m"]).alias("n")))
-    lists = presence.groupBy("story_id").pivot("kind", list(kinds)).agg(listed)
-    snapshot = members.groupBy("story_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank_in_story", "article_id", F.col("outlet").cast("string").alias("outlet"), "extraction_quality"))), lambda x: F.struct(x["article_id"].alias("article_id"), x["outlet"].alias("outlet"), x["extraction_quality"].alias("extraction_quality"))).alias("snapshot"),
-        F.count("*").alias("articles"), F.count_if("is_substantive").alias("substantive"), F.countDistinct(F.when(F.col("is_substantive"), F.col("outlet"))).alias("substantive_outlets"),
-    )
-    counted = lens_items(members).groupBy("story_id", "lens").agg(F.count("*").alias("count"))
-    state = lens_status(members).join(counted, ["story_id", "lens"], "left").fillna(0, ["count"])
-    state = state.withColumn("status", F.when(F.col("count") == 0, "unavailable").otherwise(F.col("status")))
-    lenses = state.groupBy("story_id").agg(
-        F.array_sort(F.collect_list(F.struct("lens", "status", "count"))).alias("lenses"), *(F.max(F.when(F.col("lens") == x, F.col("status"))).alias(f"_{x}") for x in LENSES)
-    )
-    c, text = F.col, lambda *parts: F.concat(*(p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts))
-    rows = status.drop("review").join(lists, "story_id").join(snapshot, "story_id").join(lenses, "story_id")
+    c, sub = F.col, F.col("is_substantive")
+    told = F.struct("rank_in_story", "article_id", c("outlet").cast("string").alias("outlet"), "extraction_quality", *kinds.values(), "is_substantive")
+    # The snapshot lists all members of a story, so what else is told of a story is read from that list.
+    gathered = members.where("story_id IS NOT NULL").groupBy("story_id").agg(F.array_sort(F.collect_list(told)).alias("_told"), F.count("*").alias("articles"), F.count_if(sub).alias("substantive"), F.count_if(sub & (c("scope") == "local")).alias("_local"), F.count_if(sub & (c("scope") == "international")).alias("_far"))
+    held = lens_items(members).groupBy("story_id").agg(*(F.count_if(c("lens") == x).alias(f"_n_{x}") for x in LENSES)).hint("shuffle_hash")
+    gathered = gathered.join(held, "story_id", "left").fillna(0, [f"_n_{x}" for x in LENSES])  # both lie by story
+    values = lambda name, only=lambda x: F.lit(True): F.array_distinct(F.transform(F.filter("_told", only), lambda x: x[name]))
+    several = lambda values: F.size(F.filter(values, lambda x: x.isNotNull())).cast("long")
+    listed = lambda kind: F.transform(F.array_sort(F.transform(values(kind), lambda v: F.struct((-F.size(F.filter("_told", lambda x: x[kind].eqNullSafe(v)))).alias("m"), v.alias("label")))), lambda x: F.struct(x["label"].alias("label"), (-x["m"]).cast("long").alias("n")))
+    snapshot = F.transform("_told", lambda x: F.struct(x["article_id"].alias("article_id"), x["outlet"].alias("outlet"), x["extraction_quality"].alias("extraction_quality")))
+    rows = settled(gathered.select(
+        "story_id", "articles", "substantive", c("substantive").alias("_s"), "_local", "_far", *(f"_n_{x}" for x in LENSES), snapshot.alias("snapshot"), *(listed(kind).alias(name) for name, kind in kinds.items()),
+        several(values("outlet")).alias("outlets"), several(values("outlet", lambda x: x["is_substantive"])).alias("substantive_outlets"),
+    ))
+    several_labels = lambda name: several(F.transform(name, lambda x: x["label"]))
+    rows = rows.withColumns({"framings": several_labels("framing"), "families": several_labels("family"), "_outlets": c("substantive_outlets")})
+    rows = rows.withColumns({"_framings": c("framings"), "_families": c("families"), "status": F.when((c("substantive") >= 2) & (c("substantive_outlets") >= 2), "ready").otherwise("early")})
+    offered = {x: F.when(c(f"_n_{x}") == 0, "unavailable").otherwise(_offer(why)) for x, (_, why) in _lens_state().items()}
+    rows = settled(rows.select(*(x for x in rows.columns if not x.startswith("_")), *(f"_n_{x}" for x in LENSES), *(state.alias(f"_{x}") for x, state in offered.items())))
+    rows = rows.withColumn("lenses", F.array_sort(F.array(*(F.struct(F.lit(x).alias("lens"), c(f"_{x}").alias("status"), c(f"_n_{x}").alias("count")) for x in LENSES))))
+    text = lambda *parts: F.concat(*(p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts))
     names = lambda kind, k: F.array_join(F.slice(F.transform(kind, lambda x: x["label"]), 1, k), " and ")
     early = c("status") == "early"
     summary = F.when(early, text(f"{product} has few sources to compare yet, mostly ", names("family", 2), "; what shows is ", names("framing", 1), ".")).otherwise(text(f"{product} compares ", c("outlets"), " outlets here: ", names("framing", 1), " leads, ", names("family", 2), " carry most of it."))

@@ -557,3 +557,26 @@ def test_quality_rules(spark):
     got = {r.brief_id: r for r in audits.quality_flags(spark.createDataFrame([{**sound, **change, "brief_id": k} for k, (change, _) in enumerate(cases)])).collect()}
     assert [got[k].flags for k in range(len(cases))] == [flags for _, flags in cases]
     assert (got[2].risk, got[2].priority) == (42, "critical") and (got[0].risk, got[0].priority) == (0, "pass") and (got[15].risk, got[15].priority) == (24, "warning")
+
+
+def _exchanges(frame):
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning"), plan.count("Expand")
+
+
+def test_members_of_stories_move_once(spark):
+    """A lens, a status or a perspective moves each member once for each table that it makes of them, and multiplies no rows to count distinct ones."""
+    from newsloom.operators import perspective
+
+    rows = [(s, a, a % 4, a % 5 > 0, "open", "article_body", 300 + a, "lcr"[a % 3], ["wire", "local"][a % 2], ["local", "international", "national"][a % 3], a % 2 == 0, a % 7) for s in (1, 2, None) for a in range(6)]
+    frame = spark.createDataFrame(rows, "story_id long, article_id long, rank_in_story long, is_substantive boolean, access string, extraction_quality string, body_length long, framing_group string, family string, scope string, local_words boolean, outlet long")
+    assert _exchanges(perspective.perspective_status(frame)) == (1, 0)
+    assert _exchanges(perspective.lens_status(frame)) == (1, 0)
+    assert _exchanges(perspective.lens_items(frame)) == (1, 0)
+    assert _exchanges(perspective.build_perspective(frame, "It")) == (2, 0)
+    assert {r.story_id for r in perspective.lens_items(frame).collect()} == {1, 2}
+    status = {r.story_id: r for r in perspective.perspective_status(frame).collect()}
+    built = {r.story_id: r for r in perspective.build_perspective(frame, "It").collect()}
+    assert set(built) == {1, 2} and all(built[s].outlets == 6 == status[s].outlets and built[s].framings == 3 and built[s].families == 2 for s in built)
+    items = perspective.lens_items(frame).where("story_id = 1").groupBy("lens").count().collect()
+    assert {(x.lens, x["count"]) for x in built[1].lenses if x["count"]} == {(r.lens, r["count"]) for r in items}
