@@ -580,3 +580,21 @@ def test_members_of_stories_move_once(spark):
     assert set(built) == {1, 2} and all(built[s].outlets == 6 == status[s].outlets and built[s].framings == 3 and built[s].families == 2 for s in built)
     items = perspective.lens_items(frame).where("story_id = 1").groupBy("lens").count().collect()
     assert {(x.lens, x["count"]) for x in built[1].lenses if x["count"]} == {(r.lens, r["count"]) for r in items}
+
+
+def _counting(spark, frame, column):
+    """frame, and a count of how often a value of ``column`` was computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(text):
+        seen.add(1)
+        return text
+
+    return frame.withColumn(column, F.udf(look, "string").asNondeterministic()(column)), seen
+
+
+def test_source_rows_are_computed_once(spark):
+    rows = spark.createDataFrame([(1, 1, 1, "alpha beta gamma delta", "title"), (1, 2, 2, "alpha beta gamma delta", "title"), (1, 3, 3, "other words stand here", "title")], "story_id long, article_id long, rank long, snippet string, title string")
+    counted, seen = _counting(spark, rows, "snippet")
+    assert {r.article_id for r in briefs.dedupe_sources(counted, text="snippet", anchors=["title"]).collect()} == {1, 3}
+    assert seen.value == 3
