@@ -113,7 +113,8 @@ def quality_flags(briefs: DataFrame, rules: list[tuple[str, str, Column]] | None
 def review_sample(evaluations: DataFrame, limit: int = 12, controls: int = 2) -> DataFrame:
     """All critical rows, warnings up to limit - controls, and the newest passing ones as controls; if nothing failed, newest passing ones.
 
-    evaluations: brief_id, priority, risk, newest."""
+    evaluations: brief_id, priority, risk, newest. Written once, since classes are counted before they are read; select what is wanted of them before."""
+    evaluations = durable(evaluations, "evaluations")
     critical = evaluations.where("priority = 'critical'")
     warned = evaluations.where("priority = 'warning'").orderBy(F.desc("risk"), F.desc("newest"), "brief_id")
     passing = evaluations.where("priority = 'pass'").orderBy(F.desc("newest"), "brief_id")

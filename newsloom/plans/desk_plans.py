@@ -13,6 +13,7 @@ from newsloom.operators import reader as K
 from newsloom.operators import revisions as J
 from newsloom.plans import adapters as A
 from newsloom.plans.catalog import query
+from newsloom.sources.scratch import durable
 
 AS_OF = 1706659200  # 2024-01-31 00:00 UTC
 
@@ -474,8 +475,9 @@ ev AS (SELECT *, array_to_string(fl, ',') AS flags, least(100, 30 * grave + 12 *
 def evaluations(spark: SparkSession, d: str) -> DataFrame:
     """Metrics of each brief for the rules: its sections, support, duplicates and texts; what the tables do not hold comes from the brief's number."""
     c, b, text = F.col, F.col("brief_id"), F.col("text")
-    report = M.grounding_report(grounding(spark, d)).select("brief_id", "ratio")
-    counts = grounding(spark, d).groupBy("brief_id").agg(F.count_if(c("status").isin("ungrounded", "missing")).alias("unsupported"), F.count_if(c("status") == "weak").alias("weak"))
+    graded = durable(grounding(spark, d).select("brief_id", "section", "status"), "graded")  # two tables are made of it
+    report = M.grounding_report(graded).select("brief_id", "ratio")
+    counts = graded.groupBy("brief_id").agg(F.count_if(c("status").isin("ungrounded", "missing")).alias("unsupported"), F.count_if(c("status") == "weak").alias("weak"))
     texts = A.table(spark, d, "conversations").groupBy(c("conv_id").alias("brief_id")).agg(
         F.count_if(~M.quotes_balanced(text)).alias("unbalanced"), F.bool_or(F.contains(F.lower(text), F.lit("one source"))).alias("one_source"),
         F.bool_or(F.startswith(F.trim(text), F.lit("The"))).alias("early_split"), F.bool_or(F.startswith(F.trim(text), F.lit("Wh"))).alias("follow_on"),
@@ -502,7 +504,7 @@ WITH {_EVAL}, n AS (SELECT count(*) FILTER (priority = 'critical') AS c, count(*
 k AS (SELECT ev.*, row_number() OVER (PARTITION BY priority ORDER BY CASE WHEN priority = 'warning' THEN risk ELSE 0 END DESC, brief_id DESC) AS k FROM ev)
 SELECT brief_id, CASE priority WHEN 'pass' THEN CASE WHEN c + w = 0 THEN 'pass' ELSE 'control' END ELSE priority END AS reason FROM k, n WHERE priority = 'critical' OR (priority = 'warning' AND k <= greatest(0, 10 - least(c, 12))) OR (priority = 'pass' AND k <= CASE WHEN c + w = 0 THEN 12 ELSE 2 END)""")
 def m6(spark: SparkSession, d: str) -> DataFrame:
-    return M.review_sample(evaluations(spark, d).withColumn("newest", F.col("brief_id"))).select("brief_id", "reason")
+    return M.review_sample(evaluations(spark, d).select("brief_id", "priority", "risk", F.col("brief_id").alias("newest"))).select("brief_id", "reason")
 
 
 @query("m7_quality_report", f"WITH {_EVAL} SELECT count(*) AS briefs, count(*) FILTER (priority = 'critical') AS critical, count(*) FILTER (priority = 'warning') AS warning, count(*) FILTER (priority = 'pass') AS pass, count(*) FILTER (list_contains(fl, 'no_brief')) AS missing, count(*) FILTER (ready_now) AS ready, round(avg(risk), 6) AS mean_risk, round(avg(ratio), 6) AS mean_grounding FROM ev")

@@ -598,3 +598,11 @@ def test_source_rows_are_computed_once(spark):
     counted, seen = _counting(spark, rows, "snippet")
     assert {r.article_id for r in briefs.dedupe_sources(counted, text="snippet", anchors=["title"]).collect()} == {1, 3}
     assert seen.value == 3
+
+
+def test_evaluations_are_computed_once(spark):
+    rows = [(i, ["critical", "warning", "pass"][i % 3], i, i) for i in range(30)]
+    counted, seen = _counting(spark, spark.createDataFrame(rows, "brief_id long, priority string, risk long, newest long"), "priority")
+    got = audits.review_sample(counted).collect()
+    assert sorted((r.brief_id, r.reason) for r in got if r.reason != "critical") == [(26, "control"), (29, "control")] and sum(r.reason == "critical" for r in got) == 10
+    assert seen.value == 30
