@@ -606,3 +606,12 @@ def test_evaluations_are_computed_once(spark):
     got = audits.review_sample(counted).collect()
     assert sorted((r.brief_id, r.reason) for r in got if r.reason != "critical") == [(26, "control"), (29, "control")] and sum(r.reason == "critical" for r in got) == 10
     assert seen.value == 30
+
+
+def test_windows_of_a_text_are_not_compared_all_with_all(spark):
+    """array_distinct on structs compares each with all kept before; what repeats in winnowing is the neighbour."""
+    frame = spark.createDataFrame([(1, " ".join(f"word{i * i % 97}" for i in range(3000)))], "article_id long, body string")
+    prints = similarity.body_fingerprints(frame, "article_id", F.col("body"))
+    assert "array_distinct" not in prints._jdf.queryExecution().executedPlan().toString()
+    rows = prints.collect()
+    assert rows and len({r.print for r in rows}) == len(rows)
