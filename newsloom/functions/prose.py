@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import text as T
 
 BLANKS = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+NO_SPACE = BLANKS[:-1].replace(r"\x1C-\x20", r"\x1C-\x1F")
 REFERENCE = "&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[A-Za-z][A-Za-z0-9]{0,31};?"
 #: Names that count without a semicolon, the longest first, since one may open another.
 UNCLOSED = "^&(?:%s)" % "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
@@ -50,7 +51,7 @@ def running(values: Column, start: Column, step: Callable[[Column, Column], Colu
 
 
 def flat(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS, " "))
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), f"(?=[^!-~])(?: {BLANKS}|{NO_SPACE}{BLANKS[:-1]}*)", " "))  # single spaces may stay; printable ASCII is passed over first
 
 
 def _numbered(reference: Column, table: Column) -> Column:
@@ -112,6 +113,9 @@ def sanitized(text: Column, fragments: list[str] | tuple[str, ...]) -> Column:
 CUT = r"""([.!?]["')\]”’]*) ([A-Z"'(“‘])"""
 SHORT = r"""(?:^|[^A-Za-z0-9_])(?:Mr|Mrs|Ms|Dr|Prof|St|Gen|Sen|Rep|Gov|No|vs|etc|Inc|Jr|Sr|[A-Z](?:\.[A-Z])*)\.["')\]]*$"""
 QUOTED = "[.!?][\"”'’]$"
+#: The same two on reversed text, where they are looked for at its start alone.
+SHORT_BACK = r"""^["')\]]*\.(?:rM|srM|sM|rD|forP|tS|neG|neS|peR|voG|oN|sv|cte|cnI|rJ|rS|(?:[A-Z]\.)*[A-Z])(?:[^A-Za-z0-9_]|$)"""
+QUOTED_BACK = "^[\"”'’][.!?]"
 ATTRIBUTION = "^(?:[^ ]+ ){0,3}(?:said|explained|recalled|insisted|concluded|commented|continued)(?:[^A-Za-z0-9_]|$)"
 
 
@@ -124,7 +128,7 @@ def sentences(text: Column) -> Column:
         before = F.concat(F.array(F.lit("")), F.slice(pieces, 1, F.size(pieces) - 1))
         marks = F.zip_with(pieces, before, lambda p, b: F.struct(
             (count(p, '"') % 2 == 1).alias("odd"), (count(p, "“") - count(p, "”")).alias("open"),
-            (F.rlike(b, F.lit(SHORT)) | (F.rlike(b, F.lit(QUOTED)) & F.rlike(p, F.lit(ATTRIBUTION)))).alias("bound"),
+            held(F.reverse(b), lambda r: F.rlike(r, F.lit(SHORT_BACK)) | (F.rlike(r, F.lit(QUOTED_BACK)) & F.rlike(p, F.lit(ATTRIBUTION)))).alias("bound"),
         ))
 
         def step(s: Column, m: Column) -> Column:
@@ -141,13 +145,17 @@ def sentences(text: Column) -> Column:
 def narrative_sentences(text: Column, similar: float = 0.72, overlap: float = 0.66, patterns: list[str] = T.NON_NARRATIVE) -> Column:
     """Narrative, unclipped sentences that repeat no earlier one that stays."""
     good = F.filter(sentences(text), lambda s: ~T.is_non_narrative(s, patterns, squeezed=True) & ~T.looks_clipped(s, squeezed=True))
-    worded = F.transform(good, lambda s: F.struct(s.alias("s"), T.overlap_tokens(s).alias("t")))
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(t), F.lit(64)).cast("int"))
+    marked = lambda t: F.aggregate(t, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseOR(bit(x)))
+    worded = F.transform(good, lambda s: held(T.overlap_tokens(s), lambda t: F.struct(s.alias("s"), t.alias("t"), marked(t).alias("m"), F.size(t).alias("n"))))
 
     def repeats(x: Column, k: Column) -> Column:
-        a, b = F.size(x["t"]), F.size(k["t"])
+        a, b = x["n"], k["n"]
+        apart = lambda y, z: F.bit_count(y["m"].bitwiseAND(F.bitwise_not(z["m"])))  # noqa: E731  # tokens of y that z lacks, at least
+        may = F.least(a - apart(x, k), b - apart(k, x)) >= F.least(similar * F.greatest(a, b), overlap * F.least(a, b)) - 1e-6
         near = held(F.size(F.array_intersect(x["t"], k["t"])), lambda n: (n / F.greatest(a, b) >= similar) | (n / F.least(a, b) >= overlap))
-        return (x["s"] == k["s"]) | F.when(F.least(a, b) > 0, near).otherwise(False)
+        return (x["s"] == k["s"]) | F.when((F.least(a, b) > 0) & may, near).otherwise(False)
 
-    none = F.array().cast("array<struct<s:string,t:array<string>>>")
+    none = F.array().cast("array<struct<s:string,t:array<string>,m:bigint,n:int>>")
     kept = F.aggregate(worded, none, lambda kept, x: F.when(F.exists(kept, lambda k: repeats(x, k)), kept).otherwise(F.concat(kept, F.array(x))))
     return F.transform(kept, lambda k: k["s"])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import pages as PG
 from newsloom.functions import prose as R
+from newsloom.functions import text as T
 
 ATOMS = [
     "&amp;", "&lt", "&copyright", "&notit;", "&#128;", "&#x1F600;", "&#0;", "&#xD800;", "&nosuch;", "&#99999999999;", "&eacute;", "&#13;", "&#xFEFF;", "<b>", "</p>", "a < b", " ", "\xa0", "Dr. ", " Mr.", "A", "B. ", "it ended.", " The",
@@ -58,3 +59,18 @@ def test_nested_fragments_go(spark):
     text = "((picture one) picture (credit two)) it stayed ."
     assert one(spark, R.sanitized(F.lit(text), PG.RULES.fragments)) == PG.sanitize(text)
     assert one(spark, R.sanitized(F.lit("aaaaaaaaab"), ["^a"])) == "b"
+
+
+def test_patterns_read_from_the_end_agree_with_those_that_are_searched_for(spark):
+    draw = random.Random(11)
+    parts = ["Mr", "Prof", "No", "xMr", "U.S", "A", "é", ".", "!", '"', "”", ")", " ", "  ", "\t", " ", "  ", "to", "of x", "Ann B", "a'", "word", "\n", ".\"", " to ab."]
+    rows = [("".join(draw.choice(parts) for _ in range(draw.randrange(1, 9))),) for _ in range(4000)]
+    frame = spark.createDataFrame(rows, "t string").withColumn("line", F.regexp_replace("t", "\n", ""))
+    like = lambda c, p: F.rlike(c, F.lit(p))
+    line, back = F.col("line"), F.reverse(F.col("line"))
+    stump = "(?i)^[^a-z']*[a-z']{1,2}[^a-z']"
+    got = frame.select(
+        (like(line, R.SHORT) == like(back, R.SHORT_BACK)) & (like(line, R.QUOTED) == like(back, R.QUOTED_BACK)) & (~like(line, T.STUMP) | like(back, stump)),
+        R.flat(F.col("t")) == F.trim(F.regexp_replace("t", R.BLANKS, " ")), T.squeeze(F.col("t")) == F.trim(F.regexp_replace("t", r"\s+", " ")), like(line, R.SHORT), like(line, R.QUOTED), like(line, T.STUMP),
+    ).collect()
+    assert all(r[0] and r[1] and r[2] for r in got) and all(10 < sum(r[i] for r in got) < 3900 for i in (3, 4, 5))
