@@ -50,3 +50,10 @@ def test_entry():
 
     assert set(registry.queries()) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["f8_story_summary", "g7_refresh_story"])
+def test_only_the_sentences_of_an_excerpt_move_to_their_story(spark, small, name):
+    plan = QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    cut = [i for i, line in enumerate(plan) if "AS _excerpt" in line]
+    assert cut and any("Join" in line for line in plan[: cut[0]])
