@@ -615,3 +615,11 @@ def test_windows_of_a_text_are_not_compared_all_with_all(spark):
     assert "array_distinct" not in prints._jdf.queryExecution().executedPlan().toString()
     rows = prints.collect()
     assert rows and len({r.print for r in rows}) == len(rows)
+
+
+def test_bodies_are_squeezed_once_for_their_prints(spark, monkeypatch):
+    seen, whole = [], similarity.squeeze
+    monkeypatch.setattr(similarity, "squeeze", lambda text: (seen.append(1), whole(text))[1])
+    rows = spark.createDataFrame([(1, "u", "a head here", "Same  body"), (2, None, "other words there", " same body "), (3, None, "third thing now", "  "), (4, None, "fourth thing seen", None)], "k long, url string, h string, b string")
+    got = similarity.article_relations(rows, "k", "url", F.col("h"), F.col("b"), 0.9).collect()
+    assert [(r.article, r.other, r.kind) for r in got] == [(2, 1, "body")] and len(seen) == 1
