@@ -272,6 +272,17 @@ def test_neighbors(spark):
     assert np.mean([len(found.get(i, set()) & set(want[i])) / len(want[i]) for i in range(600)]) >= 0.9
 
 
+def test_hashed_neighbors_are_merged_and_come_once(spark):
+    """Codes of all tables take few bytes in a file, but not in memory, so none may be sent to every task; a pair met in several tables takes one rank."""
+    import numpy as np
+
+    x = np.random.default_rng(7).normal(size=(2000, 64))
+    found = similarity.lsh_neighbors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>"), "k", "v", bucket=256)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = found.toPandas()
+    assert not rows.duplicated(["item", "neighbor"]).any() and rows.groupby("item")["rank"].max().max() == 6
+
+
 def test_neighbors_by_lists(spark, monkeypatch):
     import numpy as np
 
