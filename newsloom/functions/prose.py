@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
+from newsloom.functions.text import held
 
 BLANKS = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 NO_SPACE = BLANKS[:-1].replace(r"\x1C-\x20", r"\x1C-\x1F")
@@ -29,11 +30,6 @@ def references() -> dict[str, str]:
     return {f"&{n}": html5[n] for n in dict.fromkeys([*common, *sorted(html5)])} | windows
 
 
-def held(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def running(values: Column, start: Column, step: Callable[[Column, Column], Column], block: int = 256) -> Column:
     """The states after each of the values. States are gathered in blocks, so that the work grows with the values and not with their square."""
 

@@ -272,6 +272,20 @@ def test_neighbors(spark):
     assert np.mean([len(found.get(i, set()) & set(want[i])) / len(want[i]) for i in range(600)]) >= 0.9
 
 
+def test_texts_are_read_once_for_their_tokens(spark):
+    """A title and a text give their tokens once, however often they are asked about."""
+    from newsloom.functions.scoring import two_sentences
+
+    rows = spark.createDataFrame([("Ships sail", "Ships sail north.\u2028 Who   Knows? yes"), (None, "")], "t string, s string")
+    plan = lambda frame: frame._jdf.queryExecution().optimizedPlan().toString()
+    alias = X.title_like(F.col("t"), F.col("s")).alias("x")
+    assert plan(rows.select(alias)).count("regexp_extract_all") == 2
+    assert [r[0] for r in rows.select(X.title_like(F.col("t"), F.col("s"))).collect()] == [True, False]
+    two = rows.select(two_sentences(F.regexp_replace("s", "\u2028", "\n\t")), two_sentences(F.col("t"))).collect()
+    assert [tuple(r) for r in two] == [(True, False), (False, False)]
+    assert [r[0] for r in rows.select(X.marked_sentences(F.col("s"))).collect()] == [["Ships sail north.", "\u2028 Who   Knows?"], []]
+
+
 def test_hashed_neighbors_are_merged_and_come_once(spark):
     """Codes of all tables take few bytes in a file, but not in memory, so none may be sent to every task; a pair met in several tables takes one rank."""
     import numpy as np
