@@ -648,3 +648,39 @@ def test_bodies_are_squeezed_once_for_their_prints(spark, monkeypatch):
     rows = spark.createDataFrame([(1, "u", "a head here", "Same  body"), (2, None, "other words there", " same body "), (3, None, "third thing now", "  "), (4, None, "fourth thing seen", None)], "k long, url string, h string, b string")
     got = similarity.article_relations(rows, "k", "url", F.col("h"), F.col("b"), 0.9).collect()
     assert [(r.article, r.other, r.kind) for r in got] == [(2, 1, "body")] and len(seen) == 1
+
+
+def test_every_pair_of_syndicated_bodies_comes_out(spark):
+    """Not those alone that share with the first holder of a passage: near copies of a report, a line that all have, copies, and texts without an outlet; whatever the blocks."""
+    import random
+
+    draw = random.Random(6)
+    report, line = [f"r{i}" for i in range(80)], " ".join(f"line{i}" for i in range(20))
+    rows = []
+    for i in range(70):
+        words = list(report) if i % 3 else [f"own{i}x{j}" for j in range(40)]
+        for _ in range(draw.choice([0, 1, 2, 5])):
+            words[draw.randrange(len(words))] = f"new{i}"
+        rows.append((i, draw.choice("abc") if i % 13 else None, f"{' '.join(words[draw.randrange(20):])} {line}"))
+    rows += [(100 + i, draw.choice("ab"), draw.choice(rows)[2].upper()) for i in range(20)] + [(200, "a", line), (201, "b", f"Tail {line}")]
+    frame = spark.createDataFrame(rows, "k long, outlet string, t string")
+    places = {}
+    for r in similarity.body_fingerprints(frame, "k", F.col("t")).collect():
+        places.setdefault(r.k, {})[r.print] = r.place
+    texts = {}
+    for k, _, t in rows:
+        texts.setdefault(t.lower(), []).append(k)
+    outlet, want = {k: o for k, o, _ in rows}, {}
+    for many in texts.values():
+        first = places[many[0]]
+        want |= {(k, many[0]): (len(first), 1.0, 1.0, min(first.values()), min(first.values())) for k in many[1:]}
+        for others in texts.values():
+            if many[0] > others[0] and any(None not in (outlet[k], outlet[o]) and outlet[k] != outlet[o] for k in many for o in others):
+                other = places[others[0]]
+                both = first.keys() & other.keys()
+                if max(len(both) / len(first), len(both) / len(other)) >= 0.5:
+                    want[many[0], others[0]] = (len(both), len(both) / len(first), len(both) / len(other), min(first[p] for p in both), min(other[p] for p in both))
+    assert len(want) > 300
+    for block in (4, 1024):
+        got = similarity.syndicated_bodies(frame, "k", "outlet", F.col("t"), own=True, block=block).collect()
+        assert len(got) == len(want) and {(r.article, r.other): tuple(r)[2:] for r in got} == want
