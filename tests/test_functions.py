@@ -684,3 +684,15 @@ def test_every_pair_of_syndicated_bodies_comes_out(spark):
     for block in (4, 1024):
         got = similarity.syndicated_bodies(frame, "k", "outlet", F.col("t"), own=True, block=block).collect()
         assert len(got) == len(want) and {(r.article, r.other): tuple(r)[2:] for r in got} == want
+
+
+def test_lists_are_met_in_rounds(spark, monkeypatch):
+    """Copies of vectors for a part of the lists alone lie on disk at a time; the neighbours are the same."""
+    import numpy as np
+
+    draw, seen, whole = np.random.default_rng(9), [], neighbors.Tables.write
+    x = np.repeat(draw.normal(size=(30, 16)), 10, axis=0) + 0.5 * draw.normal(size=(300, 16))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>")
+    monkeypatch.setattr(neighbors.Tables, "write", lambda self, frame, name: (seen.append(name), whole(self, frame, name))[1])
+    once, parts = (sorted(tuple(r) for r in neighbors.ivf_neighbors(vectors, "k", "v", size=20, probes=6, rounds=n).collect()) for n in (1, 5))
+    assert once == parts and len(once) > 1000 and seen.count("best") == 6
